@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe
-from quarry.llm.common import table
+from quarry.llm import byte_bpe, decontaminate, language_id
+from quarry.llm.common import fold, table
+
+
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language_id.train(docs.where(fold("doc_id", 4) != 2))
+    found = language_id.predict(docs, dictionaries)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op6_byte_bpe(spark, sf_dir):
@@ -13,8 +21,25 @@ def op6_byte_bpe(spark, sf_dir):
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, digest=True)
 
 
+def op7_decontaminate(spark, sf_dir):
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+        "spans",
+    )
+
+
 def queries() -> dict:
-    return {"op6_byte_bpe": op6_byte_bpe}
+    return {
+        "op2_language_id": op2_language_id,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_decontaminate": op7_decontaminate,
+    }
 
 
 def oracle_sql() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, decontaminate, language_id
+from quarry.llm import byte_bpe, decontaminate, language_id, license_scan
 from quarry.llm.common import fold, table
 
 
@@ -16,6 +16,10 @@ def op2_language_id(spark, sf_dir):
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op3_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op6_byte_bpe(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, digest=True)
@@ -37,6 +41,7 @@ def op7_decontaminate(spark, sf_dir):
 def queries() -> dict:
     return {
         "op2_language_id": op2_language_id,
+        "op3_license_scan": op3_license_scan,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_decontaminate": op7_decontaminate,
     }

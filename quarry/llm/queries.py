@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, decontaminate, language_id, license_scan
+from quarry.llm import byte_bpe, decontaminate, language_id, license_scan, quality, toxicity
 from quarry.llm.common import fold, table
+from quarry.llm.sampling import labelled_sample
 
 
 def op2_language_id(spark, sf_dir):
@@ -38,12 +39,39 @@ def op7_decontaminate(spark, sf_dir):
     )
 
 
+def quality_model(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.fit(labelled_sample(docs, labels, "quality", fold("doc_id", 4) != 2))
+
+
+def op8_quality(spark, sf_dir):
+    found = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return found.select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op9_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(labelled_sample(docs, labels, "toxic", fold("doc_id", 5) != 0))
+    found = toxicity.passages(docs, model)
+    return found.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"),
+    )
+
+
 def queries() -> dict:
     return {
         "op2_language_id": op2_language_id,
         "op3_license_scan": op3_license_scan,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_decontaminate": op7_decontaminate,
+        "op8_quality": op8_quality,
+        "op9_toxicity": op9_toxicity,
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, decontaminate, language_id, license_scan, quality, toxicity
+from quarry.llm import byte_bpe, decontaminate, language_id, license_scan, minhash, quality, toxicity
 from quarry.llm.common import fold, table
 from quarry.llm.sampling import labelled_sample
 
@@ -64,6 +64,10 @@ def op9_toxicity(spark, sf_dir):
     )
 
 
+def op10_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_language_id": op2_language_id,
@@ -72,6 +76,7 @@ def queries() -> dict:
         "op7_decontaminate": op7_decontaminate,
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
+        "op10_minhash": op10_minhash,
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, decontaminate, language_id, license_scan, minhash, quality, toxicity
+from quarry.llm import byte_bpe, decontaminate, language_id, license_scan, minhash, quality, suffix_dedup, toxicity
 from quarry.llm.common import fold, table
 from quarry.llm.sampling import labelled_sample
 
@@ -21,6 +21,10 @@ def op3_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_byte_bpe(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, digest=True)
@@ -72,6 +76,7 @@ def queries() -> dict:
     return {
         "op2_language_id": op2_language_id,
         "op3_license_scan": op3_license_scan,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_decontaminate": op7_decontaminate,
         "op8_quality": op8_quality,

@@ -5,11 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, decontaminate, language_id, license_scan, minhash, quality, suffix_dedup, toxicity
+from quarry.llm import (
+    byte_bpe,
+    decontaminate,
+    grid_join,
+    language_id,
+    license_scan,
+    minhash,
+    quality,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    url_list,
+)
 from quarry.llm.common import fold, table
 from quarry.llm.sampling import labelled_sample
 
 
+def op1_grid_join(spark, sf_dir):
+    return grid_join.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     dictionaries = language_id.train(docs.where(fold("doc_id", 4) != 2))
@@ -25,6 +41,15 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_url_filter(spark, sf_dir):
+    start = F.lit("2024-01-01").cast("timestamp")
+    day = lambda c: F.timestamp_add("DAY", c.cast("int"), start)
+    entries = spark.createDataFrame(url_list.entries(), "key string, category string, allow boolean, listed boolean, day int")
+    entries = entries.select("key", "category", "allow", "listed", day(F.col("day")).alias("at"))
+    captures = table(spark, sf_dir, "pages").withColumn("fetched", day(F.pmod("page_id", F.lit(url_list.DAYS))))
+    return url_filter.evaluate(captures, entries, keep=("page_id",))
+
+
 def op6_byte_bpe(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, digest=True)
@@ -74,9 +99,11 @@ def op10_minhash(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_grid_join": op1_grid_join,
         "op2_language_id": op2_language_id,
         "op3_license_scan": op3_license_scan,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_url_filter": op5_url_filter,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_decontaminate": op7_decontaminate,
         "op8_quality": op8_quality,
@@ -86,4 +113,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_url_filter": url_list.oracle()}

@@ -176,32 +176,40 @@ def loaded(path: str, pattern: str) -> ByteBpe:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    outputs: tuple = ("ids", "decoded"),
 ) -> DataFrame:
-    """A row per document: its id, n_tokens, and ids with the decoded bytes, or the digests of both.
+    """A row per document: its id, n_tokens, and of ids, decoded, ids_sha256, decoded_sha256 what is asked for.
 
     path names the rank file, which each executor reads where it is installed.
     """
-    outputs = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
+    kinds = {"ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
     def run(batches):
         bpe = loaded(path, pattern)
         for part in pieces(batches, text_col):
-            counts, first, second = [], [], []
-            for ids in bpe.encode_many([text or "" for text in part.column(1).to_pylist()]):
-                listed = np.frombuffer(ids, "<u4").tolist()
-                counts.append(len(listed))
-                data = bpe.decode_bytes(listed)
-                first.append(hashlib.sha256(ids).hexdigest() if digest else listed)
-                second.append(hashlib.sha256(data).hexdigest() if digest else data)
-            kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])],
-                ["id", "n_tokens", "a", "b"],
-            )
-
-    schema = f"`{id_col}` {ddl(docs, id_col)}, n_tokens bigint, {outputs}"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+            encoded = bpe.encode_many([text or "" for text in part.column(1).to_pylist()])
+            edges = np.cumsum([0, *(len(ids) // 4 for ids in encoded)])
+            flat = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
+            columns = {"n_tokens": pa.array(np.diff(edges), pa.int64())}
+            if "ids" in outputs:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat))
+            if "ids_sha256" in outputs:
+                columns["ids_sha256"] = pa.array([hashlib.sha256(ids).hexdigest() for ids in encoded], pa.string())
+            if "decoded" in outputs or "decoded_sha256" in outputs:
+                ids = flat.tolist()
+                data = [bpe.decode_bytes(ids[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                columns["decoded"] = pa.array(data, pa.binary()) if "decoded" in outputs else None
+                columns["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string())
+            named = ["n_tokens", *outputs]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(columns[c] for c in named)], ["id", *named])
+
+    more = "".join(f", {c} {kinds[c]}" for c in outputs)
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {ddl(docs, id_col)}, n_tokens bigint{more}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

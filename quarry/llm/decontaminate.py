@@ -130,9 +130,12 @@ def decontaminate(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     size: int = WINDOW,
+    carry: tuple = (),
 ) -> DataFrame:
     """A row per document: id, n_words, n_hit, items (ids as sorted strings), spans (characters hit).
 
+    The columns of `carry` come along as carry0, carry1 ...
+
     The benchmark is a stated query set: it is read to the driver, where its windows are made.
     """
     spark = docs.sparkSession
@@ -141,7 +144,14 @@ def decontaminate(
     groups = _dealt(items, size)
     names = spark.sparkContext.broadcast([i for i, _ in items])
     kind = ddl(docs, id_col)
-    out = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("found"))
+    along = [f"carry{i}" for i in range(len(carry))]
+    along_kinds = "".join(f", {n} {ddl(docs, c)}" for n, c in zip(along, carry, strict=True))
+    out = docs.select(
+        F.col(id_col),
+        F.col(text_col).alias("text"),
+        F.lit(None).cast("binary").alias("found"),
+        *(F.col(c).alias(n) for c, n in zip(carry, along, strict=True)),
+    )
     for group in groups:
         patterns = spark.sparkContext.broadcast(group)
         key = hashlib.sha256(repr(group).encode()).digest()
@@ -154,12 +164,13 @@ def decontaminate(
                     spans, own = scan(automaton, words_of(text))
                     found.append(_pack(spans, own, before))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(found, pa.binary())], ["id", "text", "found"]
+                    [part.column(0), part.column(1), pa.array(found, pa.binary()), *part.columns[3:]],
+                    ["id", "text", "found", *along],
                 )
 
         if group is groups[-1]:
             break
-        out = out.mapInArrow(run, f"`{id_col}` {kind}, text string, found binary")
+        out = out.mapInArrow(run, f"`{id_col}` {kind}, text string, found binary{along_kinds}")
 
     def finish(batches):
         automaton = _automaton(patterns.value, key)
@@ -177,14 +188,14 @@ def decontaminate(
             place = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), place)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                ["id", "n_words", "n_hit", "items", "spans"],
+                [part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *part.columns[3:]],
+                ["id", "n_words", "n_hit", "items", "spans", *along],
             )
 
     return out.mapInArrow(
         finish,
         f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, "
-        "spans array<struct<start:bigint,end:bigint>>",
+        f"spans array<struct<start:bigint,end:bigint>>{along_kinds}",
     )
 
 
@@ -206,3 +217,9 @@ def _unpack(data: bytes) -> tuple[list[tuple[int, int]], set[int]]:
 def contaminated() -> F.Column:
     """The rule: some word is hit, and hit words are a twentieth of all at least."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the rule doesn't find contaminated."""
+    found = decontaminate(docs, benchmark, id_col, text_col, carry=tuple(docs.columns))
+    return found.where(~contaminated()).select(*(F.col(f"carry{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -315,7 +315,9 @@ def _residual_pairs(buckets: DataFrame, classes: DataFrame, roots: DataFrame) ->
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False
+) -> DataFrame:
     """A row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's)."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = written(signed(base.withColumn("row", F.struct("id", F.xxhash64("text").alias("at"))), "row", "text"), "marks")
@@ -340,11 +342,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(members.select("key", "least", F.coalesce("root", "key").alias("root")), "members")
     several = members.groupBy("root").agg(F.min("least").alias("component_id"))
     found = written(members.join(written(several, "least"), "root").select("key", "component_id"), "found")
-    out = rows.select("id", "n_shingles", "key").join(found, "key", "left")
+    out = rows.select("id", "at", "n_shingles", "key").join(found, "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+        *([F.col("at").alias("text_hash")] if text_hash else []),
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stand for their group: all but those that are not kept."""
+    found = near_duplicates(docs, id_col, text_col, text_hash=True)
+    gone = written(found.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_at")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_KEYS
+    same = (F.col("_id") == F.col(id_col)) & F.col("_at").eqNullSafe(F.xxhash64(text_col))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

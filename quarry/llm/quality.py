@@ -220,3 +220,19 @@ def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score(x), pa.float64())], ["id", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {ddl(docs, id_col)}, score double")
+
+
+def accepted(docs: DataFrame, model: Additive, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is the threshold or more."""
+    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # tables of fixed size
+    at = docs.columns.index(text_col)
+    named = [f"c{i}" if i != at else "text" for i in range(len(docs.columns))]
+
+    def run(batches):
+        own = pickle.loads(held.value)
+        for part in pieces(batches, "text"):
+            x = np.array([figures(text) for text in part.column(at).to_pylist()], float)
+            yield part.filter(pa.array(own.score(x) >= threshold))
+
+    plain = docs.toDF(*named)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -21,6 +21,8 @@ from quarry.llm import (
 from quarry.llm.common import fold, table
 from quarry.llm.sampling import labelled_sample
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op1_grid_join(spark, sf_dir):
     return grid_join.similar_vectors(table(spark, sf_dir, "embeddings"))
@@ -51,8 +53,8 @@ def op5_url_filter(spark, sf_dir):
 
 
 def op6_byte_bpe(spark, sf_dir):
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, digest=True)
+    outputs = ("ids_sha256", "decoded_sha256")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, outputs=outputs)
 
 
 def op7_decontaminate(spark, sf_dir):

@@ -275,11 +275,17 @@ def _merged(lows: list[int], highs: list[int], n: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple = (), digest: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    keep: tuple = (),
+    digest: bool = False,
+    as_text: bool = False,
 ) -> DataFrame:
-    """A row per document: id, the columns of `keep`, n_bytes, n_removed, n_spans, and kept bytes or their sha256.
+    """A row per document: id, n_bytes, n_removed, n_spans, and kept bytes, their text or their sha256.
 
-    A span is a maximal run of removed bytes.
+    A span is a maximal run of removed bytes. The columns of `keep` come along as _k0, _k1 ...
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -300,10 +306,11 @@ def remove_repeats(
                 runs = _merged([x["low"] for x in found], [x["high"] for x in found], len(data)) if found else []
                 edges = [0, *(x for pair in runs for x in pair), len(data)]
                 left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                values = (len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest() if digest else left)
+                shown = hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore") if as_text else left
+                values = (len(data), len(data) - len(left), len(runs), shown)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest or as_text else pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(i) for i in range(last)), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))],
                 [*part.schema.names[:last], "n_bytes", "n_removed", "n_spans", "kept"],
@@ -312,14 +319,21 @@ def remove_repeats(
     kept = "".join(f"`{x}` {ddl(docs, c)}, " for c, x in zip(keep, names, strict=True))
     result = rows.mapInArrow(
         run,
-        f"id {ddl(docs, id_col)}, {kept}n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if digest else 'binary'}",
+        f"id {ddl(docs, id_col)}, {kept}n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if digest or as_text else 'binary'}",
     )
     last_name = "kept_sha256" if digest else "kept"
     return result.select(
-        F.col("id").alias(id_col),
-        *(F.col(x).alias(c) for c, x in zip(keep, names, strict=True)),
-        "n_bytes",
-        "n_removed",
-        "n_spans",
-        F.col("kept").alias(last_name),
+        F.col("id").alias(id_col), *names, "n_bytes", "n_removed", "n_spans", F.col("kept").alias(last_name)
     )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The rows, with all their columns, each text without its repeated bytes; a null text stays null.
+
+    A character that is cut at the edge of a removed run goes with it, so texts stay valid.
+    """
+    found = remove_repeats(docs, id_col, text_col, length, keep=tuple(docs.columns), as_text=True)
+    names = [f"_k{i}" for i in range(len(docs.columns))]
+    old = F.col(names[docs.columns.index(text_col)])
+    text = F.when(old.isNull(), old).when(F.col("n_removed") == 0, old).otherwise(F.col("kept"))
+    return found.select(*((text if c == text_col else F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.config import DEFAULT
 
@@ -80,6 +81,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.k_sem) -> DataF
     rows = [(q, np.asarray(v, float)) for q, v in queries.select("qid", "vector").toLocalIterator() if v]
     kind = queries.schema["qid"].dataType.simpleString()
     own, order = corpus.schema["id"].dataType.simpleString(), corpus.schema["ord"].dataType.simpleString()
+    number = to_arrow_type(queries.schema["qid"].dataType)
     out = None
     for at in range(0, max(1, len(rows)), BLOCK):
         block = queries.sparkSession.sparkContext.broadcast(rows[at : at + BLOCK])
@@ -87,7 +89,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.k_sem) -> DataF
         def run(batches, block=block):
             for batch in batches:
                 for start in range(0, batch.num_rows, ROWS):
-                    yield from _nearest(batch.slice(start, ROWS), block.value, k)
+                    yield from _nearest(batch.slice(start, ROWS), block.value, k, number)
 
         found = corpus.select("id", "ord", "vector").mapInArrow(run, f"qid {kind}, id {own}, ord {order}, distance double")
         out = found if out is None else out.unionByName(found)
@@ -96,7 +98,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.k_sem) -> DataF
     return ranked.select("qid", "id", "ord", "sem_rank", "distance")
 
 
-def _nearest(batch: pa.RecordBatch, queries: list, k: int):
+def _nearest(batch: pa.RecordBatch, queries: list, k: int, number: pa.DataType):
     listed = batch.column(2).to_pylist()
     for dims in {len(v) for _, v in queries}:
         at = [i for i, v in enumerate(listed) if v and len(v) == dims and None not in v]
@@ -116,6 +118,6 @@ def _nearest(batch: pa.RecordBatch, queries: list, k: int):
         keep = np.arange(len(rows)) - first[rows] < k
         take = pa.array(np.asarray(at)[columns[keep]])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([asked[i][0] for i in rows[keep]]), batch.column(0).take(take), batch.column(1).take(take), pa.array(exact[keep])],
+            [pa.array([asked[i][0] for i in rows[keep]], number), batch.column(0).take(take), batch.column(1).take(take), pa.array(exact[keep])],
             ["qid", "id", "ord", "distance"],
         )

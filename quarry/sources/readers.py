@@ -24,20 +24,22 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """file_name, doc_name, text of the *.md files of a folder, in text mode; order them by file_name."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     name = F.regexp_extract("file_name", r"^(.*)\.md$", 1)
-    rows = rows.select(F.col("_metadata.file_name").alias("file_name"), newlines(F.col("value")).alias("text"))
+    # The metadata holds the name as part of a URI.
+    file_name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    rows = rows.select(file_name.alias("file_name"), newlines(F.col("value")).alias("text"))
     return rows.select("file_name", strip(name).alias("doc_name"), "text")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1), value of one text file, whose lines end by any line break."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split("value", LINE_BREAK, -1)).alias("n", "value")).select((F.col("n") + 1).alias("line_no"), "value")
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(newlines(F.col("value")).alias("text"))
+    return spark.read.text(path, wholetext=True).select(newlines(F.col("value")).alias("text"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +58,7 @@ class Converter(Protocol):
 
 
 def pdfs(spark: SparkSession, folder: str) -> DataFrame:
-    """file_name, content of the *.pdf files of a folder, not of its sub-folders."""
+    """file_name, content of the *.pdf files of a folder, not of its sub-folders; the reader leaves out empty files."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
 

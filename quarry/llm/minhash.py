@@ -10,8 +10,10 @@ probability. Survivors are verified exactly on their texts.
 No bucket is expanded into all its pairs. First every class meets the most central member of each
 of its buckets, and the most similar of these is verified; what is verified is
 contracted. Then, in buckets that still hold several components, all pairs of different components
-are compared in blocks of bounded size, and their survivors verified. So a pair
-of a bucket is left out only if both ends are known to be connected.
+are compared in blocks of bounded size, each pair in the first bucket that it shares. Members with a survivor
+come back to their block with their sets, and survivors are verified there, against full sets of 64-bit hashes; only
+a spanning forest of the links leaves a block. So a pair of a bucket is left out only if both ends are known to be
+connected, and no row is made for a pair.
 
 Defined cases: documents that are null, empty or without words have no set and link with
 nothing; of fewer than five words the whole sequence is the one shingle. Rows are judged by their
@@ -188,18 +190,21 @@ def linked(a: set, b: set) -> bool:
     return bool(a and b) and OF * both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
-    """Of pairs a, b of class keys, those whose sets are similar enough, as links u, v."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = written(wanted.join(classes.select("key", "at"), "key"), "wanted")
+def _texts(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, text: one text for each of these classes."""
+    wanted = written(keys.join(classes.select("key", "at"), "key"), "wanted")
     few = wanted.count() <= BROADCAST_KEYS
-    texts = docs.select(F.xxhash64(text_col).alias("at"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    texts = docs.select(F.xxhash64("text").alias("at"), "text").where(F.col("text").isNotNull())
     texts = texts.join(F.broadcast(wanted) if few else wanted, "at").select("key", "text")
-    if few:  # equal texts come from one place of the hash, and each class has one text here
-        texts = texts.groupBy("key").agg(F.min("text").alias("text"))
-    else:
-        texts = texts.dropDuplicates(["key"])
-    texts = written(texts, "texts")
+    # Equal texts have one hash, and each class has one hash here.
+    texts = written(texts.groupBy("key").agg(F.min("text").alias("text")), "texts")
+    dropped(wanted)
+    return texts
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs a, b of class keys, those whose sets are similar enough, as links u, v."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes)
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -220,7 +225,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text_col: s
 
     found = written(both.mapInArrow(run, "u binary, v binary"), "verified")
     dropped(texts)
-    dropped(wanted)
     return found
 
 
@@ -245,11 +249,11 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """bucket, key of every class in a bucket of two or more, with the bucket's size."""
+    """bucket, band, key of every class in a bucket of two or more, with the bucket's size."""
     bands = F.array(
         *(F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS))
     )
-    rows = classes.select("key", F.explode(bands).alias("bucket"))
+    rows = classes.select("key", F.posexplode(bands).alias("band", "bucket"))
     many = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "many")
     out = written(rows.join(many, "bucket"), "buckets")
     dropped(many)
@@ -268,51 +272,122 @@ def _star_pairs(buckets: DataFrame) -> DataFrame:
     return pairs
 
 
-def _residual_pairs(buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Surviving pairs of different components that share a bucket, compared in blocks."""
+class _Block:
+    """Members of one block that a task compares: keys, roots, signatures, and in the second pass their sets."""
+
+    def __init__(self, rows: list[tuple]):
+        self.band = rows[0][1]
+        self.keys = [r[2] for r in rows]
+        _, self.root = np.unique(np.array([r[3] for r in rows], "S16"), return_inverse=True)
+        self.sigs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, HASHES)
+        self.bands = self.sigs.view("<u8")
+        self.sets = [np.frombuffer(r[5], np.uint64) for r in rows] if len(rows[0]) > 5 else []
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later members of other components that survive the comparison, where this is the first band they share with i."""
+        at = i + 1 + np.flatnonzero(self.root[i + 1 :] != self.root[i])
+        if self.band:
+            at = at[~(self.bands[at, : self.band] == self.bands[i, : self.band]).any(1)]
+        at = at[self.bands[at, self.band] == self.bands[i, self.band]]
+        return at[survivors(np.broadcast_to(self.sigs[i], (len(at), HASHES)), self.sigs[at])[0]]
+
+    def surviving(self) -> list[int]:
+        """Members with a partner."""
+        found: set[int] = set()
+        for i in range(len(self.keys)):
+            at = self.partners(i)
+            if len(at):
+                found.update(at.tolist(), [i])
+        return sorted(found)
+
+    def forest(self) -> list[tuple[bytes, bytes]]:
+        """Links that connect what the exact links of this block connect."""
+        out = []
+        for i in range(len(self.keys)):
+            at = self.partners(i)
+            while len(at := at[self.root[at] != self.root[i]]):
+                # So many at a time that a link found saves the rest of its component.
+                now, at = at[:256], at[256:]
+                sizes = np.array([len(self.sets[k]) for k in now])
+                every = np.concatenate([self.sets[k] for k in now])
+                own = self.sets[i]
+                place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                both = np.add.reduceat((own[place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                for k in now[OF * both >= SIMILAR * (len(own) + sizes - both)].tolist():
+                    if self.root[k] != self.root[i]:
+                        out.append((self.keys[i], self.keys[k]))
+                        self.root[self.root == self.root[k]] = self.root[i]
+        return out
+
+
+def _blocks(batches):
+    """Blocks of a partition that is sorted by task, from Arrow batches."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[0] != held[0][0]:
+                if len(held) > 1:
+                    yield held[0][0], _Block(held)
+                held = []
+            held.append(row)
+    if len(held) > 1:
+        yield held[0][0], _Block(held)
+
+
+def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links u, v that connect components which share a bucket and hold a pair that is similar enough."""
     rows = buckets.join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
-    rows = written(rows.select("bucket", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    rows = written(rows.select("bucket", "band", "key", F.coalesce("root", "key").alias("root")), "rooted")
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
     mixed = written(mixed.where("x <> y").select("bucket", "n"), "mixed")
     rows = rows.join(mixed, "bucket")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("g", blocks).withColumn("i", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.join(classes.select("key", "sig"), "key").select(
-        F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "key", "root", "sig"
-    )
-    rows = rows.repartition("task").sortWithinPartitions("task", "key")
-
-    def compared(keys: list[bytes], roots: list[bytes], sigs: np.ndarray):
-        _, number = np.unique(np.array(roots, "S16"), return_inverse=True)
-        if number.max(initial=0) == 0:
-            return [], []
-        left, right = [], []
-        for i in range(len(keys)):
-            others = i + 1 + np.flatnonzero(number[i + 1 :] != number[i])
-            at, _ = survivors(np.broadcast_to(sigs[i], (len(others), HASHES)), sigs[others])
-            left += [keys[i]] * len(at)
-            right += [keys[k] for k in others[at]]
-        return left, right
+    task = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("task")
+    rows = rows.join(classes.select("key", "sig"), "key").select(task, "band", "key", "root", "sig")
 
-    def run(batches):
-        task, keys, roots, sigs = None, [], [], []
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for t, k, r, s in zip(*columns, strict=True):
-                if t != task:
-                    if len(keys) > 1:
-                        a, b = compared(keys, roots, np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES))
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                    task, keys, roots, sigs = t, [], [], []
-                keys.append(k)
-                roots.append(r)
-                sigs.append(s)
-        if len(keys) > 1:
-            a, b = compared(keys, roots, np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    def first_pass(batches):
+        out: list[tuple] = []
+
+        def flushed():
+            done = pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["task", "key"]
+            )
+            out.clear()
+            return done
+
+        for number, block in _blocks(batches):
+            out += [(number, block.keys[i]) for i in block.surviving()]
+            if len(out) >= 4096:
+                yield flushed()
+        if out:
+            yield flushed()
+
+    def second_pass(batches):
+        for _, block in _blocks(batches):
+            found = block.forest()
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["u", "v"]
+                )
+
+    rows = written(rows, "tasks")
+    dealt = rows.repartition("task").sortWithinPartitions("task", "key")
+    alive = written(dealt.mapInArrow(first_pass, "task bigint, key binary"), "alive")
+    texts = _texts(alive.select("key").distinct(), docs, classes)
+
+    def sets(batches):
+        for part in pieces(batches, "text"):
+            found = shingle_sets(*buffers(part.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "members"]
+            )
+
+    members = written(texts.mapInArrow(sets, "key binary, members binary"), "members")
+    dropped(texts)
+    full = rows.join(alive, ["task", "key"]).join(members, "key").select("task", "band", "key", "root", "sig", "members")
+    return full.repartition("task").sortWithinPartitions("task", "key").mapInArrow(second_pass, "u binary, v binary")
 
 
 def near_duplicates(
@@ -329,13 +404,8 @@ def near_duplicates(
     star = _star_pairs(buckets)
     best = _likely(star, classes).groupBy("a").agg(F.max(F.struct("equal", "b")).alias("best"))
     best = written(best.select("a", F.col("best.b").alias("b")), "best")
-    links = _verified(best, base, classes, "text")
-    roots = components(links)
-
-    rest = written(_residual_pairs(buckets, classes, roots), "rest")
-    # What the first step has found dissimilar needs no second look.
-    tested = best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _verified(written(rest.join(tested, ["a", "b"], "left_anti"), "untested"), base, classes, "text")
+    links = _verified(best, base, classes)
+    more = written(_residual_links(buckets, classes, components(links), base), "more")
     roots = components(links.unionByName(more))
 
     members = classes.select("key", "least").join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")

@@ -24,10 +24,10 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import ddl, pieces
+from quarry.llm.common import bounded, ddl, pieces
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Characters matched at a time. Cuts fall on the ends of pre-tokens.
 SLICE_CHARS = 1 << 20
 
@@ -209,7 +209,7 @@ def encode(
             yield pa.RecordBatch.from_arrays([part.column(0), *(columns[c] for c in named)], ["id", *named])
 
     more = "".join(f", {c} {kinds[c]}" for c in outputs)
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {ddl(docs, id_col)}, n_tokens bigint{more}")
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {ddl(docs, id_col)}, n_tokens bigint{more}")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -11,14 +11,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables whose size is below this are cheap to hold in one task or to broadcast.
-PIECE_BYTES = 1 << 20
+#: Bytes of text that an Arrow map looks at in one go; its arrays take some tens of times as much.
+PIECE_BYTES = 1 << 18
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same table, in a session whose Arrow batches hold BATCH_BYTES at most, unless a size is set there.
+
+    A batch is held whole by the executor and by its Python worker, and rows differ much in size.
+    """
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    conf = df.sparkSession.conf
+    if conf.get(name, default) == default:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is named."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(

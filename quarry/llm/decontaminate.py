@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, ddl, pieces
+from quarry.llm.common import as_bytes, bounded, ddl, pieces
 
 WINDOW = 13
 #: Bytes of window texts that one broadcast automaton holds.
@@ -146,7 +146,7 @@ def decontaminate(
     kind = ddl(docs, id_col)
     along = [f"carry{i}" for i in range(len(carry))]
     along_kinds = "".join(f", {n} {ddl(docs, c)}" for n, c in zip(along, carry, strict=True))
-    out = docs.select(
+    out = bounded(docs).select(
         F.col(id_col),
         F.col(text_col).alias("text"),
         F.lit(None).cast("binary").alias("found"),

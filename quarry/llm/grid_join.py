@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ddl, dropped, written
+from quarry.llm.common import bounded, ddl, dropped, written
 from quarry.llm.components import components
 
 SIMILAR = 0.98
@@ -282,7 +282,7 @@ def similar_vectors(
 ) -> DataFrame:
     """A row per vector: id, n_links (other rows linked), component_id (smallest id reachable), kept (the id is the component's)."""
     eps = math.sqrt(2 - 2 * similar)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
+    rows = bounded(vectors).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     rows = written(_prepared(rows), "vectors")
     classes = rows.where(F.col("key").isNotNull()).groupBy("key")
     classes = classes.agg(

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ddl, pieces
+from quarry.llm.common import bounded, ddl, pieces
 
 #: Labelled rows of each language that may go into its dictionary, and the dictionary's bytes.
 SAMPLE_ROWS = 1000
@@ -133,4 +133,4 @@ def predict(
             )
 
     schema = f"`{id_col}` {ddl(docs, id_col)}, lang_pred string, score double, margin double, rejected boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, buffers, ddl, dropped, pieces, written
+from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, pieces, written
 from quarry.llm.components import components
 
 SHINGLE = 5
@@ -394,7 +394,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False
 ) -> DataFrame:
     """A row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's)."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = written(signed(base.withColumn("row", F.struct("id", F.xxhash64("text").alias("at"))), "row", "text"), "marks")
     rows = marks.select("row.id", "row.at", "n_shingles", "key", "sig")
     classes = rows.where(F.col("key").isNotNull()).groupBy("key")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import ddl, pieces
+from quarry.llm.common import bounded, ddl, pieces
 
 #: Bins per figure, and per side of a pair; trees have up to LEAVES leaves.
 BINS, PAIR_BINS, LEAVES = 64, 12, 4
@@ -199,7 +199,7 @@ def measured(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
             )
 
     kept = ", ".join(f"`{c}` {ddl(docs, c)}" for c in keep)
-    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(run, f"{kept}, x array<double>")
+    return bounded(docs).select(*keep, docs[text_col].alias("_text")).mapInArrow(run, f"{kept}, x array<double>")
 
 
 def fit(sample: DataFrame) -> Additive:
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: st
             x = np.array([figures(text) for text in part.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score(x), pa.float64())], ["id", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {ddl(docs, id_col)}, score double")
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {ddl(docs, id_col)}, score double")
 
 
 def accepted(docs: DataFrame, model: Additive, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -234,5 +234,5 @@ def accepted(docs: DataFrame, model: Additive, threshold: float = 0.7, text_col:
             x = np.array([figures(text) for text in part.column(at).to_pylist()], float)
             yield part.filter(pa.array(own.score(x) >= threshold))
 
-    plain = docs.toDF(*named)
+    plain = bounded(docs).toDF(*named)
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, buffers, ddl, dropped, pieces, written
+from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, pieces, written
 
 LENGTH = 400
 ZONE = 25
@@ -288,7 +288,7 @@ def remove_repeats(
     A span is a maximal run of removed bytes. The columns of `keep` come along as _k0, _k1 ...
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    base = bounded(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     found = repeated(base.where(F.octet_length("text") >= length), length)
     # Neighbouring intervals of a document overlap much: their union is taken before the texts come in.
     spans = written(found.groupBy("id", "h").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ddl, pieces
+from quarry.llm.common import bounded, ddl, pieces
 
 TOKENS = re.compile(r"[^\W_]+")
 #: Mass of the Dirichlet prior, in documents; standard errors that a token's log-odds are lowered by.
@@ -204,4 +204,4 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         f"`{id_col}` {ddl(docs, id_col)}, score double, statistic double, n_tokens bigint, "
         "passages array<struct<start:bigint,end:bigint,nats:double>>"
     )
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, schema)

@@ -37,8 +37,6 @@ from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, pieces,
 
 LENGTH = 400
 ZONE = 25
-#: Documents whose keys may be broadcast to fetch their texts; above it the texts are shuffled.
-BROADCAST_KEYS = 100_000
 #: Positions that fit the low bits of a sort key.
 _BITS = 20
 _SLICE = 1 << _BITS
@@ -219,7 +217,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Digit 2: equal contexts are covered; one of each goes on where contexts differ.
     contexts = shared.groupBy("gram", "context", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "pos")).alias("one"))
     contexts = written(contexts, "contexts")
-    equal = shared.join(contexts.where("c > 1").select("gram", "context"), ["gram", "context"])
+    equal = shared.join(contexts.select("gram", "context", "c"), ["gram", "context"]).where("c > 1")
     covered = [
         written(equal.select("id", "h", F.greatest(F.lit(0), F.col("pos") - spread).alias("low"), (F.col("pos") + length).alias("high")), "equal")
     ]
@@ -229,9 +227,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Digit 3: zones of the contexts that differ. Their documents' texts are fetched once.
     left = contexts.where("mixed").select("one.*", "gram", "c")
     lists = written(left.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "gram", "c")).alias("places")), "lists")
-    keys = lists.select("id", "h")
-    few = lists.count() <= BROADCAST_KEYS
-    texts = _joined(docs, F.broadcast(keys) if few else keys).select("id", "h", "text")
+    texts = _joined(docs, lists.select("id", "h")).select("id", "h", "text")
     texts = written(texts.dropDuplicates(["id", "h"]), "texts")
     zones = written(_zones(_joined(texts, lists).select("id", "h", "text", "places"), length), "zones")
     cores = zones.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))

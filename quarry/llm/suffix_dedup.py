@@ -278,10 +278,11 @@ def remove_repeats(
     keep: tuple = (),
     digest: bool = False,
     as_text: bool = False,
+    least_words: int = 0,
 ) -> DataFrame:
     """A row per document: id, n_bytes, n_removed, n_spans, and kept bytes, their text or their sha256.
 
-    A span is a maximal run of removed bytes. The columns of `keep` come along as _k0, _k1 ...
+    A span is a maximal run of removed bytes; runs of fewer words than least_words stay. The columns of `keep` come along as _k0, _k1 ...
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = bounded(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -300,6 +301,8 @@ def remove_repeats(
             out = [[], [], [], []]
             for data, found in zip(as_bytes(part.column(last)), part.column(last + 1).to_pylist(), strict=True):
                 runs = _merged([x["low"] for x in found], [x["high"] for x in found], len(data)) if found else []
+                if least_words:
+                    runs = [(a, b) for a, b in runs if len(data[a:b].split()) >= least_words]
                 edges = [0, *(x for pair in runs for x in pair), len(data)]
                 left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 shown = hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore") if as_text else left
@@ -323,12 +326,14 @@ def remove_repeats(
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least_words: int = 0
+) -> DataFrame:
     """The rows, with all their columns, each text without its repeated bytes; a null text stays null.
 
     A character that is cut at the edge of a removed run goes with it, so texts stay valid.
     """
-    found = remove_repeats(docs, id_col, text_col, length, keep=tuple(docs.columns), as_text=True)
+    found = remove_repeats(docs, id_col, text_col, length, keep=tuple(docs.columns), as_text=True, least_words=least_words)
     names = [f"_k{i}" for i in range(len(docs.columns))]
     old = F.col(names[docs.columns.index(text_col)])
     text = F.when(old.isNull(), old).when(F.col("n_removed") == 0, old).otherwise(F.col("kept"))

@@ -113,6 +113,15 @@ def test_suffix_boundaries_and_slices(spark, monkeypatch):
         assert [tuple(r)[1:] for r in got] == brute_suffix(texts, length)
 
 
+def test_suffix_least_words(spark):
+    rng = random.Random(12)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    long, short, wide = noise(60), noise(40), "".join(rng.choice("abcdefgh") for _ in range(300))
+    docs = spark.createDataFrame([(i, f"{noise(9)} {x} {noise(9)} é") for i, x in enumerate([long, long, short, short, wide, wide])], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs, length=150, least_words=51).collect()}
+    assert not any(long[2:-2] in got[i] for i in (0, 1)) and all(short in got[i] for i in (2, 3)) and all(wide in got[i] for i in (4, 5))
+
+
 def test_suffix_rows_and_empty(odd, none):
     out = suffix_dedup.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -155,6 +164,52 @@ def test_minhash_groups_of_near_copies(spark):
     assert got == brute_minhash(rows)
 
 
+def test_minhash_of_many_strengths(spark, monkeypatch):
+    """Copies from near to far, so that components must be joined beyond the first step, in small blocks too."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for n in range(160):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(120)] = rng.choice(vocabulary)
+        rows.append((n, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in minhash.near_duplicates(docs).collect())
+    want = brute_minhash(rows)
+    assert len({c for *_, c in want}) > 5 and got == want
+
+
+def test_blocks_find_what_links():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    sets = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.randint(1, 8)):
+            w[rng.randrange(100)] = rng.choice(vocabulary)
+        import pyarrow as pa
+
+        sets += minhash.shingle_sets(*minhash.buffers(pa.array([" ".join(w)])))
+    keys = [i.to_bytes(16, "big") for i in range(40)]
+    sigs = [minhash.signature(s) for s in sets]
+    links = []
+    for band in range(minhash.BANDS):
+        groups = defaultdict(list)
+        for i in range(40):
+            groups[sigs[i][8 * band : 8 * band + 8]].append((0, band, keys[i], keys[i], sigs[i], sets[i].tobytes()))
+        for rows in groups.values():
+            if len(rows) > 1:
+                links += [(keys.index(a), keys.index(b)) for a, b in minhash._Block(rows).forest()]
+                alive = {rows[k][2] for k in minhash._Block([r[:5] for r in rows]).surviving()}
+                assert {x for pair in minhash._Block(rows).forest() for x in pair} <= alive
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    want = [(a, b) for a in range(40) for b in range(a) if similar(sets[a], sets[b])]
+    assert union(40, links) == union(40, want) and len(set(union(40, want))) > 1
+
+
 def test_minhash_representatives(odd, none):
     out = minhash.representatives(odd)
     assert out.columns == odd.columns

@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 from datetime import datetime
 
 import numpy as np
-import pytest
 
 from quarry.llm import components, grid_join, minhash, suffix_dedup, url_filter
 

@@ -1,6 +1,5 @@
 """Operators that judge each row alone: BPE, decontamination, language, licenses."""
 
-import hashlib
 import re
 
 import numpy as np

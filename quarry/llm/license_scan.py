@@ -27,8 +27,11 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases that always count, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Words of which every rule's match holds one at least.
-SHARED = "(?i)licen[cs]e|spdx|copyleft|public.{1,3}domain"
+#: Words before ' under ' with which a rule's match needs no word 'license'.
+UNDER = "(?:released|distributed|available|published|provided|covered|redistributed)"
+
+#: Words of which every rule's match holds one at least, as they stand in a text: OTHER is what the line has as one space.
+SHARED = rf"(?i)licen[cs]e|spdx|copyleft|public{OTHER}domain|{UNDER}{OTHER}under"
 
 #: Families: label, keyword, the name as it stands in normalised prose, the normalised short identifier.
 FAMILIES = [
@@ -94,7 +97,7 @@ FAMILIES = [
 TEMPLATES = [
     (r"spdx licen[cs]e identifier <id>(?: <v>)?(?: (?:only|or later))?", 90, 1.0),
     (
-        r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed) under (?:the )?"
+        rf"(?:licen[cs]ed|{UNDER}) under (?:the )?"
         r"(?:terms (?:and conditions )?of )?(?:the )?<name>(?: licen[cs]e)?(?:(?: version| v)? <v>)?",
         80,
         0.95,

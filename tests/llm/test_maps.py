@@ -149,6 +149,35 @@ def test_license_equals_brute_force(spark, odd_rows):
         assert got[i] == brute_license(text), text
 
 
+def without_gates(text):
+    """Labels and score by all rules on the line, without the shared gate and without keywords."""
+    line, found = " " + " ".join(words(text)) + " ", []
+    for n, (label, _, regex, priority, confidence) in enumerate(license_scan.rules()):
+        for m in re.finditer(regex, line):
+            start = line[: m.start()].count(" ") - 1
+            found.append((start, start + m.group().count(" ") + 1, -priority, n, label, confidence))
+    holds = lambda b, a: b[0] <= a[0] and b[1] >= a[1] and (b[1] - b[0] > a[1] - a[0] or b[2:4] < a[2:4])
+    kept = [a for a in found if not any(b is not a and holds(b, a) for b in found)]
+    base = {label for phrase, label in license_scan.BASE.items() if f" {phrase} " in line}
+    return ",".join(sorted({*base, *(a[4] for a in kept)})), max((a[5] for a in kept), default=0.0)
+
+
+def same_without_gates(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == without_gates(text), text
+    return got
+
+
+def test_license_gate_holds_for_every_rule(spark):
+    verbs = "released distributed available published provided covered redistributed".split()
+    texts = [f"It is {verb.title()}\n  under the Apache 2.0" for verb in verbs]
+    texts += ["distributed under CC0", "released into the public\ndomain", "in the public  \n    * domain", "provided\x00under (MIT)", "not under MIT"]
+    got = same_without_gates(spark, texts)
+    assert [got[i][0] for i in range(len(texts))] == ["apache"] * 7 + ["cc0", "public-domain", "public-domain", "mit", ""]
+
+
 def test_license_native_and_empty(odd, none):
     plan = license_scan.scan(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -33,19 +33,25 @@ UNDER = "(?:released|distributed|available|published|provided|covered|redistribu
 #: Words of which every rule's match holds one at least, as they stand in a text: OTHER is what the line has as one space.
 SHARED = rf"(?i)licen[cs]e|spdx|copyleft|public{OTHER}domain|{UNDER}{OTHER}under"
 
-#: Families: label, keyword, the name as it stands in normalised prose, the normalised short identifier.
+#: Families: label, keyword, the name as it stands in normalised prose, the normalised short identifier. Every alternative
+#: of a name holds the keyword; names without it have a row of their own, without identifier.
 FAMILIES = [
-    ("mit", "mit", "(?:mit|expat|x11)", "mit"),
+    ("mit", "mit", "mit", "mit"),
+    ("mit", "expat", "expat", None),
+    ("mit", "x11", "x11", None),
     ("mit-0", "attribution", "mit no attribution", "mit 0"),
-    ("isc", "isc", "(?:isc|internet systems consortium)", "isc"),
-    ("bsd", "bsd", "(?:bsd|berkeley software distribution)", "bsd"),
+    ("isc", "isc", "isc", "isc"),
+    ("isc", "internet systems", "internet systems consortium", None),
+    ("bsd", "bsd", "bsd", "bsd"),
+    ("bsd", "berkeley", "berkeley software distribution", None),
     ("bsd-2-clause", "bsd", "(?:(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd|freebsd)", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:(?:3|three) clause bsd|bsd (?:3|three) clause|new bsd|modified bsd|revised bsd)", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:(?:4|four) clause bsd|bsd (?:4|four) clause|original bsd)", "bsd 4 clause"),
     ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause|0bsd)", "0bsd"),
     ("apache", "apache", "(?:apache|apache software)", "apache"),
     ("gpl", "general public", "(?:gnu )?general public", "gpl"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public", "lgpl"),
+    ("lgpl", "lesser", "(?:gnu )?lesser general public", "lgpl"),
+    ("lgpl", "library general", "(?:gnu )?library general public", None),
     ("agpl", "affero", "(?:gnu )?affero general public", "agpl"),
     ("fdl", "documentation", "(?:gnu )?free documentation", "gfdl"),
     ("mpl", "mozilla", "mozilla public", "mpl"),
@@ -59,7 +65,8 @@ FAMILIES = [
     ("afl", "academic", "academic free", "afl"),
     ("artistic", "artistic", "artistic", "artistic"),
     ("zlib", "zlib", "(?:zlib|zlib libpng)", "zlib"),
-    ("libpng", "libpng", "(?:libpng|png reference library)", "libpng"),
+    ("libpng", "libpng", "libpng", "libpng"),
+    ("libpng", "png reference", "png reference library", None),
     ("bsl", "boost", "boost software", "bsl"),
     ("busl", "business", "business source", "busl"),
     ("sspl", "server side", "server side public", "sspl"),
@@ -78,12 +85,14 @@ FAMILIES = [
     ("odc-by", "data commons", "open data commons attribution", "odc by"),
     ("pddl", "public domain", "(?:open data commons )?public domain dedication and", "pddl"),
     ("ofl", "open font", "(?:sil )?open font", "ofl"),
-    ("psf", "python", "(?:python software foundation|psf|python)", "psf"),
+    ("psf", "python", "(?:python software foundation|python)", "psf"),
+    ("psf", "psf", "psf", None),
     ("php", "php", "php", "php"),
     ("ruby", "ruby", "ruby", "ruby"),
     ("openssl", "openssl", "openssl", "openssl"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("ncsa", "ncsa", "(?:university of illinois )?(?:ncsa )?(?:uiuc|ncsa)(?: open source)?", "ncsa"),
+    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: uiuc| ncsa)?(?: open source)?", "ncsa"),
+    ("ncsa", "uiuc", "(?:university of illinois )?uiuc(?: open source)?", None),
     ("ms-pl", "microsoft", "microsoft public", "ms pl"),
     ("ms-rl", "microsoft", "microsoft reciprocal", "ms rl"),
     ("upl", "universal", "universal permissive", "upl"),
@@ -124,9 +133,11 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     version = r"\d{1,2}(?: \d{1,2}){0,2}"
     out = []
     for (label, keyword, name, identifier), (template, priority, confidence) in product(FAMILIES, TEMPLATES):
+        if "<id>" in template and identifier is None:
+            continue
         # What goes by the identifier is looked for where its first word occurs.
         word = identifier.split()[0] if "<id>" in template else keyword
-        regex = template.replace("<name>", name).replace("<id>", identifier).replace("<v>", version)
+        regex = template.replace("<name>", name).replace("<id>", identifier or "").replace("<v>", version)
         out.append((label, word, regex, priority, confidence))
     out += GENERIC
     return [(label, word, rf"(?<= ){regex}(?= )", p, c) for label, word, regex, p, c in out]

@@ -178,6 +178,46 @@ def test_license_gate_holds_for_every_rule(spark):
     assert [got[i][0] for i in range(len(texts))] == ["apache"] * 7 + ["cc0", "public-domain", "public-domain", "mit", ""]
 
 
+def spelled(regex):
+    """All strings that a regex of literals, groups, choices and bounded repeats matches."""
+    def of(part):
+        out = [""]
+        for kind, value in part:
+            kind = str(kind)
+            if kind == "LITERAL":
+                ways = [chr(value)]
+            elif kind == "SUBPATTERN":
+                ways = of(value[-1])
+            elif kind == "BRANCH":
+                ways = [x for branch in value[1] for x in of(branch)]
+            elif kind == "IN":
+                ways = [chr(c) for _, c in value]
+            else:
+                assert kind == "MAX_REPEAT" and value[:2] == (0, 1), kind
+                ways = ["", *of(value[2])]
+            out = [a + b for a in out for b in ways]
+        return out
+
+    return of(re._parser.parse(regex))
+
+
+def test_license_keywords_cover_every_alternative(spark):
+    for label, keyword, name, identifier in license_scan.FAMILIES:
+        assert all(keyword in x for x in spelled(name)), label
+    for label, keyword, regex, _, _ in license_scan.GENERIC:
+        assert all(keyword in x for x in spelled(regex)), label
+    names = {
+        "expat": "mit", "x11": "mit", "internet systems consortium": "isc", "berkeley software distribution": "bsd",
+        "gnu library general public": "gpl,lgpl", "png reference library": "libpng", "psf": "psf", "uiuc": "ncsa",
+        "university of illinois uiuc open source": "ncsa", "ncsa uiuc": "ncsa", "gnu lesser general public": "gpl,lgpl",
+    }
+    got = same_without_gates(spark, [f"Released under the {x.title()} License, version 2" for x in names])
+    # 'general public license' is also a base phrase, which is never suppressed.
+    assert [got[i][0] for i in range(len(names))] == list(names.values())
+    every = [f"the {x} license applies" for _, _, name, _ in license_scan.FAMILIES for x in spelled(name)]
+    same_without_gates(spark, every)
+
+
 def test_license_native_and_empty(odd, none):
     plan = license_scan.scan(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -16,9 +16,8 @@ from quarry.llm.queries import VOCABULARY, quality_model
 
 #: Score below which a document is rejected.
 QUALITY = 0.7
-#: Repeated strings that are looked for, in bytes, and words that a passage made of them must have to go: over 50.
-#: Words are short in places, so the bytes are fewer than 51 words usually take.
-PASSAGE_BYTES, PASSAGE_WORDS = 250, 51
+#: Repeated strings go from so many bytes on, whatever words they have, and from so many words on (over 50), whatever bytes they have.
+PASSAGE_BYTES, PASSAGE_WORDS = 400, 51
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +31,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of over 50 words that stand elsewhere too; n_chars follows."""
-    out = suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
+    """Texts without passages of 400 bytes or of over 50 words that stand elsewhere too; n_chars follows."""
+    out = suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -42,6 +42,7 @@ _BITS = 20
 _SLICE = 1 << _BITS
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _kept: dict[int, np.ndarray] = {}
 
 
@@ -259,6 +260,136 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out
 
 
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without ASCII white space) of all texts, and the first word of each text."""
+    black = ~_WHITE[raw]
+    first, last = black.copy(), black.copy()
+    first[1:] &= ~black[:-1]
+    last[:-1] &= ~black[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(raw))]
+    first[edges] = black[edges]
+    last[edges - 1] = black[edges - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+def _word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, which only decides what is chosen."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        stop = int(np.searchsorted(ends, base + _SLICE, side="right"))
+        if stop <= at:
+            out[at] = xxhash.xxh3_64_intdigest(raw[base : ends[at]].tobytes())
+            at += 1
+            continue
+        data = raw[base : ends[stop - 1]]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), dtype=np.uint64, out=total[1:])
+        a, b = starts[at:stop] - base, ends[at:stop] - base
+        key = (total[b] - total[a]) * _powers(_INVERSE, len(data))[a]
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        out[at:stop] = key ^ (key >> np.uint64(32))
+        at = stop
+    return out
+
+
+def _word_grams(docs: DataFrame, words: int) -> DataFrame:
+    """id, h, pos (a word's number) of the chosen grams, with digits gram and context and the context's bytes."""
+    gram = (words + 1) // 2
+    digest = xxhash.xxh3_64_intdigest
+
+    def run(batches):
+        for part in pieces(batches, "text"):
+            raw, offsets = buffers(part.column(2))
+            starts, ends, firsts = _words(raw, offsets)
+            places = chosen(_word_keys(raw, starts, ends), firsts, words)
+            row = np.searchsorted(firsts, places, side="right") - 1
+            data = raw.tobytes()
+            low = np.maximum(firsts[row], places - (words - gram))
+            high = np.minimum(firsts[row + 1], places + words)
+            a, b = starts[low], ends[high - 1]
+            first = [digest(b" ".join(data[x:y].split())) for x, y in zip(starts[places].tolist(), ends[places + gram - 1].tolist(), strict=True)]
+            second = [
+                digest(b" ".join(data[x:y].split()), seed=c)
+                for x, y, c in zip(a.tolist(), b.tolist(), (places - low).tolist(), strict=True)
+            ]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(take),
+                    part.column(1).take(take),
+                    pa.array(places - firsts[row], pa.int64()),
+                    pa.array(a - offsets[row], pa.int64()),
+                    pa.array(b - offsets[row], pa.int64()),
+                    _signed(first),
+                    _signed(second),
+                ],
+                ["id", "h", "pos", "low", "high", "gram", "context"],
+            )
+
+    kind = f"id {ddl(docs, 'id')}, h bigint, pos bigint, low bigint, high bigint, gram bigint, context bigint"
+    return docs.select("id", "h", "text").mapInArrow(run, kind)
+
+
+def _word_windows(rows: DataFrame, words: int) -> DataFrame:
+    """id, h, low, high and digit of every window that holds one of the given grams."""
+    gram = (words + 1) // 2
+    digest = xxhash.xxh3_64_intdigest
+
+    def run(batches):
+        for part in pieces(batches, "text"):
+            source, low, high, window = [], [], [], []
+            for r, (text, found) in enumerate(zip(as_bytes(part.column(2)), part.column(3).to_pylist(), strict=True)):
+                starts, ends, _ = _words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+                for x in found:
+                    seed = x["gram"] & (2**64 - 1)
+                    for back in range(words - gram + 1):
+                        at = x["pos"] - back
+                        if at >= 0 and at + words <= len(starts):
+                            a, b = int(starts[at]), int(ends[at + words - 1])
+                            source.append(r)
+                            low.append(a)
+                            high.append(b)
+                            window.append(digest(b" ".join(text[a:b].split()), seed=seed ^ back))
+            take = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(take), part.column(1).take(take), pa.array(low, pa.int64()), pa.array(high, pa.int64()), _signed(window)],
+                ["id", "h", "low", "high", "window"],
+            )
+
+    return rows.mapInArrow(run, f"id {ddl(rows, 'id')}, h bigint, low bigint, high bigint, window bigint")
+
+
+def repeated_words(docs: DataFrame, words: int) -> DataFrame:
+    """id, h, low, high of intervals of bytes that together cover all windows of so many words that stand at two places.
+
+    Words are runs without ASCII white space, and what is between them is not compared. A window chooses a gram of
+    words as one of bytes does; the digits are the gram, its context, and for contexts that differ each window.
+    """
+    grams = written(_word_grams(docs, words), "word-grams")
+    several = grams.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
+    several = written(several.where("n > 1").select("gram", "mixed"), "word-several")
+    shared = written(grams.join(several, "gram"), "word-shared")
+    dropped(grams)
+    contexts = shared.groupBy("gram", "context", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "pos")).alias("one"))
+    contexts = written(contexts, "word-contexts")
+    equal = shared.join(contexts.where("c > 1").select("gram", "context"), ["gram", "context"])
+    equal = written(equal.select("id", "h", "low", "high"), "word-equal")
+    dropped(shared)
+    places = contexts.where("mixed").select("one.*", "gram").groupBy("id", "h").agg(F.collect_list(F.struct("pos", "gram")).alias("places"))
+    places = written(places, "word-places")
+    windows = written(_word_windows(_joined(docs, places).select("id", "h", "text", "places"), words), "word-windows")
+    # Rows with equal id and text give equal windows: two places are two of id, h and low.
+    at = F.struct("id", "h", "low")
+    twice = windows.groupBy("window").agg(F.min(at).alias("x"), F.max(at).alias("y")).where(~F.col("x").eqNullSafe(F.col("y")))
+    twice = written(twice.select("window"), "word-twice")
+    return equal.unionByName(windows.join(twice, "window").select("id", "h", "low", "high"))
+
+
 def _merged(lows: list[int], highs: list[int], n: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(zip(lows, highs, strict=True)):
@@ -279,14 +410,18 @@ def remove_repeats(
     digest: bool = False,
     as_text: bool = False,
     least_words: int = 0,
+    words: int = 0,
 ) -> DataFrame:
     """A row per document: id, n_bytes, n_removed, n_spans, and kept bytes, their text or their sha256.
 
+    With `words`, repeated windows of so many words go too, however few bytes they have.
     A span is a maximal run of removed bytes; runs of fewer words than least_words stay. The columns of `keep` come along as _k0, _k1 ...
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = bounded(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     found = repeated(base.where(F.octet_length("text") >= length), length)
+    if words:
+        found = found.unionByName(repeated_words(base.where(F.octet_length("text") >= 2 * words - 1), words))
     # Neighbouring intervals of a document overlap much: their union is taken before the texts come in.
     spans = written(found.groupBy("id", "h").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
     names = [f"_k{i}" for i in range(len(keep))]
@@ -327,13 +462,13 @@ def remove_repeats(
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least_words: int = 0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least_words: int = 0, words: int = 0
 ) -> DataFrame:
     """The rows, with all their columns, each text without its repeated bytes; a null text stays null.
 
     A character that is cut at the edge of a removed run goes with it, so texts stay valid.
     """
-    found = remove_repeats(docs, id_col, text_col, length, keep=tuple(docs.columns), as_text=True, least_words=least_words)
+    found = remove_repeats(docs, id_col, text_col, length, keep=tuple(docs.columns), as_text=True, least_words=least_words, words=words)
     names = [f"_k{i}" for i in range(len(docs.columns))]
     old = F.col(names[docs.columns.index(text_col)])
     text = F.when(old.isNull(), old).when(F.col("n_removed") == 0, old).otherwise(F.col("kept"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import datetime
 
@@ -121,6 +122,60 @@ def test_suffix_least_words(spark):
     assert not any(long[2:-2] in got[i] for i in (0, 1)) and all(short in got[i] for i in (2, 3)) and all(wide in got[i] for i in (4, 5))
 
 
+def brute_words(texts, words, length):
+    """Texts without the repeated windows of so many words or so many bytes."""
+    data = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"\S+", d)] for d in data]
+    split = [d.split() for d in data]
+    seen = Counter(tuple(w[k : k + words]) for w in split for k in range(len(w) - words + 1))
+    strings = Counter(d[k : k + length] for d in data for k in range(len(d) - length + 1))
+    out = []
+    for d, spans, w in zip(data, at, split, strict=True):
+        cover = bytearray(len(d))
+        for k in range(len(w) - words + 1):
+            if seen[tuple(w[k : k + words])] > 1:
+                a, b = spans[k][0], spans[k + words - 1][1]
+                cover[a:b] = b"\1" * (b - a)
+        for k in range(len(d) - length + 1):
+            if strings[d[k : k + length]] > 1:
+                cover[k : k + length] = b"\1" * length
+        out.append(hashlib.sha256(bytes(x for x, c in zip(d, cover, strict=True) if not c)).hexdigest())
+    return out
+
+
+def test_suffix_words_equal_brute_force(spark, odd, odd_rows, monkeypatch):
+    short = odd.where("n_chars < 50000 or n_chars is null")
+    rows = [r for r in odd_rows if r[4] is None or r[4] < 50000]
+    got = sorted((str(r["doc_id"]), r["kept_sha256"]) for r in suffix_dedup.remove_repeats(short, digest=True, words=51).collect())
+    assert got == sorted((str(r[0]), x) for r, x in zip(rows, brute_words([r[1] for r in rows], 51, 400), strict=True))
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 1 << 11)
+    monkeypatch.setattr(suffix_dedup, "_BITS", 11)
+    rng = random.Random(21)
+    noise = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    a, b = noise(50), noise(120)
+    texts = [f"p {a} q", f"r {a} s", f"x {b[:120]}", f"y  {b[:120]} z", f"{noise(2600)} {b[40:200]} {noise(300)}", b, f"{b} ", "k " * 300,
+             "k " * 200 + "é", "w" * 5000 + " " + b, f"\n{b[2:102]}", f"{b[2:102]}\t", f"{b[2:100]} ", "", "m\n" * 60, b.replace(" ", "\n")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = [r["kept_sha256"] for r in sorted(suffix_dedup.remove_repeats(docs, digest=True, words=51).collect())]
+    assert got == brute_words(texts, 51, 400)
+
+
+def test_pipeline_passages(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(22)
+    letters = lambda n, few: "".join(rng.choice(few) for _ in range(n))
+    short = " ".join(letters(2, "abcdefgh") for _ in range(51))  # 152 bytes
+    long = " ".join(letters(40, "abcdefgh") for _ in range(12))  # 491 bytes, 12 words
+    script = letters(150, "日本語文字列表現")  # 450 bytes, one word
+    fifty = " ".join(letters(5, "abcdefgh") for _ in range(50))  # 299 bytes
+    passages = [short, long, script, fifty]
+    rows = [(2 * i + k, f"{letters(9, 'xyz')} {x} {letters(9, 'xyz')}", 0) for i, x in enumerate(passages) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in pipeline.without_repeated_passages(spark, docs, "").collect()}
+    assert all(len(got[i]) < 25 for i in range(6)) and all(fifty in got[i] for i in (6, 7))
+
+
 def test_suffix_rows_and_empty(odd, none):
     out = suffix_dedup.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

@@ -393,7 +393,10 @@ def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, do
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False
 ) -> DataFrame:
-    """A row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's)."""
+    """A row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's).
+
+    With text_hash also the text's hash and the component's root (null for texts without shingles).
+    """
     base = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = written(signed(base.withColumn("row", F.struct("id", F.xxhash64("text").alias("at"))), "row", "text"), "marks")
     rows = marks.select("row.id", "row.at", "n_shingles", "key", "sig")
@@ -411,7 +414,8 @@ def near_duplicates(
     members = classes.select("key", "least").join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
     members = written(members.select("key", "least", F.coalesce("root", "key").alias("root")), "members")
     several = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = written(members.join(written(several, "least"), "root").select("key", "component_id"), "found")
+    extra = ["root"] if text_hash else []
+    found = written(members.join(written(several, "least"), "root").select("key", "component_id", *extra), "found")
     out = rows.select("id", "at", "n_shingles", "key").join(found, "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(
@@ -419,14 +423,32 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
-        *([F.col("at").alias("text_hash")] if text_hash else []),
+        *([F.col("at").alias("text_hash"), "root"] if text_hash else []),
     )
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that stand for their group: all but those that are not kept."""
+    """One row, with all its columns, for each group: of the smallest id, of its texts the one with the smallest hash.
+
+    Where a whole group has no id, that hash alone decides. Texts without shingles are in no group; of their rows with
+    equal id and text one stays, as everywhere.
+    """
     found = near_duplicates(docs, id_col, text_col, text_hash=True)
-    gone = written(found.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_at")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_KEYS
-    same = (F.col("_id") == F.col(id_col)) & F.col("_at").eqNullSafe(F.xxhash64(text_col))
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    found = written(found.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_at"), "root", "kept"), "standing")
+    rows = found.groupBy("root", "_id", "_at", "kept").agg(F.count("*").alias("n"))
+    rows = written(rows, "distinct")
+    first = written(rows.where(F.col("root").isNotNull() & F.col("kept")).groupBy("root").agg(F.min("_at").alias("first")), "first")
+    rows = rows.join(first, "root", "left").withColumn("stays", F.col("kept") & (F.col("first").isNull() | (F.col("first") == F.col("_at"))))
+    rows = written(rows.select("_id", "_at", "n", "stays"), "judged")
+    gone, several = rows.where(~F.col("stays")).select("_id", "_at"), rows.where(F.col("stays") & (F.col("n") > 1)).select("_id", "_at")
+
+    def joined(left, right, how):
+        few = right.count() <= BROADCAST_KEYS
+        same = F.col("_id").eqNullSafe(F.col(id_col)) & F.col("_at").eqNullSafe(F.xxhash64(text_col))
+        return left.join(F.broadcast(right) if few else right, same, how)
+
+    left = joined(docs, gone, "left_anti")
+    if not several.head(1):
+        return left
+    copies = joined(docs, several, "left_semi").withColumn("_at", F.xxhash64(text_col)).dropDuplicates([id_col, "_at"]).drop("_at")
+    return joined(left, several, "left_anti").unionByName(copies)

@@ -272,6 +272,23 @@ def test_minhash_representatives(odd, none):
     assert minhash.representatives(none).count() == 0
 
 
+def test_representatives_are_one_row_a_group(spark):
+    rng = random.Random(31)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    twice, near, without, alone, keyed = (noise(90) for _ in range(5))
+    word = "".join(rng.choice("abcdefgh") for _ in range(900))  # no shingles
+    changed = lambda x: x[:200] + "changed" + x[200:]
+    rows = [(1, twice), (1, twice), (1, twice), (2, near), (2, changed(near)), (3, near), (None, without), (None, without), (None, changed(without))]
+    rows += [(4, alone), (None, keyed), (5, keyed), (6, word), (6, word), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, x, f"s{k}") for k, (i, x) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    out = minhash.representatives(docs).localCheckpoint()
+    assert out.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "4", "5", "6", "7", "8", "None"]
+    left = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(out, words=51).collect()}
+    assert left[1] == twice and left[4] == alone and left[5] == keyed and left[6] == word
+    assert left[2] in (near, changed(near)) and left[None] in (without, changed(without))
+
+
 def test_pruning_bound_is_monotone():
     needs = minhash.least_equal()
     assert [n for n, _ in needs] == [32, 64, 96, 128] and all(a < b for (_, a), (_, b) in zip(needs, needs[1:], strict=False))

@@ -17,21 +17,26 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, ddl, pieces
+from quarry.llm.common import bounded, ddl, pieces, written
 
-#: Labelled rows of each language that may go into its dictionary, and the dictionary's bytes.
+#: Distinct labelled texts of each language that may go into its dictionary, and the dictionary's bytes.
 SAMPLE_ROWS = 1000
 DICTIONARY_BYTES = 256 << 10
-#: Characters of a sample text that may go into a dictionary.
-SAMPLE_CHARS = 2048
-#: Languages that are learned: the most frequent ones.
-MAX_LANGUAGES = 500
+#: Characters of a sample text that may go into a dictionary, in so many slices spread over the whole text.
+SAMPLE_CHARS, SLICES = 2048, 8
+#: Bytes of a slice in a dictionary, at least.
+SLICE_BYTES = 64
+#: Bytes of all dictionaries: every language is learned, beyond 500 languages with smaller dictionaries.
+ALL_BYTES = 500 * DICTIONARY_BYTES
+#: Languages whose rates may be broadcast.
+BROADCAST_ROWS = 100_000
 BLOCK_BYTES = 4096
 LEVEL = 3
 MARGIN = 0.01
@@ -45,27 +50,52 @@ def letters(text: str | None) -> str:
     return line if any(map(str.isalpha, line)) else ""
 
 
+def _spread(text: Column) -> Column:
+    """The text, or where it is longer than SAMPLE_CHARS, slices from its start to its end."""
+    size = SAMPLE_CHARS // SLICES
+    step = (F.length(text) - size) / (SLICES - 1)
+    parts = [F.substring(text, (F.lit(k) * step).cast("int") + 1, F.lit(size)) for k in range(SLICES)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
+def _slices(data: bytes, share: int) -> bytes:
+    """The bytes, or as many as `share` of them in slices from their start to their end."""
+    if len(data) <= share:
+        return data
+    n = max(1, share // SLICE_BYTES)
+    size = share // n
+    starts = [(len(data) - size) * k // (n - 1) for k in range(n)] if n > 1 else [(len(data) - size) // 2]
+    return b"".join(data[a : a + size] for a in starts)
+
+
+def _dictionary(texts: list[bytes], limit: int) -> bytes:
+    """All texts, of those that are too long for an equal share of the limit only slices; what short ones leave goes to the others."""
+    taken, room = {}, limit
+    for done, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
+        taken[k] = _slices(texts[k], max(1, room // (len(texts) - done) - 1))
+        room = max(0, room - len(taken[k]) - 1)
+    return b" ".join(taken[k] for k in range(len(texts)))[:limit]
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Dictionaries from a bounded sample: up to SAMPLE_ROWS rows of each language, picked by a hash of the text."""
+    """Dictionaries from a bounded sample: about SAMPLE_ROWS distinct texts of each language, picked by a hash of the text."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES)
-    found = {r[0]: r[1] for r in counts.collect()}
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    counts = written(counts, "languages")
+    n_languages = counts.count()
+    limit = min(DICTIONARY_BYTES, max(1, ALL_BYTES // max(1, n_languages)))
     span = 1 << 31
-    pick = F.pmod(F.xxhash64(F.col(text_col)), F.lit(span))
-    keep = F.lit(False)
-    for lang, n in found.items():
-        keep = keep | ((F.col(lang_col) == lang) & (pick < int(min(1.0, SAMPLE_ROWS / n) * span)))
-    sample = rows.where(keep).select(lang_col, F.left(text_col, F.lit(SAMPLE_CHARS)).alias("t"), pick.alias("k"))
-    texts: dict[str, list] = {}
-    for lang, text, key in sample.distinct().toLocalIterator():
-        texts.setdefault(lang, []).append((key, letters(text)))
+    rates = counts.select(F.col("lang").alias("_lang"), (F.least(F.lit(1.0), F.lit(float(SAMPLE_ROWS)) / F.col("n")) * span).cast("long").alias("below"))
+    rates = F.broadcast(rates) if n_languages <= BROADCAST_ROWS else rates
+    pick = F.pmod(F.col("h"), F.lit(span))
+    keep = (F.col("lang") == F.col("_lang")) & (pick < F.col("below"))
+    sample = rows.join(rates, keep).select("lang", _spread(F.col("t")).alias("t"), pick.alias("k")).distinct()
     out = {}
-    for lang in sorted(texts):
-        listed = [t for _, t in sorted(texts[lang]) if t]
-        share = max(1, DICTIONARY_BYTES // max(1, len(listed)))
-        data = b" ".join(t.encode()[:share] for t in listed)
-        if data:
-            out[lang] = data[:DICTIONARY_BYTES]
+    for lang, found in groupby(sample.orderBy("lang", "k", "t").toLocalIterator(), key=lambda r: r["lang"]):
+        listed = [t.encode() for t in (letters(r["t"]) for r in found) if t]
+        if listed:
+            out[lang] = _dictionary(listed, limit)
     return out
 
 
@@ -111,7 +141,7 @@ def predict(
     margin: float = MARGIN,
 ) -> DataFrame:
     """A row per document: id, lang_pred, score (0 to 1), margin, rejected (margin narrower than asked for)."""
-    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICTIONARY_BYTES x MAX_LANGUAGES at most
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # ALL_BYTES at most
 
     def run(batches):
         key = hash(tuple(sorted(held.value.items())))

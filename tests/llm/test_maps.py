@@ -111,6 +111,27 @@ def test_language_edges(spark, odd, none, odd_rows):
     assert language_id.train(none) == {}
 
 
+def test_language_training_sample(spark, monkeypatch):
+    # Copies of one text do not take the places of the others.
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 100)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    own = [word() for _ in range(400)]
+    rows = [(w, "aa") for w in own] + [("copied", "aa")] * 40_000 + [("alone", "bb")]
+    found = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert 60 < sum(w in set(own) for w in found["aa"].decode().split()) < 140 and found["bb"] == b"alone"
+    # Texts with a shared head train on what follows too.
+    monkeypatch.setattr(language_id, "DICTIONARY_BYTES", 1 << 14)
+    texts = ["header " * 400 + " ".join(word() for _ in range(400)) + " tailword" * 100 for _ in range(60)]
+    long = language_id.train(spark.createDataFrame([(t, "cc") for t in texts], "text string, lang string"))["cc"]
+    assert b"tailword" in long and (1 << 13) < len(long) <= 1 << 14
+    # Every language is learned, within the bytes of all.
+    monkeypatch.setattr(language_id, "ALL_BYTES", 600 * 40)
+    many = spark.createDataFrame([("abcdefgh " * 9, f"l{k}") for k in range(600)], "text string, lang string")
+    learned = language_id.train(many)
+    assert len(learned) == 600 and all(0 < len(x) <= 40 for x in learned.values())
+
+
 def brute_license(text):
     w = words(text)
     places = []

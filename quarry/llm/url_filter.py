@@ -11,7 +11,7 @@ Defined cases: of entries of one key at one time the one that takes it off count
 key, time or action is ignored; an interval is closed at its start and open at its end. A URL that is null or
 has no host meets no entry and is kept, and so is a capture without a time. Repeated captures get equal
 results; empty tables give an empty result, or one in which all is kept. Hosts are compared in lower
-case without port and user. Further columns of the captures are not looked at.
+case without port and user, paths as they are. Further columns of the captures are not looked at.
 
 Equal pairs of URL and time are evaluated once, so a host with a third of all captures meets
 the list by its distinct pairs, and a list is broadcast only if it has few entries.
@@ -24,14 +24,18 @@ from pyspark.sql import functions as F
 
 #: Intervals of a list that may be broadcast; longer lists are shuffled.
 BROADCAST_ROWS = 100_000
-#: Host labels and path parts that a key may have.
-PARTS = 8
+
+
+def lowered(key: Column) -> Column:
+    """The key with its host in lower case; its path stays."""
+    at = F.instr(key, "/")
+    return F.when(at == 0, F.lower(key)).otherwise(F.concat(F.lower(F.substr(key, F.lit(1), at)), F.substr(key, at + 1)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """key, category, allow, valid_from, valid_to (null: still active) from key, category, allow, listed, at."""
     rows = entries.where(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("listed").isNotNull())
-    rows = rows.groupBy(F.lower("key").alias("key"), "at").agg(
+    rows = rows.groupBy(lowered(F.col("key")).alias("key"), "at").agg(
         F.min_by(F.struct("listed", "category", "allow"), F.struct("listed", "category", "allow")).alias("e")
     )
     following = F.lead("at").over(Window.partitionBy("key").orderBy("at"))
@@ -49,11 +53,22 @@ def path_parts(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
-def match_keys(url: Column) -> Column:
-    """Keys that could list the URL with their rank: host suffixes of two labels or more, each with leading path parts."""
+def depths(listed: DataFrame) -> tuple[int, int]:
+    """The most host labels and the most path parts of any key."""
+    labels = F.size(F.split(F.substring_index("key", "/", 1), r"\."))
+    parts = F.size(F.split("key", "/")) - 1
+    found = listed.agg(F.max(labels), F.max(parts)).first()
+    return found[0] or 0, found[1] or 0
+
+
+def match_keys(url: Column, most_labels: int, most_parts: int) -> Column:
+    """Keys that could list the URL with their rank: host suffixes of two labels or more, each with leading path parts.
+
+    Keys with more labels or parts than any listed key has are left out.
+    """
     labels = F.split(host(url), r"\.")
-    parts = F.slice(path_parts(url), 1, PARTS)
-    first = F.greatest(F.lit(1), F.size(labels) - (PARTS - 1))
+    parts = F.slice(path_parts(url), 1, most_parts)
+    first = F.greatest(F.lit(1), F.least(F.size(labels) - 1, F.size(labels) - (most_labels - 1)))
     suffixes = F.when(
         (F.size(labels) >= 2),
         F.transform(F.sequence(first, F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")),
@@ -81,7 +96,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", at_c
         *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(url_col).alias("url"), F.col(at_col).alias("fetched")
     )
     asked = rows.where(F.col("url").isNotNull() & F.col("fetched").isNotNull()).select("url", "fetched").distinct()
-    asked = asked.select("url", "fetched", F.explode(match_keys(F.col("url"))).alias("k"))
+    asked = asked.select("url", "fetched", F.explode(match_keys(F.col("url"), *depths(listed))).alias("k"))
     asked = asked.select("url", "fetched", "k.key", "k.rank")
     active = asked.join(F.broadcast(listed) if few else listed, "key").where(
         (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))

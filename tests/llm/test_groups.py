@@ -314,3 +314,17 @@ def test_url_filter_as_of(spark):
         assert (r["blocked"], r["entry"]) == asked[r["page_id"]][2:], asked[r["page_id"]]
     assert url_filter.evaluate(captures, table.limit(0), keep=("page_id",)).where("blocked").count() == 0
     assert url_filter.evaluate(captures.limit(0), table).count() == 0
+
+
+def test_url_filter_long_keys_and_cases(spark):
+    at = datetime(2024, 1, 1)
+    deep, wide = "deep.org/" + "/".join("abcdefghijkl"), ".".join("abcdefghij") + ".wide.net"
+    keys = [deep, wide, "Case.COM/Dir/Page", "flat.io"]
+    listed = spark.createDataFrame([(k, "c", None, True, at) for k in keys], "key string, category string, allow boolean, listed boolean, at timestamp")
+    asked = [(f"http://{deep}/m", deep), (f"http://{deep[:-2]}", None), (f"http://x.{wide}/", wide), (f"http://{wide[2:]}/", None), ("http://CASE.com/Dir/Page", "case.com/Dir/Page"),
+             ("http://case.com/dir/page", None), ("http://a.b.c.d.e.f.g.h.i.j.k.l.m.n.flat.io/1/2", "flat.io"), ("http://io", None)]
+    captures = spark.createDataFrame([(i, u, at) for i, (u, _) in enumerate(asked)], "page_id long, url string, fetched timestamp")
+    got = {r["page_id"]: r["entry"] for r in url_filter.evaluate(captures, listed, keep=("page_id",)).collect()}
+    assert [got[i] for i in range(len(asked))] == [entry for _, entry in asked]
+    only_hosts = {r["page_id"]: r["entry"] for r in url_filter.evaluate(captures, listed.where("key = 'flat.io'"), keep=("page_id",)).collect()}
+    assert [only_hosts[i] for i in range(len(asked))] == [None] * 6 + ["flat.io", None]

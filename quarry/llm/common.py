@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.scratch import scratch
+
 #: Bytes of text that an Arrow map looks at in one go; its arrays take some tens of times as much.
 PIECE_BYTES = 1 << 18
 #: Bytes of an Arrow batch.
@@ -33,22 +32,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    return found or f"file://{tempfile.gettempdir()}/checkpoints"
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
     Nothing in it depends on one executor's memory or disk, so a later stage
-    survives the loss of any of them.
+    survives the loss of any of them. The table goes by dropped(), or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -21,6 +21,8 @@ from quarry.llm import (
 from quarry.llm.common import fold, table
 from quarry.llm.sampling import labelled_sample
 
+#: Passages of so many words (over 50) that stand twice go from a document's text, whatever bytes they have.
+PASSAGE_WORDS = 51
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -40,7 +42,8 @@ def op3_license_scan(spark, sf_dir):
 
 
 def op4_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    shown = ("kept_sha256", "n_passage_bytes", "text")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), words=PASSAGE_WORDS, shown=shown)
 
 
 def op5_url_filter(spark, sf_dir):

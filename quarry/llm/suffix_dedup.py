@@ -1,26 +1,30 @@
 """Repeated-passage removal by a depth-limited radix sort of suffixes.
 
-The aim is every string of `length` bytes that starts at two places at least. Suffixes are told apart
-by most-significant-digit passes that go no deeper than `length` bytes, and a pass keeps only
-suffixes whose digits so far are shared; the groups left by the last pass are the repeated windows.
-
-A window of `length` bytes is represented by one suffix in it: the one whose leading
-GRAM = (length + 1) // 2 bytes have the smallest hash in the window, the leftmost of equals. That choice
-depends on the window's bytes alone, so equal windows choose alike, and about one suffix in a hundred is ever
-chosen and sorted. The digits of a chosen suffix:
+The aim is every string of `length` units that starts at two places at least; a unit is a byte or a word. Suffixes are
+told apart by most-significant-digit passes that go no deeper than `length` units, and a pass keeps only suffixes whose
+digits so far are shared; the groups left by the last pass are the repeated windows.
+
+A window is represented by one suffix in it: the one whose leading gram of (length + 1) // 2 units has the smallest
+hash in the window, the leftmost of equals. That choice depends on the window's units alone, so equal windows choose
+alike, and about one suffix in a hundred bytes is ever chosen and sorted. The digits of a chosen suffix:
 1. its leading gram. Suffixes alone with it stand in no repeated window;
-2. all bytes of all windows that can choose it (its context). Where two are equal, all of that is covered;
-3. for contexts that differ, the bytes that a run of ZONE neighbouring windows share, then
+2. all units of all windows that can choose it (its context). Where two are equal, all of that is covered;
+3. for contexts that differ, the units that a zone of neighbouring windows share, then
    those that any of them holds: alone with the first, none of them repeats; equal in the second, all of them do;
 4. for what is left, each window of the zone itself.
-Digits are compared by 64-bit hashes on top of the digits before. Counts are aggregated before they are
-shuffled and joined from written tables, so a digit that a third of all suffixes share
-is split like any other; nothing is gathered but the intervals of one document.
-
-Defined cases: null and empty texts, and texts shorter than `length` bytes, keep all bytes. Each
-row is a document: repeated rows repeat each other's windows. Rows with equal id and text get
-equal results; a null id is an id like any other. An empty table gives an empty one. Texts
-of any length are taken whole, in overlapping slices; further columns are not looked at.
+A digit is a block of units, compared by a 64-bit hash within the group that the digit before it left (two hashes, 128
+bits, in each of the last three passes). So the passes find equal groups; an order of unequal groups, which nothing
+here needs, is not made: this is the method's grouping, on chosen suffixes, and not its whole order.
+
+Rows are numbered first and written; the number, not the id, is what all passes know a row by. Equal
+suffixes of a slice of text (PIECE_BYTES) are one row with a list of places before anything is shuffled, so
+a passage that a third of all rows share costs a row for each slice and not for each document. Nothing is
+gathered but the places of one slice or row.
+
+Defined cases: null and empty texts, and texts shorter than `length` units, keep all bytes. Each
+row is a document: repeated rows repeat each other's windows, whatever their ids. Ids, null or not, are only carried.
+An empty table gives an empty one. Texts of any length are taken whole, in overlapping slices; further columns are not looked at.
+Words are runs without ASCII white space, and what stands between them is not compared.
 """
 
 from __future__ import annotations
@@ -29,14 +33,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, pieces, written
 
 LENGTH = 400
-ZONE = 25
+#: Zones that the windows of a suffix are dealt to.
+ZONES = 8
 #: Positions that fit the low bits of a sort key.
 _BITS = 20
 _SLICE = 1 << _BITS
@@ -95,171 +101,6 @@ def chosen(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.nda
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
-
-
-def _suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """id, h, pos of the chosen suffixes, with digits 1 (gram) and 2 (context)."""
-    gram = (length + 1) // 2
-    digest = xxhash.xxh3_64_intdigest
-
-    def run(batches):
-        for part in pieces(batches, "text"):
-            raw, offsets = buffers(part.column(2))
-            places = chosen(raw, offsets, length)
-            row = np.searchsorted(offsets, places, side="right") - 1
-            data = raw.tobytes()
-            starts = offsets[row]
-            low = np.maximum(starts, places - (length - gram))
-            high = np.minimum(offsets[row + 1], places + length)
-            first = [digest(data[a : a + gram]) for a in places.tolist()]
-            second = [
-                digest(data[a:b], seed=c) for a, b, c in zip(low.tolist(), high.tolist(), (places - low).tolist(), strict=True)
-            ]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(take), part.column(1).take(take), pa.array(places - starts, pa.int64()), _signed(first), _signed(second)],
-                ["id", "h", "pos", "gram", "context"],
-            )
-
-    return docs.select("id", "h", "text").mapInArrow(run, f"id {ddl(docs, 'id')}, h bigint, pos bigint, gram bigint, context bigint")
-
-
-def _zones(rows: DataFrame, length: int) -> DataFrame:
-    """id, h, pos, zone, with digits core (shared by the zone's windows) and hull (all they hold)."""
-    gram = (length + 1) // 2
-    spread = length - gram
-    digest = xxhash.xxh3_64_intdigest
-
-    def run(batches):
-        for part in pieces(batches, "text"):
-            lists = part.column(3).to_pylist()
-            source, pos, zone, core, hull, times = [], [], [], [], [], []
-            for r, (text, found) in enumerate(zip(as_bytes(part.column(2)), lists, strict=True)):
-                n = len(text)
-                for x in found:
-                    p, seed, c = x["pos"], x["gram"] & (2**64 - 1), x["c"]
-                    for j in range(0, spread + 1, ZONE):
-                        last = min(j + ZONE - 1, spread)  # windows start j to last bytes before the suffix
-                        if p - j < 0 or p - last + length > n:
-                            continue
-                        source.append(r)
-                        pos.append(p)
-                        zone.append(j)
-                        core.append(digest(text[p - j : p - last + length], seed=seed ^ j))
-                        low, high = max(0, p - last), min(n, p - j + length)
-                        hull.append(digest(text[low:high], seed=p - low))
-                        times.append(c)
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(take),
-                    part.column(1).take(take),
-                    pa.array(pos, pa.int64()),
-                    pa.array(zone, pa.int32()),
-                    _signed(core),
-                    _signed(hull),
-                    pa.array(times, pa.int64()),
-                ],
-                ["id", "h", "pos", "zone", "core", "hull", "c"],
-            )
-
-    return rows.mapInArrow(
-        run, f"id {ddl(rows, 'id')}, h bigint, pos bigint, zone int, core bigint, hull bigint, c bigint"
-    )
-
-
-def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """id, h, low and the last digit of every window of the given zones."""
-    gram = (length + 1) // 2
-    spread = length - gram
-    digest = xxhash.xxh3_64_intdigest
-
-    def run(batches):
-        for part in pieces(batches, "text", 1 << 18):
-            source, low, window = [], [], []
-            for r, (text, found) in enumerate(zip(as_bytes(part.column(2)), part.column(3).to_pylist(), strict=True)):
-                for x in found:
-                    seed = x["core"] & (2**64 - 1)
-                    for back in range(x["zone"], min(x["zone"] + ZONE - 1, spread) + 1):
-                        start = x["pos"] - back
-                        if start >= 0 and start + length <= len(text):
-                            source.append(r)
-                            low.append(start)
-                            window.append(digest(text[start : start + length], seed=seed ^ back))
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(take), part.column(1).take(take), pa.array(low, pa.int64()), _signed(window)],
-                ["id", "h", "low", "window"],
-            )
-
-    return rows.mapInArrow(run, f"id {ddl(rows, 'id')}, h bigint, low bigint, window bigint")
-
-
-def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """On id, null like any other, and h."""
-    right = right.withColumnsRenamed({"id": "_id", "h": "_h"})
-    return left.join(right, (left["h"] == right["_h"]) & left["id"].eqNullSafe(right["_id"]), how).drop("_id", "_h")
-
-
-def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """id, h, low, high of intervals that together cover all repeated windows; they may overlap and end past the text."""
-    gram = (length + 1) // 2
-    spread = length - gram
-    suffixes = written(_suffixes(docs, length), "suffixes")
-
-    # Digit 1: only grams that occur twice go on. Different contexts mark the gram for further digits.
-    grams = suffixes.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
-    grams = written(grams.where("n > 1").select("gram", "mixed"), "grams")
-    shared = written(suffixes.join(grams, "gram"), "shared")
-    dropped(suffixes)
-
-    # Digit 2: equal contexts are covered; one of each goes on where contexts differ.
-    contexts = shared.groupBy("gram", "context", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "pos")).alias("one"))
-    contexts = written(contexts, "contexts")
-    equal = shared.join(contexts.select("gram", "context", "c"), ["gram", "context"]).where("c > 1")
-    covered = [
-        written(equal.select("id", "h", F.greatest(F.lit(0), F.col("pos") - spread).alias("low"), (F.col("pos") + length).alias("high")), "equal")
-    ]
-    dropped(shared)
-    dropped(grams)
-
-    # Digit 3: zones of the contexts that differ. Their documents' texts are fetched once.
-    left = contexts.where("mixed").select("one.*", "gram", "c")
-    lists = written(left.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "gram", "c")).alias("places")), "lists")
-    texts = _joined(docs, lists.select("id", "h")).select("id", "h", "text")
-    texts = written(texts.dropDuplicates(["id", "h"]), "texts")
-    zones = written(_zones(_joined(texts, lists).select("id", "h", "text", "places"), length), "zones")
-    cores = zones.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
-    cores = written(cores.where("n > 1").select("core", "mixed"), "cores")
-    hulls = zones.join(cores, "core").groupBy("core", "hull", "mixed")
-    hulls = written(hulls.agg(F.count("*").alias("n"), F.max("c").alias("c"), F.min(F.struct("id", "h", "pos", "zone")).alias("one")), "hulls")
-    same = zones.join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"]).where("c = 1")
-    covered.append(
-        written(
-            same.select(
-                "id",
-                "h",
-                F.greatest(F.lit(0), F.col("pos") - F.least(F.col("zone") + (ZONE - 1), F.lit(spread))).alias("low"),
-                (F.col("pos") - F.col("zone") + length).alias("high"),
-            ),
-            "same",
-        )
-    )
-    dropped(zones)
-
-    # Digit 4: the windows of zones whose hulls differ. Of equal hulls one stands for all.
-    rest = hulls.where("mixed").select("one.*", "core")
-    places = written(rest.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "zone", "core")).alias("places")), "places")
-    windows = written(_windows(_joined(texts, places).select("id", "h", "text", "places"), length), "windows")
-    twice = written(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "twice")
-    last = windows.join(twice, "window").select("id", "h", "low", (F.col("low") + length).alias("high"))
-    covered.append(last)
-    out = covered[0].unionByName(covered[1]).unionByName(covered[2])
-    return out
-
-
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without ASCII white space) of all texts, and the first word of each text."""
     black = ~_WHITE[raw]
@@ -297,108 +138,263 @@ def _word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def _word_grams(docs: DataFrame, words: int) -> DataFrame:
-    """id, h, pos (a word's number) of the chosen grams, with digits gram and context and the context's bytes."""
-    gram = (words + 1) // 2
-    digest = xxhash.xxh3_64_intdigest
+
+class _Units:
+    """Texts as units: bytes, or words joined by single spaces. first: the first unit of each text."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, by_words: bool):
+        self.by_words, self.offsets = by_words, offsets
+        if not by_words:
+            self.first, self.keys, self.data = offsets, raw, raw.tobytes()
+            return
+        self.starts, self.ends, self.first = _words(raw, offsets)
+        self.keys = _word_keys(raw, self.starts, self.ends)
+        sizes = self.ends - self.starts
+        self.to = np.cumsum(sizes + 1) - 1
+        self.at = self.to - sizes
+        data = np.full(int(self.to[-1]) + 1 if len(self.to) else 0, 0x20, np.uint8)
+        black = raw[~_WHITE[raw]]
+        data[np.arange(len(black)) + np.repeat(np.arange(len(sizes)), sizes)] = black
+        self.data = data.tobytes()
+
+    def digests(self, low: np.ndarray, high: np.ndarray, seeds: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hashes of the units low to high (not included)."""
+        a, b = (self.at[low], self.to[high - 1]) if self.by_words else (low, high)
+        data, digest = self.data, xxhash.xxh3_64_intdigest
+        if seeds is None:
+            found = [digest(data[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        else:
+            found = [digest(data[x:y], seed=z) for x, y, z in zip(a.tolist(), b.tolist(), seeds.tolist(), strict=True)]
+        return np.array(found, np.uint64)
+
+    def places(self, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end, within their text, of the units low to high (not included)."""
+        a, b = (self.starts[low], self.ends[high - 1]) if self.by_words else (low, high)
+        return a - self.offsets[row], b - self.offsets[row]
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
+
+
+def _seeds(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.uint64)
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs: the row of each struct, and its fields."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    rows = column.flatten()
+    fields = [rows.field(i).to_numpy(zero_copy_only=False) for i in range(rows.type.num_fields)]
+    return np.repeat(np.arange(len(column)), sizes), fields
+
+
+#: A place of a suffix: its row, its unit, and the bytes that are covered if its context stands elsewhere.
+_PLACE = pa.struct([("row", pa.int64()), ("pos", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_PLACES = "array<struct<row: bigint, pos: bigint, low: bigint, high: bigint>>"
+
+
+def _suffixes(rows: DataFrame, length: int, by_words: bool) -> DataFrame:
+    """piece, gram, context (digits 1 and 2), places: the chosen suffixes, those of a slice with equal digits together."""
+    gram = (length + 1) // 2
 
     def run(batches):
         for part in pieces(batches, "text"):
-            raw, offsets = buffers(part.column(2))
-            starts, ends, firsts = _words(raw, offsets)
-            places = chosen(_word_keys(raw, starts, ends), firsts, words)
-            row = np.searchsorted(firsts, places, side="right") - 1
-            data = raw.tobytes()
-            low = np.maximum(firsts[row], places - (words - gram))
-            high = np.minimum(firsts[row + 1], places + words)
-            a, b = starts[low], ends[high - 1]
-            first = [digest(b" ".join(data[x:y].split())) for x, y in zip(starts[places].tolist(), ends[places + gram - 1].tolist(), strict=True)]
-            second = [
-                digest(b" ".join(data[x:y].split()), seed=c)
-                for x, y, c in zip(a.tolist(), b.tolist(), (places - low).tolist(), strict=True)
-            ]
-            take = pa.array(row)
+            units = _Units(*buffers(part.column(1)), by_words)
+            at = chosen(units.keys, units.first, length)
+            if not len(at):
+                continue
+            row = np.searchsorted(units.first, at, side="right") - 1
+            low = np.maximum(units.first[row], at - (length - gram))
+            high = np.minimum(units.first[row + 1], at + length)
+            one, two = units.digests(at, at + gram), units.digests(low, high, at - low)
+            a, b = units.places(row, low, high)
+            order = np.lexsort((two, one))
+            one, two = one[order], two[order]
+            head = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            number = part.column(0).to_numpy()
+            fields = [number[row[order]], (at - units.first[row])[order], a[order], b[order]]
+            listed = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in fields], fields=list(_PLACE))
+            ends = pa.array(np.append(head, len(order)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(take),
-                    part.column(1).take(take),
-                    pa.array(places - firsts[row], pa.int64()),
-                    pa.array(a - offsets[row], pa.int64()),
-                    pa.array(b - offsets[row], pa.int64()),
-                    _signed(first),
-                    _signed(second),
-                ],
-                ["id", "h", "pos", "low", "high", "gram", "context"],
+                [pa.array(np.full(len(head), number[0])), _signed(one[head]), _signed(two[head]), pa.ListArray.from_arrays(ends, listed)],
+                ["piece", "gram", "context", "places"],
             )
 
-    kind = f"id {ddl(docs, 'id')}, h bigint, pos bigint, low bigint, high bigint, gram bigint, context bigint"
-    return docs.select("id", "h", "text").mapInArrow(run, kind)
+    return rows.select("row", "text").mapInArrow(run, f"piece bigint, gram bigint, context bigint, places {_PLACES}")
+
+
+def _spread(units: _Units, at: np.ndarray, row: np.ndarray, near: int, far: np.ndarray, length: int) -> np.ndarray:
+    """Whether a window that starts near to far units before `at` lies within its text."""
+    return (at - near >= units.first[row]) & (at - far + length <= units.first[row + 1])
 
 
-def _word_windows(rows: DataFrame, words: int) -> DataFrame:
-    """id, h, low, high and digit of every window that holds one of the given grams."""
-    gram = (words + 1) // 2
-    digest = xxhash.xxh3_64_intdigest
+def _zones(rows: DataFrame, length: int, by_words: bool) -> DataFrame:
+    """piece, row, pos, zone, c, the bytes low to high of its windows, with digits core (shared by them) and hull (all they hold)."""
+    spread = length - (length + 1) // 2
+    width = spread // ZONES + 1
 
     def run(batches):
         for part in pieces(batches, "text"):
-            source, low, high, window = [], [], [], []
-            for r, (text, found) in enumerate(zip(as_bytes(part.column(2)), part.column(3).to_pylist(), strict=True)):
-                starts, ends, _ = _words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                for x in found:
-                    seed = x["gram"] & (2**64 - 1)
-                    for back in range(words - gram + 1):
-                        at = x["pos"] - back
-                        if at >= 0 and at + words <= len(starts):
-                            a, b = int(starts[at]), int(ends[at + words - 1])
-                            source.append(r)
-                            low.append(a)
-                            high.append(b)
-                            window.append(digest(b" ".join(text[a:b].split()), seed=seed ^ back))
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(take), part.column(1).take(take), pa.array(low, pa.int64()), pa.array(high, pa.int64()), _signed(window)],
-                ["id", "h", "low", "high", "window"],
-            )
+            units = _Units(*buffers(part.column(1)), by_words)
+            row, (piece, pos, gram, times) = _listed(part.column(2))
+            at, number = units.first[row] + pos, part.column(0).to_numpy()
+            for zone in range(0, spread + 1, width):
+                last = min(zone + width - 1, spread)  # windows start zone to last units before the suffix
+                take = np.flatnonzero(_spread(units, at, row, zone, last, length))
+                if not len(take):
+                    continue
+                r, p = row[take], at[take]
+                low = np.maximum(units.first[r], p - last)
+                high = np.minimum(units.first[r + 1], p - zone + length)
+                core = units.digests(p - zone, p - last + length, _seeds(gram[take]) ^ np.uint64(zone))
+                hull = units.digests(low, high, p - low)
+                a, b = units.places(r, low, high)
+                columns = [piece[take], number[r], pos[take], np.full(len(take), zone), times[take], a, b]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x, pa.int64()) for x in columns), _signed(core), _signed(hull)],
+                    ["piece", "row", "pos", "zone", "c", "low", "high", "core", "hull"],
+                )
 
-    return rows.mapInArrow(run, f"id {ddl(rows, 'id')}, h bigint, low bigint, high bigint, window bigint")
+    return rows.mapInArrow(
+        run, "piece bigint, row bigint, pos bigint, zone bigint, c bigint, low bigint, high bigint, core bigint, hull bigint"
+    )
 
 
-def repeated_words(docs: DataFrame, words: int) -> DataFrame:
-    """id, h, low, high of intervals of bytes that together cover all windows of so many words that stand at two places.
+def _windows(rows: DataFrame, length: int, by_words: bool) -> DataFrame:
+    """piece, row, the bytes low to high, core and the last digit of every window of the given zones."""
+    spread = length - (length + 1) // 2
+    width = spread // ZONES + 1
 
-    Words are runs without ASCII white space, and what is between them is not compared. A window chooses a gram of
-    words as one of bytes does; the digits are the gram, its context, and for contexts that differ each window.
-    """
-    grams = written(_word_grams(docs, words), "word-grams")
-    several = grams.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
-    several = written(several.where("n > 1").select("gram", "mixed"), "word-several")
-    shared = written(grams.join(several, "gram"), "word-shared")
+    def run(batches):
+        for part in pieces(batches, "text"):
+            units = _Units(*buffers(part.column(1)), by_words)
+            row, (piece, pos, zone, core) = _listed(part.column(2))
+            at, number = units.first[row] + pos, part.column(0).to_numpy()
+            for step in range(width):
+                back = zone + step
+                take = np.flatnonzero((back <= spread) & _spread(units, at, row, back, back, length))
+                if not len(take):
+                    continue
+                r, low = row[take], (at - back)[take]
+                window = units.digests(low, low + length, _seeds(core[take]) ^ back[take].astype(np.uint64))
+                a, b = units.places(r, low, low + length)
+                columns = [piece[take], number[r], a, b, core[take]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x, pa.int64()) for x in columns), _signed(window)], ["piece", "row", "low", "high", "core", "window"]
+                )
+
+    return rows.mapInArrow(run, "piece bigint, row bigint, low bigint, high bigint, core bigint, window bigint")
+
+
+def _sought(rows: DataFrame, wanted: DataFrame, *fields: str) -> DataFrame:
+    """row, text, places: the texts of wanted rows, with what is wanted of them."""
+    places = wanted.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("places"))
+    return rows.select("row", "text").join(places, "row").select("row", "text", "places")
+
+
+def _marks(found: DataFrame) -> DataFrame:
+    return found.select("piece", F.array(F.struct("row", "low", "high")).alias("marks"))
+
+
+def repeated(rows: DataFrame, length: int = LENGTH, by_words: bool = False) -> DataFrame:
+    """piece, marks (row, low, high) of intervals of bytes that together cover all repeated windows of rows (row, text); they may overlap."""
+    suffixes = written(_suffixes(rows, length, by_words), "suffixes")
+
+    # Digit 1: only grams that occur twice go on. Different contexts mark the gram for further digits.
+    grams = suffixes.groupBy("gram").agg(F.sum(F.size("places")).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
+    grams = written(grams.where("n > 1").select("gram", "mixed"), "grams")
+    shared = written(suffixes.join(grams, "gram"), "shared")
+    dropped(suffixes)
     dropped(grams)
-    contexts = shared.groupBy("gram", "context", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "pos")).alias("one"))
-    contexts = written(contexts, "word-contexts")
-    equal = shared.join(contexts.where("c > 1").select("gram", "context"), ["gram", "context"])
-    equal = written(equal.select("id", "h", "low", "high"), "word-equal")
+
+    # Digit 2: equal contexts are covered; one of each goes on where contexts differ.
+    one = F.struct("piece", F.element_at("places", 1).alias("p"))
+    contexts = shared.groupBy("gram", "context", "mixed").agg(F.sum(F.size("places")).alias("c"), F.min(one).alias("one"))
+    contexts = written(contexts, "contexts")
+    twice = contexts.where("c > 1").select("gram", "context")
+    equal = shared.join(twice, ["gram", "context"], "left_semi")
+    mark = lambda p: F.struct(p["row"].alias("row"), p["low"].alias("low"), p["high"].alias("high"))
+    covered = written(equal.select("piece", F.transform("places", mark).alias("marks")), "equal")
     dropped(shared)
-    places = contexts.where("mixed").select("one.*", "gram").groupBy("id", "h").agg(F.collect_list(F.struct("pos", "gram")).alias("places"))
-    places = written(places, "word-places")
-    windows = written(_word_windows(_joined(docs, places).select("id", "h", "text", "places"), words), "word-windows")
-    # Rows with equal id and text give equal windows: two places are two of id, h and low.
-    at = F.struct("id", "h", "low")
-    twice = windows.groupBy("window").agg(F.min(at).alias("x"), F.max(at).alias("y")).where(~F.col("x").eqNullSafe(F.col("y")))
-    twice = written(twice.select("window"), "word-twice")
-    return equal.unionByName(windows.join(twice, "window").select("id", "h", "low", "high"))
-
-
-def _merged(lows: list[int], highs: list[int], n: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(zip(lows, highs, strict=True)):
-        b = min(b, n)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+
+    # Digit 3: zones of the contexts that differ.
+    left = contexts.where("mixed").select("one.piece", "one.p.row", "one.p.pos", "gram", "c")
+    zones = written(_zones(_sought(rows, left, "piece", "pos", "gram", "c"), length, by_words), "zones")
+    dropped(contexts)
+    cores = zones.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
+    cores = written(cores.where("n > 1").select("core", "mixed"), "cores")
+    kept = written(zones.join(cores, "core"), "zones-shared")
+    dropped(zones)
+    dropped(cores)
+    one = F.struct("piece", "row", "pos", "zone")
+    hulls = written(kept.groupBy("core", "hull", "mixed").agg(F.count("*").alias("n"), F.min(one).alias("one")), "hulls")
+    # What several contexts hold is covered already for contexts that stand twice.
+    same = kept.where("c = 1").join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
+    same = written(_marks(same), "same")
+    dropped(kept)
+
+    # Digit 4: the windows of zones whose hulls differ. Of equal hulls one stands for all.
+    rest = hulls.where("mixed").select("one.*", "core")
+    windows = written(_windows(_sought(rows, rest, "piece", "pos", "zone", "core"), length, by_words), "windows")
+    dropped(hulls)
+    last = windows.groupBy("core", "window").agg(F.count("*").alias("n")).where("n > 1").select("core", "window")
+    last = written(_marks(windows.join(last, ["core", "window"], "left_semi")), "last")
+    dropped(windows)
+    return covered.unionByName(same).unionByName(last)
+
+
+def _spans(marks: DataFrame, name: str) -> DataFrame:
+    """row, and the union of its marks as firsts and ends in turn. All marks of a row have one piece."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                marks = batch.column(0).slice(i, 1).flatten().flatten()
+                row, low, high = (marks.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                order = np.lexsort((low, row))
+                row, low, high = row[order], low[order], high[order]
+                # Rows one after the other on one line, so that a running maximum does not leave its row.
+                rows, number = np.unique(row, return_inverse=True)
+                base = number * (high.max() + 2)
+                reach = np.maximum.accumulate(base + high)
+                head = np.flatnonzero(np.concatenate([[True], (base + low)[1:] > reach[:-1]]))
+                last = np.append(head[1:], len(row)) - 1
+                edges = np.stack([low[head], reach[last] - base[last]], 1).ravel()
+                ends = np.append(np.searchsorted(row[head], rows), len(head)) * 2
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(edges.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), lists], ["row", name])
+
+    gathered = marks.groupBy("piece").agg(F.collect_list("marks").alias("marks")).select("marks")
+    return gathered.mapInArrow(run, f"row bigint, {name} array<bigint>")
+
+
+def _joined(one: list[int], two: list[int]) -> list[int]:
+    """The union of two lists of spans."""
+    out: list[int] = []
+    for a, b in sorted([*zip(one[::2], one[1::2], strict=True), *zip(two[::2], two[1::2], strict=True)]):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out += [a, b]
+    return out
+
+
+def _left(data: bytes, spans: list[int] | None) -> bytes:
+    if not spans:
+        return data
+    edges = [0, *spans, len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+#: What remove_repeats can show of a document, with its type.
+SHOWN = {
+    "kept": "binary",  # what is left of the bytes
+    "kept_sha256": "string",
+    "rest": "binary",  # what is left if passages of repeated words go too
+    "text": "string",  # the same as text; a character cut at the edge of a run goes with it
+    "n_passage_bytes": "bigint",  # bytes that go from rest
+}
 
 
 def remove_repeats(
@@ -406,70 +402,69 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = LENGTH,
-    keep: tuple = (),
-    digest: bool = False,
-    as_text: bool = False,
-    least_words: int = 0,
     words: int = 0,
+    keep: tuple = (),
+    shown: tuple = ("kept",),
 ) -> DataFrame:
-    """A row per document: id, n_bytes, n_removed, n_spans, and kept bytes, their text or their sha256.
+    """A row per document: id, n_bytes, n_removed, n_spans (maximal removed runs) by the rule of bytes, and what is asked of SHOWN.
 
-    With `words`, repeated windows of so many words go too, however few bytes they have.
-    A span is a maximal run of removed bytes; runs of fewer words than least_words stay. The columns of `keep` come along as _k0, _k1 ...
+    With `words`, repeated windows of so many words go from rest and text too, however few bytes they have.
+    The columns of `keep` come along as _k0, _k1 ...
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = bounded(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    found = repeated(base.where(F.octet_length("text") >= length), length)
-    if words:
-        found = found.unionByName(repeated_words(base.where(F.octet_length("text") >= 2 * words - 1), words))
-    # Neighbouring intervals of a document overlap much: their union is taken before the texts come in.
-    spans = written(found.groupBy("id", "h").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
     names = [f"_k{i}" for i in range(len(keep))]
-    full = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), *(F.col(c).alias(x) for c, x in zip(keep, names, strict=True))
-    )
-    rows = _joined(full, spans, "left").select("id", *names, "text", "spans")
-    last = len(names) + 1
+    carried: list[Column] = [F.col(c).alias(n) for c, n in zip((id_col, *keep), ("_id", *names), strict=True)]
+    # Numbers stay the same once they are written.
+    rows = bounded(docs).select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), *carried)
+    rows = written(rows, "rows")
+    spans = written(_spans(repeated(rows.where(F.octet_length("text") >= length), length), "spans"), "spans")
+    full = rows.join(spans, "row", "left")
+    if words:
+        found = repeated(rows.where(F.octet_length("text") >= 2 * words - 1), words, by_words=True)
+        full = full.join(written(_spans(found, "passages"), "passages"), "row", "left")
+    full = full.select("_id", *names, "text", "spans", *(["passages"] if words else []))
+    count = len(names) + 1
+    kinds = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}
 
     def run(batches):
         for part in pieces(batches, "text"):
-            out = [[], [], [], []]
-            for data, found in zip(as_bytes(part.column(last)), part.column(last + 1).to_pylist(), strict=True):
-                runs = _merged([x["low"] for x in found], [x["high"] for x in found], len(data)) if found else []
-                if least_words:
-                    runs = [(a, b) for a, b in runs if len(data[a:b].split()) >= least_words]
-                edges = [0, *(x for pair in runs for x in pair), len(data)]
-                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                shown = hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore") if as_text else left
-                values = (len(data), len(data) - len(left), len(runs), shown)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest or as_text else pa.binary())
+            out: dict[str, list] = {x: [] for x in ("n_bytes", "n_removed", "n_spans", *shown)}
+            found = part.column(count + 1).to_pylist()
+            more = part.column(count + 2).to_pylist() if words else found
+            for data, own, other in zip(as_bytes(part.column(count)), found, more, strict=True):
+                kept = _left(data, own)
+                rest = _left(data, _joined(own or [], other)) if words and other else kept
+                out["n_bytes"].append(len(data))
+                out["n_removed"].append(len(data) - len(kept))
+                out["n_spans"].append(len(own or ()) // 2)
+                for name in shown:
+                    value = {
+                        "kept": lambda: kept,  # noqa: B023
+                        "kept_sha256": lambda: hashlib.sha256(kept).hexdigest(),  # noqa: B023
+                        "rest": lambda: rest,  # noqa: B023
+                        "text": lambda: rest.decode("utf-8", "ignore"),  # noqa: B023
+                        "n_passage_bytes": lambda: len(data) - len(rest),  # noqa: B023
+                    }[name]()
+                    out[name].append(value)
+            types = [pa.int64()] * 3 + [kinds[SHOWN[x]] for x in shown]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in range(last)), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))],
-                [*part.schema.names[:last], "n_bytes", "n_removed", "n_spans", "kept"],
+                [*(part.column(i) for i in range(count)), *(pa.array(c, k) for c, k in zip(out.values(), types, strict=True))],
+                [*part.schema.names[:count], *out],
             )
 
-    kept = "".join(f"`{x}` {ddl(docs, c)}, " for c, x in zip(keep, names, strict=True))
-    result = rows.mapInArrow(
-        run,
-        f"id {ddl(docs, id_col)}, {kept}n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if digest or as_text else 'binary'}",
-    )
-    last_name = "kept_sha256" if digest else "kept"
-    return result.select(
-        F.col("id").alias(id_col), *names, "n_bytes", "n_removed", "n_spans", F.col("kept").alias(last_name)
-    )
+    kind = "".join(f"`{x}` {ddl(docs, c)}, " for c, x in zip((id_col, *keep), ("_id", *names), strict=True))
+    kind += "n_bytes bigint, n_removed bigint, n_spans bigint" + "".join(f", {x} {SHOWN[x]}" for x in shown)
+    return full.mapInArrow(run, kind).withColumnRenamed("_id", id_col)
 
 
-def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least_words: int = 0, words: int = 0
-) -> DataFrame:
-    """The rows, with all their columns, each text without its repeated bytes; a null text stays null.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
+    """The rows, with all their columns, each text without its repeated bytes and passages; a null text stays null.
 
     A character that is cut at the edge of a removed run goes with it, so texts stay valid.
     """
-    found = remove_repeats(docs, id_col, text_col, length, keep=tuple(docs.columns), as_text=True, least_words=least_words, words=words)
-    names = [f"_k{i}" for i in range(len(docs.columns))]
-    old = F.col(names[docs.columns.index(text_col)])
-    text = F.when(old.isNull(), old).when(F.col("n_removed") == 0, old).otherwise(F.col("kept"))
-    return found.select(*((text if c == text_col else F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    others = [c for c in docs.columns if c != text_col]
+    names = {c: f"_k{i}" for i, c in enumerate(others)}
+    empty = "_null" + "_" * max(len(c) for c in docs.columns)  # no other column's name
+    rows = docs.withColumn(empty, F.col(text_col).isNull())
+    found = remove_repeats(rows, empty, text_col, length, words, keep=tuple(others), shown=("text",))
+    text = F.when(~F.col(empty), F.col("text"))
+    return found.select(*((text if c == text_col else F.col(names[c])).alias(c) for c in docs.columns))

@@ -95,7 +95,7 @@ def brute_suffix(texts, length=400):
 def test_suffix_equals_brute_force(odd, odd_rows):
     short = odd.where("n_chars < 50000 or n_chars is null")
     rows = [r for r in odd_rows if r[4] is None or r[4] < 50000]
-    got = sorted((str(r["doc_id"]), *r[1:]) for r in suffix_dedup.remove_repeats(short, digest=True).collect())
+    got = sorted((str(r["doc_id"]), *r[1:]) for r in suffix_dedup.remove_repeats(short, shown=("kept_sha256",)).collect())
     assert got == sorted((str(r[0]), *x) for r, x in zip(rows, brute_suffix([r[1] for r in rows]), strict=True))
 
 
@@ -109,19 +109,10 @@ def test_suffix_boundaries_and_slices(spark, monkeypatch):
              "ab" * 1000, ("ab" * 1000)[1:], "z" * 900, noise(100) + "z" * 401, "q" * 400, "q" * 400]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for length in (400, 57):
-        got = sorted(suffix_dedup.remove_repeats(docs, length=length, digest=True).collect())
+        got = sorted(suffix_dedup.remove_repeats(docs, length=length, shown=("kept_sha256",)).collect())
         assert [tuple(r)[1:] for r in got] == brute_suffix(texts, length)
 
 
-def test_suffix_least_words(spark):
-    rng = random.Random(12)
-    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
-    long, short, wide = noise(60), noise(40), "".join(rng.choice("abcdefgh") for _ in range(300))
-    docs = spark.createDataFrame([(i, f"{noise(9)} {x} {noise(9)} é") for i, x in enumerate([long, long, short, short, wide, wide])], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs, length=150, least_words=51).collect()}
-    assert not any(long[2:-2] in got[i] for i in (0, 1)) and all(short in got[i] for i in (2, 3)) and all(wide in got[i] for i in (4, 5))
-
-
 def brute_words(texts, words, length):
     """Texts without the repeated windows of so many words or so many bytes."""
     data = [(t or "").encode() for t in texts]
@@ -146,7 +137,7 @@ def brute_words(texts, words, length):
 def test_suffix_words_equal_brute_force(spark, odd, odd_rows, monkeypatch):
     short = odd.where("n_chars < 50000 or n_chars is null")
     rows = [r for r in odd_rows if r[4] is None or r[4] < 50000]
-    got = sorted((str(r["doc_id"]), r["kept_sha256"]) for r in suffix_dedup.remove_repeats(short, digest=True, words=51).collect())
+    got = sorted((str(r["doc_id"]), hashlib.sha256(r["rest"]).hexdigest()) for r in suffix_dedup.remove_repeats(short, words=51, shown=("rest",)).collect())
     assert got == sorted((str(r[0]), x) for r, x in zip(rows, brute_words([r[1] for r in rows], 51, 400), strict=True))
     monkeypatch.setattr(suffix_dedup, "_SLICE", 1 << 11)
     monkeypatch.setattr(suffix_dedup, "_BITS", 11)
@@ -156,7 +147,7 @@ def test_suffix_words_equal_brute_force(spark, odd, odd_rows, monkeypatch):
     texts = [f"p {a} q", f"r {a} s", f"x {b[:120]}", f"y  {b[:120]} z", f"{noise(2600)} {b[40:200]} {noise(300)}", b, f"{b} ", "k " * 300,
              "k " * 200 + "é", "w" * 5000 + " " + b, f"\n{b[2:102]}", f"{b[2:102]}\t", f"{b[2:100]} ", "", "m\n" * 60, b.replace(" ", "\n")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
-    got = [r["kept_sha256"] for r in sorted(suffix_dedup.remove_repeats(docs, digest=True, words=51).collect())]
+    got = [hashlib.sha256(r["rest"]).hexdigest() for r in sorted(suffix_dedup.remove_repeats(docs, words=51, shown=("rest",)).collect())]
     assert got == brute_words(texts, 51, 400)
 
 

@@ -1,4 +1,4 @@
-"""A folder for tables that a query writes and reads back."""
+"""The folder for tables that a query writes and reads back."""
 
 from __future__ import annotations
 
@@ -8,7 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is named a local one serves, but only if all of Spark is one process: on a
+    cluster every executor would write to its own disk.
+    """
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return found or f"file://{tempfile.gettempdir()}/checkpoints"
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share, or in a local one where none is named."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{top}/quarry/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/quarry/{tag}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

@@ -9,10 +9,10 @@ probability. Survivors are verified exactly on their texts.
 
 No bucket is expanded into all its pairs. First every class meets the most central member of each
 of its buckets, and the most similar of these is verified; what is verified is
-contracted. Then, in buckets that still hold several components, all pairs of different components
-are compared in blocks of bounded size, each pair in the first bucket that it shares. Members with a survivor
-come back to their block with their sets, and survivors are verified there, against full sets of 64-bit hashes; only
-a spanning forest of the links leaves a block. So a pair of a bucket is left out only if both ends are known to be
+contracted. Then, in buckets that still hold several components, the members outside the largest one (strangers) are
+compared with all members of other components, in blocks of bounded size, each pair in the first bucket that it shares.
+Members with a survivor come back to their block with their sets, and survivors are verified there, against full sets of keyed 64-bit hashes of
+the shingles' bytes; only a spanning forest of the links leaves a block. So a pair of a bucket is left out only if both ends are known to be
 connected, and no row is made for a pair.
 
 Defined cases: documents that are null, empty or without words have no set and link with
@@ -43,10 +43,13 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the chance to lose a pair at the threshold by pruning.
 BATCH, MISS = 32, 1e-6
-#: Members of a bucket that are compared at a time.
-BLOCK = 1024
-#: Keys that may be broadcast to fetch texts; above it the texts are shuffled.
-BROADCAST_KEYS = 200_000
+#: Members of a bucket that are compared at a time, each counted once for every HEAVY shingles that it has.
+BLOCK, HEAVY = 1024, 1024
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 32
+
+#: Key of the hashes of long words and of shingles that links are confirmed on.
+KEY = 0x5851F42D4C957F2D
 
 _FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _LOWER = bytes(_FOLD.tobytes())
@@ -92,7 +95,10 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64, out=total[1:])
     hashes = (total[ends] - total[starts]) * _powers(_INVERSE, n + 1)[starts]
-    return _mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    hashes = _mix(hashes + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=KEY)
+    return hashes, np.searchsorted(starts, offsets)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -125,24 +131,25 @@ def signature(hashes: np.ndarray) -> bytes:
     return (least & np.uint32(0xFFFF)).astype("<u2").tobytes()
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, key of the set (null if it is empty), signature."""
+def signed(docs: DataFrame, id_col: str) -> DataFrame:
+    """id, at (the text's hash), n_shingles, hash of the set (null if it is empty), signature."""
 
     def run(batches):
-        for part in pieces(batches, text_col):
-            sets = shingle_sets(*buffers(part.column(1)))
+        for part in pieces(batches, "text"):
+            sets = shingle_sets(*buffers(part.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["id", "n_shingles", "key", "sig"],
+                [id_col, "at", "n_shingles", "hash", "sig"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {ddl(docs, id_col)}, n_shingles bigint, key binary, sig binary"
+    return docs.select(id_col, F.xxhash64("text").alias("at"), "text").mapInArrow(
+        run, f"`{id_col}` {ddl(docs, id_col)}, at bigint, n_shingles bigint, hash binary, sig binary"
     )
 
 
@@ -185,6 +192,15 @@ def exact_set(text: bytes) -> set:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
+def exact_hashes(text: bytes) -> np.ndarray:
+    """Sorted distinct keyed hashes of the shingles' bytes, the same shingles as in exact_set."""
+    words = _WORD.findall(text.translate(_LOWER))
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    line, starts = b" ".join(words), [0, *ends[:-1]]
+    found = [xxhash.xxh3_64_intdigest(line[a : b - 1], seed=KEY) for a, b in zip(starts, ends[SHINGLE - 1 :] or ends[-1:], strict=False)]
+    return np.unique(np.array(found, np.uint64))
+
+
 def linked(a: set, b: set) -> bool:
     both = len(a & b)
     return bool(a and b) and OF * both >= SIMILAR * (len(a) + len(b) - both)
@@ -192,14 +208,11 @@ def linked(a: set, b: set) -> bool:
 
 def _texts(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """key, text: one text for each of these classes."""
-    wanted = written(keys.join(classes.select("key", "at"), "key"), "wanted")
-    few = wanted.count() <= BROADCAST_KEYS
+    wanted = keys.join(classes.select("key", "at"), "key")
     texts = docs.select(F.xxhash64("text").alias("at"), "text").where(F.col("text").isNotNull())
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "at").select("key", "text")
+    texts = texts.join(wanted, "at").select("key", "text")
     # Equal texts have one hash, and each class has one hash here.
-    texts = written(texts.groupBy("key").agg(F.min("text").alias("text")), "texts")
-    dropped(wanted)
-    return texts
+    return written(texts.dropDuplicates(["key"]), "texts")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -209,7 +222,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
-        kept: dict[bytes, set] = {}
+        kept: dict[int, set] = {}
         for part in pieces(batches, "tb"):
             a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
             good = []
@@ -223,7 +236,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             take = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(take), part.column(1).filter(take)], ["u", "v"])
 
-    found = written(both.mapInArrow(run, "u binary, v binary"), "verified")
+    found = written(both.mapInArrow(run, "u bigint, v bigint"), "verified")
     dropped(texts)
     return found
 
@@ -245,7 +258,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 [part.column(0).take(take), part.column(1).take(take), pa.array(equal, pa.int64())], ["a", "b", "equal"]
             )
 
-    return _with_signatures(pairs, classes).mapInArrow(run, "a binary, b binary, equal bigint")
+    return _with_signatures(pairs, classes).mapInArrow(run, "a bigint, b bigint, equal bigint")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -253,7 +266,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     bands = F.array(
         *(F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS))
     )
-    rows = classes.select("key", F.posexplode(bands).alias("band", "bucket"))
+    rows = classes.select("key", "n_shingles", F.posexplode(bands).alias("band", "bucket"))
     many = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "many")
     out = written(rows.join(many, "bucket"), "buckets")
     dropped(many)
@@ -273,37 +286,39 @@ def _star_pairs(buckets: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """Members of one block that a task compares: keys, roots, signatures, and in the second pass their sets."""
-
-    def __init__(self, rows: list[tuple]):
-        self.band = rows[0][1]
-        self.keys = [r[2] for r in rows]
-        _, self.root = np.unique(np.array([r[3] for r in rows], "S16"), return_inverse=True)
-        self.sigs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, HASHES)
+    """Members that a task compares: strangers of a bucket with rows of the bucket, each as band, key, root, signature and,
+    in the second pass, set. Strangers are all but the members of the bucket's largest component."""
+
+    def __init__(self, strangers: list[tuple], others: list[tuple]):
+        rows = [*strangers, *others]
+        self.n, self.band = len(strangers), rows[0][0]
+        self.keys = [r[1] for r in rows]
+        _, self.root = np.unique(np.array([r[2] for r in rows], np.int64), return_inverse=True)
+        self.sigs = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, HASHES)
         self.bands = self.sigs.view("<u8")
-        self.sets = [np.frombuffer(r[5], np.uint64) for r in rows] if len(rows[0]) > 5 else []
+        self.sets = [np.frombuffer(r[4], np.uint64) for r in rows] if len(rows[0]) > 4 else []
 
     def partners(self, i: int) -> np.ndarray:
-        """Later members of other components that survive the comparison, where this is the first band they share with i."""
-        at = i + 1 + np.flatnonzero(self.root[i + 1 :] != self.root[i])
+        """Rows of other components that survive the comparison, where this is the first band they share with stranger i."""
+        at = self.n + np.flatnonzero(self.root[self.n :] != self.root[i])
         if self.band:
             at = at[~(self.bands[at, : self.band] == self.bands[i, : self.band]).any(1)]
         at = at[self.bands[at, self.band] == self.bands[i, self.band]]
         return at[survivors(np.broadcast_to(self.sigs[i], (len(at), HASHES)), self.sigs[at])[0]]
 
     def surviving(self) -> list[int]:
-        """Members with a partner."""
+        """Rows with a partner."""
         found: set[int] = set()
-        for i in range(len(self.keys)):
+        for i in range(self.n):
             at = self.partners(i)
             if len(at):
                 found.update(at.tolist(), [i])
         return sorted(found)
 
-    def forest(self) -> list[tuple[bytes, bytes]]:
+    def forest(self) -> list[tuple[int, int]]:
         """Links that connect what the exact links of this block connect."""
         out = []
-        for i in range(len(self.keys)):
+        for i in range(self.n):
             at = self.partners(i)
             while len(at := at[self.root[at] != self.root[i]]):
                 # So many at a time that a link found saves the rest of its component.
@@ -321,44 +336,58 @@ class _Block:
 
 
 def _blocks(batches):
-    """Blocks of a partition that is sorted by task, from Arrow batches."""
-    held: list[tuple] = []
+    """Number and block of each task of a partition that is sorted by task, from Arrow batches of task, stranger and members' rows."""
+    number, held = None, ([], [])
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[0] != held[0][0]:
-                if len(held) > 1:
-                    yield held[0][0], _Block(held)
-                held = []
-            held.append(row)
-    if len(held) > 1:
-        yield held[0][0], _Block(held)
+        for task, stranger, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if task != number:
+                if held[0] and held[1]:
+                    yield number, _Block(*held)
+                number, held = task, ([], [])
+            held[0 if stranger else 1].append(tuple(row))
+    if held[0] and held[1]:
+        yield number, _Block(*held)
+
+
+def _tasks(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """task, stranger, band, key, root: in buckets with several components, all but the largest one's members (strangers)
+    against all rows. Both sides are cut into blocks, and a task is a pair of blocks: the rows made grow with
+    the strangers times the blocks of the bucket, and one stranger in a bucket makes one row for each member."""
+    rows = buckets.join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
+    weight = F.col("n_shingles") / F.lit(HEAVY) + 1
+    rows = rows.select("bucket", "band", "key", weight.alias("w"), F.coalesce("root", "key").alias("root"))
+    rows = written(rows, "rooted")
+    sizes = rows.groupBy("bucket", "root").agg(F.sum("w").alias("w"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("root", "w").alias("main"), F.sum("w").alias("all"), F.max("w").alias("most"))
+    block = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(BLOCK))).cast("int")
+    mixed = mixed.where("n > 1").select("bucket", "main", block(F.col("all")).alias("g"), block(F.col("all") - F.col("most")).alias("s"))
+    rows = written(rows.join(written(mixed, "mixed"), "bucket"), "dealt")
+
+    def side(found, own, other, stranger):
+        """Each row goes to one block of its side, and meets all blocks of the other."""
+        mine = F.pmod(F.xxhash64("key"), F.col(own)).cast("int")
+        found = found.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        at = ("i", "j") if stranger else ("j", "i")
+        return found.select(F.xxhash64("bucket", *at).alias("task"), F.lit(stranger).alias("stranger"), "band", "key", "root")
+
+    return side(rows.where("root <> main"), "s", "g", True).unionByName(side(rows, "g", "s", False))
 
 
 def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
     """Links u, v that connect components which share a bucket and hold a pair that is similar enough."""
-    rows = buckets.join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
-    rows = written(rows.select("bucket", "band", "key", F.coalesce("root", "key").alias("root")), "rooted")
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
-    mixed = written(mixed.where("x <> y").select("bucket", "n"), "mixed")
-    rows = rows.join(mixed, "bucket")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("g", blocks).withColumn("i", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    task = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("task")
-    rows = rows.join(classes.select("key", "sig"), "key").select(task, "band", "key", "root", "sig")
+    rows = written(_tasks(buckets, roots).join(classes.select("key", "sig"), "key"), "tasks")
+    columns = ["task", "stranger", "band", "key", "root", "sig"]
 
     def first_pass(batches):
         out: list[tuple] = []
 
         def flushed():
-            done = pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["task", "key"]
-            )
+            done = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["task", "key"])
             out.clear()
             return done
 
         for number, block in _blocks(batches):
-            out += [(number, block.keys[i]) for i in block.surviving()]
+            out += [(number, key) for key in {block.keys[i] for i in block.surviving()}]
             if len(out) >= 4096:
                 yield flushed()
         if out:
@@ -368,62 +397,60 @@ def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, do
         for _, block in _blocks(batches):
             found = block.forest()
             if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["u", "v"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    rows = written(rows, "tasks")
-    dealt = rows.repartition("task").sortWithinPartitions("task", "key")
-    alive = written(dealt.mapInArrow(first_pass, "task bigint, key binary"), "alive")
+    dealt = rows.select(columns).repartition("task").sortWithinPartitions("task")
+    alive = written(dealt.mapInArrow(first_pass, "task bigint, key bigint"), "alive")
     texts = _texts(alive.select("key").distinct(), docs, classes)
 
     def sets(batches):
         for part in pieces(batches, "text"):
-            found = shingle_sets(*buffers(part.column(1)))
+            found = [exact_hashes(x) for x in as_bytes(part.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "members"]
             )
 
-    members = written(texts.mapInArrow(sets, "key binary, members binary"), "members")
+    members = written(texts.mapInArrow(sets, "key bigint, members binary"), "members")
     dropped(texts)
-    full = rows.join(alive, ["task", "key"]).join(members, "key").select("task", "band", "key", "root", "sig", "members")
-    return full.repartition("task").sortWithinPartitions("task", "key").mapInArrow(second_pass, "u binary, v binary")
-
+    full = rows.join(alive, ["task", "key"], "left_semi").join(members, "key").select(*columns, "members")
+    found = written(full.repartition("task").sortWithinPartitions("task").mapInArrow(second_pass, "u bigint, v bigint"), "more")
+    for gone in (rows, alive, members):
+        dropped(gone)
+    return found
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False
-) -> DataFrame:
-    """A row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's).
 
-    With text_hash also the text's hash and the component's root (null for texts without shingles).
-    """
-    base = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = written(signed(base.withColumn("row", F.struct("id", F.xxhash64("text").alias("at"))), "row", "text"), "marks")
-    rows = marks.select("row.id", "row.at", "n_shingles", "key", "sig")
-    classes = rows.where(F.col("key").isNotNull()).groupBy("key")
-    classes = written(classes.agg(F.min("id").alias("least"), F.min("at").alias("at"), F.min("sig").alias("sig")), "classes")
+def _grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """hash, root: the component of every set, from marks (at, n_shingles, hash, sig) of docs (text)."""
+    classes = rows.where(F.col("hash").isNotNull()).groupBy("hash")
+    classes = classes.agg(F.min("at").alias("at"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    # A short number in place of the hash; it stays the same once it is written.
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     buckets = _buckets(classes)
-
     star = _star_pairs(buckets)
     best = _likely(star, classes).groupBy("a").agg(F.max(F.struct("equal", "b")).alias("best"))
     best = written(best.select("a", F.col("best.b").alias("b")), "best")
-    links = _verified(best, base, classes)
-    more = written(_residual_links(buckets, classes, components(links), base), "more")
+    dropped(star)
+    links = _verified(best, docs, classes)
+    more = _residual_links(buckets, classes, components(links), docs)
+    dropped(buckets)
     roots = components(links.unionByName(more))
+    members = classes.select("hash", "key").join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
+    return written(members.select("hash", F.coalesce("root", "key").alias("root")), "members")
 
-    members = classes.select("key", "least").join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
-    members = written(members.select("key", "least", F.coalesce("root", "key").alias("root")), "members")
-    several = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    extra = ["root"] if text_hash else []
-    found = written(members.join(written(several, "least"), "root").select("key", "component_id", *extra), "found")
-    out = rows.select("id", "at", "n_shingles", "key").join(found, "key", "left")
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's)."""
+    base = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = written(signed(base, "id"), "marks")
+    members = _grouped(rows, base)
+    rows = written(rows.select("id", "n_shingles", "hash").join(members, "hash", "left").drop("hash"), "standing")
+    least = written(rows.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "least")
     component = F.coalesce("component_id", "id")
-    return out.select(
+    return rows.join(least, "root", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
-        *([F.col("at").alias("text_hash"), "root"] if text_hash else []),
     )
 
 
@@ -433,22 +460,17 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Where a whole group has no id, that hash alone decides. Texts without shingles are in no group; of their rows with
     equal id and text one stays, as everywhere.
     """
-    found = near_duplicates(docs, id_col, text_col, text_hash=True)
-    found = written(found.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_at"), "root", "kept"), "standing")
-    rows = found.groupBy("root", "_id", "_at", "kept").agg(F.count("*").alias("n"))
-    rows = written(rows, "distinct")
-    first = written(rows.where(F.col("root").isNotNull() & F.col("kept")).groupBy("root").agg(F.min("_at").alias("first")), "first")
-    rows = rows.join(first, "root", "left").withColumn("stays", F.col("kept") & (F.col("first").isNull() | (F.col("first") == F.col("_at"))))
-    rows = written(rows.select("_id", "_at", "n", "stays"), "judged")
-    gone, several = rows.where(~F.col("stays")).select("_id", "_at"), rows.where(F.col("stays") & (F.col("n") > 1)).select("_id", "_at")
-
-    def joined(left, right, how):
-        few = right.count() <= BROADCAST_KEYS
-        same = F.col("_id").eqNullSafe(F.col(id_col)) & F.col("_at").eqNullSafe(F.xxhash64(text_col))
-        return left.join(F.broadcast(right) if few else right, same, how)
-
-    left = joined(docs, gone, "left_anti")
-    if not several.head(1):
-        return left
-    copies = joined(docs, several, "left_semi").withColumn("_at", F.xxhash64(text_col)).dropDuplicates([id_col, "_at"]).drop("_at")
-    return joined(left, several, "left_anti").unionByName(copies)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    kept = docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    kept = written(kept, "rows")  # numbers stay the same once they are written
+    own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    base = bounded(kept).select(F.struct("row", F.col(own).alias("id")).alias("id"), F.col(text).alias("text"))
+    rows = written(signed(base, "id"), "marks")
+    members = _grouped(rows, base)
+    rows = rows.select("id.row", "id.id", "at", "hash").join(members, "hash", "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at", "row"))["row"].alias("row")
+    grouped = rows.where("root is not null").groupBy("root").agg(first).select("row")
+    alone = rows.where("root is null").groupBy("id", "at").agg(F.min("row").alias("row")).select("row")
+    chosen = written(grouped.unionByName(alone), "chosen")
+    left = kept.join(chosen, "row", "left_semi")
+    return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

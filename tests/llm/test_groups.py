@@ -238,23 +238,48 @@ def test_blocks_find_what_links():
         import pyarrow as pa
 
         sets += minhash.shingle_sets(*minhash.buffers(pa.array([" ".join(w)])))
-    keys = [i.to_bytes(16, "big") for i in range(40)]
     sigs = [minhash.signature(s) for s in sets]
     links = []
     for band in range(minhash.BANDS):
         groups = defaultdict(list)
         for i in range(40):
-            groups[sigs[i][8 * band : 8 * band + 8]].append((0, band, keys[i], keys[i], sigs[i], sets[i].tobytes()))
+            groups[sigs[i][8 * band : 8 * band + 8]].append((band, i, i, sigs[i], sets[i].tobytes()))
         for rows in groups.values():
             if len(rows) > 1:
-                links += [(keys.index(a), keys.index(b)) for a, b in minhash._Block(rows).forest()]
-                alive = {rows[k][2] for k in minhash._Block([r[:5] for r in rows]).surviving()}
-                assert {x for pair in minhash._Block(rows).forest() for x in pair} <= alive
+                links += minhash._Block(rows[1:], rows).forest()
+                short = [r[:4] for r in rows]
+                block = minhash._Block(short[1:], short)
+                alive = {block.keys[k] for k in block.surviving()}
+                assert {x for pair in minhash._Block(rows[1:], rows).forest() for x in pair} <= alive
     similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
     want = [(a, b) for a in range(40) for b in range(a) if similar(sets[a], sets[b])]
     assert union(40, links) == union(40, want) and len(set(union(40, want))) > 1
 
 
+def test_minhash_tasks_grow_with_strangers(spark):
+    """A bucket of one large component and one stranger: a row or two for each member, however many blocks."""
+    n = 5 * minhash.BLOCK
+    buckets = spark.range(n + 1).selectExpr("id as key", "7L as bucket", "3 as band", "10L as n_shingles")
+    roots = spark.range(1, n).selectExpr("id as vertex", "0L as root")
+    made = minhash._tasks(buckets, roots).groupBy("stranger").count().collect()
+    rows = {r["stranger"]: r["count"] for r in made}
+    assert rows[False] == n + 1 and rows[True] <= n // minhash.BLOCK + 1
+
+
+def test_hashes_of_crafted_words_differ():
+    """Thue-Morse strings have one polynomial hash modulo 2^64 at any base."""
+    one, two = b"a", b"b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    import pyarrow as pa
+
+    a, b = minhash.shingle_sets(*minhash.buffers(pa.array([one.decode(), two.decode()])))
+    assert a[0] != b[0] and minhash.exact_hashes(one)[0] != minhash.exact_hashes(two)[0]
+    text = "One two  THREE four\nfive six seven"
+    assert len(minhash.exact_hashes(text.encode())) == len(minhash.exact_set(text.encode())) == 3
+    assert len(minhash.exact_hashes(b"a b")) == 1 and len(minhash.exact_hashes(b" \n")) == 0
+
+
 def test_minhash_representatives(odd, none):
     out = minhash.representatives(odd)
     assert out.columns == odd.columns
@@ -272,7 +297,7 @@ def test_representatives_are_one_row_a_group(spark):
     rows = [(1, twice), (1, twice), (1, twice), (2, near), (2, changed(near)), (3, near), (None, without), (None, without), (None, changed(without))]
     rows += [(4, alone), (None, keyed), (5, keyed), (6, word), (6, word), (7, ""), (8, None)]
     docs = spark.createDataFrame([(i, x, f"s{k}") for k, (i, x) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
-    out = minhash.representatives(docs).localCheckpoint()
+    out = minhash.representatives(docs).cache()
     assert out.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "4", "5", "6", "7", "8", "None"]
     left = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(out, words=51).collect()}

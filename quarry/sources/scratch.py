@@ -22,8 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, which is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/quarry/{tag}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    """A new path in the application's part of the shared folder, which is removed when the driver ends."""
+    top = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(top)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(at):
+        files.deleteOnExit(at)
+    return f"{top}/{tag}-{uuid.uuid4().hex}"

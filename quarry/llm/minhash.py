@@ -206,18 +206,16 @@ def linked(a: set, b: set) -> bool:
     return bool(a and b) and OF * both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def _texts(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, text: one text for each of these classes."""
-    wanted = keys.join(classes.select("key", "at"), "key")
+def _texts(buckets: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, text: one text for each class that shares a bucket."""
+    wanted = buckets.select("key").distinct().join(classes.select("key", "at"), "key")
     texts = docs.select(F.xxhash64("text").alias("at"), "text").where(F.col("text").isNotNull())
-    texts = texts.join(wanted, "at").select("key", "text")
     # Equal texts have one hash, and each class has one hash here.
-    return written(texts.dropDuplicates(["key"]), "texts")
+    return written(texts.join(wanted, "at").select("key", "text").dropDuplicates(["key"]), "texts")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs a, b of class keys, those whose sets are similar enough, as links u, v."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes)
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -236,9 +234,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             take = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(take), part.column(1).filter(take)], ["u", "v"])
 
-    found = written(both.mapInArrow(run, "u bigint, v bigint"), "verified")
-    dropped(texts)
-    return found
+    return written(both.mapInArrow(run, "u bigint, v bigint"), "verified")
 
 
 def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -361,7 +357,10 @@ def _tasks(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("root", "w").alias("main"), F.sum("w").alias("all"), F.max("w").alias("most"))
     block = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(BLOCK))).cast("int")
     mixed = mixed.where("n > 1").select("bucket", "main", block(F.col("all")).alias("g"), block(F.col("all") - F.col("most")).alias("s"))
-    rows = written(rows.join(written(mixed, "mixed"), "bucket"), "dealt")
+    mixed = written(mixed, "mixed")
+    rooted, rows = rows, written(rows.join(mixed, "bucket"), "dealt")
+    dropped(rooted)
+    dropped(mixed)
 
     def side(found, own, other, stranger):
         """Each row goes to one block of its side, and meets all blocks of the other."""
@@ -373,7 +372,7 @@ def _tasks(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return side(rows.where("root <> main"), "s", "g", True).unionByName(side(rows, "g", "s", False))
 
 
-def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """Links u, v that connect components which share a bucket and hold a pair that is similar enough."""
     rows = written(_tasks(buckets, roots).join(classes.select("key", "sig"), "key"), "tasks")
     columns = ["task", "stranger", "band", "key", "root", "sig"]
@@ -401,7 +400,7 @@ def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, do
 
     dealt = rows.select(columns).repartition("task").sortWithinPartitions("task")
     alive = written(dealt.mapInArrow(first_pass, "task bigint, key bigint"), "alive")
-    texts = _texts(alive.select("key").distinct(), docs, classes)
+    texts = texts.join(alive.select("key").distinct(), "key", "left_semi")
 
     def sets(batches):
         for part in pieces(batches, "text"):
@@ -411,7 +410,6 @@ def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, do
             )
 
     members = written(texts.mapInArrow(sets, "key bigint, members binary"), "members")
-    dropped(texts)
     full = rows.join(alive, ["task", "key"], "left_semi").join(members, "key").select(*columns, "members")
     found = written(full.repartition("task").sortWithinPartitions("task").mapInArrow(second_pass, "u bigint, v bigint"), "more")
     for gone in (rows, alive, members):
@@ -430,12 +428,17 @@ def _grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
     best = _likely(star, classes).groupBy("a").agg(F.max(F.struct("equal", "b")).alias("best"))
     best = written(best.select("a", F.col("best.b").alias("b")), "best")
     dropped(star)
-    links = _verified(best, docs, classes)
-    more = _residual_links(buckets, classes, components(links), docs)
-    dropped(buckets)
+    texts = _texts(buckets, docs, classes)
+    links = _verified(best, texts)
+    more = _residual_links(buckets, classes, components(links), texts)
+    for gone in (best, buckets, texts):
+        dropped(gone)
     roots = components(links.unionByName(more))
     members = classes.select("hash", "key").join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
-    return written(members.select("hash", F.coalesce("root", "key").alias("root")), "members")
+    members = written(members.select("hash", F.coalesce("root", "key").alias("root")), "members")
+    for gone in (classes, links, more, roots):
+        dropped(gone)
+    return members
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,7 +446,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = written(signed(base, "id"), "marks")
     members = _grouped(rows, base)
-    rows = written(rows.select("id", "n_shingles", "hash").join(members, "hash", "left").drop("hash"), "standing")
+    marks, rows = rows, written(rows.select("id", "n_shingles", "hash").join(members, "hash", "left").drop("hash"), "standing")
+    dropped(marks)
+    dropped(members)
     least = written(rows.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "least")
     component = F.coalesce("component_id", "id")
     return rows.join(least, "root", "left").select(
@@ -465,12 +470,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = written(kept, "rows")  # numbers stay the same once they are written
     own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     base = bounded(kept).select(F.struct("row", F.col(own).alias("id")).alias("id"), F.col(text).alias("text"))
-    rows = written(signed(base, "id"), "marks")
-    members = _grouped(rows, base)
-    rows = rows.select("id.row", "id.id", "at", "hash").join(members, "hash", "left")
+    marks = written(signed(base, "id"), "marks")
+    members = _grouped(marks, base)
+    rows = marks.select("id.row", "id.id", "at", "hash").join(members, "hash", "left")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at", "row"))["row"].alias("row")
     grouped = rows.where("root is not null").groupBy("root").agg(first).select("row")
     alone = rows.where("root is null").groupBy("id", "at").agg(F.min("row").alias("row")).select("row")
     chosen = written(grouped.unionByName(alone), "chosen")
+    dropped(marks)
+    dropped(members)
     left = kept.join(chosen, "row", "left_semi")
     return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -30,6 +30,7 @@ Words are runs without ASCII white space, and what stands between them is not co
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -194,97 +195,119 @@ _PLACE = pa.struct([("row", pa.int64()), ("pos", pa.int64()), ("low", pa.int64()
 _PLACES = "array<struct<row: bigint, pos: bigint, low: bigint, high: bigint>>"
 
 
-def _suffixes(rows: DataFrame, length: int, by_words: bool) -> DataFrame:
-    """piece, gram, context (digits 1 and 2), places: the chosen suffixes, those of a slice with equal digits together."""
-    gram = (length + 1) // 2
+class Rule(NamedTuple):
+    """Strings of so many units, which are bytes or words."""
 
-    def run(batches):
-        for part in pieces(batches, "text"):
-            units = _Units(*buffers(part.column(1)), by_words)
-            at = chosen(units.keys, units.first, length)
-            if not len(at):
-                continue
-            row = np.searchsorted(units.first, at, side="right") - 1
-            low = np.maximum(units.first[row], at - (length - gram))
-            high = np.minimum(units.first[row + 1], at + length)
-            one, two = units.digests(at, at + gram), units.digests(low, high, at - low)
-            a, b = units.places(row, low, high)
-            order = np.lexsort((two, one))
-            one, two = one[order], two[order]
-            head = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-            number = part.column(0).to_numpy()
-            fields = [number[row[order]], (at - units.first[row])[order], a[order], b[order]]
-            listed = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in fields], fields=list(_PLACE))
-            ends = pa.array(np.append(head, len(order)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(head), number[0])), _signed(one[head]), _signed(two[head]), pa.ListArray.from_arrays(ends, listed)],
-                ["piece", "gram", "context", "places"],
-            )
+    length: int
+    by_words: bool = False
 
-    return rows.select("row", "text").mapInArrow(run, f"piece bigint, gram bigint, context bigint, places {_PLACES}")
+    @property
+    def gram(self) -> int:
+        return (self.length + 1) // 2
 
+    @property
+    def spread(self) -> int:
+        """The furthest that a window starts before its suffix."""
+        return self.length - self.gram
 
-def _spread(units: _Units, at: np.ndarray, row: np.ndarray, near: int, far: np.ndarray, length: int) -> np.ndarray:
-    """Whether a window that starts near to far units before `at` lies within its text."""
-    return (at - near >= units.first[row]) & (at - far + length <= units.first[row + 1])
+    @property
+    def width(self) -> int:
+        """Windows in a zone."""
+        return self.spread // ZONES + 1
 
 
-def _zones(rows: DataFrame, length: int, by_words: bool) -> DataFrame:
-    """piece, row, pos, zone, c, the bytes low to high of its windows, with digits core (shared by them) and hull (all they hold)."""
-    spread = length - (length + 1) // 2
-    width = spread // ZONES + 1
+def _suffixes(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """piece, rule, gram, context (digits 1 and 2), places: the chosen suffixes, those of a slice with equal digits together."""
 
     def run(batches):
         for part in pieces(batches, "text"):
-            units = _Units(*buffers(part.column(1)), by_words)
-            row, (piece, pos, gram, times) = _listed(part.column(2))
-            at, number = units.first[row] + pos, part.column(0).to_numpy()
-            for zone in range(0, spread + 1, width):
-                last = min(zone + width - 1, spread)  # windows start zone to last units before the suffix
-                take = np.flatnonzero(_spread(units, at, row, zone, last, length))
-                if not len(take):
+            number = part.column(0).to_numpy()
+            raw, offsets = buffers(part.column(1))
+            for r, rule in enumerate(rules):
+                units = _Units(raw, offsets, rule.by_words)
+                at = chosen(units.keys, units.first, rule.length)
+                if not len(at):
                     continue
-                r, p = row[take], at[take]
-                low = np.maximum(units.first[r], p - last)
-                high = np.minimum(units.first[r + 1], p - zone + length)
-                core = units.digests(p - zone, p - last + length, _seeds(gram[take]) ^ np.uint64(zone))
-                hull = units.digests(low, high, p - low)
-                a, b = units.places(r, low, high)
-                columns = [piece[take], number[r], pos[take], np.full(len(take), zone), times[take], a, b]
+                row = np.searchsorted(units.first, at, side="right") - 1
+                low = np.maximum(units.first[row], at - rule.spread)
+                high = np.minimum(units.first[row + 1], at + rule.length)
+                one, two = units.digests(at, at + rule.gram), units.digests(low, high, at - low)
+                a, b = units.places(row, low, high)
+                order = np.lexsort((two, one))
+                one, two = one[order], two[order]
+                head = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+                fields = [number[row[order]], (at - units.first[row])[order], a[order], b[order]]
+                listed = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in fields], fields=list(_PLACE))
+                places = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), listed)
+                same = [pa.array(np.full(len(head), number[0])), pa.array(np.full(len(head), r, np.int32))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int64()) for x in columns), _signed(core), _signed(hull)],
-                    ["piece", "row", "pos", "zone", "c", "low", "high", "core", "hull"],
+                    [*same, _signed(one[head]), _signed(two[head]), places], ["piece", "rule", "gram", "context", "places"]
                 )
 
-    return rows.mapInArrow(
-        run, "piece bigint, row bigint, pos bigint, zone bigint, c bigint, low bigint, high bigint, core bigint, hull bigint"
-    )
+    return rows.select("row", "text").mapInArrow(run, f"piece bigint, rule int, gram bigint, context bigint, places {_PLACES}")
+
+
+def _within(units: _Units, at: np.ndarray, row: np.ndarray, near, far, length: int) -> np.ndarray:
+    """Whether the windows that start near to far units before `at` may lie within its text."""
+    return (at - near >= units.first[row]) & (at - far + length <= units.first[row + 1])
+
+
+def _units_of(part, rules: list[Rule]):
+    """For each rule with places: its number and itself, units, and of each place its text, unit and fields but rule and pos."""
+    raw, offsets = buffers(part.column(1))
+    row, (rule, pos, *fields) = _listed(part.column(2))
+    for r in np.unique(rule).tolist():
+        own = np.flatnonzero(rule == r)
+        units = _Units(raw, offsets, rules[r].by_words)
+        yield r, rules[r], units, row[own], units.first[row[own]] + pos[own], [pos[own], *(f[own] for f in fields)]
 
 
-def _windows(rows: DataFrame, length: int, by_words: bool) -> DataFrame:
-    """piece, row, the bytes low to high, core and the last digit of every window of the given zones."""
-    spread = length - (length + 1) // 2
-    width = spread // ZONES + 1
+def _zones(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """piece, rule, row, pos, zone, c, the bytes low to high of its windows, with digits core (shared by them) and hull (all they hold)."""
+    names = ["piece", "rule", "row", "pos", "zone", "c", "low", "high", "core", "hull"]
 
     def run(batches):
         for part in pieces(batches, "text"):
-            units = _Units(*buffers(part.column(1)), by_words)
-            row, (piece, pos, zone, core) = _listed(part.column(2))
-            at, number = units.first[row] + pos, part.column(0).to_numpy()
-            for step in range(width):
-                back = zone + step
-                take = np.flatnonzero((back <= spread) & _spread(units, at, row, back, back, length))
-                if not len(take):
-                    continue
-                r, low = row[take], (at - back)[take]
-                window = units.digests(low, low + length, _seeds(core[take]) ^ back[take].astype(np.uint64))
-                a, b = units.places(r, low, low + length)
-                columns = [piece[take], number[r], a, b, core[take]]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int64()) for x in columns), _signed(window)], ["piece", "row", "low", "high", "core", "window"]
-                )
+            number = part.column(0).to_numpy()
+            for r, rule, units, row, at, (pos, piece, gram, times) in _units_of(part, rules):
+                for zone in range(0, rule.spread + 1, rule.width):
+                    last = min(zone + rule.width - 1, rule.spread)  # windows start zone to last units before the suffix
+                    take = np.flatnonzero(_within(units, at, row, zone, last, rule.length))
+                    if not len(take):
+                        continue
+                    own, p = row[take], at[take]
+                    low = np.maximum(units.first[own], p - last)
+                    high = np.minimum(units.first[own + 1], p - zone + rule.length)
+                    core = units.digests(p - zone, p - last + rule.length, _seeds(gram[take]) ^ np.uint64(zone))
+                    hull = units.digests(low, high, p - low)
+                    full = lambda x: np.full(len(take), x)  # noqa: B023, E731
+                    columns = [piece[take], full(r), number[own], pos[take], full(zone), times[take], *units.places(own, low, high)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(x, pa.int64()) for x in columns), _signed(core), _signed(hull)], names
+                    )
+
+    return rows.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+
+def _windows(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """piece, rule, row, the bytes low to high, core and the last digit of every window of the given zones."""
+    names = ["piece", "rule", "row", "low", "high", "core", "window"]
+
+    def run(batches):
+        for part in pieces(batches, "text"):
+            number = part.column(0).to_numpy()
+            for r, rule, units, row, at, (_, piece, zone, core) in _units_of(part, rules):
+                for step in range(rule.width):
+                    back = zone + step
+                    take = np.flatnonzero((back <= rule.spread) & _within(units, at, row, back, back, rule.length))
+                    if not len(take):
+                        continue
+                    own, low = row[take], (at - back)[take]
+                    window = units.digests(low, low + rule.length, _seeds(core[take]) ^ back[take].astype(np.uint64))
+                    columns = [piece[take], np.full(len(take), r), number[own], *units.places(own, low, low + rule.length), core[take]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), _signed(window)], names)
 
-    return rows.mapInArrow(run, "piece bigint, row bigint, low bigint, high bigint, core bigint, window bigint")
+    return rows.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
 
 def _sought(rows: DataFrame, wanted: DataFrame, *fields: str) -> DataFrame:
@@ -294,90 +317,87 @@ def _sought(rows: DataFrame, wanted: DataFrame, *fields: str) -> DataFrame:
 
 
 def _marks(found: DataFrame) -> DataFrame:
-    return found.select("piece", F.array(F.struct("row", "low", "high")).alias("marks"))
+    return found.select("piece", F.array(F.struct("row", F.col("rule").cast("int").alias("rule"), "low", "high")).alias("marks"))
 
 
-def repeated(rows: DataFrame, length: int = LENGTH, by_words: bool = False) -> DataFrame:
-    """piece, marks (row, low, high) of intervals of bytes that together cover all repeated windows of rows (row, text); they may overlap."""
-    suffixes = written(_suffixes(rows, length, by_words), "suffixes")
+def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """piece, marks (row, rule, low, high) of intervals of bytes that together cover all windows of rows (row, text) that a rule
+    finds repeated; they may overlap. All marks of a row have one piece."""
+    suffixes = written(_suffixes(rows, rules), "suffixes")
 
     # Digit 1: only grams that occur twice go on. Different contexts mark the gram for further digits.
-    grams = suffixes.groupBy("gram").agg(F.sum(F.size("places")).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
-    grams = written(grams.where("n > 1").select("gram", "mixed"), "grams")
-    shared = written(suffixes.join(grams, "gram"), "shared")
+    grams = suffixes.groupBy("rule", "gram").agg(F.sum(F.size("places")).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
+    grams = written(grams.where("n > 1").select("rule", "gram", "mixed"), "grams")
+    shared = written(suffixes.join(grams, ["rule", "gram"]), "shared")
     dropped(suffixes)
     dropped(grams)
 
     # Digit 2: equal contexts are covered; one of each goes on where contexts differ.
     one = F.struct("piece", F.element_at("places", 1).alias("p"))
-    contexts = shared.groupBy("gram", "context", "mixed").agg(F.sum(F.size("places")).alias("c"), F.min(one).alias("one"))
-    contexts = written(contexts, "contexts")
-    twice = contexts.where("c > 1").select("gram", "context")
-    equal = shared.join(twice, ["gram", "context"], "left_semi")
-    mark = lambda p: F.struct(p["row"].alias("row"), p["low"].alias("low"), p["high"].alias("high"))
+    contexts = shared.groupBy("rule", "gram", "context", "mixed").agg(F.sum(F.size("places")).alias("c"), F.min(one).alias("one"))
+    contexts = written(contexts.where("c > 1 or mixed"), "contexts")
+    twice = contexts.where("c > 1").select("rule", "gram", "context")
+    equal = shared.join(twice, ["rule", "gram", "context"], "left_semi")
+    mark = lambda p: F.struct(p["row"].alias("row"), F.col("rule"), p["low"].alias("low"), p["high"].alias("high"))
     covered = written(equal.select("piece", F.transform("places", mark).alias("marks")), "equal")
     dropped(shared)
 
     # Digit 3: zones of the contexts that differ.
-    left = contexts.where("mixed").select("one.piece", "one.p.row", "one.p.pos", "gram", "c")
-    zones = written(_zones(_sought(rows, left, "piece", "pos", "gram", "c"), length, by_words), "zones")
+    left = contexts.where("mixed").select("one.piece", "one.p.row", "one.p.pos", "rule", "gram", "c")
+    zones = written(_zones(_sought(rows, left, "rule", "pos", "piece", "gram", "c"), rules), "zones")
     dropped(contexts)
-    cores = zones.groupBy("core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
-    cores = written(cores.where("n > 1").select("core", "mixed"), "cores")
-    kept = written(zones.join(cores, "core"), "zones-shared")
+    cores = zones.groupBy("rule", "core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
+    cores = written(cores.where("n > 1").select("rule", "core", "mixed"), "cores")
+    kept = written(zones.join(cores, ["rule", "core"]), "zones-shared")
     dropped(zones)
     dropped(cores)
     one = F.struct("piece", "row", "pos", "zone")
-    hulls = written(kept.groupBy("core", "hull", "mixed").agg(F.count("*").alias("n"), F.min(one).alias("one")), "hulls")
+    hulls = written(kept.groupBy("rule", "core", "hull", "mixed").agg(F.count("*").alias("n"), F.min(one).alias("one")), "hulls")
     # What several contexts hold is covered already for contexts that stand twice.
-    same = kept.where("c = 1").join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
+    same = kept.where("c = 1").join(hulls.where("n > 1").select("rule", "core", "hull"), ["rule", "core", "hull"], "left_semi")
     same = written(_marks(same), "same")
     dropped(kept)
 
     # Digit 4: the windows of zones whose hulls differ. Of equal hulls one stands for all.
-    rest = hulls.where("mixed").select("one.*", "core")
-    windows = written(_windows(_sought(rows, rest, "piece", "pos", "zone", "core"), length, by_words), "windows")
+    rest = hulls.where("mixed").select("one.*", "rule", "core")
+    windows = written(_windows(_sought(rows, rest, "rule", "pos", "piece", "zone", "core"), rules), "windows")
     dropped(hulls)
-    last = windows.groupBy("core", "window").agg(F.count("*").alias("n")).where("n > 1").select("core", "window")
-    last = written(_marks(windows.join(last, ["core", "window"], "left_semi")), "last")
+    digits = ["rule", "core", "window"]
+    last = windows.groupBy(*digits).agg(F.count("*").alias("n")).where("n > 1").select(*digits)
+    last = written(_marks(windows.join(last, digits, "left_semi")), "last")
     dropped(windows)
     return covered.unionByName(same).unionByName(last)
 
 
-def _spans(marks: DataFrame, name: str) -> DataFrame:
-    """row, and the union of its marks as firsts and ends in turn. All marks of a row have one piece."""
+def _spans(marks: DataFrame) -> DataFrame:
+    """row, spans, passages: the union of a row's marks by the first rule, and of all its marks, as firsts and ends in turn."""
+
+    def union(rows, row, low, high):
+        """A list for each of rows."""
+        if not len(row):
+            return pa.array([[]] * len(rows), pa.list_(pa.int64()))
+        order = np.lexsort((low, row))
+        row, low, high = row[order], low[order], high[order]
+        # Rows one after the other on one line, so that a running maximum does not leave its row.
+        base = np.searchsorted(rows, row) * (high.max() + 2)
+        reach = np.maximum.accumulate(base + high)
+        head = np.flatnonzero(np.concatenate([[True], (base + low)[1:] > reach[:-1]]))
+        last = np.append(head[1:], len(row)) - 1
+        edges = np.stack([low[head], reach[last] - base[last]], 1).ravel()
+        ends = np.append(np.searchsorted(row[head], rows), len(head)) * 2
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(edges.astype(np.int64)))
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 marks = batch.column(0).slice(i, 1).flatten().flatten()
-                row, low, high = (marks.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                order = np.lexsort((low, row))
-                row, low, high = row[order], low[order], high[order]
-                # Rows one after the other on one line, so that a running maximum does not leave its row.
-                rows, number = np.unique(row, return_inverse=True)
-                base = number * (high.max() + 2)
-                reach = np.maximum.accumulate(base + high)
-                head = np.flatnonzero(np.concatenate([[True], (base + low)[1:] > reach[:-1]]))
-                last = np.append(head[1:], len(row)) - 1
-                edges = np.stack([low[head], reach[last] - base[last]], 1).ravel()
-                ends = np.append(np.searchsorted(row[head], rows), len(head)) * 2
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(edges.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), lists], ["row", name])
+                row, rule, low, high = (marks.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                rows, own = np.unique(row), rule == 0
+                lists = [union(rows, row[own], low[own], high[own]), union(rows, row, low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *lists], ["row", "spans", "passages"])
 
     gathered = marks.groupBy("piece").agg(F.collect_list("marks").alias("marks")).select("marks")
-    return gathered.mapInArrow(run, f"row bigint, {name} array<bigint>")
-
-
-def _joined(one: list[int], two: list[int]) -> list[int]:
-    """The union of two lists of spans."""
-    out: list[int] = []
-    for a, b in sorted([*zip(one[::2], one[1::2], strict=True), *zip(two[::2], two[1::2], strict=True)]):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+    return gathered.mapInArrow(run, "row bigint, spans array<bigint>, passages array<bigint>")
 
 
 def _left(data: bytes, spans: list[int] | None) -> bytes:
@@ -416,23 +436,21 @@ def remove_repeats(
     # Numbers stay the same once they are written.
     rows = bounded(docs).select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), *carried)
     rows = written(rows, "rows")
-    spans = written(_spans(repeated(rows.where(F.octet_length("text") >= length), length), "spans"), "spans")
-    full = rows.join(spans, "row", "left")
-    if words:
-        found = repeated(rows.where(F.octet_length("text") >= 2 * words - 1), words, by_words=True)
-        full = full.join(written(_spans(found, "passages"), "passages"), "row", "left")
-    full = full.select("_id", *names, "text", "spans", *(["passages"] if words else []))
+    rules = [Rule(length), Rule(words, by_words=True)] if words else [Rule(length)]
+    least = min(length, 2 * words - 1) if words else length
+    marks = repeated(rows.where(F.octet_length("text") >= least), rules)
+    spans = written(_spans(marks), "spans")
+    full = rows.join(spans, "row", "left").select("_id", *names, "text", "spans", "passages")
     count = len(names) + 1
     kinds = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}
 
     def run(batches):
         for part in pieces(batches, "text"):
             out: dict[str, list] = {x: [] for x in ("n_bytes", "n_removed", "n_spans", *shown)}
-            found = part.column(count + 1).to_pylist()
-            more = part.column(count + 2).to_pylist() if words else found
-            for data, own, other in zip(as_bytes(part.column(count)), found, more, strict=True):
+            lists = (part.column(count + 1).to_pylist(), part.column(count + 2).to_pylist())
+            for data, own, every in zip(as_bytes(part.column(count)), *lists, strict=True):
                 kept = _left(data, own)
-                rest = _left(data, _joined(own or [], other)) if words and other else kept
+                rest = kept if own == every else _left(data, every)
                 out["n_bytes"].append(len(data))
                 out["n_removed"].append(len(data) - len(kept))
                 out["n_spans"].append(len(own or ()) // 2)

@@ -15,6 +15,11 @@ TOKEN = "[a-z0-9]+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for a row wherever body uses it, and the whole in one piece also as a filter."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, STRIP, "")
 

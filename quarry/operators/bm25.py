@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, Settings
 from quarry.functions.text import tokens
+from quarry.sources.scratch import scratch
 
 #: Distinct question terms that may be broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -75,7 +76,10 @@ def topk(
     )
     scored = weighted.select("id", "ord", "term", part.alias("part")).join(F.broadcast(asked) if few else asked, "term")
     scored = scored.groupBy("qid", "id", "ord").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 9).alias("score"))
-    return _ranked(scored, questions, corpus, k, order_col)
+    # Written once: the totals, the blanks and the ranks all read it.
+    path = scratch(corpus.sparkSession, "scored")
+    scored.write.parquet(path)
+    return _ranked(corpus.sparkSession.read.schema(scored.schema).parquet(path), questions, corpus, k, order_col)
 
 
 def _ranked(scored: DataFrame, questions: DataFrame, corpus: DataFrame, k: int, order_col: str) -> DataFrame:

@@ -114,18 +114,19 @@ def parsed_block(block: Column) -> tuple[Column, Column]:
     return answer, sources
 
 
-def parse_transcript(runs: DataFrame, questions: DataFrame) -> DataFrame:
-    """qid, question, answer, sources_used: the n-th block of a text belongs to the n-th question (pos, qid, question).
+def parse_transcript(runs: DataFrame, questions: DataFrame, keep: tuple = ()) -> DataFrame:
+    """keep, qid, question, answer, sources_used: the n-th block of a text belongs to the n-th question (keep, pos, qid, question).
 
-    A count of blocks that differs from the count of questions is an error.
+    A block without a question, or a question without a block, is an error.
     """
     answer, sources = parsed_block(F.col("block"))
-    blocks = transcript_blocks(runs).withColumn("answer", answer).withColumn("sources_used", sources)
-    counts = blocks.agg(F.count("*").alias("n_blocks")).crossJoin(questions.agg(F.count("*").alias("n_questions")))
-    n_blocks, n_questions = counts.first()
-    if n_blocks != n_questions:
-        raise ValueError(f"{n_blocks} blocks, but {n_questions} questions")
-    return blocks.join(questions, blocks["block_no"] == questions["pos"]).select("qid", "question", "answer", "sources_used")
+    blocks = transcript_blocks(runs, keep).withColumnRenamed("block_no", "pos")
+    both = blocks.select(*keep, "pos", F.lit(True).alias("has_block"), answer.alias("answer"), sources.alias("sources_used")).join(
+        questions.select(*keep, "pos", F.lit(True).alias("has_question"), "qid", "question"), [*keep, "pos"], "full_outer"
+    )
+    failed = F.raise_error(F.concat(F.lit("blocks and questions differ in number at "), F.col("pos").cast("string")))
+    answer = F.when(F.col("has_block") & F.col("has_question"), F.col("answer")).otherwise(failed)
+    return both.select(*keep, "qid", "question", answer.alias("answer"), "sources_used")
 
 
 def score_rubric(graded: DataFrame, by: str) -> DataFrame:

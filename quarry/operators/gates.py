@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import count_of, has_any, strip
+from quarry.functions.text import count_of, has_any, let, strip
 
 #: What marks references, front matter and committee lists.
 PASSAGE_MARKS = [
@@ -23,21 +23,17 @@ LEAST_PASSAGE, MOST_BARS, MOST_LINKS, LEAST_QUESTION, LEAST_ANSWER = 120, 12, 1,
 
 def good_passage(text: Column) -> Column:
     """Long enough, without any mark, not a table, at most one link."""
-    plain = strip(F.lower(text))
-    return (
-        (F.length(plain) >= LEAST_PASSAGE)
+    return let(
+        strip(F.lower(text)),
+        lambda plain: (F.length(plain) >= LEAST_PASSAGE)
         & ~has_any(plain, PASSAGE_MARKS)
         & (count_of(plain, "|") <= MOST_BARS)
-        & (count_of(plain, "http") <= MOST_LINKS)
+        & (count_of(plain, "http") <= MOST_LINKS),
     )
 
 
 def good_pair(question: Column, answer: Column) -> Column:
     """Both present and long enough, neither with a mark."""
-    q, a = strip(F.lower(question)), strip(F.lower(answer))
-    return (
-        (F.length(q) >= LEAST_QUESTION)
-        & (F.length(a) >= LEAST_ANSWER)
-        & ~has_any(q, QUESTION_MARKS)
-        & ~has_any(a, ANSWER_MARKS)
-    )
+    good_question = let(strip(F.lower(question)), lambda q: (F.length(q) >= LEAST_QUESTION) & ~has_any(q, QUESTION_MARKS))
+    good_answer = let(strip(F.lower(answer)), lambda a: (F.length(a) >= LEAST_ANSWER) & ~has_any(a, ANSWER_MARKS))
+    return good_question & good_answer

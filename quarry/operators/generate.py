@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+import urllib.error
+import urllib.request
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.config import DEFAULT, Settings
 from quarry.operators.prompts import UNKNOWN
 
 POLICIES = ("raise", "skip", "inline")
@@ -42,6 +46,31 @@ class ExtractiveGenerator:
         return f"{best[1]} {best[2]}" if best[0] else UNKNOWN
 
 
+class ChatGenerator:
+    """A chat server that speaks the common completions protocol over HTTP: one message in, its answer out.
+
+    Errors of the connection and of the server are raised, and the policy of `answers` decides what becomes of them.
+    """
+
+    def __init__(self, settings: Settings = DEFAULT, timeout: float = 60.0, key: str = "local"):
+        self.model, self.timeout, self.key = settings.model, timeout, key
+        self.url = settings.base_url.rstrip("/") + "/chat/completions"
+        self.options = {"temperature": settings.temperature, "max_tokens": settings.max_tokens}
+
+    def answer(self, prompt: str) -> str:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], **self.options}
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                found = json.load(reply)["choices"][0]["message"]["content"]
+        except urllib.error.HTTPError as error:
+            raise RuntimeError(f"the server answered {error.code}") from error
+        except OSError as error:
+            raise RuntimeError(f"no connection to {self.url}") from error
+        return found or ""
+
+
 def answers(
     prompts: DataFrame, generator: Generator, prompt_col: str = "prompt", keep: tuple = ("qid",), on_error: str = "raise"
 ) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from quarry.functions.answers import STOP_MARKERS
 from quarry.functions.text import STRIP
 from quarry.operators import gates, prompts
-from quarry.plans.queries import MANIFEST
 
 
 def _text(value: str | None) -> str:
@@ -123,7 +122,7 @@ _OTHERS = f"""{_DRAWS},
 sizes AS (SELECT source, count(*) AS own FROM pool GROUP BY source),
 others AS (
   SELECT w.draw, o.doc_id AS oracle_id, p.doc_id,
-         row_number() OVER (PARTITION BY w.draw ORDER BY md5('42:' || w.draw || ':' || p.doc_id), p.doc_id) AS n
+         row_number() OVER (PARTITION BY w.draw ORDER BY md5('42:' || p.doc_id) < md5('42:start:' || w.draw), md5('42:' || p.doc_id), p.doc_id) AS n
   FROM drawn w JOIN pool o USING (doc_id) JOIN sizes z ON z.source = o.source CROSS JOIN pool p
   WHERE CASE WHEN (SELECT count(*) FROM pool) - z.own < 3 THEN p.doc_id <> o.doc_id ELSE p.source <> o.source END
   QUALIFY n <= 3)"""
@@ -134,10 +133,10 @@ texts AS (
   SELECT draw, any_value(o.text) AS oracle, list(p.text ORDER BY n) AS ps
   FROM others JOIN pool p ON p.doc_id = others.doc_id JOIN pool o ON o.doc_id = others.oracle_id GROUP BY draw),
 raft AS (
-  SELECT draw, (SELECT arg_min(text, item_id) FROM benchmark) AS instruction,
+  SELECT draw, (SELECT list(text ORDER BY item_id) FROM benchmark)[draw % (SELECT count(*) FROM benchmark) + 1] AS instruction,
     {_text(prompts.ORACLE_MARK + chr(10))} || oracle || {_text(chr(10) * 2 + prompts.DISTRACTOR_MARK + chr(10))}
       || array_to_string(ps, {_text(prompts.RULE)}) AS input,
-    substring(oracle, 1, 200) AS output,
+    oracle AS output,
     {_text(prompts.GENERATE_HEAD + 'ORACLE:' + chr(10) + _QUOTES)} || oracle || {_text(_QUOTES + chr(10) * 2 + 'DISTRACTORS:' + chr(10))}
       || '1)' || chr(10) || '{_QUOTES}' || ps[1] || '{_QUOTES}' || chr(10) || chr(10)
       || '2)' || chr(10) || '{_QUOTES}' || ps[2] || '{_QUOTES}' || chr(10) || chr(10)
@@ -193,7 +192,7 @@ _FROZEN = f"""{_BM25},
 asked AS (
   SELECT qid, bm25_rank AS pos, CAST(doc_id AS VARCHAR) AS chunk_id FROM kw WHERE bm25_rank <= 2
   UNION ALL SELECT item_id, 0, 'unknown_' || item_id FROM benchmark WHERE item_id % 3 = 0),
-known AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source, substring(text, 1, 300) AS text FROM documents)"""
+known AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source, text FROM documents)"""
 
 _RENDERED = f"""rendered AS (
   SELECT conv_id, turn, chr(10) || '=== ANSWER ===' || chr(10) || text || chr(10) || chr(10) || '=== SOURCES USED ===' || chr(10)
@@ -255,10 +254,11 @@ def _pair() -> str:
 
 
 def _manifest() -> str:
-    rows = ", ".join(f"({_text(n)}, {_text(o)}, DATE '{d}', {_text(x)})" for n, o, _, d, x in MANIFEST)
     return f"""SELECT coalesce(o, '') AS source_org, count(*) AS n_files, count(x) AS n_notes,
-  count(*) FILTER (WHERE n <> {_strip('n')}) AS n_padded, min(d) AS first_accessed
-  FROM (VALUES {rows}) AS m(n, o, d, x) GROUP BY coalesce(o, '')"""
+  count(*) FILTER (WHERE n <> {_strip('n')}) AS n_padded, CAST(sum(length(t)) AS BIGINT) AS n_title_chars, min(d) AS first_accessed
+  FROM (SELECT CASE WHEN page_id % 7 = 3 THEN ' ' ELSE '' END || 'page ' || page_id || CASE WHEN page_id % 5 = 1 THEN ' ' ELSE '' END AS n,
+    CASE WHEN page_id % 4 <> 2 THEN nullif(regexp_extract(url, '://([^/:?#]*)', 1), '') END AS o, 'Page "' || page_id || '", kept' AS t,
+    DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS d, CASE WHEN page_id % 3 = 0 THEN url END AS x FROM pages) GROUP BY coalesce(o, '')"""
 
 
 _SOURCE = r"^\[(S\d+)\]\s+pdf=(.*?)\s+chunk_id=(.*?)\s+::\s+(.*)$"
@@ -284,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
         "vector_topk": """SELECT q.vec_id AS qid, v.vec_id,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(power(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 2), 9), v.vec_id) AS sem_rank,
   round(power(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 2), 5) AS distance
-  FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND v.vec_id >= 20 QUALIFY sem_rank <= 4""",
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 QUALIFY sem_rank <= 4""",
         "hash_embed": f"""WITH {_embedded('qe', 'benchmark', 'item_id')}
   SELECT w.k AS qid, w.bucket, round(w.w / n.n, 6) AS weight FROM qe_w w JOIN qe_n n USING (k) WHERE w.w <> 0""",
         "rrf_fuse": f"WITH {_HYBRID} SELECT qid, doc_id, sem_rank, bm25_rank, round(s, 9) AS score, rank FROM ranked",
@@ -314,11 +314,11 @@ def oracle_sql() -> dict[str, str]:
         "render_transcript": f"WITH {_RENDERED} SELECT conv_id, turn, text FROM rendered",
         "parse_transcript": f"""WITH {_RENDERED},
   blocks AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, repeat('=', 80)), lambda b: {_strip('b')}), lambda b: contains(b, '=== ANSWER ===')) AS bs FROM rendered),
-  one AS (SELECT conv_id, turn, unnest(range(1, len(bs) + 1)) AS block_no, unnest(bs) AS block FROM blocks),
-  cut AS (SELECT conv_id, turn, block_no, {_strip("split_part(split_part(block, '=== ANSWER ===', 2), '=== SOURCES USED ===', 1)")} AS answer,
+  one AS (SELECT conv_id, turn, unnest(bs) AS block FROM blocks),
+  cut AS (SELECT conv_id, turn, {_strip("split_part(split_part(block, '=== ANSWER ===', 2), '=== SOURCES USED ===', 1)")} AS answer,
     {_strip("split_part(block, '=== SOURCES USED ===', 2)")} AS line FROM one),
   counted AS (SELECT *, CASE WHEN regexp_matches(line, '{_SOURCE}') THEN 1 ELSE 0 END AS n_sources FROM cut)
-  SELECT conv_id, turn, block_no, answer, n_sources, {parsed} FROM counted""",
+  SELECT conv_id, turn AS qid, 'turn ' || turn AS question, answer, n_sources, {parsed} FROM counted""",
         "truncate_answer": f"""SELECT conv_id, turn, {_truncated("(' ' || text || CASE WHEN turn % 2 = 0 THEN chr(10) || '[S2] more <END_ANSWER> rest' ELSE ' ' || chr(10) || '--- rest' END)")} AS answer
   FROM conversations""",
         "score_rubric": """SELECT source, CAST(sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS BIGINT) AS points, count(*) AS out_of

@@ -6,14 +6,14 @@ answers), the stand-in is made here, and the SQL in oracle.py makes the same one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT
 from quarry.functions import answers as text_of
 from quarry.functions import chunking
 from quarry.functions.text import strip, tokens
-from quarry.operators import bm25, evaluate, fusion, gates, generate, prompts, sampling, vectors
+from quarry.operators import ask, bm25, evaluate, fusion, gates, generate, prompts, sampling, vectors
 from quarry.sources import readers, sinks
 from quarry.sources.scratch import scratch
 
@@ -91,8 +91,8 @@ def bm25_topk(spark, sf_dir):
 def vector_topk(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
     vector = F.col("embedding").cast("array<double>").alias("vector")
-    asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("qid"), vector)
-    corpus = rows.where("vec_id >= 20").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), vector)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), vector)
+    corpus = rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), vector)
     found = vectors.topk(asked, corpus)
     return found.select("qid", F.col("id").alias("vec_id"), "sem_rank", F.round("distance", 5).alias("distance"))
 
@@ -130,8 +130,10 @@ def build_prompt(spark, sf_dir):
 
 
 def answers_extractive(spark, sf_dir):
-    found = build_prompt(spark, sf_dir)
-    return generate.answers(found, generate.ExtractiveGenerator(), "prompt_cli", on_error="inline")
+    """The index is built, and read by the questions."""
+    path = scratch(spark, "index")
+    ask.build(_corpus(spark, sf_dir).withColumnRenamed("source", "pdf_name"), path)
+    return ask.answers(_questions(spark, sf_dir), path, generate.ExtractiveGenerator()).drop("question")
 
 
 def oracle_gate(spark, sf_dir):
@@ -139,7 +141,10 @@ def oracle_gate(spark, sf_dir):
 
 
 def _usable(spark, sf_dir) -> DataFrame:
-    return _corpus(spark, sf_dir).where(gates.good_passage(F.col("text")))
+    """id, source of the passages that pass the gate; written once, as draws look at them several times."""
+    path = scratch(spark, "usable")
+    _corpus(spark, sf_dir).where(gates.good_passage(F.col("text"))).select("id", "source").write.parquet(path)
+    return spark.read.schema("id bigint, source string").parquet(path)
 
 
 def oracle_sample(spark, sf_dir):
@@ -156,17 +161,20 @@ def distractor_sample(spark, sf_dir):
 
 
 def _raft(spark, sf_dir) -> DataFrame:
-    """draw, instruction, input, output: a benchmark item stands in for the question, the passage's start for the answer."""
-    sample = _sampled(spark, sf_dir)
+    """draw, instruction, input, output: the benchmark's items in turn stand in for the questions, the passage for the answer."""
+    path = scratch(spark, "sampled")
+    _sampled(spark, sf_dir).write.parquet(path)
+    sample = spark.read.schema("draw int, oracle bigint, n int, id bigint").parquet(path)
     texts = _corpus(spark, sf_dir).select("id", "text")
     wanted = sample.select("draw", F.lit(0).alias("n"), F.col("oracle").alias("id")).distinct().unionByName(sample.select("draw", "n", "id"))
     # A stated number of draws, with four passages each.
     held = texts.join(F.broadcast(wanted), "id").groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("p"))
-    first = _questions(spark, sf_dir).agg(F.min_by("question", "qid").alias("instruction"))
+    asked = _questions(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("qid", "question"))).alias("asked"))
+    instruction = F.col("asked")[F.col("draw") % F.size("asked")]["question"]
     oracle = F.element_at("p", 1)["text"]
     others = F.transform(F.filter("p", lambda x: x["n"] > 0), lambda x: x["text"])
-    return held.crossJoin(F.broadcast(first)).select(  # one row
-        "draw", "instruction", prompts.raft_input(oracle, others).alias("input"), F.substring(oracle, 1, 200).alias("output"),
+    return held.crossJoin(F.broadcast(asked)).select(  # one row, of the stated set of questions
+        "draw", instruction.alias("instruction"), prompts.raft_input(oracle, others).alias("input"), oracle.alias("output"),
         prompts.generation_prompt(oracle, others).alias("prompt"),
     )
 
@@ -260,7 +268,7 @@ def _frozen(spark, sf_dir) -> DataFrame:
 
 def _known(spark, sf_dir) -> DataFrame:
     docs = _corpus(spark, sf_dir)
-    return docs.select(F.col("id").cast("string").alias("id"), F.col("source").alias("pdf_name"), F.substring("text", 1, 300).alias("text"), "ord")
+    return docs.select(F.col("id").cast("string").alias("id"), F.col("source").alias("pdf_name"), "text", "ord")
 
 
 def frozen_contexts(spark, sf_dir):
@@ -288,13 +296,18 @@ def render_transcript(spark, sf_dir):
 
 
 def parse_transcript(spark, sf_dir):
-    answer, sources = evaluate.parsed_block(F.col("block"))
-    blocks = evaluate.transcript_blocks(_answered(spark, sf_dir), ("conv_id", "turn"))
-    found = blocks.select("conv_id", "turn", "block_no", answer.alias("answer"), sources.alias("s"))
-    first = F.try_element_at("s", F.lit(1))
+    """Each conversation's blocks as one run, against its turns in order as the questions."""
+    turns = _answered(spark, sf_dir)
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    runs = turns.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = turns.select("conv_id", place.alias("pos"), F.col("turn").alias("qid"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("question"))
+    found = evaluate.parse_transcript(runs, asked, ("conv_id",))
+    first = F.try_element_at("sources_used", F.lit(1))
     return found.select(
-        "conv_id", "turn", "block_no", "answer", F.size("s").alias("n_sources"), *(first[c].alias(c) for c in ("label", "chunk_id", "pdf_name", "snippet"))
-    )
+        "conv_id", "qid", "question", "answer", F.size("sources_used").alias("n_sources"),
+        *(first[c].alias(c) for c in ("label", "chunk_id", "pdf_name", "snippet")),
+    )
 
 
 def truncate_answer(spark, sf_dir):
@@ -309,25 +322,24 @@ def score_rubric(spark, sf_dir):
     return evaluate.score_rubric(graded, "source")
 
 
-#: A manifest as it may be found: a padded name, sources without an organisation, a quoted note.
-MANIFEST = [
-    (" Field guide ", "Survey office", "Field guide (second edition)", "2026-01-05", "Used for thresholds, and for units"),
-    ("2022-consensus_Final", "Joint board", "Consensus report 2022", "2026-01-05", "Background"),
-    ("Advice_2025", "Federation", "Advice 2025", "2026-01-06", "Targets and timing"),
-    ("Management-of-cases", None, "Management of cases", "2026-01-05", "Screening interval"),
-    ("Guide-part-1", "Survey office", "Guide, part 1", "2026-01-07", None),
-    ("Quick_Reference", "Federation", "Quick reference", "2026-01-05", "Diagnostic values"),
-    ("Safety-of-new-methods", None, "Safety of new methods", "2026-01-05", "Supporting document"),
-]
-
-
 def manifest_profile(spark, sf_dir):
-    rows = spark.createDataFrame(MANIFEST, "pdf_name string, source_org string, title string, accessed string, notes string")
-    return rows.groupBy(F.coalesce("source_org", F.lit("")).alias("source_org")).agg(
+    """Pages as entries of a CSV manifest, some with padded names, some without an organisation or a note."""
+    number, path = F.col("page_id"), scratch(spark, "manifest")
+    rows = _table(spark, sf_dir, "pages").select(
+        F.concat(F.when(number % 7 == 3, " ").otherwise(""), F.lit("page "), number.cast("string"), F.when(number % 5 == 1, " ").otherwise("")).alias("pdf_name"),
+        F.when(number % 4 != 2, F.regexp_extract("url", "://([^/:?#]*)", 1)).alias("source_org"),
+        F.concat(F.lit('Page "'), number.cast("string"), F.lit('", kept')).alias("title"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (number % 365).cast("int")).alias("date_accessed"),
+        F.when(number % 3 == 0, F.col("url")).alias("notes"),
+    )
+    # Spaces at the ends are kept by reader and writer, and quotes are doubled, as in any CSV.
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.manifest(spark, path).groupBy(F.coalesce("source_org", F.lit("")).alias("source_org")).agg(
         F.count("*").alias("n_files"),
         F.count("notes").alias("n_notes"),
         F.count_if(F.col("pdf_name") != strip(F.col("pdf_name"))).alias("n_padded"),
-        F.min(F.to_date("accessed")).alias("first_accessed"),
+        F.sum(F.length("title")).alias("n_title_chars"),
+        F.min("date_accessed").alias("first_accessed"),
     )
 
 

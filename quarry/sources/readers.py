@@ -44,7 +44,7 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The CSV manifest; blank lines don't count, padding of names stays."""
-    return spark.read.schema(MANIFEST).option("header", True).csv(path)
+    return spark.read.schema(MANIFEST).option("header", True).option("escape", '"').csv(path)
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:

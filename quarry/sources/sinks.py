@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -14,12 +14,36 @@ def jsonl(rows: DataFrame, path: str, order: list | None = None, single: bool =
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a constructor of its paths."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    return new(path).getFileSystem(spark._jsc.hadoopConfiguration()), new
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, new = _files(spark, path)
+    return files.exists(new(path))
+
+
 def index(chunks: DataFrame, path: str) -> None:
-    """Replace an index table. Ids must be unique, and equal names of different documents show up as equal ids."""
-    twice = chunks.groupBy("id").count().where("count > 1").limit(5).collect()
+    """Replace an index table, or make it. Ids must be unique, and equal names of different documents show up as equal ids.
+
+    The new table is written whole and checked beside the old one, which stays until then: a failed run
+    leaves the index as it was, and readers find either.
+    """
+    spark = chunks.sparkSession
+    files, new = _files(spark, path)
+    fresh, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    chunks.write.mode("overwrite").parquet(fresh)
+    twice = spark.read.parquet(fresh).groupBy("id").count().where("count > 1").limit(5).collect()
     if twice:
+        files.delete(new(fresh), True)
         raise ValueError(f"ids that occur twice: {[r['id'] for r in twice]}")
-    chunks.write.mode("overwrite").parquet(path)
+    files.delete(new(old), True)
+    if files.exists(new(path)):
+        files.rename(new(path), new(old))
+    files.rename(new(fresh), new(path))
+    files.delete(new(old), True)
 
 
 def postings(freq: DataFrame, path: str) -> None:
@@ -27,19 +51,29 @@ def postings(freq: DataFrame, path: str) -> None:
     freq.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
 
 
-def markdown(rows: DataFrame, path: str) -> None:
-    """file_name, text of converted documents."""
-    rows.where(F.col("text").isNotNull()).select("file_name", "text").write.mode("overwrite").parquet(path)
+def markdown(rows: DataFrame, folder: str) -> None:
+    """An .md file in a folder for each converted document (file_name, text), named as its source; one that failed has none.
+
+    Executors write the files through the driver's table of bounded batches, as local names need a file
+    system that only the JVM may know; so this is for a collection of documents and not for a corpus.
+    """
+    spark = rows.sparkSession
+    files, new = _files(spark, folder)
+    files.mkdirs(new(folder))
+    for row in rows.where(F.col("text").isNotNull()).select("file_name", "text").toLocalIterator():
+        out = files.create(new(f"{folder.rstrip('/')}/{row['file_name'].rsplit('.', 1)[0]}.md"), True)
+        try:
+            out.write(bytearray(row["text"].encode()))
+        finally:
+            out.close()
 
 
-def append_missing(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Write rows whose key the output doesn't have yet, and return them: a run that broke off goes on where it stopped.
+def append_missing(rows: DataFrame, path: str, key: str) -> None:
+    """Write rows whose key the output doesn't have yet: a run that broke off goes on where it stopped.
 
     Give the rows before an expensive step, such as generation, to `unfinished` to skip it for what is done.
     """
-    left = unfinished(rows, path, key)
-    left.write.mode("append").parquet(path)
-    return left
+    unfinished(rows, path, key).write.mode("append").parquet(path)
 
 
 def unfinished(rows: DataFrame, path: str, key: str) -> DataFrame:

@@ -111,8 +111,10 @@ def test_transcript_round_trip(spark):
         assert [(s["label"], s["chunk_id"], s["pdf_name"], s["snippet"]) for s in r["sources_used"]] == [
             (f"[S{n}]"[1:-1], c, p, t.replace("\n", " ")[:220] + "...") for n, (c, p, t) in enumerate(sources, 1)
         ]
-    with pytest.raises(ValueError, match="4 blocks, but 3"):
-        evaluate.parse_transcript(run, questions.where("pos < 4"))
+    more = spark.createDataFrame([(5, 5, "q5")], questions.schema)
+    for unequal in (questions.where("pos < 4"), questions.unionByName(more)):
+        with pytest.raises(Exception, match="differ in number"):
+            evaluate.parse_transcript(run, unequal).collect()
     alone = spark.createDataFrame([("=== ANSWER ===\nno sources",)], "block string")
     answer, sources = evaluate.parsed_block(F.col("block"))
     assert tuple(alone.select(answer, F.size(sources)).first()) == ("", 0)

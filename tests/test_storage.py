@@ -6,7 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.sources import readers, sinks
+from quarry.sources import readers, scratch, sinks
 from quarry.streaming import ingest
 
 
@@ -67,12 +67,41 @@ def test_index_and_resume(spark, tmp_path):
     assert readers.vectors(spark, str(tmp_path / "index")).count() == 2
     with pytest.raises(ValueError, match="twice"):
         sinks.index(rows.union(rows), str(tmp_path / "index"))
+    assert readers.vectors(spark, str(tmp_path / "index")).count() == 2  # the old one stays
+    assert [p.name for p in tmp_path.iterdir() if "index" in p.name and p.suffix in (".new", ".old")] == []
     sinks.append_missing(rows.limit(1), str(tmp_path / "done"), "id")
     sinks.append_missing(rows, str(tmp_path / "done"), "id")
     assert spark.read.parquet(str(tmp_path / "done")).count() == 2
     assert sinks.unfinished(rows, str(tmp_path / "done"), "id").count() == 0
 
 
+def test_markdown_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a b.pdf", "# é\ntext"), ("bad.pdf", None)], "file_name string, text string")
+    sinks.markdown(rows, f"file://{tmp_path}/md")
+    assert [p.name for p in (tmp_path / "md").glob("*.md")] == ["a b.md"]
+    assert [tuple(r) for r in readers.markdown(spark, f"file://{tmp_path}/md").collect()] == [("a b.md", "a b", "# é\ntext")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
+    Context.master = "local[3]"
+    assert scratch.shared_dir(Session()).startswith("file://")
+
+
 def test_stream_chunks_new_files_once(spark, tmp_path):
     docs = lambda i: spark.createDataFrame([(f"d{i}", "one\n\ntwo")], "name string, text string")
     run = lambda: ingest.chunk_new_files(

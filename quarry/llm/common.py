@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,6 +55,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are over: Spark removes them when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(column, parts: int):
     """crc32 of a key as text, modulo parts: the folds of the held-out rows."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, pieces, written
+from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, freed, pieces, written
 from quarry.llm.components import components
 
 SHINGLE = 5
@@ -211,7 +211,10 @@ def _texts(buckets: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     wanted = buckets.select("key").distinct().join(classes.select("key", "at"), "key")
     texts = docs.select(F.xxhash64("text").alias("at"), "text").where(F.col("text").isNotNull())
     # Equal texts have one hash, and each class has one hash here.
-    return written(texts.join(wanted, "at").select("key", "text").dropDuplicates(["key"]), "texts")
+    # One plan at every size: what small tables show holds for large ones.
+    found = written(texts.join(wanted.hint("merge"), "at").select("key", "text").dropDuplicates(["key"]), "texts")
+    freed(docs.sparkSession)
+    return found
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -479,5 +482,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = written(grouped.unionByName(alone), "chosen")
     dropped(marks)
     dropped(members)
-    left = kept.join(chosen, "row", "left_semi")
+    freed(docs.sparkSession)
+    left = kept.join(chosen.hint("merge"), "row", "left_semi")
     return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, pieces, written
+from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, freed, pieces, written
 
 LENGTH = 400
 #: Zones that the windows of a suffix are dealt to.
@@ -190,9 +190,8 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.repeat(np.arange(len(column)), sizes), fields
 
 
-#: A place of a suffix: its row, its unit, and the bytes that are covered if its context stands elsewhere.
-_PLACE = pa.struct([("row", pa.int64()), ("pos", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
-_PLACES = "array<struct<row: bigint, pos: bigint, low: bigint, high: bigint>>"
+#: Numbers of a place in a list of places: row, unit, and the first byte and end of what is covered if the context stands elsewhere.
+PLACE = 4
 
 
 class Rule(NamedTuple):
@@ -237,14 +236,14 @@ def _suffixes(rows: DataFrame, rules: list[Rule]) -> DataFrame:
                 one, two = one[order], two[order]
                 head = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
                 fields = [number[row[order]], (at - units.first[row])[order], a[order], b[order]]
-                listed = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in fields], fields=list(_PLACE))
-                places = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), listed)
+                ends = np.append(head, len(order)) * PLACE
+                places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.stack(fields, 1).ravel().astype(np.int64)))
                 same = [pa.array(np.full(len(head), number[0])), pa.array(np.full(len(head), r, np.int32))]
                 yield pa.RecordBatch.from_arrays(
                     [*same, _signed(one[head]), _signed(two[head]), places], ["piece", "rule", "gram", "context", "places"]
                 )
 
-    return rows.select("row", "text").mapInArrow(run, f"piece bigint, rule int, gram bigint, context bigint, places {_PLACES}")
+    return rows.select("row", "text").mapInArrow(run, "piece bigint, rule int, gram bigint, context bigint, places array<bigint>")
 
 
 def _within(units: _Units, at: np.ndarray, row: np.ndarray, near, far, length: int) -> np.ndarray:
@@ -313,37 +312,38 @@ def _windows(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 def _sought(rows: DataFrame, wanted: DataFrame, *fields: str) -> DataFrame:
     """row, text, places: the texts of wanted rows, with what is wanted of them."""
     places = wanted.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("places"))
-    return rows.select("row", "text").join(places, "row").select("row", "text", "places")
+    # One plan at every size: what small tables show holds for large ones.
+    return rows.select("row", "text").join(places.hint("merge"), "row").select("row", "text", "places")
 
 
 def _marks(found: DataFrame) -> DataFrame:
-    return found.select("piece", F.array(F.struct("row", F.col("rule").cast("int").alias("rule"), "low", "high")).alias("marks"))
+    return found.select("piece", F.col("rule").cast("int"), F.array("row", F.lit(0), "low", "high").alias("places"))
 
 
 def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """piece, marks (row, rule, low, high) of intervals of bytes that together cover all windows of rows (row, text) that a rule
-    finds repeated; they may overlap. All marks of a row have one piece."""
+    """piece, rule, places of intervals of bytes that together cover all windows of rows (row, text) that a rule finds
+    repeated; they may overlap. All places of a row have one piece."""
     suffixes = written(_suffixes(rows, rules), "suffixes")
 
     # Digit 1: only grams that occur twice go on. Different contexts mark the gram for further digits.
-    grams = suffixes.groupBy("rule", "gram").agg(F.sum(F.size("places")).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
+    grams = suffixes.groupBy("rule", "gram").agg(F.sum(F.size("places") / PLACE).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
     grams = written(grams.where("n > 1").select("rule", "gram", "mixed"), "grams")
     shared = written(suffixes.join(grams, ["rule", "gram"]), "shared")
     dropped(suffixes)
     dropped(grams)
+    freed(rows.sparkSession)
 
     # Digit 2: equal contexts are covered; one of each goes on where contexts differ.
-    one = F.struct("piece", F.element_at("places", 1).alias("p"))
-    contexts = shared.groupBy("rule", "gram", "context", "mixed").agg(F.sum(F.size("places")).alias("c"), F.min(one).alias("one"))
+    one = F.struct("piece", F.element_at("places", 1).alias("row"), F.element_at("places", 2).alias("pos"))
+    contexts = shared.groupBy("rule", "gram", "context", "mixed").agg(F.sum(F.size("places") / PLACE).cast("long").alias("c"), F.min(one).alias("one"))
     contexts = written(contexts.where("c > 1 or mixed"), "contexts")
     twice = contexts.where("c > 1").select("rule", "gram", "context")
     equal = shared.join(twice, ["rule", "gram", "context"], "left_semi")
-    mark = lambda p: F.struct(p["row"].alias("row"), F.col("rule"), p["low"].alias("low"), p["high"].alias("high"))
-    covered = written(equal.select("piece", F.transform("places", mark).alias("marks")), "equal")
+    covered = written(equal.select("piece", "rule", "places"), "equal")
     dropped(shared)
 
     # Digit 3: zones of the contexts that differ.
-    left = contexts.where("mixed").select("one.piece", "one.p.row", "one.p.pos", "rule", "gram", "c")
+    left = contexts.where("mixed").select("one.*", "rule", "gram", "c")
     zones = written(_zones(_sought(rows, left, "rule", "pos", "piece", "gram", "c"), rules), "zones")
     dropped(contexts)
     cores = zones.groupBy("rule", "core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
@@ -357,6 +357,7 @@ def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     same = kept.where("c = 1").join(hulls.where("n > 1").select("rule", "core", "hull"), ["rule", "core", "hull"], "left_semi")
     same = written(_marks(same), "same")
     dropped(kept)
+    freed(rows.sparkSession)
 
     # Digit 4: the windows of zones whose hulls differ. Of equal hulls one stands for all.
     rest = hulls.where("mixed").select("one.*", "rule", "core")
@@ -366,6 +367,7 @@ def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     last = windows.groupBy(*digits).agg(F.count("*").alias("n")).where("n > 1").select(*digits)
     last = written(_marks(windows.join(last, digits, "left_semi")), "last")
     dropped(windows)
+    freed(rows.sparkSession)
     return covered.unionByName(same).unionByName(last)
 
 
@@ -390,13 +392,15 @@ def _spans(marks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                marks = batch.column(0).slice(i, 1).flatten().flatten()
-                row, rule, low, high = (marks.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                marks = batch.column(0).slice(i, 1).flatten()
+                sizes = pc.list_value_length(marks.field(1)).to_numpy(zero_copy_only=False) // PLACE
+                rule = np.repeat(marks.field(0).to_numpy(zero_copy_only=False), sizes)
+                row, _, low, high = marks.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, PLACE).T
                 rows, own = np.unique(row), rule == 0
                 lists = [union(rows, row[own], low[own], high[own]), union(rows, row, low, high)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows), *lists], ["row", "spans", "passages"])
 
-    gathered = marks.groupBy("piece").agg(F.collect_list("marks").alias("marks")).select("marks")
+    gathered = marks.groupBy("piece").agg(F.collect_list(F.struct("rule", "places")).alias("marks")).select("marks")
     return gathered.mapInArrow(run, "row bigint, spans array<bigint>, passages array<bigint>")
 
 
@@ -440,7 +444,7 @@ def remove_repeats(
     least = min(length, 2 * words - 1) if words else length
     marks = repeated(rows.where(F.octet_length("text") >= least), rules)
     spans = written(_spans(marks), "spans")
-    full = rows.join(spans, "row", "left").select("_id", *names, "text", "spans", "passages")
+    full = rows.join(spans.hint("merge"), "row", "left").select("_id", *names, "text", "spans", "passages")
     count = len(names) + 1
     kinds = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}
 

@@ -33,7 +33,7 @@ from quarry.llm.components import components
 
 SIMILAR = 0.98
 #: Vectors that the axes are fitted on, axes with boxes, axes whose cells key the blocks.
-SAMPLE, AXES, KEYS = 4096, 6, 2
+SAMPLE, AXES, KEYS = 4096, 6, 3
 #: Vectors in a block, and in a sequence that is compared without further halving.
 BLOCK, LEAF = 512, 64
 SLACK = 1e-9

@@ -12,6 +12,7 @@ from quarry.llm import (
     language_id,
     license_scan,
     minhash,
+    oracle,
     quality,
     suffix_dedup,
     toxicity,
@@ -69,7 +70,6 @@ def op7_decontaminate(spark, sf_dir):
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
-        "spans",
     )
 
 
@@ -118,4 +118,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_url_filter": url_list.oracle()}
+    return {"op5_url_filter": url_list.oracle(), **oracle.ORACLE}

@@ -32,8 +32,8 @@ TOKENS = re.compile(r"[^\W_]+")
 #: Mass of the Dirichlet prior, in documents; standard errors that a token's log-odds are lowered by.
 PRIOR_MASS = 200.0
 LOWERED = 2.0
-#: Tokens with evidence that the model may hold, those of the highest scores.
-MAX_TOKENS = 20_000
+#: Random texts that the extreme-value law is fitted to, and positive tokens in each.
+SEQUENCES, POSITIVES = 2000, 100
 #: What any other token adds to a segment.
 DRIFT = -0.5
 #: Expected number of equally good segments by chance, below which one is significant.
@@ -100,7 +100,11 @@ class Model:
 
 
 def karlin_altschul(values: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
-    """lambda with sum(p exp(lambda s)) = 1, and a K from the mean of the matching renewal walk."""
+    """lambda and K of the law P(best segment of n tokens > x) = 1 - exp(-K n exp(-lambda x)).
+
+    lambda solves sum(p exp(lambda s)) = 1. K is fitted to the best segments of SEQUENCES random texts of the background: of
+    the positive tokens that each holds, and the cost of the others between them, whose number is geometric.
+    """
     if not len(values) or values.max() <= 0:
         return 1.0, 0.1
     low, high = 1e-6, 1.0
@@ -111,9 +115,16 @@ def karlin_altschul(values: np.ndarray, shares: np.ndarray) -> tuple[float, floa
         mid = (low + high) / 2
         low, high = (mid, high) if grown(mid) < 1 else (low, mid)
     rate = (low + high) / 2
-    # Starts of positive runs are as frequent as positive tokens; an upper bound of K, so p-values are on the safe side.
-    scale = float(shares[values > 0].sum()) * max(1e-3, 1 - grown(rate / 2))
-    return rate, max(scale, 1e-6)
+    good = values > 0
+    often = float(shares[good].sum())
+    rng = np.random.RandomState(7)
+    gained = rng.choice(values[good], (SEQUENCES, POSITIVES), p=shares[good] / often)
+    lost = (rng.geometric(min(1.0, often), gained.shape) - 1) * (shares[~good] @ values[~good] / max(1e-12, 1 - often))
+    total = np.cumsum(gained + lost, 1)
+    before = total - gained
+    best = (total - np.minimum.accumulate(before, 1)).max(1)
+    # The mean of the law is (ln(K n) + Euler's constant) / lambda.
+    return rate, float(np.exp(rate * best.mean() - np.euler_gamma) * often / POSITIVES)
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -153,7 +164,7 @@ def fit(sample: DataFrame) -> Model:
     odds = F.log(yes / (n1 + PRIOR_MASS - yes)) - F.log(no / (n0 + PRIOR_MASS - no))
     evidence = odds - LOWERED * F.sqrt(1 / yes + 1 / no)
     table = _counts(learn).withColumn("score", evidence)
-    held = table.where("score > 0").orderBy(F.desc("score"), "token").limit(MAX_TOKENS).collect()
+    held = table.where("score > 0").orderBy(F.desc("score"), "token").collect()  # tokens of the bounded sample
     total = table.agg(F.sum("t0")).first()[0] or 0
     scores = {r["token"]: r["score"] for r in held}
     # The background: each token's occurrences in documents of label 0, with half of one for what never occurs there.
@@ -181,7 +192,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, score, statistic, n_tokens, passages (start and end token, nats beyond chance)."""
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # MAX_TOKENS tokens at most
+    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # tokens of the bounded sample
 
     def run(batches):
         own = pickle.loads(held.value)

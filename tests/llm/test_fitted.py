@@ -95,3 +95,20 @@ def test_pipeline(spark, sf_dir):
     rows = pipeline.run(spark, sf_dir)
     assert rows.count() == before
     assert rows.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_extreme_value_law_holds_for_random_texts():
+    """Token by token: the share of random texts whose best segment passes the 5 % line, and the equation of lambda."""
+    from quarry.llm import toxicity
+
+    for values, shares in (([2.0, 0.7, toxicity.DRIFT], [0.02, 0.05, 0.93]), ([3.0, toxicity.DRIFT], [0.004, 0.996])):
+        values, shares = np.array(values), np.array(shares)
+        rate, scale = toxicity.karlin_altschul(values, shares)
+        assert abs((shares * np.exp(rate * values)).sum() - 1) < 1e-6
+        n = 4000
+        line = np.log(scale * n / -np.log(0.95)) / rate
+        drawn = np.random.RandomState(1).choice(values, (800, n), p=shares)
+        total = np.cumsum(drawn, 1)
+        low = np.minimum.accumulate(np.concatenate([np.zeros((800, 1)), total[:, :-1]], 1), 1)
+        share = ((total - low).max(1) > line).mean()
+        assert 0.01 < share < 0.12, (rate, scale, share)

@@ -11,9 +11,9 @@ alike, and about one suffix in a hundred bytes is ever chosen and sorted. The di
 2. all units of all windows that can choose it (its context). Where two are equal, all of that is covered;
 3. for contexts that differ, the units that a zone of neighbouring windows share, then
    those that any of them holds: alone with the first, none of them repeats; equal in the second, all of them do;
-4. for what is left, each window of the zone itself.
-A digit is a block of units, compared by a 64-bit hash within the group that the digit before it left (two hashes, 128
-bits, in each of the last three passes). So the passes find equal groups; an order of unequal groups, which nothing
+4. for zones that this does not decide the same for their parts, until a part is a single window.
+A digit is a block of units, compared by a 64-bit hash within the group that the digit before it left, so equal
+digits agree in two such hashes or more. So the passes find equal groups; an order of unequal groups, which nothing
 here needs, is not made: this is the method's grouping, on chosen suffixes, and not its whole order.
 
 Rows are numbered first and written; the number, not the id, is what all passes know a row by. Equal
@@ -30,6 +30,7 @@ Words are runs without ASCII white space, and what stands between them is not co
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, freed, pieces, written
 
 LENGTH = 400
-#: Zones that the windows of a suffix are dealt to.
-ZONES = 8
+#: Zones that the windows of a suffix are dealt to, and parts of a zone in each further pass.
+ZONES, PARTS = 8, 5
 #: Positions that fit the low bits of a sort key.
 _BITS = 20
 _SLICE = 1 << _BITS
@@ -210,9 +211,12 @@ class Rule(NamedTuple):
         return self.length - self.gram
 
     @property
-    def width(self) -> int:
-        """Windows in a zone."""
-        return self.spread // ZONES + 1
+    def widths(self) -> list[int]:
+        """Windows in a zone, for one pass after the other down to a single window."""
+        out = [self.spread // ZONES + 1]
+        while out[-1] > 1:
+            out.append(-(-out[-1] // PARTS))
+        return out
 
 
 def _suffixes(rows: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -261,57 +265,37 @@ def _units_of(part, rules: list[Rule]):
         yield r, rules[r], units, row[own], units.first[row[own]] + pos[own], [pos[own], *(f[own] for f in fields)]
 
 
-def _zones(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """piece, rule, row, pos, zone, c, the bytes low to high of its windows, with digits core (shared by them) and hull (all they hold)."""
+def _zones(rows: DataFrame, rules: list[Rule], level: int) -> DataFrame:
+    """piece, rule, row, pos, zone, c, the bytes low to high of its windows, with digits core (shared by them) and hull (all they hold).
+
+    At level 0 these are the zones of a suffix, at a further level the parts of a zone; at the last, single windows."""
     names = ["piece", "rule", "row", "pos", "zone", "c", "low", "high", "core", "hull"]
 
     def run(batches):
         for part in pieces(batches, "text"):
             number = part.column(0).to_numpy()
-            for r, rule, units, row, at, (pos, piece, gram, times) in _units_of(part, rules):
-                for zone in range(0, rule.spread + 1, rule.width):
-                    last = min(zone + rule.width - 1, rule.spread)  # windows start zone to last units before the suffix
-                    take = np.flatnonzero(_within(units, at, row, zone, last, rule.length))
+            for r, rule, units, row, at, (pos, piece, outer, seed, times) in _units_of(part, rules):
+                size, width = rule.widths[level - 1] if level else rule.spread + 1, rule.widths[level]
+                for step in range(0, size, width):
+                    zone = outer + step
+                    last = np.minimum(np.minimum(zone + width, outer + size) - 1, rule.spread)  # windows start zone to last units before the suffix
+                    take = np.flatnonzero((zone <= rule.spread) & _within(units, at, row, zone, last, rule.length))
                     if not len(take):
                         continue
-                    own, p = row[take], at[take]
-                    low = np.maximum(units.first[own], p - last)
-                    high = np.minimum(units.first[own + 1], p - zone + rule.length)
-                    core = units.digests(p - zone, p - last + rule.length, _seeds(gram[take]) ^ np.uint64(zone))
+                    own, p, near, far = row[take], at[take], zone[take], last[take]
+                    low = np.maximum(units.first[own], p - far)
+                    high = np.minimum(units.first[own + 1], p - near + rule.length)
+                    core = units.digests(p - near, p - far + rule.length, _seeds(seed[take]) ^ near.astype(np.uint64))
                     hull = units.digests(low, high, p - low)
-                    full = lambda x: np.full(len(take), x)  # noqa: B023, E731
-                    columns = [piece[take], full(r), number[own], pos[take], full(zone), times[take], *units.places(own, low, high)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x, pa.int64()) for x in columns), _signed(core), _signed(hull)], names
-                    )
+                    columns = [piece[take], np.full(len(take), r), number[own], pos[take], near, times[take], *units.places(own, low, high)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), _signed(core), _signed(hull)], names)
 
     return rows.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
 
-def _windows(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """piece, rule, row, the bytes low to high, core and the last digit of every window of the given zones."""
-    names = ["piece", "rule", "row", "low", "high", "core", "window"]
-
-    def run(batches):
-        for part in pieces(batches, "text"):
-            number = part.column(0).to_numpy()
-            for r, rule, units, row, at, (_, piece, zone, core) in _units_of(part, rules):
-                for step in range(rule.width):
-                    back = zone + step
-                    take = np.flatnonzero((back <= rule.spread) & _within(units, at, row, back, back, rule.length))
-                    if not len(take):
-                        continue
-                    own, low = row[take], (at - back)[take]
-                    window = units.digests(low, low + rule.length, _seeds(core[take]) ^ back[take].astype(np.uint64))
-                    columns = [piece[take], np.full(len(take), r), number[own], *units.places(own, low, low + rule.length), core[take]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), _signed(window)], names)
-
-    return rows.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
-
-
-def _sought(rows: DataFrame, wanted: DataFrame, *fields: str) -> DataFrame:
+def _sought(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """row, text, places: the texts of wanted rows, with what is wanted of them."""
-    places = wanted.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("places"))
+    places = wanted.groupBy("row").agg(F.collect_list(F.struct("rule", "pos", "piece", "zone", "seed", "c")).alias("places"))
     # One plan at every size: what small tables show holds for large ones.
     return rows.select("row", "text").join(places.hint("merge"), "row").select("row", "text", "places")
 
@@ -342,33 +326,34 @@ def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     covered = written(equal.select("piece", "rule", "places"), "equal")
     dropped(shared)
 
-    # Digit 3: zones of the contexts that differ.
-    left = contexts.where("mixed").select("one.*", "rule", "gram", "c")
-    zones = written(_zones(_sought(rows, left, "rule", "pos", "piece", "gram", "c"), rules), "zones")
+    # Further digits: zones of the contexts that differ, then parts of those zones, down to single windows.
+    found = [covered]
+    left = contexts.where("mixed").select("one.*", "rule", F.lit(0).cast("long").alias("zone"), F.col("gram").alias("seed"), "c")
+    texts = rows
+    for level in range(max(len(rule.widths) for rule in rules)):
+        sought = _sought(texts, left)
+        if not level:
+            sought = texts = written(sought, "sought")  # all that later passes look at
+        zones = written(_zones(sought, rules, level), "zones")
+        cores = zones.groupBy("rule", "core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
+        cores = written(cores.where("n > 1").select("rule", "core", "mixed"), "cores")
+        kept = written(zones.join(cores, ["rule", "core"]), "zones-shared")
+        dropped(zones)
+        dropped(cores)
+        freed(rows.sparkSession)
+        one = F.struct("piece", "row", "pos", "zone")
+        hulls = kept.groupBy("rule", "core", "hull", "mixed").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.min(one).alias("one"))
+        hulls = written(hulls.where("n > 1 or mixed"), "hulls")
+        # What stands twice on a level above is covered already.
+        twice = hulls.where("n > 1").select("rule", "core", "hull")
+        found.append(written(_marks(kept.where("c = 1").join(twice, ["rule", "core", "hull"], "left_semi")), "same"))
+        dropped(kept)
+        # Of equal hulls one stands for all.
+        left = hulls.where("mixed").select("one.*", "rule", F.col("core").alias("seed"), F.greatest("n", "c").alias("c"))
     dropped(contexts)
-    cores = zones.groupBy("rule", "core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
-    cores = written(cores.where("n > 1").select("rule", "core", "mixed"), "cores")
-    kept = written(zones.join(cores, ["rule", "core"]), "zones-shared")
-    dropped(zones)
-    dropped(cores)
-    one = F.struct("piece", "row", "pos", "zone")
-    hulls = written(kept.groupBy("rule", "core", "hull", "mixed").agg(F.count("*").alias("n"), F.min(one).alias("one")), "hulls")
-    # What several contexts hold is covered already for contexts that stand twice.
-    same = kept.where("c = 1").join(hulls.where("n > 1").select("rule", "core", "hull"), ["rule", "core", "hull"], "left_semi")
-    same = written(_marks(same), "same")
-    dropped(kept)
-    freed(rows.sparkSession)
-
-    # Digit 4: the windows of zones whose hulls differ. Of equal hulls one stands for all.
-    rest = hulls.where("mixed").select("one.*", "rule", "core")
-    windows = written(_windows(_sought(rows, rest, "rule", "pos", "piece", "zone", "core"), rules), "windows")
-    dropped(hulls)
-    digits = ["rule", "core", "window"]
-    last = windows.groupBy(*digits).agg(F.count("*").alias("n")).where("n > 1").select(*digits)
-    last = written(_marks(windows.join(last, digits, "left_semi")), "last")
-    dropped(windows)
+    dropped(texts)
     freed(rows.sparkSession)
-    return covered.unionByName(same).unionByName(last)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _spans(marks: DataFrame) -> DataFrame:

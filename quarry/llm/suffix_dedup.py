@@ -304,26 +304,32 @@ def _marks(found: DataFrame) -> DataFrame:
     return found.select("piece", F.col("rule").cast("int"), F.array("row", F.lit(0), "low", "high").alias("places"))
 
 
+def _step(df: DataFrame, tag: str) -> DataFrame:
+    """Written, and the shuffle files of the step let go: these tables are large beside the texts."""
+    out = written(df, tag)
+    freed(out.sparkSession)
+    return out
+
+
 def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """piece, rule, places of intervals of bytes that together cover all windows of rows (row, text) that a rule finds
     repeated; they may overlap. All places of a row have one piece."""
-    suffixes = written(_suffixes(rows, rules), "suffixes")
+    suffixes = _step(_suffixes(rows, rules), "suffixes")
 
     # Digit 1: only grams that occur twice go on. Different contexts mark the gram for further digits.
     grams = suffixes.groupBy("rule", "gram").agg(F.sum(F.size("places") / PLACE).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
-    grams = written(grams.where("n > 1").select("rule", "gram", "mixed"), "grams")
-    shared = written(suffixes.join(grams, ["rule", "gram"]), "shared")
+    grams = _step(grams.where("n > 1").select("rule", "gram", "mixed"), "grams")
+    shared = _step(suffixes.join(grams, ["rule", "gram"]), "shared")
     dropped(suffixes)
     dropped(grams)
-    freed(rows.sparkSession)
 
     # Digit 2: equal contexts are covered; one of each goes on where contexts differ.
     one = F.struct("piece", F.element_at("places", 1).alias("row"), F.element_at("places", 2).alias("pos"))
     contexts = shared.groupBy("rule", "gram", "context", "mixed").agg(F.sum(F.size("places") / PLACE).cast("long").alias("c"), F.min(one).alias("one"))
-    contexts = written(contexts.where("c > 1 or mixed"), "contexts")
+    contexts = _step(contexts.where("c > 1 or mixed"), "contexts")
     twice = contexts.where("c > 1").select("rule", "gram", "context")
     equal = shared.join(twice, ["rule", "gram", "context"], "left_semi")
-    covered = written(equal.select("piece", "rule", "places"), "equal")
+    covered = _step(equal.select("piece", "rule", "places"), "equal")
     dropped(shared)
 
     # Further digits: zones of the contexts that differ, then parts of those zones, down to single windows.
@@ -333,26 +339,24 @@ def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     for level in range(max(len(rule.widths) for rule in rules)):
         sought = _sought(texts, left)
         if not level:
-            sought = texts = written(sought, "sought")  # all that later passes look at
-        zones = written(_zones(sought, rules, level), "zones")
+            sought = texts = _step(sought, "sought")  # all that later passes look at
+            dropped(contexts)
+        zones = _step(_zones(sought, rules, level), "zones")
         cores = zones.groupBy("rule", "core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
-        cores = written(cores.where("n > 1").select("rule", "core", "mixed"), "cores")
-        kept = written(zones.join(cores, ["rule", "core"]), "zones-shared")
+        cores = _step(cores.where("n > 1").select("rule", "core", "mixed"), "cores")
+        kept = _step(zones.join(cores, ["rule", "core"]), "zones-shared")
         dropped(zones)
         dropped(cores)
-        freed(rows.sparkSession)
-        one = F.struct("piece", "row", "pos", "zone")
+            one = F.struct("piece", "row", "pos", "zone")
         hulls = kept.groupBy("rule", "core", "hull", "mixed").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.min(one).alias("one"))
-        hulls = written(hulls.where("n > 1 or mixed"), "hulls")
+        hulls = _step(hulls.where("n > 1 or mixed"), "hulls")
         # What stands twice on a level above is covered already.
         twice = hulls.where("n > 1").select("rule", "core", "hull")
-        found.append(written(_marks(kept.where("c = 1").join(twice, ["rule", "core", "hull"], "left_semi")), "same"))
+        found.append(_step(_marks(kept.where("c = 1").join(twice, ["rule", "core", "hull"], "left_semi")), "same"))
         dropped(kept)
         # Of equal hulls one stands for all.
         left = hulls.where("mixed").select("one.*", "rule", F.col("core").alias("seed"), F.greatest("n", "c").alias("c"))
-    dropped(contexts)
     dropped(texts)
-    freed(rows.sparkSession)
     return reduce(DataFrame.unionByName, found)
 
 

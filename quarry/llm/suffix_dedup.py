@@ -335,13 +335,13 @@ def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     # Further digits: zones of the contexts that differ, then parts of those zones, down to single windows.
     found = [covered]
     left = contexts.where("mixed").select("one.*", "rule", F.lit(0).cast("long").alias("zone"), F.col("gram").alias("seed"), "c")
-    texts = rows
+    texts, spent = rows, contexts
     for level in range(max(len(rule.widths) for rule in rules)):
         sought = _sought(texts, left)
         if not level:
             sought = texts = _step(sought, "sought")  # all that later passes look at
-            dropped(contexts)
         zones = _step(_zones(sought, rules, level), "zones")
+        dropped(spent)
         cores = zones.groupBy("rule", "core").agg(F.count("*").alias("n"), (F.min("hull") != F.max("hull")).alias("mixed"))
         cores = _step(cores.where("n > 1").select("rule", "core", "mixed"), "cores")
         kept = _step(zones.join(cores, ["rule", "core"]), "zones-shared")
@@ -356,6 +356,8 @@ def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
         dropped(kept)
         # Of equal hulls one stands for all.
         left = hulls.where("mixed").select("one.*", "rule", F.col("core").alias("seed"), F.greatest("n", "c").alias("c"))
+        spent = hulls
+    dropped(spent)
     dropped(texts)
     return reduce(DataFrame.unionByName, found)
 
@@ -432,7 +434,8 @@ def remove_repeats(
     rules = [Rule(length), Rule(words, by_words=True)] if words else [Rule(length)]
     least = min(length, 2 * words - 1) if words else length
     marks = repeated(rows.where(F.octet_length("text") >= least), rules)
-    spans = written(_spans(marks), "spans")
+    spans = _step(_spans(marks), "spans")
+    dropped(marks)
     full = rows.join(spans.hint("merge"), "row", "left").select("_id", *names, "text", "spans", "passages")
     count = len(names) + 1
     kinds = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}

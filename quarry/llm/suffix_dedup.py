@@ -191,7 +191,8 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.repeat(np.arange(len(column)), sizes), fields
 
 
-#: Numbers of a place in a list of places: row, unit, and the first byte and end of what is covered if the context stands elsewhere.
+#: Numbers of a place in a list of places, each counted from the one that it follows, so that they are small and alike: row (from the
+#: piece), unit, first byte (from the unit's number) and bytes (from there) of what is covered if the context stands elsewhere.
 PLACE = 4
 
 
@@ -239,7 +240,8 @@ def _suffixes(rows: DataFrame, rules: list[Rule]) -> DataFrame:
                 order = np.lexsort((two, one))
                 one, two = one[order], two[order]
                 head = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-                fields = [number[row[order]], (at - units.first[row])[order], a[order], b[order]]
+                unit = at - units.first[row]
+                fields = [number[row[order]] - number[0], unit[order], (a - unit)[order], (b - a)[order]]
                 ends = np.append(head, len(order)) * PLACE
                 places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.stack(fields, 1).ravel().astype(np.int64)))
                 same = [pa.array(np.full(len(head), number[0])), pa.array(np.full(len(head), r, np.int32))]
@@ -301,7 +303,7 @@ def _sought(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _marks(found: DataFrame) -> DataFrame:
-    return found.select("piece", F.col("rule").cast("int"), F.array("row", F.lit(0), "low", "high").alias("places"))
+    return found.select("piece", F.col("rule").cast("int"), F.array(F.expr("row - piece"), F.lit(0), "low", F.expr("high - low")).alias("places"))
 
 
 def _step(df: DataFrame, tag: str) -> DataFrame:
@@ -324,7 +326,7 @@ def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     dropped(grams)
 
     # Digit 2: equal contexts are covered; one of each goes on where contexts differ.
-    one = F.struct("piece", F.element_at("places", 1).alias("row"), F.element_at("places", 2).alias("pos"))
+    one = F.struct("piece", (F.col("piece") + F.element_at("places", 1)).alias("row"), F.element_at("places", 2).alias("pos"))
     contexts = shared.groupBy("rule", "gram", "context", "mixed").agg(F.sum(F.size("places") / PLACE).cast("long").alias("c"), F.min(one).alias("one"))
     contexts = _step(contexts.where("c > 1 or mixed"), "contexts")
     twice = contexts.where("c > 1").select("rule", "gram", "context")
@@ -383,15 +385,17 @@ def _spans(marks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                marks = batch.column(0).slice(i, 1).flatten()
+                piece, marks = batch.column(0)[i].as_py(), batch.column(1).slice(i, 1).flatten()
                 sizes = pc.list_value_length(marks.field(1)).to_numpy(zero_copy_only=False) // PLACE
                 rule = np.repeat(marks.field(0).to_numpy(zero_copy_only=False), sizes)
-                row, _, low, high = marks.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, PLACE).T
+                row, unit, low, size = marks.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, PLACE).T
+                row, low = row + piece, low + unit
+                high = low + size
                 rows, own = np.unique(row), rule == 0
                 lists = [union(rows, row[own], low[own], high[own]), union(rows, row, low, high)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows), *lists], ["row", "spans", "passages"])
 
-    gathered = marks.groupBy("piece").agg(F.collect_list(F.struct("rule", "places")).alias("marks")).select("marks")
+    gathered = marks.groupBy("piece").agg(F.collect_list(F.struct("rule", "places")).alias("marks")).select("piece", "marks")
     return gathered.mapInArrow(run, "row bigint, spans array<bigint>, passages array<bigint>")
 
 

@@ -318,12 +318,17 @@ def repeated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     repeated; they may overlap. All places of a row have one piece."""
     suffixes = _step(_suffixes(rows, rules), "suffixes")
 
-    # Digit 1: only grams that occur twice go on. Different contexts mark the gram for further digits.
-    grams = suffixes.groupBy("rule", "gram").agg(F.sum(F.size("places") / PLACE).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
-    grams = _step(grams.where("n > 1").select("rule", "gram", "mixed"), "grams")
-    shared = _step(suffixes.join(grams, ["rule", "gram"]), "shared")
+    # Digit 1: only grams that occur twice go on. Different contexts mark the gram for further digits. One rule after the other,
+    # so that the shuffle files of one are gone before the next one's are made.
+    grown = []
+    for r in range(len(rules)):
+        own = suffixes.where(F.col("rule") == r)
+        grams = own.groupBy("rule", "gram").agg(F.sum(F.size("places") / PLACE).alias("n"), (F.min("context") != F.max("context")).alias("mixed"))
+        grams = _step(grams.where("n > 1").select("rule", "gram", "mixed"), "grams")
+        grown.append(_step(own.join(grams, ["rule", "gram"]), "shared"))
+        dropped(grams)
     dropped(suffixes)
-    dropped(grams)
+    shared = reduce(DataFrame.unionByName, grown)
 
     # Digit 2: equal contexts are covered; one of each goes on where contexts differ.
     one = F.struct("piece", (F.col("piece") + F.element_at("places", 1)).alias("row"), F.element_at("places", 2).alias("pos"))

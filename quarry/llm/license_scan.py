@@ -31,7 +31,11 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 UNDER = "(?:released|distributed|available|published|provided|covered|redistributed)"
 
 #: Words of which every rule's match holds one at least, as they stand in a text: OTHER is what the line has as one space.
-SHARED = rf"(?i)licen[cs]e|spdx|copyleft|public{OTHER}domain|{UNDER}{OTHER}under"
+SHARED = (
+    rf"(?i)licen[cs]e|spdx|copyleft|public{OTHER}domain|{UNDER}{OTHER}under|hereby|warranty|endorse{OTHER}or|permission{OTHER}notice|"
+    rf"redistribution{OTHER}and|advertising{OTHER}materials|removed{OTHER}or{OTHER}altered|third{OTHER}parties|unauthorized{OTHER}copying|"
+    rf"confidential{OTHER}and|independent{OTHER}jpeg|not{OTHER}evil|retain{OTHER}this|without{OTHER}royalty|product{OTHER}includes"
+)
 
 #: Families: label, keyword, the name as it stands in normalised prose, the normalised short identifier. Every alternative
 #: of a name holds the keyword; names without it have a row of their own, without identifier.
@@ -118,6 +122,62 @@ TEMPLATES = [
     (r"licen[cs]e (?:type )?(?:is )?<id>(?: <v>)?", 30, 0.6),
 ]
 
+#: Sentences by which the text of a license is known, also where its name is not said.
+SIGNATURES = [
+    ("mit", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation", 95, 1.0),
+    ("mit", "permission notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 94, 0.95),
+    ("mit", "without restriction", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense", 94, 0.95),
+    ("ncsa", "without restriction", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense", 95, 1.0),
+    ("0bsd", "hereby granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 92, 0.9),
+    (
+        "isc", "hereby granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies", 95, 1.0,
+    ),
+    ("postgresql", "hereby granted", "for any purpose without fee and without a written agreement is hereby granted", 93, 0.95),
+    ("upl", "hereby granted", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software", 95, 1.0),
+    ("bsl", "hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 95, 1.0),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 92, 0.95),
+    ("bsd-3-clause", "endorse or promote", "may be used to endorse or promote products derived from this software without specific prior written permission", 93, 0.95),
+    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 95, 1.0),
+    ("apache", "in compliance", "you may not use this file except in compliance with the license", 92, 0.9),
+    ("apache", "applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 93, 0.95),
+    ("apache", "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", 94, 0.95),
+    ("gpl", "general public", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 95, 1.0),
+    ("gpl", "any warranty", "this program is distributed in the hope that it will be useful but without any warranty", 92, 0.85),
+    ("gpl", "general public", "you should have received a copy of the gnu general public license along with this program", 94, 0.95),
+    ("lgpl", "general public", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 95, 1.0),
+    ("lgpl", "any warranty", "this library is distributed in the hope that it will be useful but without any warranty", 92, 0.85),
+    ("lgpl", "general public", "you should have received a copy of the gnu (?:lesser|library) general public license along with this library", 94, 0.95),
+    ("agpl", "affero", "(?:redistribute it and or modify it under the terms|you should have received a copy) of the gnu affero general public license", 95, 1.0),
+    ("fdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 95, 1.0),
+    ("fsfap", "without royalty", "with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved", 95, 1.0),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license", 95, 1.0),
+    ("mpl", "mozilla", "the contents of this file are subject to the mozilla public license", 95, 1.0),
+    ("epl", "eclipse", "the accompanying materials are made available under the terms of the eclipse public license", 95, 1.0),
+    ("cddl", "common development", "the contents of this file are subject to the terms of the common development and distribution license", 95, 1.0),
+    ("eupl", "eupl", "licen[cs]ed under the eupl", 90, 0.95),
+    ("zlib", "implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 94, 0.95),
+    ("zlib", "removed or altered", "this notice may not be removed or altered from any source distribution", 93, 0.9),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 95, 1.0),
+    ("wtfpl", "verbatim or modified", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", 95, 1.0),
+    ("cc0", "this deed", "the person who associated a work with this deed has dedicated the work to the public domain", 95, 1.0),
+    ("cc", "appropriate credit", "you must give appropriate credit provide a link to the license and indicate if changes were made", 92, 0.9),
+    ("ofl", "open font", "this font software is licensed under the sil open font license", 95, 1.0),
+    ("ms-pl", "source code form", "if you distribute any portion of the software in source code form you may do so only under this license", 92, 0.9),
+    ("psf", "making python", "psf is making python available to licensee on an as is basis", 95, 1.0),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 94, 0.95),
+    ("php", "includes php", "this product includes php software freely available from", 94, 0.95),
+    ("apache", "apache software", "this product includes software developed (?:by|at) the apache software foundation", 94, 0.9),
+    ("elastic", "managed service", "you may not provide the software to third parties as a hosted or managed service", 95, 1.0),
+    ("sspl", "as a service", "if you make the functionality of the program or a modified version available to third parties as a service", 95, 1.0),
+    ("busl", "non production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", 95, 1.0),
+    ("beerware", "whatever you want", "as long as you retain this notice you can do whatever you want with this stuff", 95, 1.0),
+    ("json", "not evil", "the software shall be used for good not evil", 95, 1.0),
+    ("ijg", "independent jpeg", "based in part on the work of the independent jpeg group", 94, 0.95),
+    ("proprietary", "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited", 92, 0.9),
+    ("proprietary", "confidential and proprietary", "this software is the confidential and proprietary information of", 92, 0.9),
+]
+
 #: Rules without a family.
 GENERIC = [
     ("public-domain", "public domain", r"(?:dedicated to|released into|in|placed in) the public domain", 50, 0.8),
@@ -129,7 +189,7 @@ GENERIC = [
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """Label, keyword, regex over the normalised line, priority, confidence: families by templates, then the rest."""
+    """Label, keyword, regex over the normalised line, priority, confidence: families by templates, signatures, then the rest."""
     version = r"\d{1,2}(?: \d{1,2}){0,2}"
     out = []
     for (label, keyword, name, identifier), (template, priority, confidence) in product(FAMILIES, TEMPLATES):
@@ -139,7 +199,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         word = identifier.split()[0] if "<id>" in template else keyword
         regex = template.replace("<name>", name).replace("<id>", identifier or "").replace("<v>", version)
         out.append((label, word, regex, priority, confidence))
-    out += GENERIC
+    out += SIGNATURES + GENERIC
     return [(label, word, rf"(?<= ){regex}(?= )", p, c) for label, word, regex, p, c in out]
 
 

@@ -225,7 +225,7 @@ def spelled(regex):
 def test_license_keywords_cover_every_alternative(spark):
     for label, keyword, name, identifier in license_scan.FAMILIES:
         assert all(keyword in x for x in spelled(name)), label
-    for label, keyword, regex, _, _ in license_scan.GENERIC:
+    for label, keyword, regex, _, _ in license_scan.GENERIC + license_scan.SIGNATURES:
         assert all(keyword in x for x in spelled(regex)), label
     names = {
         "expat": "mit", "x11": "mit", "internet systems consortium": "isc", "berkeley software distribution": "bsd",
@@ -239,6 +239,18 @@ def test_license_keywords_cover_every_alternative(spark):
     same_without_gates(spark, every)
 
 
+def test_license_signatures_of_texts_without_names(spark):
+    sentences = [(label, x) for label, _, regex, _, _ in license_scan.SIGNATURES for x in spelled(regex)]
+    shown = [x.title().replace(" ", ",\n  * ") for _, x in sentences]  # as a wrapped, punctuated comment
+    got = same_without_gates(spark, shown)
+    for i, (label, x) in enumerate(sentences):
+        assert label in got[i][0].split(","), x
+    # The longer of two texts that begin alike stands for both.
+    isc = next(i for i, (label, _) in enumerate(sentences) if label == "isc")
+    assert got[isc][0] == "isc"
+    same_without_gates(spark, [" ".join(x for _, x in sentences), "we hereby say that no warranty of third parties is not evil", "hereby\u0000granted"])
+
+
 def test_license_native_and_empty(odd, none):
     plan = license_scan.scan(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -11,7 +11,8 @@ Defined cases: of entries of one key at one time the one that takes it off count
 key, time or action is ignored; an interval is closed at its start and open at its end. A URL that is null or
 has no host meets no entry and is kept, and so is a capture without a time. Repeated captures get equal
 results; empty tables give an empty result, or one in which all is kept. Hosts are compared in lower
-case without port and user, paths as they are. Further columns of the captures are not looked at.
+case without port, user and dots at the end, paths as they are; a host of one label meets no entry. URLs of any length, with any
+number of labels and path parts, are taken whole. Further columns of the captures are not looked at.
 
 Equal pairs of URL and time are evaluated once, so a host with a third of all captures meets
 the list by its distinct pairs, and a list is broadcast only if it has few entries.
@@ -27,7 +28,8 @@ BROADCAST_ROWS = 100_000
 
 
 def lowered(key: Column) -> Column:
-    """The key with its host in lower case; its path stays."""
+    """The key with its host in lower case and without dots at its end; its path stays."""
+    key = F.regexp_replace(key, r"^([^/]*[^/.])\.+(?=/|$)", "$1")
     at = F.instr(key, "/")
     return F.when(at == 0, F.lower(key)).otherwise(F.concat(F.lower(F.substr(key, F.lit(1), at)), F.substr(key, at + 1)))
 
@@ -44,8 +46,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host(url: Column) -> Column:
-    """Lower-cased host without user and port; empty if there is none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    """Lower-cased host without user, port and dots at its end (the root of names); empty if there is none."""
+    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.lower(F.rtrim(found, F.lit(".")))
 
 
 def path_parts(url: Column) -> Column:
@@ -81,7 +84,8 @@ def match_keys(url: Column, most_labels: int, most_parts: int) -> Column:
         F.transform(
             suffixes,
             lambda s: F.transform(
-                paths, lambda p: F.struct(F.concat(s, p["path"]).alias("key"), (p["depth"] * 1000 + F.length(s)).alias("rank"))
+                paths,
+                lambda p: F.struct(F.concat(s, p["path"]).alias("key"), F.struct(p["depth"].alias("depth"), F.length(s).alias("length")).alias("rank")),
             ),
         )
     )

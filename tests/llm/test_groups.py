@@ -344,3 +344,20 @@ def test_url_filter_long_keys_and_cases(spark):
     assert [got[i] for i in range(len(asked))] == [entry for _, entry in asked]
     only_hosts = {r["page_id"]: r["entry"] for r in url_filter.evaluate(captures, listed.where("key = 'flat.io'"), keep=("page_id",)).collect()}
     assert [only_hosts[i] for i in range(len(asked))] == [None] * 6 + ["flat.io", None]
+
+
+def test_url_filter_dots_long_hosts_and_shuffled_lists(spark, monkeypatch):
+    at = datetime(2024, 1, 1)
+    far = "x" * 1500 + ".deep.org"
+    keys = ["bad.com", "Dotted.net.", "dotted.org./a.", far, "deep.org/p", "..."]
+    listed = spark.createDataFrame([(k, "c", None, True, at) for k in keys], "key string, category string, allow boolean, listed boolean, at timestamp")
+    asked = [("http://bad.com./x", "bad.com"), ("http://www.bad.com.:8080", "bad.com"), ("http://bad.com..", "bad.com"), ("http://dotted.net/", "dotted.net"),
+             ("http://dotted.org/a./b", "dotted.org/a."), ("http://dotted.org/a", None), (f"http://{far}/p/q", "deep.org/p"), (f"http://{far}/", far),
+             ("http://.../x", None), ("http://bad.com/" + "long/" * 5000, "bad.com")]
+    # Further columns with names that the join uses itself.
+    rows = [(i, u, at, "k", "c", 1) for i, (u, _) in enumerate(asked)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched timestamp, key string, category string, rank int")
+    for few in (url_filter.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", few)
+        got = {r["page_id"]: r["entry"] for r in url_filter.evaluate(captures, listed, keep=("page_id",)).collect()}
+        assert [got[i] for i in range(len(asked))] == [entry for _, entry in asked]

@@ -9,7 +9,7 @@ longer interval wins, of equal ones that of the higher priority, then the earlie
 rule. Three base phrases are counted apart and never suppressed.
 
 Defined cases: null and empty texts have no words, no places, null first and last
-words, empty labels and score 0. Rows are independent: repeated rows give equal
+words, empty labels and score 0. Texts of any length are taken whole. Rows are independent: repeated rows give equal
 results and an empty table an empty one. Further columns are not looked at.
 """
 

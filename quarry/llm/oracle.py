@@ -49,4 +49,75 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM worded LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
-ORACLE = {"op1_grid_join": _GRID, "op7_decontaminate": _HITS, "op10_minhash": _NEAR}
+_AUDIT = r"""WITH RECURSIVE texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT d.part, coalesce(good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+    (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END) ||
+    (CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]+', '', 'g')) > 10 * length(d.t) THEN 'C' ELSE '' END) ||
+    (CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > f.first THEN 'E' ELSE '' END) AS failed
+  FROM worded d JOIN firsts f ON f.t = d.t LEFT JOIN marks m ON m.doc_id = d.doc_id),
+grouped AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT l AS o FROM letters UNION ALL SELECT o || l FROM orders JOIN letters ON strpos(o, l) = 0),
+steps AS (
+  SELECT o AS filter_order, s AS step, substr(o, s, 1) AS l, substr(o, 1, s - 1) AS earlier FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+cells AS (
+  SELECT part, filter_order, step, l, n, good, toxic, failed, strpos(failed, l) > 0 AS here,
+    length(translate(failed, earlier, '')) < length(failed) AS gone FROM grouped CROSS JOIN steps),
+counted AS (
+  SELECT part, filter_order, step, l, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (here AND gone), 0) AS redundant, coalesce(sum(n) FILTER (failed = l), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (here AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0) AS toxic_lost
+  FROM cells GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley FROM counted"""
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LINES = f"""WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS place FROM split),
+keyed AS (SELECT *, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT d.doc_id, line, place, c.k IS NOT NULL AND c.last <> d.doc_id AS gone FROM keyed d LEFT JOIN common c ON c.k = d.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id"""
+
+_RETENTION = """WITH RECURSIVE bits AS (
+  SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+once AS (SELECT DISTINCT * FROM clicks),
+ids AS (SELECT DISTINCT x FROM (SELECT click_id AS x FROM once UNION ALL SELECT client_id FROM once) WHERE x IS NOT NULL),
+summed AS (
+  SELECT x, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(x AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, d: xor(c >> 8, t[CAST(xor(c & 255, d) AS INTEGER) + 1])), 4294967295) AS crc FROM ids, crcs),
+known AS (
+  SELECT client_id, ts, kind, CASE WHEN value IS NULL OR NOT isfinite(value) THEN 0 ELSE CAST(floor(100 * value + 0.5) AS BIGINT) END AS cents, s.state
+  FROM once c LEFT JOIN summed h ON h.x = c.click_id, (SELECT unnest([0, 1]) AS state) s
+  WHERE ts IS NOT NULL AND client_id IS NOT NULL AND
+    (s.state = 1 OR arrived_at + to_days(CAST(CASE WHEN h.crc % 3 = 0 THEN h.crc % 100 ELSE 0 END AS INTEGER)) < TIMESTAMP '2024-03-01 00:00:00')),
+starts AS (SELECT state, client_id, min(ts) AS start FROM known WHERE kind = 'purchase' GROUP BY ALL),
+cohorts AS (SELECT *, CAST(floor(floor(epoch_us(start) / 86400000000) / 3) AS BIGINT) AS cohort FROM starts),
+moved AS (
+  SELECT client_id, CASE WHEN count(*) = 2 AND min(cohort) <> max(cohort) THEN 1 ELSE 0 END AS moved FROM cohorts GROUP BY client_id),
+facts AS (
+  SELECT k.state, k.client_id, cohort, (epoch_us(ts) - epoch_us(start)) // 259200000000 AS period, sum(cents) AS cents
+  FROM known k JOIN cohorts s ON s.state = k.state AND s.client_id = k.client_id WHERE ts >= start GROUP BY ALL),
+cities AS (SELECT client_id, coalesce(min(city), '') AS city FROM clients GROUP BY client_id)
+SELECT CAST(f.state AS INTEGER) AS state, coalesce(city, '') AS segment, cohort, CAST(period AS BIGINT) AS period, count(*) AS users,
+  CAST(sum(h.crc) AS BIGINT) AS users_crc32, CAST(sum(m.moved) AS BIGINT) AS moved, CAST(sum(cents) AS BIGINT) AS cents
+FROM facts f JOIN moved m ON m.client_id = f.client_id JOIN summed h ON h.x = f.client_id LEFT JOIN cities c ON c.client_id = f.client_id
+GROUP BY f.state, coalesce(city, ''), cohort, period"""
+
+ORACLE = {
+    "op1_grid_join": _GRID,
+    "op7_decontaminate": _HITS,
+    "op10_minhash": _NEAR,
+    "op11_filter_audit": _AUDIT,
+    "op12_line_dedup": _LINES,
+    "op13_retention": _RETENTION,
+}

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from quarry.llm import (
     byte_bpe,
     decontaminate,
+    filter_audit,
     grid_join,
     language_id,
     license_scan,
+    line_dedup,
     minhash,
     oracle,
     quality,
+    retention,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -102,6 +105,19 @@ def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    found = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_retention(spark, sf_dir):
+    return retention.matrix(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
+
+
 def queries() -> dict:
     return {
         "op1_grid_join": op1_grid_join,
@@ -114,6 +130,9 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_minhash": op10_minhash,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_retention": op13_retention,
     }
 
 

@@ -1,6 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-A document's set holds its distinct shingles of five words. Documents with equal sets form
+A document's set holds its distinct shingles of five words, told apart by hashes of their words under a key that is
+new for every call, so no text can be made to collide. Documents with equal sets, by a digest of all shingles' bytes, form
 a class, and only classes go on. A class's signature is cut into bands; classes that agree in a band
 share a bucket and are candidates. Signatures are compared batch by batch: after n
 hashes, m of them equal, the posterior of the similarity (uniform prior) is a beta distribution, and a
@@ -11,8 +12,8 @@ No bucket is expanded into all its pairs. First every class meets the most centr
 of its buckets, and the most similar of these is verified; what is verified is
 contracted. Then, in buckets that still hold several components, the members outside the largest one (strangers) are
 compared with all members of other components, in blocks of bounded size, each pair in the first bucket that it shares.
-Members with a survivor come back to their block with their sets, and survivors are verified there, against full sets of keyed 64-bit hashes of
-the shingles' bytes; only a spanning forest of the links leaves a block. So a pair of a bucket is left out only if both ends are known to be
+Members with a survivor come back to their block with their sets, and survivors are verified there, against full sets of 64-bit hashes under a second
+key; only a spanning forest of the links leaves a block. So a pair of a bucket is left out only if both ends are known to be
 connected, and no row is made for a pair.
 
 Defined cases: documents that are null, empty or without words have no set and link with
@@ -24,16 +25,18 @@ are shingled whole; further columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, bounded, buffers, ddl, dropped, freed, pieces, written
+from quarry.llm.common import as_bytes, bounded, ddl, dropped, freed, pieces, written
 from quarry.llm.components import components
 
 SHINGLE = 5
@@ -45,82 +48,79 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Members of a bucket that are compared at a time, each counted once for every HEAVY shingles that it has.
 BLOCK, HEAVY = 1024, 1024
-#: Words of more bytes are hashed one by one.
-LONG_WORD = 32
-
-#: Key of the hashes of long words and of shingles that links are confirmed on.
-KEY = 0x5851F42D4C957F2D
-
-_FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-_LOWER = bytes(_FOLD.tobytes())
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Hashes of words that a task remembers.
+REMEMBERED = 1 << 18
+
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _rng = np.random.RandomState(20)
 _PLACE = _rng.randint(1, 1 << 62, SHINGLE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES = (_rng.randint(0, 1 << 31, HASHES).astype(np.uint32) << np.uint32(1)) + np.uint32(1)
 _PLUS = _rng.randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2)
 
 
-def _powers(base: int, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
-    """1, base, base^2 ... modulo 2^64, remembered."""
-    if base not in _kept or len(_kept[base]) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _kept[base] = np.cumprod(steps, dtype=np.uint64)
-    return _kept[base][:n]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of all texts, and the first word's number of each text."""
-    data = _FOLD[raw]
-    solid = ~_BLANK[data]
-    before = np.concatenate([[False], solid[:-1]])
-    heads = offsets[:-1][offsets[:-1] < len(data)]
-    before[heads] = False
-    starts = np.flatnonzero(solid & ~before)
-    after = np.concatenate([solid[1:], [False]])
-    after[offsets[1:-1][offsets[1:-1] > 0] - 1] = False
-    if len(data):
-        after[-1] = False
-    ends = np.flatnonzero(solid & ~after) + 1
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64, out=total[1:])
-    hashes = (total[ends] - total[starts]) * _powers(_INVERSE, n + 1)[starts]
-    hashes = _mix(hashes + (ends - starts).astype(np.uint64))
-    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=KEY)
-    return hashes, np.searchsorted(starts, offsets)
-
-
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    words, first = word_hashes(raw, offsets)
-    m = max(0, len(words) - SHINGLE + 1)
+class Words(dict):
+    """BLAKE2b of words under a secret key, as 64-bit numbers; those of shorter words are remembered."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def shingle_sets(texts: list[bytes], words: Words) -> list[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """The sorted distinct shingle hashes of each text, the word where each first starts, and the text's words.
+
+    A hash is a sum of the words' hashes by place, so it is as secret as they are.
+    """
+    listed = [text.translate(_LOWER).split() for text in texts]  # bytes are split at 20 and 09 to 0D
+    ends = np.cumsum([len(w) for w in listed])
+    hashes = np.fromiter(map(words.__getitem__, chain.from_iterable(listed)), np.uint64, int(ends[-1]) if len(ends) else 0)
+    m = max(0, len(hashes) - SHINGLE + 1)
     rolled = np.zeros(m, np.uint64)
     for j in range(SHINGLE):
-        rolled += words[j : j + m] * _PLACE[j]
+        rolled += hashes[j : j + m] * _PLACE[j]
     rolled = _mix(rolled)
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(np.unique(rolled[a : b - SHINGLE + 1]))
-        elif b > a:
-            short = xxhash.xxh3_64_intdigest(words[a:b].tobytes(), seed=b - a)
-            out.append(np.array([short], np.uint64))
+    for own, b in zip(listed, ends.tolist(), strict=True):
+        n = len(own)
+        a = b - n
+        if n >= SHINGLE:
+            out.append((*np.unique(rolled[a : b - SHINGLE + 1], return_index=True), own))
+        elif n:
+            short = (hashes[a:b] * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n)
+            out.append((_mix(np.array([short], np.uint64)), np.zeros(1, np.int64), own))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64), own))
     return out
 
 
+def set_digest(places: np.ndarray, words: list[bytes]) -> bytes | None:
+    """BLAKE2b of the bytes of the shingles that start at some words, in this order; null if there are none.
+
+    In the order of their hashes equal sets give equal bytes; and equal bytes are equal sets, whatever the hashes are.
+    """
+    if not len(places):
+        return None
+    ends = np.cumsum([len(w) + 1 for w in words])
+    line, starts = b" ".join(words), np.concatenate([[0], ends[:-1]])
+    last = np.minimum(places + SHINGLE, len(words)) - 1
+    held = [line[a:b] for a, b in zip(starts[places].tolist(), (ends[last] - 1).tolist(), strict=True)]
+    return hashlib.blake2b(b"\n".join(held), digest_size=16).digest()
+
+
 def signature(hashes: np.ndarray) -> bytes:
     """The low 16 bits of the least value under each of HASHES permutations."""
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
@@ -131,25 +131,31 @@ def signature(hashes: np.ndarray) -> bytes:
     return (least & np.uint32(0xFFFF)).astype("<u2").tobytes()
 
 
-def signed(docs: DataFrame, id_col: str) -> DataFrame:
+def text_hash() -> Column:
+    """16 bytes of SHA-256 of the text."""
+    return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+
+
+def signed(docs: DataFrame, id_col: str, key: bytes) -> DataFrame:
     """id, at (the text's hash), n_shingles, hash of the set (null if it is empty), signature."""
 
     def run(batches):
+        words = Words(key)
         for part in pieces(batches, "text"):
-            sets = shingle_sets(*buffers(part.column(2)))
+            sets = shingle_sets(as_bytes(part.column(2)), words)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([len(s) for s, _, _ in sets], pa.int64()),
+                    pa.array([set_digest(at, own) for _, at, own in sets], pa.binary()),
+                    pa.array([signature(s) if len(s) else None for s, _, _ in sets], pa.binary()),
                 ],
                 [id_col, "at", "n_shingles", "hash", "sig"],
             )
 
-    return docs.select(id_col, F.xxhash64("text").alias("at"), "text").mapInArrow(
-        run, f"`{id_col}` {ddl(docs, id_col)}, at bigint, n_shingles bigint, hash binary, sig binary"
+    return docs.select(id_col, text_hash().alias("at"), "text").mapInArrow(
+        run, f"`{id_col}` {ddl(docs, id_col)}, at binary, n_shingles bigint, hash binary, sig binary"
     )
 
 
@@ -192,15 +198,6 @@ def exact_set(text: bytes) -> set:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
-def exact_hashes(text: bytes) -> np.ndarray:
-    """Sorted distinct keyed hashes of the shingles' bytes, the same shingles as in exact_set."""
-    words = _WORD.findall(text.translate(_LOWER))
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    line, starts = b" ".join(words), [0, *ends[:-1]]
-    found = [xxhash.xxh3_64_intdigest(line[a : b - 1], seed=KEY) for a, b in zip(starts, ends[SHINGLE - 1 :] or ends[-1:], strict=False)]
-    return np.unique(np.array(found, np.uint64))
-
-
 def linked(a: set, b: set) -> bool:
     both = len(a & b)
     return bool(a and b) and OF * both >= SIMILAR * (len(a) + len(b) - both)
@@ -209,7 +206,7 @@ def linked(a: set, b: set) -> bool:
 def _texts(buckets: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """key, text: one text for each class that shares a bucket."""
     wanted = buckets.select("key").distinct().join(classes.select("key", "at"), "key")
-    texts = docs.select(F.xxhash64("text").alias("at"), "text").where(F.col("text").isNotNull())
+    texts = docs.select(text_hash().alias("at"), "text").where(F.col("text").isNotNull())
     # Equal texts have one hash, and each class has one hash here.
     # One plan at every size: what small tables show holds for large ones.
     found = written(texts.join(wanted.hint("merge"), "at").select("key", "text").dropDuplicates(["key"]), "texts")
@@ -375,7 +372,7 @@ def _tasks(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return side(rows.where("root <> main"), "s", "g", True).unionByName(side(rows, "g", "s", False))
 
 
-def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, texts: DataFrame, key: bytes) -> DataFrame:
     """Links u, v that connect components which share a bucket and hold a pair that is similar enough."""
     rows = written(_tasks(buckets, roots).join(classes.select("key", "sig"), "key"), "tasks")
     columns = ["task", "stranger", "band", "key", "root", "sig"]
@@ -406,8 +403,9 @@ def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, te
     texts = texts.join(alive.select("key").distinct(), "key", "left_semi")
 
     def sets(batches):
+        words = Words(key)
         for part in pieces(batches, "text"):
-            found = [exact_hashes(x) for x in as_bytes(part.column(1))]
+            found = [x for x, _, _ in shingle_sets(as_bytes(part.column(1)), words)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "members"]
             )
@@ -420,7 +418,7 @@ def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, te
     return found
 
 
-def _grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, docs: DataFrame, key: bytes) -> DataFrame:
     """hash, root: the component of every set, from marks (at, n_shingles, hash, sig) of docs (text)."""
     classes = rows.where(F.col("hash").isNotNull()).groupBy("hash")
     classes = classes.agg(F.min("at").alias("at"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
@@ -433,7 +431,7 @@ def _grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
     dropped(star)
     texts = _texts(buckets, docs, classes)
     links = _verified(best, texts)
-    more = _residual_links(buckets, classes, components(links), texts)
+    more = _residual_links(buckets, classes, components(links), texts, hashlib.blake2b(key).digest()[:16])
     for gone in (best, buckets, texts):
         dropped(gone)
     roots = components(links.unionByName(more))
@@ -444,11 +442,15 @@ def _grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return members
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
+    """A row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's).
+
+    key: the secret of the hashes, of up to 64 bytes; a new one for each call if there is none.
+    """
+    key = key or os.urandom(16)
     base = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = written(signed(base, "id"), "marks")
-    members = _grouped(rows, base)
+    rows = written(signed(base, "id", key), "marks")
+    members = _grouped(rows, base, key)
     marks, rows = rows, written(rows.select("id", "n_shingles", "hash").join(members, "hash", "left").drop("hash"), "standing")
     dropped(marks)
     dropped(members)
@@ -462,19 +464,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """One row, with all its columns, for each group: of the smallest id, of its texts the one with the smallest hash.
 
     Where a whole group has no id, that hash alone decides. Texts without shingles are in no group; of their rows with
     equal id and text one stays, as everywhere.
     """
+    key = key or os.urandom(16)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     kept = docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
     kept = written(kept, "rows")  # numbers stay the same once they are written
     own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     base = bounded(kept).select(F.struct("row", F.col(own).alias("id")).alias("id"), F.col(text).alias("text"))
-    marks = written(signed(base, "id"), "marks")
-    members = _grouped(marks, base)
+    marks = written(signed(base, "id", key), "marks")
+    members = _grouped(marks, base, key)
     rows = marks.select("id.row", "id.id", "at", "hash").join(members, "hash", "left")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at", "row"))["row"].alias("row")
     grouped = rows.where("root is not null").groupBy("root").agg(first).select("row")

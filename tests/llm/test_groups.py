@@ -235,9 +235,7 @@ def test_blocks_find_what_links():
         w = list(base)
         for _ in range(rng.randint(1, 8)):
             w[rng.randrange(100)] = rng.choice(vocabulary)
-        import pyarrow as pa
-
-        sets += minhash.shingle_sets(*minhash.buffers(pa.array([" ".join(w)])))
+        sets += [x for x, _, _ in minhash.shingle_sets([" ".join(w).encode()], minhash.Words(b"k"))]
     sigs = [minhash.signature(s) for s in sets]
     links = []
     for band in range(minhash.BANDS):
@@ -266,18 +264,30 @@ def test_minhash_tasks_grow_with_strangers(spark):
     assert rows[False] == n + 1 and rows[True] <= n // minhash.BLOCK + 1
 
 
-def test_hashes_of_crafted_words_differ():
-    """Thue-Morse strings have one polynomial hash modulo 2^64 at any base."""
+def test_hashes_of_crafted_words_differ(spark):
+    """Thue-Morse strings have one polynomial hash modulo 2^64 at any base, and two words that once had one hash here."""
     one, two = b"a", b"b"
     for _ in range(11):
         one, two = one + two, two + one
-    import pyarrow as pa
-
-    a, b = minhash.shingle_sets(*minhash.buffers(pa.array([one.decode(), two.decode()])))
-    assert a[0] != b[0] and minhash.exact_hashes(one)[0] != minhash.exact_hashes(two)[0]
-    text = "One two  THREE four\nfive six seven"
-    assert len(minhash.exact_hashes(text.encode())) == len(minhash.exact_set(text.encode())) == 3
-    assert len(minhash.exact_hashes(b"a b")) == 1 and len(minhash.exact_hashes(b" \n")) == 0
+    for x, y in ((one, two), (b"aaaaaabeaacbacdbeaacabba", b"bdcbcaaacaaadaaaaacacaaa")):
+        words = minhash.Words(b"k")
+        assert words[x] != words[y] and words[x] == minhash.Words(b"k")[x] != minhash.Words(b"l")[x]
+        docs = spark.createDataFrame([(1, " ".join([x.decode()] * 6)), (2, " ".join([y.decode()] * 6))], "doc_id long, text string")
+        assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {1, 2}
+
+
+def test_sets_and_digests():
+    words = minhash.Words(b"k")
+    digest = lambda text: minhash.set_digest(*minhash.shingle_sets([text], words)[0][1:])
+    for text in (b"One two  THREE four\nfive six seven", b"a b", b" \n", b"", b"x " * 20, b"a b c d e"):
+        assert len(minhash.shingle_sets([text], words)[0][0]) == len(minhash.exact_set(text))
+    assert digest(b"A b c d e") == digest(b"\ta b  c d E ") != digest(b"a b c d f")
+    assert digest(b"x " * 20) == digest(b"x " * 30) and digest(b" ") is None
+    # One set of shingles in two orders, by a circle of words that is entered at two places.
+    circle = b"p q r s t u v w "
+    assert digest(circle * 2 + b"p q r s") == digest((circle * 4)[6:]) and digest(b"a b") != digest(b"b a")
+    # Two shingles whose hashes are equal only by mistake keep classes apart: equal bytes are equal sets.
+    assert minhash.set_digest(np.array([0]), [b"a", b"b"]) != minhash.set_digest(np.array([0]), [b"a", b"c"])
 
 
 def test_minhash_representatives(odd, none):

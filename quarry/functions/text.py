@@ -13,6 +13,8 @@ STRIP = rf"\A{BLANKS}+|{BLANKS}+\z"
 TOKEN = "[a-z0-9]+"
 #: Fixed value: where splitting into lines cuts.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+#: The same without what the text reader cuts at.
+OTHER_BREAK = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def let(value: Column, body) -> Column:

@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, Settings
 from quarry.functions.text import strip
-from quarry.operators import bm25, fusion, generate, prompts, vectors
-from quarry.sources import readers, sinks
+from quarry.operators import fusion, generate, postings, prompts, vectors
 
 
 def build(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None, settings: Settings = DEFAULT) -> None:
-    """Replace the index at a path by chunks (id, ord, pdf_name, text) with their vectors."""
+    """Replace the index at a path by chunks (id, ord, pdf_name, text): their texts, vectors and postings."""
+    postings.build(_embedded(chunks, embedder, settings), path)
+
+
+def append(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None, settings: Settings = DEFAULT) -> None:
+    """Add chunks to the index as a segment; answers are those of an index that is built of all."""
+    postings.append(_embedded(chunks, embedder, settings), path)
+
+
+def _embedded(chunks: DataFrame, embedder: vectors.Embedder | None, settings: Settings) -> DataFrame:
     embedder = embedder or vectors.HashingEmbedder(settings.dims)
-    known = vectors.embed(chunks, embedder, "id", "text", keep=("ord", "pdf_name"))
-    sinks.index(chunks.select("id", "text").join(known, "id"), path)
+    return vectors.embed(chunks, embedder, "id", "text", keep=("ord", "pdf_name", "text"))
 
 
-def opened(spark: SparkSession, path: str) -> DataFrame:
-    if not sinks.exists(spark, path):
-        raise FileNotFoundError(f"no index at {path}; build it first")
-    return readers.vectors(spark, path)
+def opened(spark: SparkSession, path: str) -> postings.Index:
+    """The index as it is now; an error if there is none."""
+    return postings.Index(spark, path)
 
 
 def asked(questions: DataFrame) -> DataFrame:
@@ -30,12 +36,13 @@ def asked(questions: DataFrame) -> DataFrame:
 
 
 def prompted(questions: DataFrame, path: str, kind: str = "cli", embedder: vectors.Embedder | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """qid, question, sources (rank, chunk_id, pdf_name, text), prompt, by hybrid retrieval from the index."""
+    """qid, question, sources (rank, chunk_id, pdf_name, text), prompt, by hybrid retrieval from the index; no text of it is tokenised."""
     embedder = embedder or vectors.HashingEmbedder(settings.dims)
     index, real = opened(questions.sparkSession, path), asked(questions)
-    near = vectors.topk(vectors.embed(real, embedder, "qid", "question"), index, settings.k_sem)
-    fused = fusion.rrf(near, bm25.topk(real, index, settings.k_bm25, settings=settings), settings)
-    found = fusion.with_texts(fused, index, ("pdf_name", "text"), settings)
+    chunks = index.chunks()
+    near = vectors.topk(vectors.embed(real, embedder, "qid", "question"), chunks, settings.k_sem)
+    fused = fusion.rrf(near, postings.topk(real, index, settings.k_bm25, settings=settings), settings)
+    found = fusion.with_texts(fused, chunks, ("pdf_name", "text"), settings)
     source = F.struct("rank", F.col("id").cast("string").alias("chunk_id"), "pdf_name", "text")
     found = found.groupBy("qid").agg(F.array_sort(F.collect_list(source)).alias("sources")).join(real, "qid")
     return found.select("qid", "question", "sources", prompts.question_prompt(kind, F.col("question"), F.col("sources")).alias("prompt"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, Settings
 from quarry.functions.text import tokens
+from quarry.operators.order import numbered
 from quarry.sources.scratch import scratch
 
 #: Distinct question terms that may be broadcast; more are joined by shuffle.
@@ -32,7 +33,11 @@ def corpus_stats(corpus: DataFrame, text_col: str = "text") -> DataFrame:
 
 def term_stats(corpus: DataFrame, text_col: str = "text", settings: Settings = DEFAULT) -> DataFrame:
     """term, df, idf: a negative idf is replaced by epsilon times the mean of all raw ones."""
-    terms = corpus.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+    return _idf(corpus.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")), corpus, settings)
+
+
+def _idf(terms: DataFrame, corpus: DataFrame, settings: Settings) -> DataFrame:
+    """term, df, idf from each text's distinct terms."""
     counted = terms.groupBy("term").agg(F.count("*").alias("df"))
     n = corpus.agg(F.count("*").cast("double").alias("n_docs"))
     raw = counted.crossJoin(F.broadcast(n)).select(  # one row
@@ -43,6 +48,11 @@ def term_stats(corpus: DataFrame, text_col: str = "text", settings: Settings = D
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))  # one row
 
 
+def _average(texts: DataFrame) -> DataFrame:
+    """One row: avgdl of texts by their tokens t."""
+    return texts.agg(F.avg(F.coalesce(F.size("t"), F.lit(0)).cast("double")).alias("avgdl"))
+
+
 def question_terms(questions: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:
     """qid, term, qtf: a term that a question repeats counts as often."""
     return questions.select(F.col(qid), F.explode(tokens(F.col(text))).alias("term")).groupBy(qid, "term").agg(
@@ -58,18 +68,16 @@ def topk(
     Always min(k, corpus) rows: texts without any term of the question score 0, and ties go
     by corpus order. Scores that agree to 9 digits are ties.
     """
+    # Tokens are found once: the statistics, the lengths and the frequencies all read them.
+    texts = _written(corpus.select("id", F.col(order_col).alias("ord"), tokens(F.col("text")).alias("t")), "tokens")
     asked = question_terms(questions)
     distinct = asked.select("term").distinct()
     few = distinct.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    stats = term_stats(corpus, settings=settings).join(F.broadcast(distinct) if few else distinct, "term", "left_semi")
-    all_tokens = tokens(F.col("text"))
-    texts = corpus.select("id", F.col(order_col).alias("ord"), all_tokens.alias("t"))
-    texts = texts.select("id", "ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    held = texts.join(F.broadcast(distinct) if few else distinct, "term", "left_semi")
+    known = F.broadcast(distinct) if few else distinct
+    stats = _idf(texts.select(F.explode(F.array_distinct("t")).alias("term")), texts, settings).join(known, "term", "left_semi")
+    held = texts.select("id", "ord", F.size("t").alias("dl"), F.explode("t").alias("term")).join(known, "term", "left_semi")
     freq = held.groupBy("id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
-    weighted = freq.join(F.broadcast(stats) if few else stats, "term").crossJoin(
-        F.broadcast(corpus_stats(corpus).select("avgdl"))  # one row
-    )
+    weighted = freq.join(F.broadcast(stats) if few else stats, "term").crossJoin(F.broadcast(_average(texts)))  # one row
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (settings.k1 + 1.0) / (
         tf + settings.k1 * (1.0 - settings.b + settings.b * F.col("dl") / F.col("avgdl"))
@@ -77,21 +85,36 @@ def topk(
     scored = weighted.select("id", "ord", "term", part.alias("part")).join(F.broadcast(asked) if few else asked, "term")
     scored = scored.groupBy("qid", "id", "ord").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 9).alias("score"))
     # Written once: the totals, the blanks and the ranks all read it.
-    path = scratch(corpus.sparkSession, "scored")
-    scored.write.parquet(path)
-    return _ranked(corpus.sparkSession.read.schema(scored.schema).parquet(path), questions, corpus, k, order_col)
+    return ranked(_written(scored, "scored"), questions, texts, k, "ord")
 
 
-def _ranked(scored: DataFrame, questions: DataFrame, corpus: DataFrame, k: int, order_col: str) -> DataFrame:
-    # Zeros only show where fewer than k texts score above 0. Of a question with m scored
-    # texts, the first k others are among the first k + m of the corpus.
-    totals = scored.groupBy("qid").agg(F.count("*").alias("m"), F.count_if(F.col("score") > 0).alias("good"))
+def _written(rows: DataFrame, tag: str) -> DataFrame:
+    path = scratch(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def ranked(scored: DataFrame, questions: DataFrame, corpus: DataFrame, k: int, order_col: str) -> DataFrame:
+    """qid, id, ord, bm25_rank, score: the k best of scored (qid, id, ord, score), filled up with zeros from the head of corpus (id, order_col).
+
+    Zeros only show where fewer than k texts score above 0. Of a question with m texts that score above or below 0, the first k others are
+    among the first k + m of the corpus; m is k at most unless scores are negative, and then it is a part of the scored rows.
+    """
+    totals = scored.groupBy("qid").agg(F.count_if(F.col("score") != 0).alias("m"), F.count_if(F.col("score") > 0).alias("good"))
     short = questions.select("qid").distinct().join(totals, "qid", "left").where(F.coalesce("good", F.lit(0)) < k)
-    most = short.agg(F.max(F.coalesce("m", F.lit(0)))).first()[0]
+    short = short.select("qid", F.coalesce("m", F.lit(0)).alias("m"))
+    most = short.agg(F.max("m")).first()[0]
     if most is not None:
-        head = corpus.select("id", F.col(order_col).alias("ord")).orderBy("ord").limit(k + int(most))
-        blank = short.select("qid").crossJoin(head).join(scored.select("qid", "id"), ["qid", "id"], "left_anti")
-        scored = scored.select("qid", "id", "ord", "score").unionByName(blank.withColumn("score", F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord"))
-    ranked = scored.withColumn("bm25_rank", rank).where(F.col("bm25_rank") <= k)
-    return ranked.select("qid", "id", "ord", "bm25_rank", F.round("score", 6).alias("score"))
+        places = short.select("qid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") + k - 1)).alias("n"))
+        head = corpus.select("id", F.col(order_col).alias("ord"))
+        if most <= k:
+            first = head.orderBy("ord", "id").limit(2 * k)
+            head = first.withColumn("n", (F.row_number().over(Window.orderBy("ord", "id")) - 1).cast("bigint"))  # 2 k rows
+        else:
+            head = numbered(head, ["ord", "id"])
+        blank = places.join(head, "n").join(scored.where("score <> 0").select("qid", "id"), ["qid", "id"], "left_anti")
+        zeros = scored.where("score = 0").select("qid", "id", "ord").unionByName(blank.select("qid", "id", "ord")).distinct()
+        scored = scored.where("score <> 0").select("qid", "id", "ord", "score").unionByName(zeros.withColumn("score", F.lit(0.0)))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ord", "id"))
+    out = scored.withColumn("bm25_rank", rank).where(F.col("bm25_rank") <= k)
+    return out.select("qid", "id", "ord", "bm25_rank", F.round("score", 6).alias("score"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT
 from quarry.functions.text import LINE_BREAK, after, before, strip
+from quarry.operators.order import numbered
+from quarry.sources import readers, sinks
 
 #: The layout of a transcript.
 BLOCK_RULE = "=" * 80
@@ -40,11 +42,8 @@ def questions_strict(lines: DataFrame) -> DataFrame:
 
 
 def questions_lenient(lines: DataFrame) -> DataFrame:
-    """pos, qid, question of all lines in order; an unnumbered line's number is its position, duplicates stay.
-
-    Positions need the whole file in order; a file of questions is small.
-    """
-    rows = _numbered(lines).withColumn("pos", F.row_number().over(Window.orderBy("line_no")))
+    """pos, qid, question of all lines in order; an unnumbered line's number is its position, duplicates stay."""
+    rows = numbered(_numbered(lines), ["line_no"], "pos", start=1).withColumn("pos", F.col("pos").cast("int"))
     return rows.select("pos", F.coalesce("number", "pos").alias("qid"), F.coalesce("rest", "text").alias("question"))
 
 
@@ -58,14 +57,51 @@ def frozen_contexts(questions: DataFrame, frozen: DataFrame, chunks: DataFrame)
     A number without a question is an error; unknown chunks drop out. Repeated ids and numbers count by their
     last row, given by `ord` where the table has it.
     """
+    return _contexts(questions, frozen, chunks).drop("missing")
+
+
+def _contexts(questions: DataFrame, frozen: DataFrame, chunks: DataFrame) -> DataFrame:
+    """frozen_contexts with missing, the ids that no chunk has."""
     known = dedupe_last(chunks, "id", "ord") if "ord" in chunks.columns else chunks
-    found = _asked(frozen).join(known.withColumnRenamed("id", "chunk_id"), "chunk_id")
-    found = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "pdf_name", "text"))).alias("s"))
-    sources = F.transform(F.coalesce("s", F.array()), lambda x: F.struct(x["chunk_id"], x["pdf_name"], x["text"]))
-    rows = frozen.select("qid").join(questions, "qid", "left").join(found, "qid", "left")
+    known = known.select(F.col("id").alias("chunk_id"), F.lit(True).alias("known"), "pdf_name", "text")
+    found = _asked(frozen).join(known, "chunk_id", "left")
+    found = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "pdf_name", "text", "known"))).alias("s"))
+    sources = F.transform(F.filter("s", lambda x: x["known"].isNotNull()), lambda x: F.struct(x["chunk_id"], x["pdf_name"], x["text"]))
+    missing = F.transform(F.filter("s", lambda x: x["known"].isNull()), lambda x: x["chunk_id"])
+    rows = frozen.select("qid").join(questions, "qid", "left").join(found.select("qid", sources.alias("sources"), missing.alias("missing")), "qid", "left")
     failed = F.raise_error(F.concat(F.lit("no question for number "), F.col("qid").cast("string")))
     question = F.when(F.coalesce("question", F.lit("")) == "", failed).otherwise(F.col("question"))
-    return rows.select("qid", question.alias("question"), sources.alias("sources"))
+    return rows.select("qid", question.alias("question"), *(F.coalesce(c, F.array()).alias(c) for c in ("sources", "missing")))
+
+
+class MissingChunks(ValueError):
+    """Frozen ids that no chunk has; what could be written is written. report holds the counts."""
+
+    def __init__(self, report: dict):
+        super().__init__(f"{report['n_missing']} chunk ids of {report['n_short']} questions are unknown, the first is {report['first']}")
+        self.report = report
+
+
+def write_contexts(questions: DataFrame, frozen: DataFrame, chunks: DataFrame, path: str, strict: bool = True) -> dict:
+    """Write frozen_contexts as JSON lines and count in the same job what is missing: n_contexts, n_sources, n_missing, n_short and
+    first (number and id of the first one that is missing, null for none).
+
+    The output is complete first; then, if strict, missing chunks are an error. missing_chunks lists all of them.
+    """
+    seen = Observation()
+    size = lambda c: F.sum(F.size(c))
+    first = F.min(F.when(F.size("missing") > 0, F.struct("qid", F.try_element_at("missing", F.lit(1)).alias("chunk_id"))))
+    rows = _contexts(questions, frozen, chunks).observe(
+        seen, F.count("*").alias("n_contexts"), size("sources").alias("n_sources"), size("missing").alias("n_missing"),
+        F.count_if(F.size("missing") > 0).alias("n_short"), first["qid"].alias("first_qid"), first["chunk_id"].alias("first_id"),
+    )
+    sinks.jsonl(rows.drop("missing"), path, single=False)
+    found = seen.get
+    report = {n: found[n] or 0 for n in ("n_contexts", "n_sources", "n_missing", "n_short")}
+    report["first"] = (found["first_qid"], found["first_id"]) if report["n_missing"] else None
+    if strict and report["n_missing"]:
+        raise MissingChunks(report)
+    return report
 
 
 def missing_chunks(frozen: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -97,6 +133,12 @@ def transcript_blocks(runs: DataFrame, keep: tuple = ()) -> DataFrame:
     )
 
 
+def transcript_file(spark: SparkSession, path: str) -> DataFrame:
+    """block_no (from 1), block of a transcript's blocks that hold an answer; a large file is cut at the rules between them."""
+    found = readers.parts(spark, path, BLOCK_RULE, F.contains(F.col("value"), F.lit(ANSWER_MARK)))
+    return found.select(F.col("part_no").alias("block_no"), strip(F.col("value")).alias("block"))
+
+
 def parsed_block(block: Column) -> tuple[Column, Column]:
     """Answer and sources (label, chunk_id, pdf_name, snippet) of a block; without the second mark neither."""
     both = F.contains(block, F.lit(SOURCES_MARK))

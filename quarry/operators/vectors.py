@@ -1,7 +1,7 @@
-"""Embedding of texts and exact nearest vectors for a stated set of queries.
+"""Embedding of texts, and exact nearest vectors for a few queries.
 
-Queries come in blocks of bounded size, which are broadcast; each batch of the corpus is compared with a block by
-one product of matrices and hands on only its own k nearest per query.
+A few queries are broadcast; each batch of the corpus is compared with them by one product of matrices and hands on only
+its own k nearest per query. More queries meet the corpus in a join (nearest).
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.config import DEFAULT
+from quarry.operators import nearest
 
-#: Queries in a broadcast block, and rows of a batch that are compared at a time.
+#: Queries that may be broadcast, and rows of a batch that are compared at a time.
 BLOCK, ROWS = 4096, 2048
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -69,32 +70,32 @@ def embed(texts: DataFrame, embedder: Embedder, id_col: str = "id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], vectors], [id_col, *keep, "vector"])
 
     kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in (id_col, *keep))
-    return texts.select(id_col, text_col, *keep).mapInArrow(run, f"{kinds}vector array<double>")
+    return texts.select(id_col, F.col(text_col).alias("_text"), *keep).mapInArrow(run, f"{kinds}vector array<double>")
 
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.k_sem) -> DataFrame:
     """qid, id, sem_rank, distance: the k nearest of corpus (id, ord, vector) to each of queries (qid, vector).
 
     Squared Euclidean distance in double precision; those that agree to 9 digits are ties, by corpus order. Null and
-    empty vectors, and those of another length, have no neighbours.
+    empty vectors, and those of another length, have no neighbours. BLOCK queries or fewer are broadcast and the corpus is read once, without a
+    shuffle; more of them are joined by nearest.topk.
     """
-    rows = [(q, np.asarray(v, float)) for q, v in queries.select("qid", "vector").toLocalIterator() if v]
+    rows = [(q, np.asarray(v, float)) for q, v in queries.select("qid", "vector").limit(BLOCK + 1).collect() if v and None not in v]
+    if len(rows) > BLOCK:
+        return nearest.topk(queries, corpus, k)
+    block = queries.sparkSession.sparkContext.broadcast(rows)
     kind = queries.schema["qid"].dataType.simpleString()
     own, order = corpus.schema["id"].dataType.simpleString(), corpus.schema["ord"].dataType.simpleString()
     number = to_arrow_type(queries.schema["qid"].dataType)
-    out = None
-    for at in range(0, max(1, len(rows)), BLOCK):
-        block = queries.sparkSession.sparkContext.broadcast(rows[at : at + BLOCK])
 
-        def run(batches, block=block):
-            for batch in batches:
-                for start in range(0, batch.num_rows, ROWS):
-                    yield from _nearest(batch.slice(start, ROWS), block.value, k, number)
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                yield from _nearest(batch.slice(start, ROWS), block.value, k, number)
 
-        found = corpus.select("id", "ord", "vector").mapInArrow(run, f"qid {kind}, id {own}, ord {order}, distance double")
-        out = found if out is None else out.unionByName(found)
+    found = corpus.select("id", "ord", "vector").mapInArrow(run, f"qid {kind}, id {own}, ord {order}, distance double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "ord"))
-    ranked = out.withColumn("sem_rank", rank).where(F.col("sem_rank") <= k)
+    ranked = found.withColumn("sem_rank", rank).where(F.col("sem_rank") <= k)
     return ranked.select("qid", "id", "ord", "sem_rank", "distance")
 
 
@@ -107,17 +108,9 @@ def _nearest(batch: pa.RecordBatch, queries: list, k: int, number: pa.DataType):
             continue
         x, q = np.asarray([listed[i] for i in at], float), np.stack([v for _, v in asked])
         order = batch.column(1).take(pa.array(at)).to_numpy(zero_copy_only=False)
-        # The expanded form finds candidates, with room for its rounding; their distances are then taken from differences.
-        rough = (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :]
-        bound = np.partition(rough, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1]
-        rows, columns = np.nonzero(rough <= bound[:, None] + 1e-6)
-        exact = np.round(((q[rows] - x[columns]) ** 2).sum(1), 9)
-        sort = np.lexsort((order[columns], exact, rows))
-        rows, columns, exact = rows[sort], columns[sort], exact[sort]
-        first = np.searchsorted(rows, np.arange(len(asked)))
-        keep = np.arange(len(rows)) - first[rows] < k
-        take = pa.array(np.asarray(at)[columns[keep]])
+        rows, columns, exact = nearest.nearest_of(q, x, order, k)
+        take = pa.array(np.asarray(at)[columns])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([asked[i][0] for i in rows[keep]], number), batch.column(0).take(take), batch.column(1).take(take), pa.array(exact[keep])],
+            [pa.array([asked[i][0] for i in rows], number), batch.column(0).take(take), batch.column(1).take(take), pa.array(exact)],
             ["qid", "id", "ord", "distance"],
         )

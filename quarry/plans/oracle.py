@@ -280,7 +280,7 @@ def oracle_sql() -> dict[str, str]:
   CAST(sum(length(text)) AS BIGINT) AS n_chars, max(length(text)) AS longest, count(DISTINCT doc_name) AS n_docs FROM chunks""",
         "term_freq": f"WITH {_STATS} SELECT doc_id, term, tf FROM tf",
         "term_stats": f"WITH {_STATS} SELECT term, df, round(idf, 6) AS idf FROM stats",
-        "bm25_topk": f"WITH {_BM25} SELECT qid, doc_id, bm25_rank, score FROM kw",
+        **dict.fromkeys(("bm25_topk", "index_topk", "index_segments"), f"WITH {_BM25} SELECT qid, doc_id, bm25_rank, score FROM kw"),
         "vector_topk": """SELECT q.vec_id AS qid, v.vec_id,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(power(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 2), 9), v.vec_id) AS sem_rank,
   round(power(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 2), 5) AS distance

@@ -13,7 +13,7 @@ from quarry.config import DEFAULT
 from quarry.functions import answers as text_of
 from quarry.functions import chunking
 from quarry.functions.text import strip, tokens
-from quarry.operators import ask, bm25, evaluate, fusion, gates, generate, prompts, sampling, vectors
+from quarry.operators import approximate, ask, bm25, evaluate, fusion, gates, generate, nearest, postings, prompts, sampling, vectors
 from quarry.sources import readers, sinks
 from quarry.sources.scratch import scratch
 
@@ -88,12 +88,46 @@ def bm25_topk(spark, sf_dir):
     return found.select("qid", F.col("id").alias("doc_id"), "bm25_rank", "score")
 
 
-def vector_topk(spark, sf_dir):
+def index_topk(spark, sf_dir):
+    """The keyword index is built, and read by the questions."""
+    path = scratch(spark, "index")
+    postings.build(_corpus(spark, sf_dir), path)
+    return _from_index(spark, sf_dir, path)
+
+
+def _from_index(spark, sf_dir, path) -> DataFrame:
+    found = postings.topk(_questions(spark, sf_dir), postings.Index(spark, path))
+    return found.select("qid", F.col("id").alias("doc_id"), "bm25_rank", "score")
+
+
+def index_segments(spark, sf_dir):
+    """A base and three segments that are appended hold all documents between them."""
+    path, docs = scratch(spark, "index"), _corpus(spark, sf_dir)
+    part = F.pmod(F.xxhash64("id"), F.lit(4))
+    postings.build(docs.where(part == 0), path)
+    for i in (1, 2, 3):
+        postings.append(docs.where(part == i), path)
+    return _from_index(spark, sf_dir, path)
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = _table(spark, sf_dir, "embeddings")
     vector = F.col("embedding").cast("array<double>").alias("vector")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), vector)
-    corpus = rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), vector)
-    found = vectors.topk(asked, corpus)
+    return asked, rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), vector)
+
+
+def ann_topk(spark, sf_dir):
+    """The approximate index is built, and read by every vector whose number 20 divides."""
+    path = scratch(spark, "ann")
+    asked, corpus = _vectors(spark, sf_dir)
+    approximate.build(corpus, path)
+    found = approximate.topk(asked, approximate.Index(spark, path))
+    return found.select("qid", F.col("id").alias("vec_id"), "sem_rank", F.round("distance", 5).alias("distance"))
+
+
+def vector_topk(spark, sf_dir):
+    found = nearest.topk(*_vectors(spark, sf_dir))
     return found.select("qid", F.col("id").alias("vec_id"), "sem_rank", F.round("distance", 5).alias("distance"))
 
 
@@ -348,7 +382,7 @@ def ingest_pages(spark, sf_dir):
 
 
 NAMES = (
-    "tokenize paragraphs paragraph_windows chunk_pack chunk_ids term_freq term_stats bm25_topk vector_topk hash_embed rrf_fuse "
+    "tokenize paragraphs paragraph_windows chunk_pack chunk_ids term_freq term_stats bm25_topk index_topk index_segments vector_topk ann_topk hash_embed rrf_fuse "
     "hybrid_topk build_prompt oracle_gate oracle_sample distractor_sample clean_json parse_qa_json qa_gate raft_records raft_split "
     "sft_format parse_questions_strict parse_questions_lenient dedupe_last frozen_contexts missing_chunks render_transcript "
     "parse_transcript truncate_answer answers_extractive score_rubric corpus_profile manifest_profile scan_chunks ingest_pages"

@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import LINE_BREAK, newlines, strip
+from quarry.functions.text import OTHER_BREAK, newlines, strip
+from quarry.operators import order
+from quarry.sources import versions
 
 CHUNKS = "id string, pdf_name string, text string"
 FROZEN_SOURCES = "qid int, chunk_ids array<string>"
@@ -33,9 +35,31 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1), value of one text file, whose lines end by any line break."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split("value", LINE_BREAK, -1)).alias("n", "value")).select((F.col("n") + 1).alias("line_no"), "value")
+    """line_no (from 1), value of a text file, or of the files of a folder in the order of their names; lines end by any line break.
+
+    Large files are read in splits: each counts its own lines, and the counts before it are added.
+    """
+    return _in_order(spark.read.text(path), F.split("value", OTHER_BREAK, -1), "line_no", F.lit(True))
+
+
+def parts(spark: SparkSession, path: str, rule: str, wanted: Column | None = None) -> DataFrame:
+    """part_no (from 1), value of what stands between the rules of text files, cut where a rule is also inside a large file.
+
+    wanted: a condition on value; other parts have no number.
+    """
+    value = F.array(newlines(F.col("value")))
+    return _in_order(spark.read.option("lineSep", rule).text(path), value, "part_no", F.lit(True) if wanted is None else wanted)
+
+
+def _in_order(rows: DataFrame, values: Column, name: str, wanted: Column) -> DataFrame:
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    found = rows.select(split.alias("split"), F.explode(values).alias("value")).where(wanted)
+    return order.offset(found, "split", name, start=1).select(name, "value")
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_no (from 0), file_name, doc_name, text of the *.md files of a folder in the order of their names."""
+    return order.numbered(markdown(spark, folder), ["file_name"], "doc_no").select("doc_no", "file_name", "doc_name", "text")
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +72,10 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The current version of a table that sinks.index keeps, or a plain Parquet table."""
+    store = versions.Store(spark, path)
+    found = versions.current(store)
+    return spark.read.parquet(f"{store.top}/{found[1]['table']}" if found else path)
 
 
 class Converter(Protocol):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from quarry.sources import markdown_files, versions
+
 
 def jsonl(rows: DataFrame, path: str, order: list | None = None, single: bool = True) -> None:
     """One JSON object per line, nulls kept. single: one ordered file, for small tables; else a file per partition."""
@@ -14,58 +16,35 @@ def jsonl(rows: DataFrame, path: str, order: list | None = None, single: bool =
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and a constructor of its paths."""
-    new = spark._jvm.org.apache.hadoop.fs.Path
-    return new(path).getFileSystem(spark._jsc.hadoopConfiguration()), new
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    files, new = _files(spark, path)
-    return files.exists(new(path))
-
-
 def index(chunks: DataFrame, path: str) -> None:
     """Replace an index table, or make it. Ids must be unique, and equal names of different documents show up as equal ids.
 
-    The new table is written whole and checked beside the old one, which stays until then: a failed run
-    leaves the index as it was, and readers find either.
+    The new table is written whole and checked in a folder of its own, and becomes the current version by one small file. A run
+    that fails anywhere leaves the version before, and a reader always finds one of the two.
     """
     spark = chunks.sparkSession
-    files, new = _files(spark, path)
-    fresh, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    chunks.write.mode("overwrite").parquet(fresh)
-    twice = spark.read.parquet(fresh).groupBy("id").count().where("count > 1").limit(5).collect()
+    store = versions.Store(spark, path)
+    found = versions.current(store)
+    name = versions.fresh(store, "table")
+    chunks.write.parquet(f"{store.top}/{name}")
+    twice = spark.read.parquet(f"{store.top}/{name}").groupBy("id").count().where("count > 1").limit(5).collect()
     if twice:
-        files.delete(new(fresh), True)
+        store.delete(name)
         raise ValueError(f"ids that occur twice: {[r['id'] for r in twice]}")
-    files.delete(new(old), True)
-    if files.exists(new(path)):
-        files.rename(new(path), new(old))
-    files.rename(new(fresh), new(path))
-    files.delete(new(old), True)
-
-
-def postings(freq: DataFrame, path: str) -> None:
-    """Term frequencies, laid out by term."""
-    freq.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    versions.commit(store, {"folders": [name], "table": name}, found and found[0])
 
 
 def markdown(rows: DataFrame, folder: str) -> None:
     """An .md file in a folder for each converted document (file_name, text), named as its source; one that failed has none.
 
-    Executors write the files through the driver's table of bounded batches, as local names need a file
-    system that only the JVM may know; so this is for a collection of documents and not for a corpus.
+    Each task writes its own files (see markdown_files); what an executor reads by its own file systems is a local path, or one of
+    the schemes that Arrow knows.
     """
     spark = rows.sparkSession
-    files, new = _files(spark, folder)
-    files.mkdirs(new(folder))
-    for row in rows.where(F.col("text").isNotNull()).select("file_name", "text").toLocalIterator():
-        out = files.create(new(f"{folder.rstrip('/')}/{row['file_name'].rsplit('.', 1)[0]}.md"), True)
-        try:
-            out.write(bytearray(row["text"].encode()))
-        finally:
-            out.close()
+    spark.dataSource.register(markdown_files.MarkdownFiles)
+    stem = F.regexp_replace("file_name", r"\.[^.]*\z", "")
+    good = rows.where(F.col("text").isNotNull()).select(stem.alias("name"), "text")
+    good.write.format("markdown_files").option("path", folder).mode("append").save()
 
 
 def append_missing(rows: DataFrame, path: str, key: str) -> None:

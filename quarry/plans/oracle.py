@@ -261,6 +261,18 @@ def _manifest() -> str:
     DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS d, CASE WHEN page_id % 3 = 0 THEN url END AS x FROM pages) GROUP BY coalesce(o, '')"""
 
 
+def _extracted() -> str:
+    """The sentence of a question's sources that shares most tokens with it."""
+    cut = "string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10))"
+    return f"""WITH {_HYBRID},
+qt AS (SELECT item_id AS qid, list_distinct({_tokens('text')}) AS asked FROM benchmark WHERE {_strip("coalesce(text, '')")} <> ''),
+cut AS (SELECT qid, rank, {cut} AS ss FROM ranked JOIN documents USING (doc_id) WHERE rank <= 4),
+pieces AS (SELECT qid, rank, unnest(ss) AS s, unnest(range(0, len(ss))) AS place FROM cut),
+counted AS (SELECT qid, rank, place, s, len(list_intersect(list_distinct({_tokens('s')}), asked)) AS shared FROM pieces JOIN qt USING (qid)),
+best AS (SELECT * FROM counted WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY shared DESC, rank, place) = 1)
+SELECT qid, 'extractive' AS model, coalesce({_strip('s')} || ' [S' || rank || ']', {_text(prompts.UNKNOWN)}) AS answer FROM qt LEFT JOIN best USING (qid)"""
+
+
 _SOURCE = r"^\[(S\d+)\]\s+pdf=(.*?)\s+chunk_id=(.*?)\s+::\s+(.*)$"
 
 
@@ -311,6 +323,30 @@ def oracle_sql() -> dict[str, str]:
     coalesce(string_agg('[S' || n || '] pdf=' || f.source || ' chunk_id=' || f.chunk_id || chr(10) || f.text, {_text(prompts.RULE)} ORDER BY n), '') AS sources
   FROM benchmark b LEFT JOIN found f ON f.qid = b.item_id GROUP BY b.item_id""",
         "missing_chunks": f"WITH {_FROZEN} SELECT qid, chunk_id FROM asked WHERE chunk_id NOT IN (SELECT chunk_id FROM known)",
+        "write_contexts": f"""WITH {_FROZEN}, found AS (
+    SELECT qid, a.chunk_id, k.source, k.text, row_number() OVER (PARTITION BY qid ORDER BY pos) AS n FROM asked a JOIN known k USING (chunk_id))
+  SELECT b.item_id AS qid, any_value(b.text) AS question, count(f.qid) AS n_sources,
+    coalesce(string_agg('[S' || n || '] pdf=' || f.source || ' chunk_id=' || f.chunk_id || chr(10) || f.text, {_text(prompts.RULE)} ORDER BY n), '') AS sources,
+    (SELECT count(*) FROM asked WHERE chunk_id NOT IN (SELECT chunk_id FROM known)) AS n_missing
+  FROM benchmark b LEFT JOIN found f ON f.qid = b.item_id GROUP BY b.item_id""",
+        **dict.fromkeys(("answers_extractive", "answers_resumable"), _extracted()),
+        "questions_asked": """SELECT item_id AS qid, text AS question FROM benchmark
+  WHERE item_id % 7 <> 2 AND item_id % 3 <> 1 AND regexp_replace(text, '\\s', '', 'g') <> ''""",
+        "scan_questions": f"""WITH {_LINES}, placed AS (SELECT *, row_number() OVER (ORDER BY line_no) AS pos FROM numbered)
+  SELECT pos, coalesce(number, pos) AS qid, CASE WHEN number IS NULL THEN t ELSE rest END AS question FROM placed""",
+        "scan_tolerant": "SELECT CAST(item_id AS INTEGER) AS qid, regexp_replace(text, '\\s+', ' ', 'g') AS answer FROM benchmark WHERE item_id % 7 <> 3",
+        "scan_raft": f"WITH {_RAFT} SELECT instruction, input, output FROM raft",
+        "resume_rows": "SELECT doc_id, lang, source FROM documents",
+        "vector_table": "SELECT vec_id AS id, label, len(embedding) AS dims FROM embeddings",
+        "markdown_files": f"""SELECT row_number() OVER (ORDER BY 'page ' || page_id || '.md') - 1 AS doc_no, 'page ' || page_id AS doc_name, {_entity_free('html')} AS text
+  FROM pages""",
+        "scan_transcript": f"""WITH {_RENDERED},
+  blocks AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, repeat('=', 80)), lambda b: {_strip('b')}), lambda b: contains(b, '=== ANSWER ===')) AS bs FROM rendered),
+  one AS (SELECT conv_id, turn, unnest(bs) AS block FROM blocks),
+  cut AS (SELECT conv_id, turn, {_strip("split_part(split_part(block, '=== ANSWER ===', 2), '=== SOURCES USED ===', 1)")} AS answer,
+    {_strip("split_part(block, '=== SOURCES USED ===', 2)")} AS line FROM one),
+  counted AS (SELECT *, CASE WHEN regexp_matches(line, '{_SOURCE}') THEN 1 ELSE 0 END AS n_sources FROM cut)
+  SELECT row_number() OVER (ORDER BY conv_id, turn) AS block_no, answer, n_sources, {parsed} FROM counted""",
         "render_transcript": f"WITH {_RENDERED} SELECT conv_id, turn, text FROM rendered",
         "parse_transcript": f"""WITH {_RENDERED},
   blocks AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, repeat('=', 80)), lambda b: {_strip('b')}), lambda b: contains(b, '=== ANSWER ===')) AS bs FROM rendered),

@@ -170,6 +170,28 @@ def answers_extractive(spark, sf_dir):
     return ask.answers(_questions(spark, sf_dir), path, generate.ExtractiveGenerator()).drop("question")
 
 
+def answers_resumable(spark, sf_dir):
+    """The first call gets half of the questions, the second all; each is asked once."""
+    index, path = scratch(spark, "index"), scratch(spark, "answers")
+    ask.build(_corpus(spark, sf_dir).withColumnRenamed("source", "pdf_name"), index)
+    asked = ask.prompted(_questions(spark, sf_dir), index).select("qid", "prompt")
+    half = F.pmod(F.xxhash64("qid"), F.lit(2)) == 0
+    generate.resumable(asked.where(half), generate.ExtractiveGenerator(), path, files=2)
+    return generate.resumable(asked, generate.ExtractiveGenerator(), path, files=2)
+
+
+def sanity_answers(spark, sf_dir):
+    text = prompts.training_text(F.col("instruction"), F.col("input"), F.col("output"))
+    return generate.sanity(_raft(spark, sf_dir).select("draw", text.alias("text")), generate.ExtractiveGenerator())
+
+
+def questions_asked(spark, sf_dir):
+    """Questions of which every third is blank and every seventh null."""
+    number = F.col("qid")
+    rows = _questions(spark, sf_dir).select("qid", F.when(number % 7 == 2, F.lit(None)).when(number % 3 == 1, F.lit(" \n\t ")).otherwise(F.col("question")).alias("question"))
+    return ask.asked(rows)
+
+
 def oracle_gate(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", gates.good_passage(F.col("text")).alias("good"))
 
@@ -287,6 +309,53 @@ def parse_questions_lenient(spark, sf_dir):
     return evaluate.questions_lenient(_lines(spark, sf_dir))
 
 
+def scan_questions(spark, sf_dir):
+    """The lines as text files, in their order, and read back by position."""
+    path = scratch(spark, "lines")
+    _lines(spark, sf_dir).repartitionByRange(3, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return evaluate.questions_lenient(readers.lines(spark, path))
+
+
+def scan_tolerant(spark, sf_dir):
+    """JSON lines of which every seventh is broken."""
+    path, plain = scratch(spark, "tolerant"), F.regexp_replace("text", r"\s+", " ")
+    good = F.to_json(F.struct(F.col("item_id").cast("int").alias("qid"), plain.alias("answer")))
+    broken = F.concat(F.lit('{"qid": '), plain)
+    _table(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 7 == 3, broken).otherwise(good).alias("value")).write.text(path)
+    return readers.jsonl(spark, path, "qid int, answer string", strict=False)
+
+
+def scan_raft(spark, sf_dir):
+    path = scratch(spark, "raft")
+    sinks.jsonl(_raft(spark, sf_dir).select("instruction", "input", "output"), path, single=False)
+    return readers.jsonl(spark, path, readers.RAFT)
+
+
+def resume_rows(spark, sf_dir):
+    """A run that wrote the documents of one language, and one that adds what is missing."""
+    path, rows = scratch(spark, "resumed"), _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    sinks.append_missing(rows.where("lang = 'en'"), path, "doc_id")
+    sinks.append_missing(rows, path, "doc_id")
+    return spark.read.parquet(path)
+
+
+def vector_table(spark, sf_dir):
+    """A collection of vectors that is written, replaced, and read as its last version."""
+    path = scratch(spark, "vectors")
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    sinks.index(rows.where("label is null"), path)
+    sinks.index(rows, path)
+    return readers.vectors(spark, path).select("id", "label", F.size("vector").alias("dims"))
+
+
+def markdown_files(spark, sf_dir):
+    """Pages as Markdown files, one each, read back in the order of their names."""
+    folder = scratch(spark, "markdown")
+    name = F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(".html"))
+    sinks.markdown(_table(spark, sf_dir, "pages").select(name.alias("file_name"), readers.html_markdown(F.col("html")).alias("text")), folder)
+    return readers.corpus(spark, folder).select("doc_no", "doc_name", "text")
+
+
 def dedupe_last(spark, sf_dir):
     rows = _table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("k"), F.col("item_id").alias("line_no"), "text")
     return evaluate.dedupe_last(rows, "k", "line_no")
@@ -310,6 +379,17 @@ def frozen_contexts(spark, sf_dir):
     return found.select("qid", "question", F.size("sources").alias("n_sources"), prompts.source_blocks(F.col("sources")).alias("sources"))
 
 
+def write_contexts(spark, sf_dir):
+    """Contexts written as JSON and read back, with what the writing job counted as missing."""
+    path = scratch(spark, "contexts")
+    report = evaluate.write_contexts(_questions(spark, sf_dir), _frozen(spark, sf_dir), _known(spark, sf_dir), path, strict=False)
+    found = readers.jsonl(spark, path, readers.FROZEN_CONTEXTS)
+    return found.select(
+        F.col("qid").cast("bigint").alias("qid"), "question", F.size("sources").alias("n_sources"), prompts.source_blocks(F.col("sources")).alias("sources"),
+        F.lit(report["n_missing"]).cast("bigint").alias("n_missing"),
+    )
+
+
 def missing_chunks(spark, sf_dir):
     return evaluate.missing_chunks(_frozen(spark, sf_dir), _known(spark, sf_dir))
 
@@ -344,6 +424,16 @@ def parse_transcript(spark, sf_dir):
     )
 
 
+def scan_transcript(spark, sf_dir):
+    """All blocks as one transcript of several files, cut at the rules and parsed."""
+    path = scratch(spark, "transcript")
+    _answered(spark, sf_dir).repartitionByRange(3, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("text").write.text(path)
+    answer, sources = evaluate.parsed_block(F.col("block"))
+    found = evaluate.transcript_file(spark, path).select("block_no", answer.alias("answer"), sources.alias("s"))
+    first = F.try_element_at("s", F.lit(1))
+    return found.select("block_no", "answer", F.size("s").alias("n_sources"), *(first[c].alias(c) for c in ("label", "chunk_id", "pdf_name", "snippet")))
+
+
 def truncate_answer(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
     marked = F.concat(F.lit(" "), F.col("text"), F.when(F.col("turn") % 2 == 0, F.lit("\n[S2] more <END_ANSWER> rest")).otherwise(F.lit(" \n--- rest")))
@@ -385,7 +475,9 @@ NAMES = (
     "tokenize paragraphs paragraph_windows chunk_pack chunk_ids term_freq term_stats bm25_topk index_topk index_segments vector_topk ann_topk hash_embed rrf_fuse "
     "hybrid_topk build_prompt oracle_gate oracle_sample distractor_sample clean_json parse_qa_json qa_gate raft_records raft_split "
     "sft_format parse_questions_strict parse_questions_lenient dedupe_last frozen_contexts missing_chunks render_transcript "
-    "parse_transcript truncate_answer answers_extractive score_rubric corpus_profile manifest_profile scan_chunks ingest_pages"
+    "parse_transcript truncate_answer answers_extractive score_rubric corpus_profile manifest_profile scan_chunks ingest_pages "
+    "answers_resumable sanity_answers questions_asked scan_questions scan_tolerant scan_raft resume_rows vector_table markdown_files "
+    "write_contexts scan_transcript"
 ).split()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, Settings
-from quarry.functions.text import strip
+from quarry.functions.text import let, strip
 
 
 def paragraphs(text: Column, separator: str = "\n\n") -> Column:
@@ -27,24 +27,34 @@ def windows(paragraph: Column, settings: Settings = DEFAULT) -> Column:
 
 
 def pack(pieces: Column, settings: Settings = DEFAULT, glue: str = "\n\n") -> Column:
-    """Greedy packing: a piece joins the open chunk if both fit, else it opens the next one."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Greedy packing of pieces, none of them empty: a piece joins the open chunk if both fit, else it opens the next one.
+
+    The fold keeps numbers only, the first piece of each chunk; the chunks are then cut from the pieces.
+    """
+    return let(pieces, lambda held: _cut(held, _starts(held, settings, len(glue)), glue))
+
+
+def _starts(pieces: Column, settings: Settings, between: int) -> Column:
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("open"), F.lit(0).alias("i"))
 
     def put(state, piece):
-        fits = F.length(state["open"]) + len(glue) + F.length(piece) <= settings.max_chars
-        opened = F.when(state["open"] == "", piece).when(fits, F.concat(state["open"], F.lit(glue), piece))
-        closed = (state["open"] != "") & ~fits
+        joined = state["open"] + between + F.length(piece)
+        opens = (state["i"] == 0) | (joined > settings.max_chars)
         return F.struct(
-            F.when(closed, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
-            F.coalesce(opened, piece).alias("open"),
+            F.when(opens, F.array_append(state["starts"], state["i"])).otherwise(state["starts"]).alias("starts"),
+            F.when(opens, F.length(piece)).otherwise(joined).alias("open"),
+            (state["i"] + 1).alias("i"),
         )
 
-    return F.aggregate(
-        pieces,
-        start,
-        put,
-        lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))),
-    )
+    return F.aggregate(pieces, start, put, lambda s: s["starts"])
+
+
+def _cut(pieces: Column, starts: Column, glue: str) -> Column:
+    def chunk(first, n, held):
+        after = F.coalesce(F.get(held, n + 1), F.size(pieces))
+        return F.array_join(F.slice(pieces, first + 1, after - first), glue)
+
+    return let(starts, lambda held: F.transform(held, lambda first, n: chunk(first, n, held)))
 
 
 def chunk_id(name: Column, number: Column, text: Column) -> Column:

@@ -10,6 +10,8 @@ BLANKS = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 STRIP = rf"\A{BLANKS}+|{BLANKS}+\z"
+#: The same characters as text.
+BLANK_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TOKEN = "[a-z0-9]+"
 #: Fixed value: where splitting into lines cuts.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -23,7 +25,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def newlines(text: Column) -> Column:

@@ -24,30 +24,36 @@ from quarry.functions.text import let
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BLANKS = " \t\n\x0b\x0c\r"
+#: Characters beyond ASCII that may have a lower case: all but small and caseless letters, marks, punctuation, blanks, digits and most symbols.
+CASED = r"[^\x00-\x7F\p{Ll}\p{Lo}\p{M}\p{P}\p{Z}\p{Nd}\p{Sc}\p{Sm}\p{Sk}]"
+#: Parts of a line's documents in the join with repeated lines, for lines that stand everywhere.
+SALTS = 16
 
 
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key(line: Column) -> Column:
-    """A line without blanks at its ends, A-Z lower-cased and nothing else."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    plain = F.octet_length(bare) == F.length(bare)
-    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased and nothing else: as lower() does it where no other character has a lower case."""
+    plain = (F.octet_length(text) == F.length(text)) | ~F.rlike(text, F.lit(CASED))
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def digest(text: Column) -> Column:
-    """16 bytes of SHA-256."""
-    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+    """16 bytes of SHA-256, of null too, so that no filter has to compute it again to look for nulls."""
+    return F.coalesce(F.unhex(F.substring(F.sha2(text, 256), 1, 32)), F.lit(b""))
 
 
 def exploded(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, body (a hash of the whole text), pos, line (a hash) of every line of at least min_chars."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc"), digest(text).alias("body"), F.posexplode(lines(F.col(text_col))).alias("pos", "raw"))
-    found = found.select("doc", "body", "pos", key(F.col("raw")).alias("line"))
-    return found.where(F.length("line") >= min_chars).select("doc", "body", "pos", digest(F.col("line")).alias("line"))
+    # The whole text is hashed below the generator, once and not for each line.
+    whole = docs.select(F.col(id_col).alias("doc"), digest(text).alias("body"), text.alias("text"))
+    found = whole.select("doc", "body", F.posexplode(lines(F.col("text"))).alias("pos", "raw"))
+    bare = F.btrim(F.col("raw"), F.lit(BLANKS))
+    # Lower case has as many code points, so lines that are too short are left out before it is made.
+    return found.where(F.length(bare) >= min_chars).select("doc", "body", "pos", let(bare, lambda x: digest(lowered(x))).alias("line"))
 
 
 def repeated(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -74,7 +80,9 @@ def without_repeated_lines(
     but the one with the largest id, where all of its lines stay.
     """
     found = exploded(docs, min_chars, id_col, text_col)
-    gone = found.join(repeated(found, min_docs), "line").where(~F.col("doc").eqNullSafe(F.col("last")))
+    salted = repeated(found, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gone = found.withColumn("salt", F.pmod(F.xxhash64("doc", "body"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"])
+    gone = gone.where(~F.col("doc").eqNullSafe(F.col("last")))
     # A set, as rows may be repeated; its size is bounded by the lines of one text.
     gone = gone.groupBy("doc", "body").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("of"), digest(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))

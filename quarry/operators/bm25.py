@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.config import DEFAULT, Settings
 from quarry.functions.text import tokens
 from quarry.operators.order import numbered
-from quarry.sources.scratch import scratch
+from quarry.sources.scratch import Workspace, result
 
 #: Distinct question terms that may be broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -69,7 +69,8 @@ def topk(
     by corpus order. Scores that agree to 9 digits are ties.
     """
     # Tokens are found once: the statistics, the lengths and the frequencies all read them.
-    texts = _written(corpus.select("id", F.col(order_col).alias("ord"), tokens(F.col("text")).alias("t")), "tokens")
+    work = Workspace(corpus.sparkSession)
+    texts = work.written(corpus.select("id", F.col(order_col).alias("ord"), tokens(F.col("text")).alias("t")), "tokens")
     asked = question_terms(questions)
     distinct = asked.select("term").distinct()
     few = distinct.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
@@ -85,13 +86,7 @@ def topk(
     scored = weighted.select("id", "ord", "term", part.alias("part")).join(F.broadcast(asked) if few else asked, "term")
     scored = scored.groupBy("qid", "id", "ord").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 9).alias("score"))
     # Written once: the totals, the blanks and the ranks all read it.
-    return ranked(_written(scored, "scored"), questions, texts, k, "ord")
-
-
-def _written(rows: DataFrame, tag: str) -> DataFrame:
-    path = scratch(rows.sparkSession, tag)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return result(ranked(work.written(scored, "scored"), questions, texts, k, "ord"), "ranked", work)
 
 
 def ranked(scored: DataFrame, questions: DataFrame, corpus: DataFrame, k: int, order_col: str) -> DataFrame:

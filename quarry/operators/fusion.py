@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT, Settings
 from quarry.operators import bm25, vectors
+from quarry.sources.scratch import scratch
+
+#: Ranked rows that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def rrf(semantic: DataFrame, keyword: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -36,7 +40,10 @@ def hybrid(
 def with_texts(fused: DataFrame, corpus: DataFrame, keep: tuple = ("text",), settings: Settings = DEFAULT) -> DataFrame:
     """The first final_k of each question with columns of the corpus. Unknown ids drop out after the cut, so fewer may be left.
 
-    The ranked side has final_k rows per question of a stated set, which its count has bounded before, so it is broadcast.
+    The ranked side is written, counted, and broadcast if it has BROADCAST_ROWS rows or fewer.
     """
-    best = fused.where(F.col("rank") <= settings.final_k)
-    return corpus.select("id", *keep).join(F.broadcast(best), "id")
+    spark, path = corpus.sparkSession, scratch(corpus.sparkSession, "fused")
+    fused.where(F.col("rank") <= settings.final_k).write.parquet(path)
+    best = spark.read.schema(fused.schema).parquet(path)
+    few = best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return corpus.select("id", *keep).join(F.broadcast(best) if few else best, "id")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import DEFAULT
-from quarry.sources.scratch import scratch
+from quarry.sources.scratch import Workspace, result
 
 #: Rows of a block, queries of a task, and the largest number of pivots.
 BLOCK, QUERIES, PIVOTS = 2048, 2048, 4096
@@ -31,12 +31,6 @@ NO_CELL = -1
 KINDS = {"int": T.IntegerType(), "boolean": T.BooleanType(), "double": T.DoubleType()}
 
 
-def _written(rows: DataFrame, tag: str) -> DataFrame:
-    path = scratch(rows.sparkSession, tag)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _sound(rows: DataFrame) -> DataFrame:
     """Rows whose vector has elements and only finite ones."""
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -95,7 +89,7 @@ def assigned(rows: DataFrame, known: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, _with(rows, dims="int", cell="int", away="double"))
 
 
-def blocks(rows: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def blocks(rows: DataFrame, work: Workspace, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows with block, blocks: block, dims, cell, n, lo, hi).
 
     Rings are cut at estimated quantiles of a cell's distances, so they are of like size however distances are spread, and a ring that
@@ -109,13 +103,13 @@ def blocks(rows: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     ring = F.size(F.filter("cuts", lambda c: c < F.col("away")))
     placed = rows.join(sizes, ["dims", "cell"]).withColumn("ring", ring).drop("cuts")
     # Written, as estimates may differ when they are made again.
-    placed = _written(placed, "rings")
+    placed = work.written(placed, "rings")
     counts = placed.groupBy("dims", "cell", "ring").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int")
     split = placed.join(counts, ["dims", "cell", "ring"]).withColumn("block", F.struct("dims", "cell", "ring", part.alias("part"))).drop("ring", "parts")
-    split = _written(split, "blocks")
+    split = work.written(split, "blocks")
     listed = split.groupBy("block", "dims", "cell").agg(F.count("*").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi"))
-    return split, _written(listed, "listed")
+    return split, work.written(listed, "listed")
 
 
 def _cells(queries: DataFrame, known: dict[int, np.ndarray], reach: dict[tuple[int, int], tuple[int, float]], k: int) -> DataFrame:
@@ -208,30 +202,30 @@ def _met(visits: DataFrame, asked: DataFrame, rows: DataFrame, k: int, queries:
     return left.groupBy("block", "task").cogroup(right.groupBy("block", "task")).applyInArrow(run, f"qid {qid}, id {kinds['id']}, ord {kinds['ord']}, distance double")
 
 
-def visited(queries: DataFrame, corpus: DataFrame, k: int, size: int = BLOCK, limit: int = PIVOTS) -> tuple[DataFrame, ...]:
+def visited(queries: DataFrame, corpus: DataFrame, k: int, work: Workspace, size: int = BLOCK, limit: int = PIVOTS) -> tuple[DataFrame, ...]:
     """Queries, rows by block, the list of blocks, first visits and their results, and the visits that are left: what topk does before its second meeting."""
     rows = _sound(corpus.select("id", "ord", F.col("vector").cast("array<double>").alias("vector")))
     known = pivots(rows, limit)
-    rows, listed = blocks(assigned(rows, known), size)
+    rows, listed = blocks(assigned(rows, known), work, size)
     # A row for each cell, so for each pivot.
     reach = {(r["dims"], r["cell"]): (r["n"], r["hi"]) for r in listed.groupBy("dims", "cell").agg(F.sum("n").alias("n"), F.max("hi").alias("hi")).collect()}
     reach = {c: (n, math.inf if c[1] == NO_CELL else hi) for c, (n, hi) in reach.items()}
-    asked = _written(_sound(queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))), "asked")
-    cells = _written(_cells(asked, known, reach, k), "cells")
+    asked = work.written(_sound(queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))), "asked")
+    cells = work.written(_cells(asked, known, reach, k), "cells")
     away, lo, hi = F.col("away"), F.col("lo"), F.col("hi")
     ring = F.when(F.col("cell") == NO_CELL, 0.0).otherwise(F.greatest(away - hi, lo - away, F.col("plane"), F.lit(0.0)))
     pairs = cells.join(listed, ["dims", "cell"]).select("qid", "block", "n", "own", "roof", ring.alias("least")).where(F.col("least") <= F.col("roof") + SLACK)
-    pairs = _written(pairs, "pairs")
+    pairs = work.written(pairs, "pairs")
     # The nearest blocks of the own cell, until they hold k rows.
     before = F.sum("n").over(Window.partitionBy("qid").orderBy("least", "block").rowsBetween(Window.unboundedPreceding, -1))
     first = pairs.where("own").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k)
-    first = _written(first.select("qid", "block"), "first")
-    found = _written(_met(first, asked, rows, k, QUERIES), "nearby")
+    first = work.written(first.select("qid", "block"), "first")
+    found = work.written(_met(first, asked, rows, k, QUERIES), "nearby")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("distance"))
     reached = found.withColumn("r", place).where(F.col("r") == k).select("qid", F.sqrt("distance").alias("reached"))
     left = pairs.join(reached, "qid", "left").where(F.col("reached").isNull() | (F.col("least") <= F.col("reached") + SLACK))
     left = left.select("qid", "block").join(first, ["qid", "block"], "left_anti")
-    return asked, rows, listed, first, found, _written(left, "left")
+    return asked, rows, listed, first, found, work.written(left, "left")
 
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.k_sem, size: int = BLOCK, limit: int = PIVOTS) -> DataFrame:
@@ -240,7 +234,9 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.k_sem, size: in
     Squared Euclidean distance in double precision; those that agree to 9 digits are ties, by corpus order. Vectors that are null, empty or hold null
     or non-finite elements, and those of another length, have no neighbours. qid and id are unique.
     """
-    asked, rows, _, _, found, left = visited(queries, corpus, k, size, limit)
+    work = Workspace(corpus.sparkSession)
+    asked, rows, _, _, found, left = visited(queries, corpus, k, work, size, limit)
     every = found.unionByName(_met(left, asked, rows, k, QUERIES))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "ord", "id"))
-    return every.withColumn("sem_rank", rank).where(F.col("sem_rank") <= k).select("qid", "id", "ord", "sem_rank", "distance")
+    ranked = every.withColumn("sem_rank", rank).where(F.col("sem_rank") <= k).select("qid", "id", "ord", "sem_rank", "distance")
+    return result(ranked, "nearest", work)

@@ -27,7 +27,7 @@ from quarry.config import DEFAULT, Settings
 from quarry.functions.text import tokens
 from quarry.operators import bm25
 from quarry.sources import versions
-from quarry.sources.scratch import scratch
+from quarry.sources.scratch import Workspace, result
 
 #: Chunks of a block, and buckets that terms are laid out by.
 BLOCK, BUCKETS = 64, 64
@@ -186,16 +186,13 @@ def scored(index: Index, weighted: DataFrame, blocks: DataFrame, settings: Setti
     return rows.groupBy("qid", "segment", F.col("d.n").alias("n"), F.col("d.ord").alias("ord")).agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def _kept(rows: DataFrame, tag: str) -> DataFrame:
-    path = scratch(rows.sparkSession, tag)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def candidates(index: Index, questions: DataFrame, k: int, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidates(
+    index: Index, questions: DataFrame, k: int, settings: Settings = DEFAULT, work: Workspace | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Weights, all bounds, and of these the ones that can still hold one of the k best."""
-    weighted = _kept(weights(index, bm25.question_terms(questions), settings), "weights")
-    every = _kept(bounds(index, weighted, settings), "bounds")
+    work = work or Workspace(index.spark)
+    weighted = work.written(weights(index, bm25.question_terms(questions), settings), "weights")
+    every = work.written(bounds(index, weighted, settings), "bounds")
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("most"), "segment", "block"))
     first = every.withColumn("r", best).where(F.col("r") <= k)
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
@@ -207,12 +204,13 @@ def candidates(index: Index, questions: DataFrame, k: int, settings: Settings =
 
 def topk(questions: DataFrame, index: Index, k: int = DEFAULT.k_bm25, settings: Settings = DEFAULT) -> DataFrame:
     """qid, id, ord, bm25_rank, score: the same rows as bm25.topk gives for the index's chunks."""
-    weighted, _, left = candidates(index, questions, k, settings)
-    found = _kept(scored(index, weighted, left, settings), "scored")
+    work = Workspace(index.spark)
+    weighted, _, left = candidates(index, questions, k, settings, work)
+    found = work.written(scored(index, weighted, left, settings), "scored")
     chunks = index.chunks()
     corpus = chunks.select(F.struct("segment", "n").alias("id"), (F.col("ord") if "ord" in chunks.columns else F.col("id")).alias("ord"))
     ranked = bm25.ranked(found.select("qid", F.struct("segment", "n").alias("id"), "ord", "score"), questions, corpus, k, "ord")
     # k rows for each of a set of questions against the chunks' ids.
     ids = chunks.select("segment", "n", F.col("id").alias("chunk"))
     ranked = ranked.withColumnRenamed("id", "at").join(ids, (F.col("at.segment") == ids["segment"]) & (F.col("at.n") == ids["n"]))
-    return ranked.select("qid", F.col("chunk").alias("id"), "ord", "bm25_rank", "score")
+    return result(ranked.select("qid", F.col("chunk").alias("id"), "ord", "bm25_rank", "score"), "ranked", work)

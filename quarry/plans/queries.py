@@ -13,8 +13,8 @@ from quarry.config import DEFAULT
 from quarry.functions import answers as text_of
 from quarry.functions import chunking
 from quarry.functions.text import strip, tokens
-from quarry.operators import approximate, ask, bm25, evaluate, fusion, gates, generate, nearest, postings, prompts, sampling, vectors
-from quarry.sources import readers, sinks
+from quarry.operators import approximate, ask, bm25, evaluate, fusion, gates, generate, lsa, nearest, postings, prompts, sampling, vectors
+from quarry.sources import html, readers, sinks
 from quarry.sources.scratch import scratch
 
 
@@ -471,13 +471,27 @@ def ingest_pages(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", "url", readers.html_markdown(F.col("html")).alias("text"))
 
 
+def convert_pages(spark, sf_dir):
+    """Pages as bytes, through the converter that keeps tables, links and nested lists, or has an error in place of a text."""
+    files = _table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("file_name"), F.encode("html", "UTF-8").alias("content"))
+    return readers.converted(files, html.HtmlConverter())
+
+
+def lsa_topk(spark, sf_dir):
+    """The encoder is fitted to the documents, and finds for each question the nearest of them."""
+    corpus = _corpus(spark, sf_dir)
+    model = lsa.fit(corpus)
+    found = vectors.topk(vectors.embed(_questions(spark, sf_dir), model, "qid", "question"), vectors.embed(corpus, model, "id", "text", keep=("ord",)))
+    return found.select("qid", F.col("id").alias("doc_id"), "sem_rank", F.round("distance", 6).alias("distance"))
+
+
 NAMES = (
     "tokenize paragraphs paragraph_windows chunk_pack chunk_ids term_freq term_stats bm25_topk index_topk index_segments vector_topk ann_topk hash_embed rrf_fuse "
     "hybrid_topk build_prompt oracle_gate oracle_sample distractor_sample clean_json parse_qa_json qa_gate raft_records raft_split "
     "sft_format parse_questions_strict parse_questions_lenient dedupe_last frozen_contexts missing_chunks render_transcript "
     "parse_transcript truncate_answer answers_extractive score_rubric corpus_profile manifest_profile scan_chunks ingest_pages "
     "answers_resumable sanity_answers questions_asked scan_questions scan_tolerant scan_raft resume_rows vector_table markdown_files "
-    "write_contexts scan_transcript"
+    "write_contexts scan_transcript convert_pages lsa_topk"
 ).split()
 
 

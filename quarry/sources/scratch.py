@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +29,28 @@ def scratch(spark: SparkSession, tag: str) -> str:
     if files.mkdirs(at):
         files.deleteOnExit(at)
     return f"{top}/{tag}-{uuid.uuid4().hex}"
+
+
+class Workspace:
+    """The tables that one call writes and reads back; they go by clear() when its result no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, rows: DataFrame, tag: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, tag))
+        rows.write.parquet(self.paths[-1])
+        return self.spark.read.schema(rows.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
+def result(rows: DataFrame, tag: str, work: Workspace) -> DataFrame:
+    """A result of few rows, written, after which the tables that it came from go."""
+    out = Workspace(rows.sparkSession).written(rows, tag)
+    work.clear()
+    return out

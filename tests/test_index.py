@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import approximate, bm25, nearest, order, postings, vectors
-from quarry.sources import readers, sinks, versions
+from quarry.sources import readers, scratch, sinks, versions
 
 
 def test_positions(spark):
@@ -208,12 +208,26 @@ def test_nearest_join_leaves_out_what_is_far(spark):
     rng = np.random.RandomState(0)
     x = rng.randn(40, 4)[rng.randint(0, 40, 2000)] * 5 + rng.randn(2000, 4) * 0.2
     corpus, asked = frame(spark, x), frame(spark, x[::20]).selectExpr("id as qid", "vector")
-    queries, rows, listed, first, _, left = nearest.visited(asked, corpus, 4, size=32)
+    queries, rows, listed, first, _, left = nearest.visited(asked, corpus, 4, scratch.Workspace(spark), size=32)
     met = first.count() + left.count()
     assert listed.agg(F.max("n")).first()[0] <= 2 * 32
     assert met < 0.2 * listed.count() * queries.count()
 
 
+def test_tables_of_a_call_go(spark, tmp_path):
+    """What stays of a search is its result."""
+    import pathlib
+
+    top = pathlib.Path(scratch.scratch(spark, "x").removeprefix("file://")).parent
+    corpus, asked = corpus_of(spark, 60), spark.createDataFrame([(1, "zebra the")], "qid int, question string")
+    postings.build(corpus, str(tmp_path / "i"), buckets=2)
+    x = frame(spark, np.random.RandomState(1).randn(50, 3))
+    for run in (lambda: bm25.topk(asked, corpus, 3), lambda: postings.topk(asked, postings.Index(spark, str(tmp_path / "i")), 3), lambda: nearest.topk(x.selectExpr("id as qid", "vector"), x, 2)):
+        before = {p.name for p in top.iterdir()}
+        rows = run()
+        assert len({p.name for p in top.iterdir()} - before) == 1 and rows.count() > 0
+
+
 def test_few_queries_are_broadcast_and_many_joined(spark, monkeypatch):
     rng = np.random.RandomState(3)
     x, q = rng.randn(120, 6), rng.randn(12, 6)

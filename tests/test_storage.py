@@ -122,5 +122,5 @@ def test_entry_works_without_the_optional_part(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("quarry.llm", "corpus_pipeline")) else find(name, *a))
     core = set(entry.queries())
-    assert core <= everything and len(core) == 39 and set(entry.oracle_sql()) <= core
+    assert core <= everything and len(core) == 52 and set(entry.oracle_sql()) <= core
     assert "quarry.plans.queries" in sys.modules

@@ -11,7 +11,9 @@ Defined cases: of entries of one key at one time the one that takes it off count
 key, time or action is ignored; an interval is closed at its start and open at its end. A URL that is null or
 has no host meets no entry and is kept, and so is a capture without a time. Repeated captures get equal
 results; empty tables give an empty result, or one in which all is kept. Hosts are compared in lower
-case without port, user and dots at the end, paths as they are; a host of one label meets no entry. URLs of any length, with any
+case without port, user and dots at the end, as clients read them: blanks around a URL, backslashes for slashes, an @ in the user's
+part, escaped characters of the host and dots in the path change nothing. Names in other scripts are compared as they are written, not by their
+encoded form, and so are escapes in the path; a host of one label meets no entry. URLs of any length, with any
 number of labels and path parts, are taken whole. Further columns of the captures are not looked at.
 
 Equal pairs of URL and time are evaluated once, so a host with a third of all captures meets
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 
 #: Intervals of a list that may be broadcast; longer lists are shuffled.
 BROADCAST_ROWS = 100_000
+#: The start of a URL up to its authority, as an expression.
+SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*:[/\\]+"
+#: A dot of a path, escaped or not, and the dots of names in other scripts.
+DOT, WIDE_DOTS = r"(?:\.|%2[eE])", "\u3002\uff0e\uff61"
 
 
 def lowered(key: Column) -> Column:
@@ -45,15 +51,37 @@ def intervals(entries: DataFrame) -> DataFrame:
     return rows.where("listed").select("key", "category", F.coalesce("allow", F.lit(False)).alias("allow"), "valid_from", "valid_to")
 
 
+def _plain(url: Column) -> Column:
+    """A URL as clients read it: without control characters and blanks at its ends, without tabs and line breaks."""
+    return F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", "")
+
+
 def host(url: Column) -> Column:
-    """Lower-cased host without user, port and dots at its end (the root of names); empty if there is none."""
-    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    return F.lower(F.rtrim(found, F.lit(".")))
+    """Lower-cased host without user, port and dots at its end (the root of names); empty if there is none.
+
+    A backslash is a slash, the user ends at the last @, and escapes and the wide dots are what they stand for.
+    """
+    authority = F.regexp_extract(_plain(url), rf"^{SCHEME}([^/?#\\]*)", 1)
+    found = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", "")
+    found = F.when(F.contains(found, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), found)).otherwise(found)
+    return F.lower(F.rtrim(F.translate(found, WIDE_DOTS, "." * len(WIDE_DOTS)), F.lit(".")))
 
 
 def path_parts(url: Column) -> Column:
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
-    return F.filter(F.split(path, "/"), lambda x: x != "")
+    """Parts of the path without empty ones; a part of one dot goes, and one of two dots takes the part before it along."""
+    path = F.translate(F.regexp_extract(_plain(url), rf"^{SCHEME}[^/?#\\]*([/\\][^?#]*)", 1), "\\", "/")
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    dotted = F.rlike(path, F.lit(rf"(^|/)({DOT}){{1,2}}(/|$)"))
+    start = F.array().cast("array<string>")
+
+    def put(held, x):
+        return (
+            F.when(F.rlike(x, F.lit(rf"^{DOT}$")), held)
+            .when(F.rlike(x, F.lit(rf"^{DOT}{DOT}$")), F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))))
+            .otherwise(F.array_append(held, x))
+        )
+
+    return F.when(dotted, F.aggregate(parts, start, put)).otherwise(parts)
 
 
 def depths(listed: DataFrame) -> tuple[int, int]:

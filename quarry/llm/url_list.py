@@ -42,12 +42,17 @@ active AS (
   SELECT key, category, allow, since AS valid_from, valid_to,
          split_part(key, '/', 1) AS h, substr(key, length(split_part(key, '/', 1)) + 1) AS p
   FROM steps WHERE listed),
-captures AS (
+plain AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % {DAYS} AS INTEGER)) AS fetched,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
-         '/' || array_to_string(list_filter(string_split(
-           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> ''), '/') || '/' AS path
-  FROM pages),
+         replace(regexp_replace(trim(url, ' ' || chr(9) || chr(10) || chr(13)), '[\t\n\r]', '', 'g'), '\', '/') AS u FROM pages),
+cut AS (
+  SELECT page_id, url, fetched, split_part(split_part(u, '#', 1), '?', 1) AS u, regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:/') AS good FROM plain),
+rest AS (SELECT page_id, url, fetched, CASE WHEN good THEN ltrim(substr(u, strpos(u, ':') + 1), '/') ELSE '' END AS r FROM cut),
+captures AS (
+  SELECT page_id, url, fetched, lower(rtrim(url_decode(regexp_replace(string_split(split_part(r, '/', 1), '@')[-1], ':[0-9]*$', '')), '.')) AS host,
+    '/' || array_to_string(list_reduce(list_transform(list_filter(string_split(r, '/')[2:], lambda x: x <> ''), lambda x: [x]),
+      lambda a, b: CASE replace(lower(b[1]), '%2e', '.') WHEN '.' THEN a WHEN '..' THEN a[:-2] ELSE list_concat(a, b) END, CAST([] AS VARCHAR[])), '/') || '/' AS path
+  FROM rest),
 met AS (
   SELECT c.page_id, a.key, a.category, a.allow,
          row_number() OVER (PARTITION BY c.page_id ORDER BY

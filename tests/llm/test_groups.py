@@ -356,6 +356,20 @@ def test_url_filter_long_keys_and_cases(spark):
     assert [only_hosts[i] for i in range(len(asked))] == [None] * 6 + ["flat.io", None]
 
 
+def test_url_filter_reads_urls_as_clients_do(spark):
+    at = datetime(2024, 1, 1)
+    listed = spark.createDataFrame([(k, "c", None, True, at) for k in ("bad.com", "part.org/x/y")], "key string, category string, allow boolean, listed boolean, at timestamp")
+    bad = ["http://user@x:pw@bad.com/", "http://bad.com\\@good.com/", "http://bad%2ecom/", "http://b%61d%2Ecom:80", " http://bad.com", "\x00\thttp://bad.com\n", "ht\ntp://ba\td.com/",
+           "http:\\\\bad.com\\x", "http:/bad.com/", "http:////bad.com", "http://bad.com:/", "http://bad\u3002com/", "http://bad\uff0ecom", "http://u:p@@bad.com#@good.com"]
+    good = ["http://good.com/@bad.com", "http://good.com?u=http://bad.com", "http://good.com#@bad.com", "http://good.com\\@bad.com", "http://bad.com@good.com/", "http://bad+com/", "http://bad%com/", "mailto:x@bad.com", "http://", "http://@/"]
+    part = ["http://part.org/x/y", "http://part.org/a/../x/./y/", "http://part.org/%2e%2E/x/%2e/y", "http://part.org\\x\\y", "http://part.org/../../x/z/../y/w?q=/.."]
+    other = ["http://part.org/x", "http://part.org/x/y/..", "http://part.org/x/..y/y", "http://part.org/?/x/y", "http://part.org/x/.y"]
+    asked = [(u, "bad.com") for u in bad] + [(u, None) for u in good] + [(u, "part.org/x/y") for u in part] + [(u, None) for u in other]
+    captures = spark.createDataFrame([(i, u, at) for i, (u, _) in enumerate(asked)], "page_id long, url string, fetched timestamp")
+    got = {r["page_id"]: r["entry"] for r in url_filter.evaluate(captures, listed, keep=("page_id",)).collect()}
+    assert [(u, got[i]) for i, (u, _) in enumerate(asked)] == asked
+
+
 def test_url_filter_dots_long_hosts_and_shuffled_lists(spark, monkeypatch):
     at = datetime(2024, 1, 1)
     far = "x" * 1500 + ".deep.org"

@@ -34,7 +34,8 @@ UNDER = "(?:released|distributed|available|published|provided|covered|redistribu
 SHARED = (
     rf"(?i)licen[cs]e|spdx|copyleft|public{OTHER}domain|{UNDER}{OTHER}under|hereby|warranty|endorse{OTHER}or|permission{OTHER}notice|"
     rf"redistribution{OTHER}and|advertising{OTHER}materials|removed{OTHER}or{OTHER}altered|third{OTHER}parties|unauthorized{OTHER}copying|"
-    rf"confidential{OTHER}and|independent{OTHER}jpeg|not{OTHER}evil|retain{OTHER}this|without{OTHER}royalty|product{OTHER}includes"
+    rf"confidential{OTHER}and|independent{OTHER}jpeg|not{OTHER}evil|retain{OTHER}this|without{OTHER}royalty|product{OTHER}includes|"
+    rf"(?:gpl|[me]u?pl|cddl|asl|apache(?:{OTHER}software)?)(?:{OTHER})?(?:v(?:ersion{OTHER})?)?[123]|cc{OTHER}by|cc0|wtfpl|clause{OTHER}bsd|0bsd|bsd{OTHER}[234]"
 )
 
 #: Families: label, keyword, the name as it stands in normalised prose, the normalised short identifier. Every alternative
@@ -178,6 +179,50 @@ SIGNATURES = [
     ("proprietary", "confidential and proprietary", "this software is the confidential and proprietary information of", 92, 0.9),
 ]
 
+#: How people name a license in a sentence or a badge, beside the forms of the templates: a version before the word license or glued to
+#: the name, the name as a verb's part, short identifiers on their own. <at> is what stands before a version.
+NOTICES = [
+    ("gpl", "gpl", "(?:gnu )?gpl<at>[123](?: 0)?(?: (?:only|or later|or any later version))?(?: licen[cs]ed?)?", 72, 0.9),
+    ("gpl", "general public", "(?:gnu )?general public licen[cs]e(?: gpl)?<at>[123](?: 0)?", 73, 0.95),
+    ("gpl", "gpl", "(?:gnu )?gpl licen[cs]ed?", 52, 0.8),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl<at>(?:2 [01]|2|3 0|3)(?: (?:only|or later|or any later version))?(?: licen[cs]ed?)?", 72, 0.9),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl licen[cs]ed?", 52, 0.8),
+    ("agpl", "agpl", "(?:gnu )?agpl<at>[13](?: 0)?(?: (?:only|or later|or any later version))?(?: licen[cs]ed?)?", 72, 0.9),
+    ("agpl", "agpl", "(?:gnu )?agpl licen[cs]ed?", 52, 0.8),
+    ("apache", "apache", "apache(?: software)?<at>2(?: 0)?(?: licen[cs]ed?)?", 72, 0.85),
+    ("apache", "apache", "apache licen[cs]ed", 51, 0.8),
+    ("apache", "asl", "asl<at>2(?: 0)?(?: licen[cs]ed?)?", 60, 0.8),
+    ("mit", "mit", "mit licen[cs]ed", 51, 0.8),
+    ("mit", "mit", "licen[cs]e mit", 40, 0.7),
+    ("isc", "isc", "isc licen[cs]ed", 51, 0.8),
+    ("bsd", "bsd", "bsd licen[cs]ed", 51, 0.8),
+    ("0bsd", "0bsd", "0bsd(?: licen[cs]ed?)?", 60, 0.8),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|(?:2|two) clause bsd)(?: licen[cs]ed?)?", 60, 0.85),
+    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|(?:3|three) clause bsd)(?: licen[cs]ed?)?", 60, 0.85),
+    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|(?:4|four) clause bsd)(?: licen[cs]ed?)?", 60, 0.85),
+    ("mpl", "mpl", "mpl<at>(?:1 [01]|2 0|2)(?: licen[cs]ed?)?", 60, 0.85),
+    ("epl", "epl", "epl<at>(?:1 0|2 0|2)(?: licen[cs]ed?)?", 60, 0.85),
+    ("cddl", "cddl", "cddl<at>1 [01](?: licen[cs]ed?)?", 60, 0.85),
+    ("eupl", "eupl", "eupl<at>1 [012](?: licen[cs]ed?)?", 60, 0.85),
+    ("unlicense", "unlicense", "the unlicense", 60, 0.85),
+    ("wtfpl", "wtfpl", "wtfpl(?: licen[cs]ed?)?", 60, 0.85),
+    ("cc0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?(?: licen[cs]ed?)?", 60, 0.85),
+    ("cc-by", "cc by", "cc by [1-4] [05](?: licen[cs]ed?)?", 61, 0.9),
+    ("cc-by-sa", "cc by", "cc by sa(?: [1-4] [05])?(?: licen[cs]ed?)?", 62, 0.9),
+    ("cc-by-nd", "cc by", "cc by nd(?: [1-4] [05])?(?: licen[cs]ed?)?", 62, 0.9),
+    ("cc-by-nc", "cc by", "cc by nc(?: [1-4] [05])?(?: licen[cs]ed?)?", 62, 0.9),
+    ("cc-by-nc-sa", "cc by", "cc by nc sa(?: [1-4] [05])?(?: licen[cs]ed?)?", 63, 0.9),
+    ("cc-by-nc-nd", "cc by", "cc by nc nd(?: [1-4] [05])?(?: licen[cs]ed?)?", 63, 0.9),
+    ("cc-by", "attribution", "creative commons attribution(?: [1-4] [05])?(?: (?:international|unported|generic))?(?: public)? licen[cs]e", 64, 0.95),
+    ("cc-by-sa", "attribution", "creative commons attribution share ?alike(?: [1-4] [05])?(?: (?:international|unported|generic))?(?: public)? licen[cs]e", 64, 0.95),
+    ("cc-by-nd", "attribution", "creative commons attribution no ?deriv(?:ative)?s?(?: [1-4] [05])?(?: (?:international|unported|generic))?(?: public)? licen[cs]e", 64, 0.95),
+    ("cc-by-nc", "attribution", "creative commons attribution non ?commercial(?: [1-4] [05])?(?: (?:international|unported|generic))?(?: public)? licen[cs]e", 64, 0.95),
+    ("cc-by-nc-sa", "attribution", "creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: (?:international|unported|generic))?(?: public)? licen[cs]e", 64, 0.95),
+    ("cc-by-nc-nd", "attribution", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: [1-4] [05])?(?: (?:international|unported|generic))?(?: public)? licen[cs]e", 64, 0.95),
+]
+
+AT = "(?: version | v| |v)?"
+
 #: Rules without a family.
 GENERIC = [
     ("public-domain", "public domain", r"(?:dedicated to|released into|in|placed in) the public domain", 50, 0.8),
@@ -189,7 +234,7 @@ GENERIC = [
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """Label, keyword, regex over the normalised line, priority, confidence: families by templates, signatures, then the rest."""
+    """Label, keyword, regex over the normalised line, priority, confidence: families by templates, signatures, notices, then the rest."""
     version = r"\d{1,2}(?: \d{1,2}){0,2}"
     out = []
     for (label, keyword, name, identifier), (template, priority, confidence) in product(FAMILIES, TEMPLATES):
@@ -199,7 +244,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         word = identifier.split()[0] if "<id>" in template else keyword
         regex = template.replace("<name>", name).replace("<id>", identifier or "").replace("<v>", version)
         out.append((label, word, regex, priority, confidence))
-    out += SIGNATURES + GENERIC
+    out += SIGNATURES + [(label, word, regex.replace("<at>", AT), p, c) for label, word, regex, p, c in NOTICES] + GENERIC
     return [(label, word, rf"(?<= ){regex}(?= )", p, c) for label, word, regex, p, c in out]
 
 

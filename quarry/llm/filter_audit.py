@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]+"
 LETTERS = "ABCDE"
+#: Parts of a text's documents in the join with repeated texts.
+SALTS = 16
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
 
 
@@ -43,8 +45,8 @@ def flags(
 ) -> DataFrame:
     """part, failed (bits A to E), good, toxic of every document.
 
-    Copies are found by SHA-256 of the whole text: the smallest id of each repeated text goes back to its
-    documents in a join that Spark may split where one text is very frequent.
+    Copies are found by SHA-256 of the whole text: the smallest id of each repeated text goes back to its documents, in
+    SALTS parts, as one text may be very frequent.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -54,12 +56,14 @@ def flags(
     # From the documents again, so that texts are not split into words a second time.
     bodies = docs.select(F.col(id_col).alias("doc"), F.unhex(F.sha2(text, 256)).alias("body")).where("doc is not null")
     first = bodies.groupBy("body").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("final > first").select("body", "first")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "failed"), F.lit(SALTS)).cast("int"))
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")
     )
     copy = F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).cast("int") * 16
     no = F.lit(False)
-    return rows.join(first, "body", "left").join(marks, "doc", "left").select(
+    return rows.join(salted, ["body", "salt"], "left").join(marks, "doc", "left").select(
         "part", (F.col("failed") + copy).alias("failed"), F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic")
     )
 

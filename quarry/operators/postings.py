@@ -30,7 +30,7 @@ from quarry.sources import versions
 from quarry.sources.scratch import Workspace, result
 
 #: Chunks of a block, and buckets that terms are laid out by.
-BLOCK, BUCKETS = 64, 64
+BLOCK, BUCKETS = 64, 32
 #: Room for the rounding of sums when a bound is compared with a threshold.
 SLACK = 1e-6
 

@@ -91,7 +91,7 @@ def bm25_topk(spark, sf_dir):
 def index_topk(spark, sf_dir):
     """The keyword index is built, and read by the questions."""
     path = scratch(spark, "index")
-    postings.build(_corpus(spark, sf_dir), path)
+    postings.build(_corpus(spark, sf_dir), path, buckets=16)
     return _from_index(spark, sf_dir, path)
 
 
@@ -104,7 +104,7 @@ def index_segments(spark, sf_dir):
     """A base and three segments that are appended hold all documents between them."""
     path, docs = scratch(spark, "index"), _corpus(spark, sf_dir)
     part = F.pmod(F.xxhash64("id"), F.lit(4))
-    postings.build(docs.where(part == 0), path)
+    postings.build(docs.where(part == 0), path, buckets=16)
     for i in (1, 2, 3):
         postings.append(docs.where(part == i), path)
     return _from_index(spark, sf_dir, path)

@@ -58,7 +58,7 @@ def test_an_index_is_always_there(spark, tmp_path, monkeypatch):
     for n in (0, 1, 2):
         sinks.index(rows(n), str(tmp_path / "t"))
     seen, failed = 2, 0
-    for at in range(1, 13):
+    for at in range(1, 11):
         for done in (False, True):
             monkeypatch.setattr(versions, "Store", lambda s, p, at=at, done=done: Broken(s, p, at, done))
             new = 10 * at + done
@@ -71,7 +71,7 @@ def test_an_index_is_always_there(spark, tmp_path, monkeypatch):
             held = {r["n"] for r in readers.vectors(spark, str(tmp_path / "t")).collect()}
             assert held in ({seen}, {new}) and (held == {new} or not ended)
             seen = held.pop()
-    assert failed > 8
+    assert failed > 6
     sinks.index(rows(7), str(tmp_path / "t"))
     assert len(list((tmp_path / "t" / "manifests").glob("0*"))) <= versions.KEPT + 1
 
@@ -116,7 +116,7 @@ def test_index_answers_like_bm25(spark, tmp_path, monkeypatch):
     corpus, path = corpus_of(spark, 900), str(tmp_path / "index")
     postings.build(corpus, path, buckets=8)
     index = postings.Index(spark, path)
-    for k in (1, 4, 30):
+    for k in (1, 30):
         same_answers(postings.topk(asked, index, k), bm25.topk(asked, corpus, k))
     # Blocks that can't win are left out.
     rare = asked.where("qid in (0, 1)")
@@ -126,12 +126,12 @@ def test_index_answers_like_bm25(spark, tmp_path, monkeypatch):
 
 def test_search_reads_asked_terms_only(spark, tmp_path):
     corpus, path = corpus_of(spark, 200), str(tmp_path / "index")
-    postings.build(corpus, path, buckets=32)
+    postings.build(corpus, path, buckets=16)
     asked = spark.createDataFrame([(1, "zebra")], "qid int, question string")
     index = postings.Index(spark, path)
     weighted = postings.weights(index, bm25.question_terms(asked))
     plan = postings.bounds(index, weighted)._jdf.queryExecution().executedPlan().toString()
-    number = spark.range(1).select(postings.bucket(F.lit("zebra"), 32)).first()[0]
+    number = spark.range(1).select(postings.bucket(F.lit("zebra"), 16)).first()[0]
     assert re.search(rf"PartitionFilters: \[[^\]]*bucket#\d+ = {number}\)?[,\]]", plan), plan
     scan = next(x for x in plan.split("\n") if "max_tf" in x and "FileScan" in x)
     assert "docs" not in scan.split("ReadSchema")[1]

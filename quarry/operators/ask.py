@@ -20,6 +20,11 @@ def append(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = Non
     postings.append(_embedded(chunks, embedder, settings), path)
 
 
+def merge(spark: SparkSession, path: str) -> None:
+    """Make one segment of all; answers stay the same."""
+    postings.merge(spark, path)
+
+
 def _embedded(chunks: DataFrame, embedder: vectors.Embedder | None, settings: Settings) -> DataFrame:
     embedder = embedder or vectors.HashingEmbedder(settings.dims)
     return vectors.embed(chunks, embedder, "id", "text", keep=("ord", "pdf_name", "text"))

@@ -6,6 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import ask, bm25, postings
 from quarry.sources import readers, scratch, sinks
 from quarry.streaming import ingest
 
@@ -115,6 +116,29 @@ def test_stream_chunks_new_files_once(spark, tmp_path):
     assert sorted(r["doc_name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["d1", "d2"]
 
 
+def test_stream_indexes_new_files(spark, tmp_path):
+    """Segments of arrivals answer like an index of all; a batch that is run again, and a document that comes again, add nothing."""
+    texts = {i: f"alpha beta number{i}\n\n{'gamma ' * (i % 3)}delta" for i in range(12)}
+    docs = lambda ids: spark.createDataFrame([(f"d{i}", texts[i]) for i in ids], "name string, text string")
+    path, index = str(tmp_path / "in"), str(tmp_path / "index")
+    run = lambda state="state": ingest.index_new_files(spark, path, "name string, text string", F.col("name"), F.col("text"), index, str(tmp_path / state))
+    for ids in ([0, 1, 2, 3], [4, 5, 6], [6, 7, 8, 9, 10, 11]):
+        docs(ids).coalesce(1).write.mode("append").parquet(path)
+        run()
+    run()
+    held = postings.Index(spark, index)
+    assert len(held.segments) == 3 and held.n_docs == 12
+    run("another state")  # reads all files again
+    assert postings.Index(spark, index).number == held.number
+    asked = spark.createDataFrame([(1, "gamma number7"), (2, "delta")], "qid int, question string")
+    rows = held.chunks().select("id", "ord", "pdf_name", "text")
+    assert sorted(r["ord"] for r in rows.collect()) == list(range(12))
+    want = sorted(map(tuple, bm25.topk(asked, rows, 4).collect()))
+    assert sorted(map(tuple, postings.topk(asked, held, 4).collect())) == want
+    ask.merge(spark, index)
+    assert sorted(map(tuple, postings.topk(asked, ask.opened(spark, index), 4).collect())) == want
+
+
 def test_entry_works_without_the_optional_part(monkeypatch):
     import __spark_entry__ as entry
 

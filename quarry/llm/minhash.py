@@ -14,7 +14,10 @@ contracted. Then, in buckets that still hold several components, the members out
 compared with all members of other components, in blocks of bounded size, each pair in the first bucket that it shares.
 Members with a survivor come back to their block with their sets, and survivors are verified there, against full sets of 64-bit hashes under a second
 key; only a spanning forest of the links leaves a block. So a pair of a bucket is left out only if both ends are known to be
-connected, and no row is made for a pair.
+connected, and no row is made for a pair. Where the strangers of a bucket are many (unlinked pages of one template, say), rows for
+pairs of blocks would grow with its square. Members of such buckets meet by shared rare shingles instead, which loses no pair: in any
+total order of all shingles, the first one that two similar sets share stands near the start of both. The order is by how often
+shingles occur among these members, so what a template repeats stands last.
 
 Defined cases: documents that are null, empty or without words have no set and link with
 nothing; of fewer than five words the whole sequence is the one shingle. Rows are judged by their
@@ -48,6 +51,10 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Members of a bucket that are compared at a time, each counted once for every HEAVY shingles that it has.
 BLOCK, HEAVY = 1024, 1024
+#: Blocks of strangers above which a bucket's members meet by rare shingles.
+CROWDED = 8
+#: Counters of how often shingles occur, told apart by their leading bits: a fixed size, whatever the table's.
+CELL_BITS = 20
 #: Hashes of words that a task remembers.
 REMEMBERED = 1 << 18
 
@@ -281,6 +288,10 @@ def _star_pairs(buckets: DataFrame) -> DataFrame:
     return pairs
 
 
+#: The band of members that do not meet by a band.
+ANY = -1
+
+
 class _Block:
     """Members that a task compares: strangers of a bucket with rows of the bucket, each as band, key, root, signature and,
     in the second pass, set. Strangers are all but the members of the bucket's largest component."""
@@ -295,11 +306,12 @@ class _Block:
         self.sets = [np.frombuffer(r[4], np.uint64) for r in rows] if len(rows[0]) > 4 else []
 
     def partners(self, i: int) -> np.ndarray:
-        """Rows of other components that survive the comparison, where this is the first band they share with stranger i."""
+        """Rows of other components that survive the comparison with stranger i; in a bucket of a band, where it is the first they share."""
         at = self.n + np.flatnonzero(self.root[self.n :] != self.root[i])
-        if self.band:
+        if self.band > 0:
             at = at[~(self.bands[at, : self.band] == self.bands[i, : self.band]).any(1)]
-        at = at[self.bands[at, self.band] == self.bands[i, self.band]]
+        if self.band != ANY:
+            at = at[self.bands[at, self.band] == self.bands[i, self.band]]
         return at[survivors(np.broadcast_to(self.sigs[i], (len(at), HASHES)), self.sigs[at])[0]]
 
     def surviving(self) -> list[int]:
@@ -345,36 +357,130 @@ def _blocks(batches):
         yield number, _Block(*held)
 
 
-def _tasks(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+def _hashed_sets(texts: DataFrame, key: bytes, *others: str) -> DataFrame:
+    """key, members (the sorted 64-bit hashes of its shingles) of key, text; other columns stay."""
+
+    def run(batches):
+        words = Words(key)
+        for part in pieces(batches, "text"):
+            found = [x for x, _, _ in shingle_sets(as_bytes(part.column(1)), words)]
+            rest = [part.column(2 + i) for i in range(len(others))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in found], pa.binary()), *rest], ["key", "members", *others])
+
+    schema = "key bigint, members binary" + "".join(f", {c} {ddl(texts, c)}" for c in others)
+    return texts.select("key", "text", *others).mapInArrow(run, schema)
+
+
+def _blocks_of(weight: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(weight / F.lit(BLOCK))).cast("int")
+
+
+def _side(rows: DataFrame, own: str, other: str, stranger: bool, *names: Column) -> DataFrame:
+    """One side of the tasks of buckets: each row goes to one of its side's blocks (so many as own says), and meets all blocks of the other."""
+    mine = F.pmod(F.xxhash64("key"), F.col(own)).cast("int")
+    rows = rows.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    at = ("i", "j") if stranger else ("j", "i")
+    return rows.select(F.xxhash64("bucket", *names, *at).alias("task"), F.lit(stranger).alias("stranger"), "band", "key", "root")
+
+
+def _tasks(buckets: DataFrame, roots: DataFrame, texts: DataFrame, key: bytes) -> DataFrame:
     """task, stranger, band, key, root: in buckets with several components, all but the largest one's members (strangers)
-    against all rows. Both sides are cut into blocks, and a task is a pair of blocks: the rows made grow with
-    the strangers times the blocks of the bucket, and one stranger in a bucket makes one row for each member."""
+    against all rows. Both sides are cut into blocks, and a task is a pair of blocks. With no more than CROWDED blocks of
+    strangers, a bucket makes 2 * CROWDED rows for each member at most; the members of others go by rare shingles."""
     rows = buckets.join(roots.select(F.col("vertex").alias("key"), "root"), "key", "left")
     weight = F.col("n_shingles") / F.lit(HEAVY) + 1
     rows = rows.select("bucket", "band", "key", weight.alias("w"), F.coalesce("root", "key").alias("root"))
     rows = written(rows, "rooted")
     sizes = rows.groupBy("bucket", "root").agg(F.sum("w").alias("w"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("root", "w").alias("main"), F.sum("w").alias("all"), F.max("w").alias("most"))
-    block = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(BLOCK))).cast("int")
-    mixed = mixed.where("n > 1").select("bucket", "main", block(F.col("all")).alias("g"), block(F.col("all") - F.col("most")).alias("s"))
+    mixed = mixed.where("n > 1").select("bucket", "main", _blocks_of(F.col("all")).alias("g"), _blocks_of(F.col("all") - F.col("most")).alias("s"))
     mixed = written(mixed, "mixed")
     rooted, rows = rows, written(rows.join(mixed, "bucket"), "dealt")
     dropped(rooted)
+    few = rows.where(F.col("s") <= CROWDED)
+    out = _side(few.where("root <> main"), "s", "g", True).unionByName(_side(few, "g", "s", False))
+    if not mixed.where(F.col("s") > CROWDED).isEmpty():
+        crowd = rows.where(F.col("s") > CROWDED).select("key", "root", "w").distinct()
+        out = out.unionByName(_rare_tasks(texts.join(crowd, "key"), key))
     dropped(mixed)
+    return out
+
 
-    def side(found, own, other, stranger):
-        """Each row goes to one block of its side, and meets all blocks of the other."""
-        mine = F.pmod(F.xxhash64("key"), F.col(own)).cast("int")
-        found = found.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        at = ("i", "j") if stranger else ("j", "i")
-        return found.select(F.xxhash64("bucket", *at).alias("task"), F.lit(stranger).alias("stranger"), "band", "key", "root")
+def prefixes(n: int) -> tuple[int, int]:
+    """How many leading shingles of a set of n, in a common order, hold the first that it shares with any similar set, and how many do if that
+    set is not the smaller one: of n and m >= n shingles, similar ones share SIMILAR * (n + m) / (OF + SIMILAR) at least."""
+    return n + 1 + -SIMILAR * n // OF, n + 1 + -2 * SIMILAR * n // (OF + SIMILAR)
 
-    return side(rows.where("root <> main"), "s", "g", True).unionByName(side(rows, "g", "s", False))
+
+def _rare_tasks(members: DataFrame, key: bytes) -> DataFrame:
+    """Tasks of key, text, root, w: members that share a shingle of their prefixes, the smaller set's being the short one.
+
+    The order of shingles needs no exact counts, only to be the same everywhere; so counters of a fixed size do, which are the only thing
+    that the driver sees.
+    """
+    crowd = written(_hashed_sets(members, key, "root", "w"), "crowd")
+    shift = np.uint64(64 - CELL_BITS)
+
+    def counted(batches):
+        often = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            held = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            often += np.bincount((held >> shift).astype(np.int64), minlength=len(often))
+        at = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(often[at])], ["cell", "n"])
+
+    cells = crowd.select("members").mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << CELL_BITS, np.int64)
+    often[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    held = members.sparkSession.sparkContext.broadcast(often.tobytes())  # 8 MB
+
+    def leading(batches):
+        often = np.frombuffer(held.value, np.int64)
+        for part in pieces(batches, "members"):
+            taken, sizes, short = [], [], []
+            for member in part.column(1).to_pylist():
+                own = np.frombuffer(member, np.uint64)
+                n, m = prefixes(len(own))
+                taken.append(own[np.lexsort((own, often[(own >> shift).astype(np.int64)]))[:n]])
+                sizes.append(n)
+                short.append(np.arange(n) < m)
+            again = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(taken).view(np.int64)), *(part.column(i).take(again) for i in (0, 2, 3)), pa.array(np.concatenate(short))],
+                ["bucket", "key", "root", "w", "short"],
+            )
+
+    rows = crowd.select("key", "members", "root", "w").mapInArrow(leading, f"bucket bigint, key bigint, root bigint, w {ddl(crowd, 'w')}, short boolean")
+    rows = written(rows.withColumn("band", F.lit(ANY)), "leading")
+    dropped(crowd)
+    brief = F.sum(F.when(F.col("short"), F.col("w")).otherwise(0)).alias("brief")
+    sizes = rows.groupBy("bucket", "root").agg(F.sum("w").alias("w"), brief)
+    mixed = sizes.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.max(F.struct("w", "root", "brief")).alias("main"), F.sum("w").alias("all"), F.sum("brief").alias("brief")
+    )
+    mixed = mixed.where("n > 1 and brief > 0").select(
+        "bucket",
+        F.col("main.root").alias("main"),
+        _blocks_of(F.col("all")).alias("g"),
+        _blocks_of(F.col("all") - F.col("main.w")).alias("s"),
+        _blocks_of(F.col("brief")).alias("brief_g"),
+        _blocks_of(F.col("brief") - F.col("main.brief")).alias("brief_s"),
+    )
+    leaders, rows = rows, written(rows.join(mixed, "bucket"), "rare")
+    dropped(leaders)
+    strangers, brief = rows.where("root <> main"), rows.where("short")
+    smaller, larger = F.lit(0), F.lit(1)  # which side the stranger's set is
+    return (
+        _side(strangers.where("short"), "brief_s", "g", True, smaller)
+        .unionByName(_side(rows, "g", "brief_s", False, smaller))
+        .unionByName(_side(strangers, "s", "brief_g", True, larger))
+        .unionByName(_side(brief, "brief_g", "s", False, larger))
+    )
 
 
 def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, texts: DataFrame, key: bytes) -> DataFrame:
     """Links u, v that connect components which share a bucket and hold a pair that is similar enough."""
-    rows = written(_tasks(buckets, roots).join(classes.select("key", "sig"), "key"), "tasks")
+    rows = written(_tasks(buckets, roots, texts, key).join(classes.select("key", "sig"), "key"), "tasks")
     columns = ["task", "stranger", "band", "key", "root", "sig"]
 
     def first_pass(batches):
@@ -402,15 +508,7 @@ def _residual_links(buckets: DataFrame, classes: DataFrame, roots: DataFrame, te
     alive = written(dealt.mapInArrow(first_pass, "task bigint, key bigint"), "alive")
     texts = texts.join(alive.select("key").distinct(), "key", "left_semi")
 
-    def sets(batches):
-        words = Words(key)
-        for part in pieces(batches, "text"):
-            found = [x for x, _, _ in shingle_sets(as_bytes(part.column(1)), words)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "members"]
-            )
-
-    members = written(texts.mapInArrow(sets, "key bigint, members binary"), "members")
+    members = written(_hashed_sets(texts, key), "members")
     full = rows.join(alive, ["task", "key"], "left_semi").join(members, "key").select(*columns, "members")
     found = written(full.repartition("task").sortWithinPartitions("task").mapInArrow(second_pass, "u bigint, v bigint"), "more")
     for gone in (rows, alive, members):

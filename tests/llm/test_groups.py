@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from datetime import datetime
 
 import numpy as np
+import pytest
 
 from quarry.llm import components, grid_join, minhash, suffix_dedup, url_filter
 
@@ -209,8 +210,11 @@ def test_minhash_groups_of_near_copies(spark):
     assert got == brute_minhash(rows)
 
 
-def test_minhash_of_many_strengths(spark, monkeypatch):
-    """Copies from near to far, so that components must be joined beyond the first step, in small blocks too."""
+@pytest.mark.parametrize("block, crowded", [(minhash.BLOCK, minhash.CROWDED), (8, minhash.CROWDED), (16, 0)])
+def test_minhash_of_many_strengths(spark, monkeypatch, block, crowded):
+    """Copies from near to far, so that components must be joined beyond the first step, in small blocks and by rare shingles too."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
     base = [rng.choice(vocabulary) for _ in range(120)]
@@ -259,11 +263,61 @@ def test_minhash_tasks_grow_with_strangers(spark):
     n = 5 * minhash.BLOCK
     buckets = spark.range(n + 1).selectExpr("id as key", "7L as bucket", "3 as band", "10L as n_shingles")
     roots = spark.range(1, n).selectExpr("id as vertex", "0L as root")
-    made = minhash._tasks(buckets, roots).groupBy("stranger").count().collect()
+    texts = spark.createDataFrame([], "key long, text string")
+    made = minhash._tasks(buckets, roots, texts, b"k").groupBy("stranger").count().collect()
     rows = {r["stranger"]: r["count"] for r in made}
     assert rows[False] == n + 1 and rows[True] <= n // minhash.BLOCK + 1
 
 
+def pages(rng, n):
+    """Pages of one template (of 60 words, and 40 of their own: not linked), and near copies of the first 20."""
+    words = lambda k: [f"{rng.getrandbits(40):x}" for _ in range(k)]
+    template = words(60)
+    rows = [template[:30] + words(40) + template[30:] for _ in range(n)]
+    rows += [[*row[:-1], "other"] for row in rows[:20]]
+    return [(i, " ".join(row)) for i, row in enumerate(rows)]
+
+
+def test_minhash_tasks_of_crowded_buckets(spark, monkeypatch):
+    """Rows grow with the members where a bucket holds many that are not linked; those that are still meet."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    made = []
+    for n in (1280, 2560):
+        texts = spark.createDataFrame(pages(random.Random(n), n), "key long, text string").repartition(4)
+        buckets = texts.selectExpr("key", "7L as bucket", "3 as band", "96L as n_shingles")
+        roots = spark.createDataFrame([], "vertex long, root long")
+        rows = minhash._tasks(buckets, roots, texts, b"k").collect()
+        made.append(len(rows))
+        sides = defaultdict(set)
+        for r in rows:
+            assert r["band"] == minhash.ANY
+            sides[r["task"], r["stranger"]].add(r["key"])
+        met = {(a, b) for (task, stranger), keys in sides.items() if stranger for a in keys for b in sides[task, False]}
+        assert all((i, n + i) in met or (n + i, i) in met for i in range(20))
+        assert len(met) < 20 * n
+    assert made[1] < 2.5 * made[0] + 1000
+
+
+def test_prefixes_hold_a_common_shingle():
+    """For all sizes and the least overlap that links, the bounds are those of the definition."""
+    for n in range(1, 120):
+        long, short = minhash.prefixes(n)
+        both = [next(k for k in range(1, n + 1) if 100 * k >= 75 * (n + m - k)) for m in range(n, n * 4 // 3 + 1)]
+        assert short == n + 1 - both[0] == n + 1 - min(both)
+        smaller = [k for m in range(1, n + 1) for k in range(1, m + 1) if 100 * k >= 75 * (n + m - k)]
+        assert 1 <= short <= long == n + 1 - min(smaller)
+
+
+def test_minhash_of_template_pages(spark, monkeypatch):
+    """Whole results where all meet by rare shingles."""
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    monkeypatch.setattr(minhash, "CROWDED", 1)
+    rows = pages(random.Random(6), 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in minhash.near_duplicates(docs).collect())
+    assert got == brute_minhash(rows)
+
+
 def test_hashes_of_crafted_words_differ(spark):
     """Thue-Morse strings have one polynomial hash modulo 2^64 at any base, and two words that once had one hash here."""
     one, two = b"a", b"b"

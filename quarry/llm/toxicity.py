@@ -2,8 +2,8 @@
 
 Fit, on a bounded sample of labelled rows: the share of toxic and of other documents
 that hold a token gives its log-odds under an informative Dirichlet prior whose
-mass follows the token's overall frequency; the lower end of its confidence interval is
-its score. Tokens without such evidence cost a small constant. In a text, all
+mass follows the token's overall frequency; the end of its confidence interval that is nearer to 0 is
+its evidence, for or against. Evidence for is the token's score; every other token costs a small constant and its evidence against. In a text, all
 maximal scoring segments are found in one linear scan (Ruzzo and Tompa); a segment's chance
 in a text of that many tokens follows the extreme-value law of Karlin and Altschul with
 parameters from the background distribution of scores. The passages that are significant add up to
@@ -34,7 +34,7 @@ PRIOR_MASS = 200.0
 LOWERED = 2.0
 #: Random texts that the extreme-value law is fitted to, and positive tokens in each.
 SEQUENCES, POSITIVES = 2000, 100
-#: What any other token adds to a segment.
+#: What a token without evidence adds to a segment, and one with evidence against on top of that.
 DRIFT = -0.5
 #: Expected number of equally good segments by chance, below which one is significant.
 SIGNIFICANT = 0.05
@@ -45,7 +45,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 def segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), given only the places with positive scores.
+    """All maximal scoring segments (start, end, score), given only the places with scores other than drift.
 
     Between two of these every token adds drift, so the scan is linear in their number.
     """
@@ -54,6 +54,9 @@ def segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[int, i
     for at, score in scored:
         total += drift * (at - last - 1)
         last = at
+        if score <= 0:
+            total += score
+            continue
         item = [at, at + 1, total, total + score]
         total += score
         while True:
@@ -162,9 +165,9 @@ def fit(sample: DataFrame) -> Model:
     prior = F.lit(PRIOR_MASS) * (F.col("n0") + F.col("n1")) / F.lit(n0 + n1) + 0.01
     yes, no = F.col("n1") + prior, F.col("n0") + prior
     odds = F.log(yes / (n1 + PRIOR_MASS - yes)) - F.log(no / (n0 + PRIOR_MASS - no))
-    evidence = odds - LOWERED * F.sqrt(1 / yes + 1 / no)
-    table = _counts(learn).withColumn("score", evidence)
-    held = table.where("score > 0").orderBy(F.desc("score"), "token").collect()  # tokens of the bounded sample
+    margin = LOWERED * F.sqrt(1 / yes + 1 / no)
+    table = _counts(learn).withColumn("score", F.when(odds > margin, odds - margin).when(odds < -margin, odds + margin + DRIFT))
+    held = table.where("score is not null").orderBy(F.desc("score"), "token").collect()  # tokens of the bounded sample
     total = table.agg(F.sum("t0")).first()[0] or 0
     scores = {r["token"]: r["score"] for r in held}
     # The background: each token's occurrences in documents of label 0, with half of one for what never occurs there.

@@ -45,8 +45,8 @@ def brute_segments(scores):
 def test_segments_equal_their_definition():
     rng = random.Random(1)
     for _ in range(200):
-        scores = [rng.choice([-0.5, -0.5, -0.5, 1.3, 0.4, 2.1]) for _ in range(rng.randint(0, 24))]
-        scored = [(i, s) for i, s in enumerate(scores) if s > 0]
+        scores = [rng.choice([-0.5, -0.5, -0.5, -0.9, -2.3, 1.3, 0.4, 2.1]) for _ in range(rng.randint(0, 24))]
+        scored = [(i, s) for i, s in enumerate(scores) if s != -0.5]
         got = [(a, b, round(s, 6)) for a, b, s in toxicity.segments(scored, -0.5)]
         assert got == [(a, b, round(s, 6)) for a, b, s in brute_segments(scores)]
 
@@ -55,8 +55,12 @@ def test_toxicity_edges(spark, odd, none):
     rng = random.Random(2)
     plain = lambda: " ".join(rng.choice(["tree", "house", "river", "cloud", "stone", "bird"]) for _ in range(30))
     rows = [(i, plain() + (" nasty vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(400)]
+    rows = [(i, text if toxic or i % 2 else text + " thanks", toxic) for i, text, toxic in rows]
     model = toxicity.fit(spark.createDataFrame(rows, "k long, text string, label int"))
     got = toxicity.passages(spark.createDataFrame([(1, plain() + " NASTY, vile " + plain()), (2, plain()), (3, None), (4, "")], "doc_id long, text string"), model)
+    # Evidence against costs more than none; words of both kinds have next to none.
+    assert model.scores["thanks"] < 1.5 * toxicity.DRIFT and model.scores["vile"] > 0
+    assert all(abs(model.scores.get(w, toxicity.DRIFT) - toxicity.DRIFT) < 0.1 for w in ("tree", "house", "river", "cloud", "stone", "bird"))
     score = {r["doc_id"]: r for r in got.collect()}
     assert score[1]["score"] > 0.5 > score[2]["score"] and score[3]["score"] == score[4]["score"] < 0.5
     assert [(p["start"], p["end"]) for p in score[1]["passages"]] == [(30, 32)]

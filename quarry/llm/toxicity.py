@@ -164,9 +164,12 @@ def fit(sample: DataFrame) -> Model:
         return Model({}, (np.zeros(0), np.zeros(0)))
     prior = F.lit(PRIOR_MASS) * (F.col("n0") + F.col("n1")) / F.lit(n0 + n1) + 0.01
     yes, no = F.col("n1") + prior, F.col("n0") + prior
-    odds = F.log(yes / (n1 + PRIOR_MASS - yes)) - F.log(no / (n0 + PRIOR_MASS - no))
+    without1, without0 = n1 + PRIOR_MASS - yes, n0 + PRIOR_MASS - no
+    odds = F.log(yes / without1) - F.log(no / without0)
     margin = LOWERED * F.sqrt(1 / yes + 1 / no)
-    table = _counts(learn).withColumn("score", F.when(odds > margin, odds - margin).when(odds < -margin, odds + margin + DRIFT))
+    # Evidence against is found in frequent tokens, where the documents without one count as well.
+    whole = LOWERED * F.sqrt(1 / yes + 1 / no + 1 / without1 + 1 / without0)
+    table = _counts(learn).withColumn("score", F.when(odds > margin, odds - margin).when(odds < -whole, odds + whole + DRIFT))
     held = table.where("score is not null").orderBy(F.desc("score"), "token").collect()  # tokens of the bounded sample
     total = table.agg(F.sum("t0")).first()[0] or 0
     scores = {r["token"]: r["score"] for r in held}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,12 @@ from quarry.operators import fusion, generate, postings, prompts, vectors
 
 def build(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None, settings: Settings = DEFAULT) -> None:
     """Replace the index at a path by chunks (id, ord, pdf_name, text): their texts, vectors and postings."""
-    postings.build(_embedded(chunks, embedder, settings), path)
+    postings.build(chunks, path, added=_embedding(embedder, settings))
 
 
 def append(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None, settings: Settings = DEFAULT) -> None:
     """Add chunks to the index as a segment; answers are those of an index that is built of all."""
-    postings.append(_embedded(chunks, embedder, settings), path)
+    postings.append(chunks, path, added=_embedding(embedder, settings))
 
 
 def merge(spark: SparkSession, path: str) -> None:
@@ -25,9 +27,9 @@ def merge(spark: SparkSession, path: str) -> None:
     postings.merge(spark, path)
 
 
-def _embedded(chunks: DataFrame, embedder: vectors.Embedder | None, settings: Settings) -> DataFrame:
+def _embedding(embedder: vectors.Embedder | None, settings: Settings) -> Callable[[DataFrame], DataFrame]:
     embedder = embedder or vectors.HashingEmbedder(settings.dims)
-    return vectors.embed(chunks, embedder, "id", "text", keep=("ord", "pdf_name", "text"))
+    return lambda chunks: vectors.embed(chunks, embedder, "id", "text", keep=("ord", "pdf_name", "text"))
 
 
 def opened(spark: SparkSession, path: str) -> postings.Index:

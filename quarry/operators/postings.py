@@ -11,20 +11,28 @@ The manifest of a version names its segments with their number of chunks and of
 values of the version. Frequencies, numbers and lengths of segments are summed when the index is read, so a base with
 segments appended answers like an index that is built anew.
 
-A search never reads a text. From the blocks' maxima follows the most that any chunk of a block can score; the
-chunks of the most promising blocks are scored first, their k-th score is a threshold, and only blocks that can still reach it are scored.
+Each task of a build makes the postings of its own share of the chunks and writes them by buckets; no posting is shuffled. A block that two tasks
+share has a row of each.
+
+A search never reads a text. From the blocks' maxima follows the most that any chunk of a block can score. For a stated set of questions the
+postings of asked terms meet by blocks; a task scores its blocks by products of matrices, leaves out those that cannot reach the k best scores it has seen for
+any question, and hands on what may be among the k best. For more questions the chunks of the most promising blocks are scored first, their k-th score is a
+threshold, and only blocks that can still reach it are scored, by shuffles.
 A chunk in a block that is left out can't be among the k best, so the others' scores are whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.config import DEFAULT, Settings
-from quarry.functions.text import tokens
 from quarry.operators import bm25
 from quarry.sources import versions
 from quarry.sources.scratch import Workspace, result
@@ -33,41 +41,78 @@ from quarry.sources.scratch import Workspace, result
 BLOCK, BUCKETS = 64, 32
 #: Room for the rounding of sums when a bound is compared with a threshold.
 SLACK = 1e-6
+#: Below the least score above 0, as scores have 9 digits.
+LEAST = 5e-10
 
 
 def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _write_segment(chunks: DataFrame, store: versions.Store, buckets: int, text: str) -> dict:
+def _postings(rows: DataFrame) -> DataFrame:
+    """term, block, max_tf, min_dl, docs of chunks (n, ord, text) that are read in the order of n, made by each task for its own."""
+    kind, shift, room = rows.schema["ord"].dataType, BLOCK.bit_length() - 1, max(BLOCK, bm25.ROWS)
+    number = to_arrow_type(kind)
+
+    def made(n: np.ndarray, order: pa.Array, found: list[list[str]]) -> pa.RecordBatch:
+        lengths = np.array([len(t) for t in found], np.int64)
+        words = pa.array([w for t in found for w in t], pa.string()).dictionary_encode()
+        key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), lengths), return_counts=True)
+        term, row = key // len(n), key % len(n)
+        block, dl = n[row] >> shift, lengths[row].astype(np.int32)
+        first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(key) else np.zeros(0, np.int64)
+        docs = pa.StructArray.from_arrays([pa.array(n[row]), order.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(dl)], ["n", "ord", "tf", "dl"])
+        if not len(key):
+            first, tops, least = first, np.zeros(0, np.int32), np.zeros(0, np.int32)
+        else:
+            tops, least = np.maximum.reduceat(tf, first).astype(np.int32), np.minimum.reduceat(dl, first)
+        listed = pa.ListArray.from_arrays(np.r_[first, len(key)].astype(np.int32), docs)
+        return pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(term[first])), pa.array(block[first]), pa.array(tops), pa.array(least), listed], ["term", "block", "max_tf", "min_dl", "docs"]
+        )
+
+    def run(batches):
+        n, order, found = np.zeros(0, np.int64), pa.array([], number), []
+        for batch in batches:
+            for start in range(0, batch.num_rows, room):
+                part = batch.slice(start, room)
+                n = np.r_[n, part.column(0).to_numpy()]
+                order = pa.concat_arrays([order, part.column(1)])
+                found += bm25.listed(part.column(2).to_pylist())
+                # The last block may go on.
+                cut = int(np.flatnonzero(np.r_[True, np.diff(n >> shift) != 0])[-1])
+                if cut:
+                    yield made(n[:cut], order.slice(0, cut), found[:cut])
+                    n, order, found = n[cut:], order.slice(cut), found[cut:]
+        if found:
+            yield made(n, order, found)
+
+    docs = f"array<struct<n: bigint, ord: {kind.simpleString()}, tf: int, dl: int>>"
+    return rows.mapInArrow(run, f"term string, block bigint, max_tf int, min_dl int, docs {docs}")
+
+
+def _write_segment(chunks: DataFrame, store: versions.Store, buckets: int, text: str, added: Callable[[DataFrame], DataFrame] | None = None) -> dict:
     """Write the tables of a segment; its entry in the manifest."""
     spark, name = chunks.sparkSession, versions.fresh(store, "segment")
     at = f"{store.top}/{name}"
     order = ["ord", "id"] if "ord" in chunks.columns else ["id"]
     dealt = chunks.repartitionByRange(*order).sortWithinPartitions(*order)
+    # After the ranges are drawn, as drawing them reads the rows once more.
+    dealt = added(dealt) if added else dealt
     dealt.withColumn("n", F.monotonically_increasing_id()).write.parquet(f"{at}/chunks")
-    rows = spark.read.parquet(f"{at}/chunks")
+    rows = spark.read.schema(dealt.withColumn("n", F.lit(0).cast("bigint")).schema).parquet(f"{at}/chunks")
     twice = rows.groupBy("id").count().where("count > 1").limit(5).collect()
     if twice:
         store.delete(name)
         raise ValueError(f"ids that occur twice: {[r['id'] for r in twice]}")
-    listed = rows.select("n", F.col(order[0]).alias("ord"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("tokens")).first()
-    held = listed.select("n", "ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    counted = held.groupBy("term", "n", "ord", "dl").agg(F.count("*").cast("int").alias("tf"))
-    block = F.shiftright("n", BLOCK.bit_length() - 1).alias("block")
-    # At most BLOCK chunks in a group.
-    grouped = counted.groupBy("term", block).agg(
-        F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("n", "ord", "tf", "dl"))).alias("docs")
-    )
-    grouped = grouped.withColumn("bucket", bucket(F.col("term"), buckets))
-    keys = ["bucket", "term", "block"]
-    # Ranges, so that a frequent term is written by several tasks.
-    grouped.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(f"{at}/postings")
-    written = spark.read.schema(grouped.schema).parquet(f"{at}/postings")
-    df = written.groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df"))
+    made = _postings(rows.select("n", F.col(order[0]).alias("ord"), F.col(text).alias("text"))).withColumn("bucket", bucket(F.col("term"), buckets))
+    made.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
+    written = spark.read.schema(made.schema).parquet(f"{at}/postings")
+    tf = F.aggregate(F.col("docs.tf"), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    df = written.groupBy("bucket", "term").agg(F.sum(F.size("docs.tf")).alias("df"), F.sum(tf).alias("tokens"))
     df.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
-    return {"name": name, "n": size["n"], "tokens": int(size["tokens"]), "ord": grouped.schema["docs"].dataType.elementType["ord"].dataType.simpleString()}
+    total = spark.read.schema("tokens bigint").parquet(f"{at}/terms").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    return {"name": name, "n": rows.count(), "tokens": int(total), "ord": made.schema["docs"].dataType.elementType["ord"].dataType.simpleString()}
 
 
 class Index:
@@ -117,25 +162,25 @@ def _commit(spark: SparkSession, store: versions.Store, segments: list[dict], bu
     versions.commit(store, {"folders": folders, "segments": segments, "buckets": buckets, "mean_raw": mean}, after)
 
 
-def build(chunks: DataFrame, path: str, buckets: int = BUCKETS, text: str = "text") -> None:
+def build(chunks: DataFrame, path: str, buckets: int = BUCKETS, text: str = "text", added: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Replace the index at a path, or make it, by chunks (id, ord, text and any further columns).
 
     ord is the corpus order; without it ids are. Ids must be unique: an id that occurs twice is an error, and the index stays as it was.
-    Null and empty texts are chunks of length 0. buckets should grow with the vocabulary: a search reads the buckets of its terms.
+    added makes further columns of the chunks, row by row and in their order. Null and empty texts are chunks of length 0. buckets should grow with the vocabulary: a search reads the buckets of its terms.
     """
     spark, store = chunks.sparkSession, versions.Store(chunks.sparkSession, path)
     found = versions.current(store)
-    segment = _write_segment(chunks, store, buckets, text)
+    segment = _write_segment(chunks, store, buckets, text, added)
     _commit(spark, store, [segment], buckets, found and found[0])
 
 
-def append(chunks: DataFrame, path: str, text: str = "text") -> None:
+def append(chunks: DataFrame, path: str, text: str = "text", added: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Add a segment of new chunks, with the columns of the others. An id that the index has is an error."""
     index = Index(chunks.sparkSession, path)
-    known = chunks.join(index.chunks().select("id"), "id", "left_semi").limit(5).collect()
+    known = chunks.select("id").join(index.chunks().select("id"), "id", "left_semi").limit(5).collect()
     if known:
         raise ValueError(f"ids that the index has: {[r['id'] for r in known]}")
-    segment = _write_segment(chunks, index.store, index.buckets, text)
+    segment = _write_segment(chunks, index.store, index.buckets, text, added)
     _commit(index.spark, index.store, [*index.segments, segment], index.buckets, index.number)
 
 
@@ -205,12 +250,74 @@ def candidates(
 def topk(questions: DataFrame, index: Index, k: int = DEFAULT.k_bm25, settings: Settings = DEFAULT) -> DataFrame:
     """qid, id, ord, bm25_rank, score: the same rows as bm25.topk gives for the index's chunks."""
     work = Workspace(index.spark)
-    weighted, _, left = candidates(index, questions, k, settings, work)
-    found = work.written(scored(index, weighted, left, settings), "scored")
+    asked = bm25.question_terms(questions)
+    qids = [r[0] for r in questions.select("qid").distinct().limit(bm25.QUESTIONS + 1).collect()]
+    weighted = work.written(weights(index, asked, settings), "weights")
+    few = len(qids) <= bm25.QUESTIONS and weighted.limit(bm25.PAIRS + 1).count() <= bm25.PAIRS
     chunks = index.chunks()
-    corpus = chunks.select(F.struct("segment", "n").alias("id"), (F.col("ord") if "ord" in chunks.columns else F.col("id")).alias("ord"))
+    keys = chunks.select("segment", "n", (F.col("ord") if "ord" in chunks.columns else F.col("id")).alias("ord"))
+    # Scores below zero put chunks behind those without a term; that needs the scores of all.
+    if few and weighted.where("w < 0").limit(1).count() == 0:
+        best = work.written(_best(index, weighted, qids, questions.schema["qid"].dataType, k, settings), "best")
+        found = work.written(best.join(keys, ["segment", "n"]), "scored")
+    else:
+        weighted, _, left = candidates(index, questions, k, settings, work)
+        found = work.written(scored(index, weighted, left, settings), "scored")
+    corpus = keys.select(F.struct("segment", "n").alias("id"), "ord")
     ranked = bm25.ranked(found.select("qid", F.struct("segment", "n").alias("id"), "ord", "score"), questions, corpus, k, "ord")
     # k rows for each of a set of questions against the chunks' ids.
     ids = chunks.select("segment", "n", F.col("id").alias("chunk"))
     ranked = ranked.withColumnRenamed("id", "at").join(ids, (F.col("at.segment") == ids["segment"]) & (F.col("at.n") == ids["n"]))
     return result(ranked.select("qid", F.col("chunk").alias("id"), "ord", "bm25_rank", "score"), "ranked", work)
+
+
+def _best(index: Index, weighted: DataFrame, qids: list, kind, k: int, settings: Settings) -> DataFrame:
+    """qid, segment, n, score of the chunks that are among the k best of a task for a question, with scores above 0. No weight is below 0."""
+    weights = bm25.Weights(qids, [tuple(r) for r in weighted.select("qid", "term", "w").collect()])
+    held, number, avgdl = index.spark.sparkContext.broadcast(weights), to_arrow_type(kind), index.avgdl
+    terms = index.spark.createDataFrame(list(enumerate(weights.terms)), "t int, term string")
+    rows = _of_buckets(index.postings(), weighted).join(F.broadcast(terms), "term")
+    rows = rows.select("segment", "block", "t", "max_tf", "min_dl", *(F.col(f"docs.{c}").alias(c) for c in ("n", "tf", "dl")))
+    rows = rows.repartition("segment", "block").sortWithinPartitions("segment", "block")
+
+    def value(tf, dl):
+        return tf * (settings.k1 + 1.0) / (tf + settings.k1 * (1.0 - settings.b + settings.b * dl / avgdl))
+
+    def scores(part: pa.RecordBatch, floor: np.ndarray):
+        """Whole blocks of one segment, in their order."""
+        asked, names = held.value, pa.array(held.value.qids, number)
+        block, term, top, least = (part.column(i).to_numpy() for i in (1, 2, 3, 4))
+        group = np.cumsum(np.r_[0, np.diff(block) != 0])
+        can = asked.reaches(group, term, value(top, least), int(group[-1]) + 1, floor - SLACK)
+        part = part.take(pa.array(np.flatnonzero(can[group])))
+        if not part.num_rows:
+            return
+        group = group[can[group]]
+        size = part.column(5).value_lengths().to_numpy()
+        n, tf, dl = (part.column(i).flatten().to_numpy() for i in (5, 6, 7))
+        # Of one segment, so n alone tells chunks apart and is their order.
+        chunk, row = np.unique(n, return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        each = np.repeat(part.column(2).to_numpy(), size)[order]
+        for r, q, score in asked.best(row[order], each, value(tf, dl)[order], len(chunk), k, floor):
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(q)), pa.array(np.full(len(r), part.column(0)[0].as_py(), np.int32)), pa.array(chunk[r]), pa.array(score)], ["qid", "segment", "n", "score"]
+            )
+
+    def run(batches):
+        floor, rest = np.full(len(held.value.qids), LEAST), None
+        for batch in batches:
+            rest = pa.concat_batches([rest, batch]) if rest is not None else batch
+            segment, block = rest.column(0).to_numpy(), rest.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(segment) != 0) | (np.diff(block) != 0)) + 1
+            if not len(cuts):
+                continue
+            # The last block may go on; a part is of one segment.
+            edges = [0, *(np.flatnonzero(np.diff(segment[: cuts[-1]])) + 1), cuts[-1]]
+            for low, high in zip(edges, edges[1:]):
+                yield from scores(rest.slice(low, high - low), floor)
+            rest = rest.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield from scores(rest, floor)
+
+    return rows.mapInArrow(run, f"qid {kind.simpleString()}, segment int, n bigint, score double")

@@ -276,3 +276,29 @@ def test_approximate_edges(spark, tmp_path):
     asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, None), (3, [1.0])], "qid long, vector array<double>")
     got = approximate.topk(asked, approximate.Index(spark, str(tmp_path / "few")), 2).collect()
     assert [(r["qid"], r["id"], r["distance"]) for r in sorted(got, key=lambda r: r["sem_rank"])] == [(1, 0, 0.0), (1, 1, 2.0)]
+
+
+def test_postings_are_not_shuffled_and_few_scores_leave_a_task(spark, tmp_path, monkeypatch):
+    seen = {}
+    for name in ("_postings", "_best"):
+        inner = getattr(postings, name)
+        monkeypatch.setattr(postings, name, lambda *a, n=name, f=inner: seen.setdefault(n, f(*a)))
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    monkeypatch.setattr(bm25, "ROWS", 16)
+    corpus, path = corpus_of(spark, 1500), str(tmp_path / "index")
+    asked = spark.createDataFrame([(i, f"the of w{i}") for i in range(12)], "qid int, question string")
+    postings.build(corpus, path, buckets=4)
+    assert "Exchange" not in seen["_postings"]._jdf.queryExecution().executedPlan().toString()
+    same_answers(postings.topk(asked, postings.Index(spark, path), 3), bm25.topk(asked, corpus, 3))
+    assert seen["_best"].count() < 12 * 1500 / 4
+
+
+def test_ties_of_segments_go_by_corpus_order(spark, tmp_path, monkeypatch):
+    rows = lambda at: spark.createDataFrame([(f"c{i}", i, "same words" if i % 5 else "other") for i in at], "id string, ord int, text string")
+    path, asked = str(tmp_path / "index"), spark.createDataFrame([(1, "words"), (2, "other none")], "qid int, question string")
+    postings.build(rows(range(1, 300, 2)), path, buckets=2)
+    postings.append(rows(range(0, 300, 2)), path)
+    want = bm25.topk(asked, rows(range(300)), 7)
+    same_answers(postings.topk(asked, postings.Index(spark, path), 7), want)
+    monkeypatch.setattr(bm25, "PAIRS", 0)  # by shuffles
+    same_answers(postings.topk(asked, postings.Index(spark, path), 7), want)

@@ -1,6 +1,6 @@
 """A learned encoder: latent semantic analysis by a randomised range finder.
 
-Texts are rows of a matrix of weighted terms. A first pass over them gives the matrix times its transpose times a random
+Texts are rows of a matrix of weighted terms, which is written once as numbers of terms and weights. A first pass over it gives the matrix times its transpose times a random
 matrix, whose orthonormal basis holds the strongest directions of terms; a second pass projects the rows on that basis and adds up their
 small Gram matrix, whose eigenvectors turn the basis into the directions themselves. Each further pass sharpens the basis. Tasks add
 up rows of a bounded vocabulary, and Spark adds the tasks' sums by term.
@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT
-from quarry.functions.text import tokens
-from quarry.sources.scratch import scratch
+from quarry.functions.text import TOKEN
+from quarry.operators import bm25
+from quarry.sources.scratch import Workspace
 
 #: Terms of the vocabulary, and directions that are sought besides the wanted ones.
 TERMS, EXTRA = 32_768, 16
 #: Texts whose products are held at a time.
 ROWS = 256
+#: Entries whose products are made at a time, so that they stay in a processor's cache.
+PART = 1024
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -46,12 +49,18 @@ def weighted(listed: pa.Array, terms: pa.Array, idf: np.ndarray) -> tuple[np.nda
 def product(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
     """n rows, given by their weights (sorted by row), times a matrix of terms."""
     out = np.zeros((n, matrix.shape[1]))
-    if len(row):
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[first]] = np.add.reduceat(matrix[term] * weight[:, None], first)
+    for low, high in _parts(row):
+        r = row[low:high]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        out[r[first]] += np.add.reduceat(matrix[term[low:high]] * weight[low:high, None], first)
     return out
 
 
+def _parts(of: np.ndarray):
+    """Ends of parts of PART entries."""
+    return ((low, min(low + PART, len(of))) for low in range(0, len(of), PART))
+
+
 @dataclass
 class LsaEmbedder:
     """Texts to unit vectors; one without a known term has the zero vector. An Embedder of vectors.embed."""
@@ -67,38 +76,64 @@ class LsaEmbedder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         listed = pa.array([_TOKEN.findall((t or "").lower()) for t in texts], pa.list_(pa.string()))
-        parts = [np.zeros((0, self.dims))]
+        parts, names = [np.zeros((0, self.dims))], pa.array(self.terms, pa.string())
         for start in range(0, len(listed), ROWS):
             part = listed.slice(start, ROWS)
-            parts.append(product(*weighted(part, pa.array(self.terms, pa.string()), self.idf), len(part), self.directions))
+            parts.append(product(*weighted(part, names, self.idf), len(part), self.directions))
         out = np.concatenate(parts)
         norms = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 1e-12)
 
 
-def vocabulary(texts: DataFrame, limit: int = TERMS) -> tuple[list[str], np.ndarray]:
-    """The `limit` terms that most texts (t, tokens) hold, and their idf."""
-    n = texts.count()
-    df = texts.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    rows = df.orderBy(F.desc("df"), "term").limit(limit).collect()
-    return [r["term"] for r in rows], np.log(1 + n / np.array([r["df"] for r in rows], float))
+def vocabulary(corpus: DataFrame, limit: int = TERMS, text_col: str = "text") -> tuple[list[str], np.ndarray]:
+    """The `limit` terms that most texts hold, and their idf."""
+    n = corpus.where(F.rlike(F.lower(F.col(text_col)), F.lit(TOKEN))).count()
+    df = bm25.frequencies(corpus, text_col).where("term is not null")
+    rows = df.orderBy(F.desc("n"), "term").limit(limit).collect()
+    return [r["term"] for r in rows], np.log(1 + n / np.array([r["n"] for r in rows], float))
 
 
-def _spread(texts: DataFrame, terms: list[str], idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The texts' matrix, transposed, times itself times a matrix of terms."""
-    width = matrix.shape[1]
+def _encoded(corpus: DataFrame, terms: list[str], idf: np.ndarray, text_col: str) -> DataFrame:
+    """at, w: numbers and weights of each text's distinct known terms; texts without one are left out."""
+    held = corpus.sparkSession.sparkContext.broadcast((terms, idf))
 
     def run(batches):
-        total, names = np.zeros_like(matrix), pa.array(terms, pa.string())
+        names, scale = pa.array(held.value[0], pa.string()), held.value[1]
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
-                part = batch.column(0).slice(start, ROWS)
-                row, term, weight = weighted(part, names, idf)
-                rows = product(row, term, weight, len(part), matrix)
-                order = np.argsort(term, kind="stable")
-                if len(order):
-                    first = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
-                    total[term[order][first]] += np.add.reduceat(rows[row[order]] * weight[order, None], first)
+                found = pa.array(bm25.listed(batch.column(0).slice(start, ROWS).to_pylist()), pa.list_(pa.string()))
+                row, term, weight = weighted(found, names, scale)
+                ends = np.r_[np.flatnonzero(np.r_[True, np.diff(row) != 0]), len(row)].astype(np.int32) if len(row) else np.zeros(1, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight))], ["at", "w"]
+                )
+
+    return corpus.select(text_col).mapInArrow(run, "at array<int>, w array<double>")
+
+
+def _entries(batches):
+    """Row, term and weight, and the number of rows, of ROWS encoded texts (at, w) at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            size = part.column(0).value_lengths().to_numpy()
+            yield np.repeat(np.arange(len(size)), size), part.column(0).flatten().to_numpy(), part.column(1).flatten().to_numpy(), len(size)
+
+
+def _spread(texts: DataFrame, matrix: np.ndarray) -> np.ndarray:
+    """The encoded texts' matrix, transposed, times itself times a matrix of terms."""
+    width, held = matrix.shape[1], texts.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        matrix = held.value
+        total = np.zeros_like(matrix)
+        for row, term, weight, n in _entries(batches):
+            rows = product(row, term, weight, n, matrix)
+            order = np.argsort(term, kind="stable")
+            t, r, w = term[order], row[order], weight[order, None]
+            for low, high in _parts(t):
+                first = np.flatnonzero(np.r_[True, np.diff(t[low:high]) != 0])
+                total[t[low:high][first]] += np.add.reduceat(rows[r[low:high]] * w[low:high], first)
         used = np.flatnonzero(total.any(1))
         for part in np.array_split(used, max(1, len(used) // 1024)):
             yield pa.RecordBatch.from_arrays(
@@ -113,17 +148,15 @@ def _spread(texts: DataFrame, terms: list[str], idf: np.ndarray, matrix: np.ndar
     return out
 
 
-def _gram(texts: DataFrame, terms: list[str], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """The Gram matrix of the texts' rows in a basis."""
-    width = basis.shape[1]
+def _gram(texts: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """The Gram matrix of the encoded texts' rows in a basis."""
+    width, held = basis.shape[1], texts.sparkSession.sparkContext.broadcast(basis)
 
     def run(batches):
-        total, names = np.zeros((width, width)), pa.array(terms, pa.string())
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.column(0).slice(start, ROWS)
-                rows = product(*weighted(part, names, idf), len(part), basis)
-                total += rows.T @ rows
+        total = np.zeros((width, width))
+        for row, term, weight, n in _entries(batches):
+            rows = product(row, term, weight, n, held.value)
+            total += rows.T @ rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "g"])
 
     sums = [F.sum(F.get("g", F.lit(j))).alias(f"g{j}") for j in range(width)]
@@ -139,16 +172,17 @@ def fit(
     Null and empty texts add nothing. With fewer terms than dims the vectors are as long as there are terms; without any term it is an error.
     sharpen: further passes. Equal texts and seeds give equal vectors up to rounding.
     """
-    path = scratch(corpus.sparkSession, "tokens")
-    corpus.select(tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0).write.parquet(path)
-    texts = corpus.sparkSession.read.schema("t array<string>").parquet(path)
-    known, idf = vocabulary(texts, terms)
+    known, idf = vocabulary(corpus, terms, text_col)
     if not known:
         raise ValueError("no text holds a term")
+    # Terms are found and weighted once: all passes read their numbers.
+    work = Workspace(corpus.sparkSession)
+    texts = work.written(_encoded(corpus, known, idf, text_col), "encoded")
     basis = np.random.RandomState(seed).standard_normal((len(known), min(len(known), dims + extra)))
     for _ in range(1 + sharpen):
-        basis, _ = np.linalg.qr(_spread(texts, known, idf, basis))
-    values, vectors = np.linalg.eigh(_gram(texts, known, idf, basis))
+        basis, _ = np.linalg.qr(_spread(texts, basis))
+    values, vectors = np.linalg.eigh(_gram(texts, basis))
+    work.clear()
     order = np.argsort(-values)[: min(dims, len(known))]
     directions = basis @ vectors[:, order]
     # A direction and its opposite are the same; the largest part of each is positive.

@@ -75,3 +75,19 @@ def test_bounds_and_edges(spark):
     assert not got[:3].any() and np.isclose(np.linalg.norm(got[3]), 1) and few.encode([]).shape == (0, 3)
     with pytest.raises(ValueError, match="no text"):
         lsa.fit(rows.limit(0))
+
+
+def test_texts_are_tokenised_twice_whatever_the_passes(spark, monkeypatch):
+    """Once for the vocabulary and once for the weights, which all passes read."""
+    rows = [(i, f"alpha w{i % 7} beta w{i % 5}" if i % 9 else None) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "id int, text string")
+    seen = []
+    for name in ("_spread", "_gram"):
+        inner = getattr(lsa, name)
+        monkeypatch.setattr(lsa, name, lambda texts, m, f=inner: seen.append(texts.columns) or f(texts, m))
+    model = lsa.fit(corpus, dims=3, extra=2, sharpen=2)
+    assert seen == [["at", "w"]] * 4 and model.dims == 3
+    assert np.allclose(np.linalg.norm(model.encode(["alpha beta", "", None]), axis=1), [1, 0, 0])
+    whole = lsa.product(np.array([0, 0, 2]), np.array([1, 0, 1]), np.array([1.0, 2.0, 3.0]), 3, np.eye(2))
+    monkeypatch.setattr(lsa, "PART", 1)
+    assert np.array_equal(lsa.product(np.array([0, 0, 2]), np.array([1, 0, 1]), np.array([1.0, 2.0, 3.0]), 3, np.eye(2)), whole)

@@ -50,7 +50,7 @@ def bucket(term: Column, buckets: int) -> Column:
 
 
 def _postings(rows: DataFrame) -> DataFrame:
-    """term, block, max_tf, min_dl, docs of chunks (n, ord, text) that are read in the order of n, made by each task for its own."""
+    """term, block, max_tf, min_dl, docs, and the numbers of these and of their tokens (held, tokens), of chunks (n, ord, text) that are read in the order of n, made by each task for its own."""
     kind, shift, room = rows.schema["ord"].dataType, BLOCK.bit_length() - 1, max(BLOCK, bm25.ROWS)
     number = to_arrow_type(kind)
 
@@ -62,14 +62,13 @@ def _postings(rows: DataFrame) -> DataFrame:
         block, dl = n[row] >> shift, lengths[row].astype(np.int32)
         first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(key) else np.zeros(0, np.int64)
         docs = pa.StructArray.from_arrays([pa.array(n[row]), order.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(dl)], ["n", "ord", "tf", "dl"])
-        if not len(key):
-            first, tops, least = first, np.zeros(0, np.int32), np.zeros(0, np.int32)
-        else:
-            tops, least = np.maximum.reduceat(tf, first).astype(np.int32), np.minimum.reduceat(dl, first)
-        listed = pa.ListArray.from_arrays(np.r_[first, len(key)].astype(np.int32), docs)
-        return pa.RecordBatch.from_arrays(
-            [words.dictionary.take(pa.array(term[first])), pa.array(block[first]), pa.array(tops), pa.array(least), listed], ["term", "block", "max_tf", "min_dl", "docs"]
-        )
+        edges, tf = np.r_[first, len(key)].astype(np.int32), tf.astype(np.int32)
+        of = lambda f, x: f.reduceat(x, first) if len(key) else x
+        made = {
+            "term": words.dictionary.take(pa.array(term[first])), "block": block[first], "max_tf": of(np.maximum, tf), "min_dl": of(np.minimum, dl),
+            "docs": pa.ListArray.from_arrays(edges, docs), "held": np.diff(edges).astype(np.int32), "tokens": of(np.add, tf.astype(np.int64)),
+        }
+        return pa.RecordBatch.from_pydict(made)
 
     def run(batches):
         n, order, found = np.zeros(0, np.int64), pa.array([], number), []
@@ -88,7 +87,7 @@ def _postings(rows: DataFrame) -> DataFrame:
             yield made(n, order, found)
 
     docs = f"array<struct<n: bigint, ord: {kind.simpleString()}, tf: int, dl: int>>"
-    return rows.mapInArrow(run, f"term string, block bigint, max_tf int, min_dl int, docs {docs}")
+    return rows.mapInArrow(run, f"term string, block bigint, max_tf int, min_dl int, docs {docs}, held int, tokens bigint")
 
 
 def _write_segment(chunks: DataFrame, store: versions.Store, buckets: int, text: str, added: Callable[[DataFrame], DataFrame] | None = None) -> dict:
@@ -108,8 +107,7 @@ def _write_segment(chunks: DataFrame, store: versions.Store, buckets: int, text:
     made = _postings(rows.select("n", F.col(order[0]).alias("ord"), F.col(text).alias("text"))).withColumn("bucket", bucket(F.col("term"), buckets))
     made.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
     written = spark.read.schema(made.schema).parquet(f"{at}/postings")
-    tf = F.aggregate(F.col("docs.tf"), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    df = written.groupBy("bucket", "term").agg(F.sum(F.size("docs.tf")).alias("df"), F.sum(tf).alias("tokens"))
+    df = written.groupBy("bucket", "term").agg(F.sum("held").alias("df"), F.sum("tokens").alias("tokens"))
     df.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
     total = spark.read.schema("tokens bigint").parquet(f"{at}/terms").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     return {"name": name, "n": rows.count(), "tokens": int(total), "ord": made.schema["docs"].dataType.elementType["ord"].dataType.simpleString()}

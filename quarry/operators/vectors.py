@@ -37,24 +37,30 @@ class HashingEmbedder:
 
     def __init__(self, dims: int = DEFAULT.dims):
         self.dims = dims
-        self.known: dict[str, tuple[int, int]] = {}
+        self.codes: dict[str, int] = {}
 
     def place(self, token: str) -> tuple[int, int]:
-        found = self.known.get(token)
+        digest = hashlib.md5(token.encode()).hexdigest()
+        return int(digest[:8], 16) % self.dims, 1 if int(digest[8], 16) % 2 == 0 else -1
+
+    def code(self, token: str) -> int:
+        found = self.codes.get(token)
         if found is None:
-            digest = hashlib.md5(token.encode()).hexdigest()
-            found = int(digest[:8], 16) % self.dims, 1 if int(digest[8], 16) % 2 == 0 else -1
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[token] = found
+            at, sign = self.place(token)
+            if len(self.codes) > 500_000:
+                self.codes.clear()
+            found = self.codes[token] = 2 * at + (sign > 0)
         return found
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dims))
-        for row, text in zip(out, texts, strict=True):
-            for token in _TOKEN.findall((text or "").lower()):
-                at, sign = self.place(token)
-                row[at] += sign
+        # A whole number for each token's bucket and sign, all of which are counted at once.
+        out, width = np.zeros((len(texts), self.dims)), 2 * self.dims
+        for start in range(0, len(texts), 256):
+            part = [_TOKEN.findall((t or "").lower()) for t in texts[start : start + 256]]
+            sizes = [len(t) for t in part]
+            code = np.fromiter((self.code(w) for t in part for w in t), np.int64, sum(sizes))
+            counts = np.bincount(np.repeat(np.arange(len(part)) * width, sizes) + code, minlength=len(part) * width).reshape(len(part), self.dims, 2)
+            out[start : start + len(part)] = counts[:, :, 1] - counts[:, :, 0]
         norms = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0)
 

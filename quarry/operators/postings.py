@@ -3,8 +3,8 @@
 A segment holds three tables:
 
 * `chunks`: the rows as given, in corpus order, with a number n;
-* `postings`: a row for each term and block of BLOCK neighbouring chunks, with the largest term frequency and the smallest
-  length in it, and the chunks themselves with frequency and length; laid out by buckets of terms;
+* `postings`: a row for each term and part, which is some neighbouring blocks of BLOCK chunks with about PART bytes of text: of each block with the term
+  the largest term frequency and the smallest length, and of all its chunks with the term frequency and length; laid out by buckets of terms;
 * `terms`: document frequencies, in the same buckets.
 
 The manifest of a version names its segments with their number of chunks and of tokens, and the mean of all raw idf
@@ -12,10 +12,10 @@ values of the version. Frequencies, numbers and lengths of segments are summed w
 segments appended answers like an index that is built anew.
 
 Each task of a build makes the postings of its own share of the chunks and writes them by buckets; no posting is shuffled. A block that two tasks
-share has a row of each.
+share is in a part of each.
 
 A search never reads a text. From the blocks' maxima follows the most that any chunk of a block can score. For a stated set of questions the
-postings of asked terms meet by blocks; a task scores its blocks by products of matrices, leaves out those that cannot reach the k best scores it has seen for
+postings of asked terms meet by parts; a task scores its blocks by products of matrices, leaves out those that cannot reach the k best scores it has seen for
 any question, and hands on what may be among the k best. For more questions the chunks of the most promising blocks are scored first, their k-th score is a
 threshold, and only blocks that can still reach it are scored, by shuffles.
 A chunk in a block that is left out can't be among the k best, so the others' scores are whole.
@@ -25,20 +25,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.config import DEFAULT, Settings
+from quarry.functions import words
 from quarry.operators import bm25
 from quarry.sources import versions
 from quarry.sources.scratch import Workspace, result
 
 #: Chunks of a block, and buckets that terms are laid out by.
 BLOCK, BUCKETS = 64, 32
+#: Bytes of text from which a part ends with a block.
+PART = 1 << 23
+#: How postings are laid out; an index of another layout is an error.
+LAYOUT = 2
+POSTINGS = "term string, part bigint, block array<bigint>, max_tf array<int>, min_dl array<int>, ends array<int>, docs binary"
+#: Of a chunk in docs: its place in the part, the term's frequency in it and its length, as numbers of 4 bytes.
+DOC = np.dtype([("at", "<i4"), ("tf", "<i4"), ("dl", "<i4")])
 #: Room for the rounding of sums when a bound is compared with a threshold.
 SLACK = 1e-6
 #: Below the least score above 0, as scores have 9 digits.
@@ -50,44 +60,57 @@ def bucket(term: Column, buckets: int) -> Column:
 
 
 def _postings(rows: DataFrame) -> DataFrame:
-    """term, block, max_tf, min_dl, docs, and the numbers of these and of their tokens (held, tokens), of chunks (n, ord, text) that are read in the order of n, made by each task for its own."""
-    kind, shift, room = rows.schema["ord"].dataType, BLOCK.bit_length() - 1, max(BLOCK, bm25.ROWS)
-    number = to_arrow_type(kind)
-
-    def made(n: np.ndarray, order: pa.Array, found: list[list[str]]) -> pa.RecordBatch:
-        lengths = np.array([len(t) for t in found], np.int64)
-        words = pa.array([w for t in found for w in t], pa.string()).dictionary_encode()
-        key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), lengths), return_counts=True)
+    """POSTINGS of chunks (n, text) that are read in the order of n, made by each task for its own, with the numbers of chunks and of the term's tokens (held, tokens).
+
+    part is the number of its first chunk; docs has a DOC of each chunk, and ends the place in docs behind the last chunk of each block.
+    """
+    shift = BLOCK.bit_length() - 1
+
+    def made(n: np.ndarray, texts: list) -> pa.RecordBatch:
+        lengths, found = words.coded(texts)
+        rank = np.argsort(order := pc.sort_indices(found.dictionary).to_numpy())
+        key, tf = np.unique(rank[found.indices.to_numpy()].astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), lengths), return_counts=True)
         term, row = key // len(n), key % len(n)
-        block, dl = n[row] >> shift, lengths[row].astype(np.int32)
-        first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(key) else np.zeros(0, np.int64)
-        docs = pa.StructArray.from_arrays([pa.array(n[row]), order.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(dl)], ["n", "ord", "tf", "dl"])
-        edges, tf = np.r_[first, len(key)].astype(np.int32), tf.astype(np.int32)
-        of = lambda f, x: f.reduceat(x, first) if len(key) else x
-        made = {
-            "term": words.dictionary.take(pa.array(term[first])), "block": block[first], "max_tf": of(np.maximum, tf), "min_dl": of(np.minimum, dl),
-            "docs": pa.ListArray.from_arrays(edges, docs), "held": np.diff(edges).astype(np.int32), "tokens": of(np.add, tf.astype(np.int64)),
+        block, dl, tf = n[row] >> shift, lengths[row].astype(np.int32), tf.astype(np.int32)
+        change = np.diff(term, prepend=-1) != 0
+        first, each = np.flatnonzero(change), np.flatnonzero(change | (np.diff(block, prepend=-1) != 0))
+        edges, own = np.r_[first, len(key)].astype(np.int32), term[each]
+        of_term = np.searchsorted(own, np.r_[term[first], len(order)]).astype(np.int32)
+        best = lambda f, x: f.reduceat(x, each) if len(key) else x
+        ends = np.r_[each[1:], len(key)][: len(each)] - first[np.searchsorted(term[first], own)]
+        listed = lambda edge, x: pa.ListArray.from_arrays(edge, pa.array(x))
+        docs = np.empty(len(key), DOC)
+        docs["at"], docs["tf"], docs["dl"] = n[row] - n[0], tf, dl
+        places = pa.py_buffer((edges * DOC.itemsize).astype(np.int32))
+        columns = {
+            "term": found.dictionary.take(pa.array(order[term[first]])), "part": pa.array(np.full(len(first), n[0], np.int64)), "block": listed(of_term, block[each]),
+            "max_tf": listed(of_term, best(np.maximum, tf)), "min_dl": listed(of_term, best(np.minimum, dl)), "ends": listed(of_term, ends.astype(np.int32)),
+            "docs": pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, places, pa.py_buffer(docs)]), "held": np.diff(edges).astype(np.int32),
+            "tokens": np.add.reduceat(tf.astype(np.int64), first) if len(key) else np.zeros(0, np.int64),
         }
-        return pa.RecordBatch.from_pydict(made)
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches):
-        n, order, found = np.zeros(0, np.int64), pa.array([], number), []
+        n, texts, held = np.zeros(0, np.int64), [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, room):
-                part = batch.slice(start, room)
-                n = np.r_[n, part.column(0).to_numpy()]
-                order = pa.concat_arrays([order, part.column(1)])
-                found += bm25.listed(part.column(2).to_pylist())
-                # The last block may go on.
-                cut = int(np.flatnonzero(np.r_[True, np.diff(n >> shift) != 0])[-1])
-                if cut:
-                    yield made(n[:cut], order.slice(0, cut), found[:cut])
-                    n, order, found = n[cut:], order.slice(cut), found[cut:]
-        if found:
-            yield made(n, order, found)
-
-    docs = f"array<struct<n: bigint, ord: {kind.simpleString()}, tf: int, dl: int>>"
-    return rows.mapInArrow(run, f"term string, block bigint, max_tf int, min_dl int, docs {docs}, held int, tokens bigint")
+            for start, size in words.slices(batch.column(1), bm25.ROWS):
+                more = batch.column(1).slice(start, size)
+                n, held = np.r_[n, batch.column(0).slice(start, size).to_numpy()], held + more.nbytes
+                texts += more.to_pylist()
+                # Another task's numbers are far away; with enough of its own a part ends, but the last block may go on.
+                cuts = list(np.flatnonzero(np.diff(n >> 31)) + 1)
+                if held >= PART:
+                    cuts.append(int(np.flatnonzero(np.diff(n >> shift, prepend=-1))[-1]))
+                    held = 0 if cuts[-1] else held
+                for low, high in pairwise([0, *sorted(cuts)]):
+                    if high > low:
+                        yield made(n[low:high], texts[low:high])
+                if cuts:
+                    n, texts = n[max(cuts) :], texts[max(cuts) :]
+        if texts:
+            yield made(n, texts)
+
+    return rows.mapInArrow(run, f"{POSTINGS}, held int, tokens bigint")
 
 
 def _write_segment(chunks: DataFrame, store: versions.Store, buckets: int, text: str, added: Callable[[DataFrame], DataFrame] | None = None) -> dict:
@@ -104,13 +127,13 @@ def _write_segment(chunks: DataFrame, store: versions.Store, buckets: int, text:
     if twice:
         store.delete(name)
         raise ValueError(f"ids that occur twice: {[r['id'] for r in twice]}")
-    made = _postings(rows.select("n", F.col(order[0]).alias("ord"), F.col(text).alias("text"))).withColumn("bucket", bucket(F.col("term"), buckets))
-    made.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
+    made = _postings(rows.select("n", F.col(text).alias("text"))).withColumn("bucket", bucket(F.col("term"), buckets))
+    made.write.partitionBy("bucket").parquet(f"{at}/postings")
     written = spark.read.schema(made.schema).parquet(f"{at}/postings")
     df = written.groupBy("bucket", "term").agg(F.sum("held").alias("df"), F.sum("tokens").alias("tokens"))
     df.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
     total = spark.read.schema("tokens bigint").parquet(f"{at}/terms").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    return {"name": name, "n": rows.count(), "tokens": int(total), "ord": made.schema["docs"].dataType.elementType["ord"].dataType.simpleString()}
+    return {"name": name, "n": rows.count(), "tokens": int(total), "layout": LAYOUT}
 
 
 class Index:
@@ -124,6 +147,8 @@ class Index:
         self.number, self.manifest = found
         self.buckets = self.manifest["buckets"]
         self.segments = self.manifest["segments"]
+        if any(s.get("layout") != LAYOUT for s in self.segments):
+            raise ValueError(f"the index at {path} has another layout; build it again")
         self.n_docs = sum(s["n"] for s in self.segments)
         self.avgdl = sum(s["tokens"] for s in self.segments) / self.n_docs if self.n_docs else 0.0
 
@@ -141,9 +166,7 @@ class Index:
         return self._tables("terms", "term string, df bigint, bucket int")
 
     def postings(self) -> DataFrame:
-        kind = self.segments[0]["ord"]
-        docs = f"array<struct<n: bigint, ord: {kind}, tf: int, dl: int>>"
-        return self._tables("postings", f"term string, block bigint, max_tf int, min_dl int, docs {docs}, bucket int")
+        return self._tables("postings", f"{POSTINGS}, bucket int")
 
 
 def _mean_raw(index_terms: DataFrame, n_docs: int) -> float:
@@ -215,18 +238,45 @@ def bounds(index: Index, weighted: DataFrame, settings: Settings = DEFAULT) -> D
 
     Only the maxima are read. A negative weight adds nothing to a bound.
     """
-    found = _of_buckets(index.postings(), weighted).select("bucket", "term", "segment", "block", "max_tf", "min_dl").join(weighted, ["bucket", "term"])
+    tops = F.arrays_zip("block", "max_tf", "min_dl")
+    found = _of_buckets(index.postings(), weighted).select("bucket", "term", "segment", tops.alias("tops")).join(weighted, ["bucket", "term"])
+    found = found.select("qid", "segment", "w", F.inline("tops").alias("block", "max_tf", "min_dl"))
     part = F.greatest(F.col("w"), F.lit(0.0)) * _part(F.col("max_tf"), F.col("min_dl"), index, settings)
     return found.groupBy("qid", "segment", "block").agg(F.sum(part).alias("most"))
 
 
 def scored(index: Index, weighted: DataFrame, blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """qid, segment, n, ord, score of the chunks of some blocks (qid, segment, block) that hold a term of the question."""
+    """qid, segment, n, score of the chunks of some blocks (qid, segment, block) that hold a term of the question."""
     found = _of_buckets(index.postings(), weighted).drop("max_tf", "min_dl").join(weighted, ["bucket", "term"])
+    found = found.select("qid", "segment", "part", "w", "docs", "ends", F.posexplode("block").alias("i", "block"))
     found = found.join(blocks.select("qid", "segment", "block"), ["qid", "segment", "block"])
-    rows = found.select("qid", "segment", "w", F.explode("docs").alias("d"))
-    part = F.col("w") * _part(F.col("d.tf"), F.col("d.dl"), index, settings)
-    return rows.groupBy("qid", "segment", F.col("d.n").alias("n"), F.col("d.ord").alias("ord")).agg(F.round(F.sum(part), 9).alias("score"))
+    start = F.coalesce(F.get("ends", F.col("i") - 1), F.lit(0))
+    own = F.substring("docs", start * DOC.itemsize + 1, (F.get("ends", F.col("i")) - start) * DOC.itemsize)
+    rows = _each(found.select("qid", "segment", "part", "w", own.alias("docs")))
+    part = F.col("w") * _part(F.col("tf"), F.col("dl"), index, settings)
+    return rows.groupBy("qid", "segment", (F.col("part") + F.col("at")).alias("n")).agg(F.round(F.sum(part), 9).alias("score"))
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    """A row for each chunk of docs, with at, tf and dl."""
+    names = [*rows.columns[:4], *DOC.names]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, bm25.ROWS):
+                part = batch.slice(start, bm25.ROWS)
+                docs = _read(part.column(4))
+                times = pa.array(np.repeat(np.arange(part.num_rows), pc.binary_length(part.column(4)).to_numpy() // DOC.itemsize))
+                columns = [*(c.take(times) for c in part.columns[:4]), *(pa.array(docs[c].copy()) for c in DOC.names)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in names[:4])
+    return rows.mapInArrow(run, f"{kinds}at int, tf int, dl int")
+
+
+def _read(docs: pa.Array) -> np.ndarray:
+    """The chunks of all rows' docs, in order."""
+    return np.frombuffer(b"".join(docs.to_pylist()), DOC)
 
 
 def candidates(
@@ -256,11 +306,11 @@ def topk(questions: DataFrame, index: Index, k: int = DEFAULT.k_bm25, settings:
     keys = chunks.select("segment", "n", (F.col("ord") if "ord" in chunks.columns else F.col("id")).alias("ord"))
     # Scores below zero put chunks behind those without a term; that needs the scores of all.
     if few and weighted.where("w < 0").limit(1).count() == 0:
-        best = work.written(_best(index, weighted, qids, questions.schema["qid"].dataType, k, settings), "best")
-        found = work.written(best.join(keys, ["segment", "n"]), "scored")
+        found = _best(index, weighted, qids, questions.schema["qid"].dataType, k, settings)
     else:
         weighted, _, left = candidates(index, questions, k, settings, work)
-        found = work.written(scored(index, weighted, left, settings), "scored")
+        found = scored(index, weighted, left, settings)
+    found = work.written(work.written(found, "best").join(keys, ["segment", "n"]), "scored")
     corpus = keys.select(F.struct("segment", "n").alias("id"), "ord")
     ranked = bm25.ranked(found.select("qid", F.struct("segment", "n").alias("id"), "ord", "score"), questions, corpus, k, "ord")
     # k rows for each of a set of questions against the chunks' ids.
@@ -273,48 +323,46 @@ def _best(index: Index, weighted: DataFrame, qids: list, kind, k: int, settings:
     """qid, segment, n, score of the chunks that are among the k best of a task for a question, with scores above 0. No weight is below 0."""
     weights = bm25.Weights(qids, [tuple(r) for r in weighted.select("qid", "term", "w").collect()])
     held, number, avgdl = index.spark.sparkContext.broadcast(weights), to_arrow_type(kind), index.avgdl
+    shift = BLOCK.bit_length() - 1
     terms = index.spark.createDataFrame(list(enumerate(weights.terms)), "t int, term string")
     rows = _of_buckets(index.postings(), weighted).join(F.broadcast(terms), "term")
-    rows = rows.select("segment", "block", "t", "max_tf", "min_dl", *(F.col(f"docs.{c}").alias(c) for c in ("n", "tf", "dl")))
-    rows = rows.repartition("segment", "block").sortWithinPartitions("segment", "block")
+    rows = rows.select("segment", "part", "t", "block", "max_tf", "min_dl", "docs")
+    rows = rows.repartition("segment", "part").sortWithinPartitions("segment", "part")
 
     def value(tf, dl):
         return tf * (settings.k1 + 1.0) / (tf + settings.k1 * (1.0 - settings.b + settings.b * dl / avgdl))
 
-    def scores(part: pa.RecordBatch, floor: np.ndarray):
-        """Whole blocks of one segment, in their order."""
-        asked, names = held.value, pa.array(held.value.qids, number)
-        block, term, top, least = (part.column(i).to_numpy() for i in (1, 2, 3, 4))
-        group = np.cumsum(np.r_[0, np.diff(block) != 0])
-        can = asked.reaches(group, term, value(top, least), int(group[-1]) + 1, floor - SLACK)
-        part = part.take(pa.array(np.flatnonzero(can[group])))
-        if not part.num_rows:
+    def scores(rows: pa.RecordBatch, floor: np.ndarray):
+        """All of a part."""
+        asked, names, start = held.value, pa.array(held.value.qids, number), rows.column(1)[0].as_py()
+        term, (block, top, least) = rows.column(2).to_numpy(), (rows.column(c).flatten().to_numpy() for c in (3, 4, 5))
+        each = np.repeat(term, rows.column(3).value_lengths().to_numpy())
+        block, group = np.unique(block, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        can = asked.reaches(group[order], each[order], value(top, least)[order], len(block), floor - SLACK)
+        docs = _read(rows.column(6))
+        each, at = np.repeat(term, pc.binary_length(rows.column(6)).to_numpy() // DOC.itemsize), docs["at"]
+        left = can[np.searchsorted(block, (start + at.astype(np.int64)) >> shift)]
+        if not left.any():
             return
-        group = group[can[group]]
-        size = part.column(5).value_lengths().to_numpy()
-        n, tf, dl = (part.column(i).flatten().to_numpy() for i in (5, 6, 7))
-        # Of one segment, so n alone tells chunks apart and is their order.
-        chunk, row = np.unique(n, return_inverse=True)
+        # Of one part, so the place tells chunks apart and is their order.
+        each, tf, dl = each[left], docs["tf"][left], docs["dl"][left]
+        chunk, row = np.unique(at[left], return_inverse=True)
         order = np.argsort(row, kind="stable")
-        each = np.repeat(part.column(2).to_numpy(), size)[order]
-        for r, q, score in asked.best(row[order], each, value(tf, dl)[order], len(chunk), k, floor):
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(q)), pa.array(np.full(len(r), part.column(0)[0].as_py(), np.int32)), pa.array(chunk[r]), pa.array(score)], ["qid", "segment", "n", "score"]
-            )
+        for r, q, score in asked.best(row[order], each[order], value(tf, dl)[order], len(chunk), k, floor):
+            segment, n = np.full(len(r), rows.column(0)[0].as_py(), np.int32), start + chunk[r].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(segment), pa.array(n), pa.array(score)], ["qid", "segment", "n", "score"])
 
     def run(batches):
         floor, rest = np.full(len(held.value.qids), LEAST), None
         for batch in batches:
             rest = pa.concat_batches([rest, batch]) if rest is not None else batch
-            segment, block = rest.column(0).to_numpy(), rest.column(1).to_numpy()
-            cuts = np.flatnonzero((np.diff(segment) != 0) | (np.diff(block) != 0)) + 1
-            if not len(cuts):
-                continue
-            # The last block may go on; a part is of one segment.
-            edges = [0, *(np.flatnonzero(np.diff(segment[: cuts[-1]])) + 1), cuts[-1]]
-            for low, high in zip(edges, edges[1:]):
+            # The last part may go on.
+            segment, part = rest.column(0).to_numpy(), rest.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(segment) != 0) | (np.diff(part) != 0)) + 1)]
+            for low, high in pairwise(edges):
                 yield from scores(rest.slice(low, high - low), floor)
-            rest = rest.slice(cuts[-1])
+            rest = rest.slice(edges[-1])
         if rest is not None and rest.num_rows:
             yield from scores(rest, floor)
 

@@ -7,21 +7,23 @@ its own k nearest per query. More queries meet the corpus in a join (nearest).
 from __future__ import annotations
 
 import hashlib
-import re
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.config import DEFAULT
+from quarry.functions import words
 from quarry.operators import nearest
 
 #: Queries that may be broadcast, and rows of a batch that are compared at a time.
 BLOCK, ROWS = 4096, 2048
-_TOKEN = re.compile("[a-z0-9]+")
+#: Texts that are encoded at a time.
+PART = 1024
 
 
 class Embedder(Protocol):
@@ -32,33 +34,39 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Codes(dict):
+    """A whole number for each token's bucket and sign, found when it is asked for first."""
+
+    def __init__(self, place):
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, token: str) -> int:
+        at, sign = self.place(token)
+        if len(self) > 500_000:
+            self.clear()
+        found = self[token] = 2 * at + (sign > 0)
+        return found
+
+
 class HashingEmbedder:
     """Signed feature hashing of tokens by md5, to unit length. Not a semantic encoder: a stand-in that needs no model."""
 
     def __init__(self, dims: int = DEFAULT.dims):
         self.dims = dims
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes(self.place)
 
     def place(self, token: str) -> tuple[int, int]:
         digest = hashlib.md5(token.encode()).hexdigest()
         return int(digest[:8], 16) % self.dims, 1 if int(digest[8], 16) % 2 == 0 else -1
 
-    def code(self, token: str) -> int:
-        found = self.codes.get(token)
-        if found is None:
-            at, sign = self.place(token)
-            if len(self.codes) > 500_000:
-                self.codes.clear()
-            found = self.codes[token] = 2 * at + (sign > 0)
-        return found
-
     def encode(self, texts: list[str]) -> np.ndarray:
-        # A whole number for each token's bucket and sign, all of which are counted at once.
+        # Codes are found once for a token of the part, and all counted at once.
         out, width = np.zeros((len(texts), self.dims)), 2 * self.dims
-        for start in range(0, len(texts), 256):
-            part = [_TOKEN.findall((t or "").lower()) for t in texts[start : start + 256]]
-            sizes = [len(t) for t in part]
-            code = np.fromiter((self.code(w) for t in part for w in t), np.int64, sum(sizes))
+        for start in range(0, len(texts), PART):
+            part = texts[start : start + PART]
+            sizes, found = words.coded(part)
+            code = np.fromiter(map(self.codes.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))[found.indices.to_numpy()]
             counts = np.bincount(np.repeat(np.arange(len(part)) * width, sizes) + code, minlength=len(part) * width).reshape(len(part), self.dims, 2)
             out[start : start + len(part)] = counts[:, :, 1] - counts[:, :, 0]
         norms = np.sqrt((out * out).sum(1, keepdims=True))
@@ -106,16 +114,22 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.k_sem) -> DataF
 
 
 def _nearest(batch: pa.RecordBatch, queries: list, k: int, number: pa.DataType):
-    listed = batch.column(2).to_pylist()
+    listed = batch.column(2)
+    sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
     for dims in {len(v) for _, v in queries}:
-        at = [i for i, v in enumerate(listed) if v and len(v) == dims and None not in v]
+        at = np.flatnonzero(sizes == dims)
+        flat = listed.take(pa.array(at)).flatten()
+        if flat.null_count:
+            good = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, dims).all(1)
+            at = at[good]
+            flat = listed.take(pa.array(at)).flatten()
         asked = [(q, v) for q, v in queries if len(v) == dims]
-        if not at or not asked:
+        if not len(at) or not asked:
             continue
-        x, q = np.asarray([listed[i] for i in at], float), np.stack([v for _, v in asked])
+        x, q = flat.to_numpy(zero_copy_only=False).reshape(-1, dims).astype(float), np.stack([v for _, v in asked])
         order = batch.column(1).take(pa.array(at)).to_numpy(zero_copy_only=False)
         rows, columns, exact = nearest.nearest_of(q, x, order, k)
-        take = pa.array(np.asarray(at)[columns])
+        take = pa.array(at[columns])
         yield pa.RecordBatch.from_arrays(
             [pa.array([asked[i][0] for i in rows], number), batch.column(0).take(take), batch.column(1).take(take), pa.array(exact)],
             ["qid", "id", "ord", "distance"],

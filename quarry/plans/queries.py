@@ -15,7 +15,7 @@ from quarry.functions import chunking
 from quarry.functions.text import strip, tokens
 from quarry.operators import approximate, ask, bm25, evaluate, fusion, gates, generate, lsa, nearest, postings, prompts, sampling, vectors
 from quarry.sources import html, readers, sinks
-from quarry.sources.scratch import scratch
+from quarry.sources.scratch import Workspace, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,7 +174,8 @@ def answers_resumable(spark, sf_dir):
     """The first call gets half of the questions, the second all; each is asked once."""
     index, path = scratch(spark, "index"), scratch(spark, "answers")
     ask.build(_corpus(spark, sf_dir).withColumnRenamed("source", "pdf_name"), index)
-    asked = ask.prompted(_questions(spark, sf_dir), index).select("qid", "prompt")
+    # Written once, as both calls read them.
+    asked = Workspace(spark).written(ask.prompted(_questions(spark, sf_dir), index).select("qid", "prompt"), "prompts")
     half = F.pmod(F.xxhash64("qid"), F.lit(2)) == 0
     generate.resumable(asked.where(half), generate.ExtractiveGenerator(), path, files=2)
     return generate.resumable(asked, generate.ExtractiveGenerator(), path, files=2)

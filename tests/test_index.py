@@ -5,9 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import words
+from quarry.functions.text import tokens
 from quarry.operators import approximate, bm25, nearest, order, postings, vectors
 from quarry.sources import readers, scratch, sinks, versions
 
@@ -302,3 +305,64 @@ def test_ties_of_segments_go_by_corpus_order(spark, tmp_path, monkeypatch):
     same_answers(postings.topk(asked, postings.Index(spark, path), 7), want)
     monkeypatch.setattr(bm25, "PAIRS", 0)  # by shuffles
     same_answers(postings.topk(asked, postings.Index(spark, path), 7), want)
+
+
+def test_a_part_has_one_row_for_a_term(spark, monkeypatch):
+    """Rows grow with parts of bounded size and not with blocks, and hold every chunk of a term once."""
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    monkeypatch.setattr(postings, "PART", 4000)
+    texts = [f"the w{i % 3} w{i % 3} İ{i}" if i % 10 else None for i in range(800)]
+    rows = spark.createDataFrame([(i + (i >= 700) * 2**33, t) for i, t in enumerate(texts)], "n long, text string").coalesce(1)
+    made = postings._postings(rows).collect()
+    keys = [(r["term"], r["part"]) for r in made]
+    parts = sorted({p for _, p in keys})
+    assert len(set(keys)) == len(keys) and 2**33 + 700 in parts and 3 <= len(parts) < 10
+    assert all(p % 8 == 0 for p in parts if p < 2**33)
+    got = {}
+    for r in made:
+        docs = np.frombuffer(bytes(r["docs"]), postings.DOC)
+        assert r["held"] == len(docs) == r["ends"][-1] and r["tokens"] == docs["tf"].sum()
+        for low, high, block, tf, dl in zip([0, *r["ends"]], r["ends"], r["block"], r["max_tf"], r["min_dl"], strict=False):
+            own = docs[low:high]
+            assert tf == own["tf"].max() and dl == own["dl"].min()
+            assert {(r["part"] + int(a)) // 8 for a in own["at"]} == {block}
+        for at, tf, dl in docs.tolist():
+            assert got.setdefault((r["term"], r["part"] + at), (tf, dl)) == (tf, dl)
+    want = {}
+    for r in rows.collect():
+        found = re.findall("[a-z0-9]+", (r["text"] or "").lower())
+        want |= {(w, r["n"]): (found.count(w), len(found)) for w in found}
+    assert got == want
+
+
+def test_an_index_of_another_layout_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "LAYOUT", 1)
+    postings.build(corpus_of(spark, 20), str(tmp_path / "index"), buckets=2)
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="layout"):
+        postings.Index(spark, str(tmp_path / "index"))
+
+
+def test_words_of_many_texts(spark):
+    texts = [None, "", " -- ", "The the\tcat's", "İstanbul K2 ß ǅ9", "x" * 300, "日本 a1", "end", "\x00a\x00b\u2028c"]
+    counts, found = words.coded(texts)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = [r["w"] or [] for r in rows.select("i", tokens(F.col("t")).alias("w")).orderBy("i").collect()]
+    assert counts.tolist() == [len(w) for w in want] and found.to_pylist() == [w for x in want for w in x]
+    assert words.coded([])[0].tolist() == [] and words.coded([None])[1].to_pylist() == []
+    monkey = pa.array(["a" * 30, None, "b", "c" * 5])
+    assert [n for _, n in words.slices(monkey, 2)] == [2, 2] and list(words.slices(monkey[:0], 2)) == []
+
+
+def test_a_token_is_hashed_and_looked_up_once_in_a_part():
+    asked = []
+
+    class Seen(vectors._Codes):
+        def __getitem__(self, token):
+            asked.append(token)
+            return super().__getitem__(token)
+
+    embedder = vectors.HashingEmbedder(8)
+    embedder.codes = Seen(embedder.place)
+    embedder.encode(["a b a", "b a a a"] * 20)
+    assert sorted(asked) == ["a", "b"]
